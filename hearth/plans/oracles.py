@@ -133,5 +133,45 @@ SELECT count(*) AS n_rows, sum((old_pred = new_pred)::BIGINT)::BIGINT AS n_agree
 FROM two""")
 
 
+# ------------------------------------------------------------------ positional
+
+DOC_COLS = "doc_id, lang, source, n_chars"
+
+oracle("scan_documents", f"SELECT {DOC_COLS}, length(text)::INTEGER AS text_len FROM documents")
+oracle("row_count", "SELECT count(*) AS n_rows FROM documents")
+oracle("slice_head", f"SELECT {DOC_COLS} FROM documents ORDER BY doc_id LIMIT 160")
+oracle("slice_range", f"SELECT {DOC_COLS} FROM documents ORDER BY doc_id LIMIT 40 OFFSET 160")
+oracle("slice_range_indexed", f"SELECT {DOC_COLS} FROM documents ORDER BY doc_id LIMIT 40 OFFSET 160")
+oracle("row_at", f"SELECT {DOC_COLS} FROM documents ORDER BY doc_id LIMIT 1 OFFSET 170")
+oracle("split_positional", f"""
+SELECT {DOC_COLS}, CASE WHEN pos < 160 THEN 'train' ELSE 'test' END AS split
+FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents) t
+WHERE pos < 200""")
+oracle("batch_summary", """
+SELECT (pos // 64)::BIGINT AS batch_id, count(*) AS n_rows, min(doc_id) AS first_key,
+       max(doc_id) AS last_key
+FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents) t
+GROUP BY pos // 64""")
+oracle("batch_assign", """
+SELECT doc_id, n_chars, pos::BIGINT AS pos, (pos // 64)::BIGINT AS batch_id
+FROM (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents) t""")
+oracle("first_batch", f"SELECT {DOC_COLS} FROM documents ORDER BY doc_id LIMIT 64")
+oracle("const_columns", "SELECT doc_id, lang, '' AS new_result, 0.0::DOUBLE AS new_score FROM documents")
+oracle("label_swap", """
+SELECT d.doc_id, l.quality,
+       CASE WHEN l.quality IN (0, 1) THEN 1 - l.quality ELSE l.quality END::INTEGER AS label
+FROM documents d JOIN labels l USING (doc_id)""")
+oracle("record_assembly", """
+SELECT d.doc_id AS idx, d.text AS sentence,
+       CASE WHEN l.quality IN (0, 1) THEN 1 - l.quality ELSE l.quality END::INTEGER AS labels
+FROM documents d JOIN labels l USING (doc_id)""")
+oracle("score_writeback", scoring_with() + """
+, first AS (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 160)
+SELECT e.vec_id, e.label,
+       coalesce(CASE WHEN f.vec_id IS NOT NULL THEN 'class_' || s.pred::VARCHAR END, '') AS new_result,
+       round(coalesce(CASE WHEN f.vec_id IS NOT NULL THEN 1.0 / s.se END, 0.0), 6) AS new_score
+FROM embeddings e LEFT JOIN first f USING (vec_id) LEFT JOIN scored s USING (vec_id)""")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

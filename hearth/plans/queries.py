@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearth.functions.arrays import argmax, matvec
+from hearth.operators import columns as P
 from hearth.operators import metrics as A
+from hearth.operators import positional as Fp
 from hearth.operators import scoring as R
 from hearth.operators import vectors as V
 from hearth.plans.heads import class_names, fixed_head
@@ -169,5 +171,105 @@ def q_compare_summary(spark, sf_dir):
     return summary.select("n_rows", "n_agree", r6("agreement").alias("agreement"))
 
 
+# ------------------------------------------------------- positional (F1-F7, P1-P6)
+
+DOC_COLS = ["doc_id", "lang", "source", "n_chars"]
+SLICE_A, SLICE_B, BATCH = 160, 200, 64
+
+
+@query("scan_documents")
+def q_scan_documents(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select(*DOC_COLS, F.length("text").alias("text_len"))
+
+
+@query("row_count")
+def q_row_count(spark, sf_dir):
+    return Fp.row_count(load(spark, sf_dir, "documents"))
+
+
+@query("slice_head")
+def q_slice_head(spark, sf_dir):
+    return Fp.head(load(spark, sf_dir, "documents").select(*DOC_COLS), "doc_id", SLICE_A)
+
+
+@query("slice_range")
+def q_slice_range(spark, sf_dir):
+    return Fp.slice_range(load(spark, sf_dir, "documents").select(*DOC_COLS), "doc_id",
+                          SLICE_A, SLICE_B)
+
+
+@query("slice_range_indexed")
+def q_slice_range_indexed(spark, sf_dir):
+    """Same slice through the position index (the route deep slices take)."""
+    return Fp.slice_range(load(spark, sf_dir, "documents").select(*DOC_COLS), "doc_id",
+                          SLICE_A, SLICE_B, top_k_max_rows=0)
+
+
+@query("row_at")
+def q_row_at(spark, sf_dir):
+    return Fp.row_at(load(spark, sf_dir, "documents").select(*DOC_COLS), "doc_id", 170)
+
+
+@query("split_positional")
+def q_split_positional(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select(*DOC_COLS)
+    return Fp.split_positional(docs, "doc_id", [("train", 0, SLICE_A), ("test", SLICE_A, SLICE_B)])
+
+
+@query("batch_summary")
+def q_batch_summary(spark, sf_dir):
+    return Fp.batch_summary(load(spark, sf_dir, "documents"), "doc_id", BATCH)
+
+
+@query("batch_assign")
+def q_batch_assign(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return Fp.with_batch(docs, "doc_id", BATCH, keep_position=True)
+
+
+@query("first_batch")
+def q_first_batch(spark, sf_dir):
+    return Fp.first_batch(load(spark, sf_dir, "documents").select(*DOC_COLS), "doc_id", BATCH)
+
+
+@query("const_columns")
+def q_const_columns(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", "lang")
+    return P.add_constants(docs, P.SCORE_DEFAULTS)
+
+
+def _labelled_docs(spark, sf_dir) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    labels = load(spark, sf_dir, "labels")
+    return docs.join(labels, "doc_id", "inner")
+
+
+@query("label_swap")
+def q_label_swap(spark, sf_dir):
+    d = _labelled_docs(spark, sf_dir).select("doc_id", "quality")
+    return P.swap_labels(d, "quality", out="label")
+
+
+@query("record_assembly")
+def q_record_assembly(spark, sf_dir):
+    d = P.swap_labels(_labelled_docs(spark, sf_dir), "quality", out="label")
+    return P.assemble_record(d, "text", "label", key="doc_id")
+
+
+@query("score_writeback")
+def q_score_writeback(spark, sf_dir):
+    """Score the first rows (as the scoring script does), write the class name and
+    probability back onto the whole table; other rows keep the defaults."""
+    emb = load(spark, sf_dir, "embeddings")
+    base = P.add_constants(emb.select("vec_id", "label"), P.SCORE_DEFAULTS)
+    first = Fp.head(emb, "vec_id", SLICE_A)
+    s = R.score_table(first, "embedding", fixed_head(NUM_CLASSES, WIDTH),
+                      class_names=class_names(NUM_CLASSES))
+    s = s.select("vec_id", F.col("pred_name").alias("new_result"),
+                 F.col("score").alias("new_score"))
+    out = P.write_back(base, s, "vec_id", scores_max_rows=SLICE_A)
+    return out.select("vec_id", "label", "new_result", r6("new_score").alias("new_score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
