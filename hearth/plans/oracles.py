@@ -173,5 +173,41 @@ SELECT e.vec_id, e.label,
 FROM embeddings e LEFT JOIN first f USING (vec_id) LEFT JOIN scored s USING (vec_id)""")
 
 
+# --------------------------------------------------------------------- encoder
+
+TOKS = r"""toks AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '') AS t
+  FROM documents)"""
+VOCAB_CTE = """counts AS (
+  SELECT tok AS token, count(*) AS n FROM (SELECT unnest(t) AS tok FROM toks) u GROUP BY tok),
+vocab AS (
+  SELECT token, (row_number() OVER (ORDER BY n DESC, token ASC) + 3)::INTEGER AS id, n
+  FROM counts ORDER BY n DESC, token ASC LIMIT 1000)"""
+ENCODED = """kept AS (SELECT doc_id, len(t)::INTEGER AS n_tokens, t[1:126] AS k FROM toks),
+ex AS (SELECT doc_id, unnest(k) AS tok, generate_subscripts(k, 1) AS pos FROM kept),
+ids AS (
+  SELECT ex.doc_id, list(coalesce(v.id, 1) ORDER BY ex.pos) AS ids
+  FROM ex LEFT JOIN vocab v ON ex.tok = v.token GROUP BY ex.doc_id),
+enc AS (
+  SELECT kept.doc_id, kept.n_tokens, coalesce(len(ids.ids), 0) AS n,
+         list_resize([2] || coalesce(ids.ids, []::INTEGER[]) || [3], 128, 0) AS input_ids
+  FROM kept LEFT JOIN ids USING (doc_id))"""
+
+oracle("token_counts", f"WITH {TOKS} SELECT doc_id, len(t)::INTEGER AS n_tokens FROM toks")
+oracle("vocab_top", f"WITH {TOKS}, {VOCAB_CTE} SELECT token, id, n FROM vocab")
+oracle("encode_ids", f"""WITH {TOKS}, {VOCAB_CTE}, {ENCODED}
+SELECT doc_id, n_tokens, len(input_ids)::INTEGER AS length,
+       array_to_string(input_ids, ' ') AS input_ids FROM enc""")
+oracle("attention_mask", f"""WITH {TOKS}, {VOCAB_CTE}, {ENCODED}
+SELECT doc_id, (n + 2)::INTEGER AS mask_sum,
+       array_to_string(list_resize(list_transform(range(n + 2), lambda i: 1), 128, 0), ' ')
+         AS attention_mask FROM enc""")
+oracle("truncation_report", f"""WITH {TOKS}
+SELECT doc_id, len(t)::INTEGER AS n_tokens, least(len(t), 126)::INTEGER AS n_kept,
+       len(t) > 126 AS truncated FROM toks""")
+oracle("empty_input_guard", f"""WITH {TOKS}
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE len(t) = 0) AS n_empty FROM toks""")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from hearth.functions.arrays import argmax, matvec
 from hearth.operators import columns as P
+from hearth.operators import encode as Tx
 from hearth.operators import metrics as A
 from hearth.operators import positional as Fp
 from hearth.operators import scoring as R
@@ -271,5 +272,55 @@ def q_score_writeback(spark, sf_dir):
     return out.select("vec_id", "label", "new_result", r6("new_score").alias("new_score"))
 
 
+# ------------------------------------------------------------------ encoder (T)
+
+VOCAB, MAX_LEN = 1000, 128
+
+
+def _ints_str(c):
+    return F.array_join(F.transform(c, lambda v: v.cast("string")), " ")
+
+
+@query("token_counts")
+def q_token_counts(spark, sf_dir):
+    return Tx.token_counts(load(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("vocab_top")
+def q_vocab_top(spark, sf_dir):
+    return Tx.build_vocab(load(spark, sf_dir, "documents"), "text", VOCAB)
+
+
+def _encoded(spark, sf_dir) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    vocab = Tx.build_vocab(docs, "text", VOCAB)
+    return Tx.encode(docs, "doc_id", "text", vocab, MAX_LEN, vocab_max_rows=VOCAB)
+
+
+@query("encode_ids")
+def q_encode_ids(spark, sf_dir):
+    e = _encoded(spark, sf_dir)
+    return e.select("doc_id", "n_tokens", F.size("input_ids").alias("length"),
+                    _ints_str(F.col("input_ids")).alias("input_ids"))
+
+
+@query("attention_mask")
+def q_attention_mask(spark, sf_dir):
+    e = _encoded(spark, sf_dir)
+    return e.select("doc_id", F.aggregate("attention_mask", F.lit(0),
+                                          lambda a, v: a + v).alias("mask_sum"),
+                    _ints_str(F.col("attention_mask")).alias("attention_mask"))
+
+
+@query("truncation_report")
+def q_truncation_report(spark, sf_dir):
+    return Tx.truncation_report(load(spark, sf_dir, "documents"), "doc_id", "text", MAX_LEN)
+
+
+@query("empty_input_guard")
+def q_empty_input_guard(spark, sf_dir):
+    return Tx.empty_input_summary(load(spark, sf_dir, "documents"), "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
