@@ -209,5 +209,56 @@ oracle("empty_input_guard", f"""WITH {TOKS}
 SELECT count(*) AS n_rows, count(*) FILTER (WHERE len(t) = 0) AS n_empty FROM toks""")
 
 
+# -------------------------------------------------------------- flags and keys
+
+ANY = "(contains(source, 'src1') OR contains(source, 'src5'))"
+HOSTS = """hosts AS (
+  SELECT page_id, url,
+         split_part(replace(replace(replace(url, 'https://', ''), 'http://', ''), 'www.', ''), '/', 1)
+           AS key
+  FROM pages)"""
+SNAPSHOTS = HOSTS + """,
+base AS (SELECT key, arg_max(url, page_id) AS url, max(page_id) AS page_id
+         FROM hosts WHERE starts_with(url, 'http://') GROUP BY key),
+upd AS (SELECT key, arg_max(url, page_id) AS url, max(page_id) AS page_id
+        FROM hosts WHERE starts_with(url, 'https://') GROUP BY key)"""
+
+oracle("flag_any_substring", f"SELECT doc_id, source, coalesce({ANY}, false) AS flag FROM documents")
+oracle("flag_additive", f"""
+SELECT doc_id, lang, source, coalesce(lang = 'en', false) OR coalesce({ANY}, false) AS flag
+FROM documents""")
+oracle("flag_inverse", f"SELECT doc_id, source, NOT coalesce({ANY}, false) AS flag FROM documents")
+oracle("list_flagged", f"SELECT doc_id FROM documents WHERE {ANY}")
+oracle("pattern_report", """
+SELECT p.pattern, count(d.doc_id) AS n_matched
+FROM (VALUES ('src1'), ('src5'), ('src99'), ('SRC1')) p(pattern)
+LEFT JOIN documents d ON contains(d.source, p.pattern)
+GROUP BY p.pattern""")
+oracle("match_suffix", f"""WITH {HOSTS}
+SELECT page_id, key, (key = 'example.org' OR ends_with(key, '.example.org')) AS matched FROM hosts""")
+oracle("target_report", f"""WITH {HOSTS}
+SELECT t.pattern, count(h.page_id) AS n_matched
+FROM (VALUES ('example.org'), ('example.com'), ('example')) t(pattern)
+LEFT JOIN hosts h ON (h.key = t.pattern OR ends_with(h.key, '.' || t.pattern))
+GROUP BY t.pattern""")
+oracle("key_normalise", f"""WITH {HOSTS}
+SELECT page_id, replace(replace(replace(url, 'https://', ''), 'http://', ''), 'www.', '') AS stripped,
+       key FROM hosts""")
+oracle("last_write_wins", f"""WITH {HOSTS}
+SELECT key, arg_max(url, page_id) AS url, max(page_id) AS page_id FROM hosts GROUP BY key""")
+oracle("snapshot_overlay", f"""WITH {SNAPSHOTS}
+SELECT b.key, coalesce(u.url, b.url) AS url, u.key IS NOT NULL AS from_update
+FROM base b LEFT JOIN upd u USING (key)""")
+oracle("key_drift", f"""WITH {SNAPSHOTS}
+SELECT key, 'missing' AS status FROM base WHERE key NOT IN (SELECT key FROM upd)
+UNION ALL
+SELECT key, 'unexpected' AS status FROM upd WHERE key NOT IN (SELECT key FROM base)""")
+oracle("flagged_share", f"""
+SELECT coalesce(sum(CASE WHEN {ANY} THEN n_chars ELSE 0 END), 0)::BIGINT AS n_flagged,
+       coalesce(sum(n_chars), 0)::BIGINT AS n_total,
+       round(sum(CASE WHEN {ANY} THEN n_chars ELSE 0 END) / sum(n_chars), 6) AS share
+FROM documents""")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

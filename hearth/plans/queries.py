@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 from hearth.functions.arrays import argmax, matvec
 from hearth.operators import columns as P
 from hearth.operators import encode as Tx
+from hearth.operators import flags as Fl
+from hearth.operators import keyed as K
 from hearth.operators import metrics as A
 from hearth.operators import positional as Fp
 from hearth.operators import scoring as R
 from hearth.operators import vectors as V
+from hearth.functions.text import URL_STRIP, url_key
 from hearth.plans.heads import class_names, fixed_head
 from hearth.sources.tables import read_table, table_path
 
@@ -322,5 +325,102 @@ def q_empty_input_guard(spark, sf_dir):
     return Tx.empty_input_summary(load(spark, sf_dir, "documents"), "text")
 
 
+# ---------------------------------------------------------- flags (F8-F12), keyed (K)
+
+PATTERNS = ["src1", "src5"]
+REPORT_PATTERNS = ["src1", "src5", "src99", "SRC1"]
+TARGETS = ["example.org"]
+REPORT_TARGETS = ["example.org", "example.com", "example"]
+
+
+def _docs_flag_input(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+
+
+@query("flag_any_substring")
+def q_flag_any_substring(spark, sf_dir):
+    return Fl.flag_any(_docs_flag_input(spark, sf_dir), "source", PATTERNS) \
+        .select("doc_id", "source", "flag")
+
+
+@query("flag_additive")
+def q_flag_additive(spark, sf_dir):
+    d = _docs_flag_input(spark, sf_dir).withColumn("flag", F.col("lang") == "en")
+    return Fl.flag_additive(d, "source", PATTERNS, "flag").select("doc_id", "lang", "source", "flag")
+
+
+@query("flag_inverse")
+def q_flag_inverse(spark, sf_dir):
+    return Fl.flag_inverse(_docs_flag_input(spark, sf_dir), "source", PATTERNS) \
+        .select("doc_id", "source", "flag")
+
+
+@query("list_flagged")
+def q_list_flagged(spark, sf_dir):
+    return Fl.list_flagged(Fl.flag_any(_docs_flag_input(spark, sf_dir), "source", PATTERNS),
+                           "doc_id")
+
+
+@query("pattern_report")
+def q_pattern_report(spark, sf_dir):
+    return Fl.pattern_report(_docs_flag_input(spark, sf_dir), "source", REPORT_PATTERNS)
+
+
+def _hosts(spark, sf_dir):
+    pages = load(spark, sf_dir, "pages")
+    return pages.select("page_id", "url", url_key("url").alias("key"))
+
+
+@query("match_suffix")
+def q_match_suffix(spark, sf_dir):
+    return Fl.flag_targets(_hosts(spark, sf_dir), "key", TARGETS, "matched") \
+        .select("page_id", "key", "matched")
+
+
+@query("target_report")
+def q_target_report(spark, sf_dir):
+    return Fl.pattern_report(_hosts(spark, sf_dir), "key", REPORT_TARGETS, mode="target")
+
+
+@query("key_normalise")
+def q_key_normalise(spark, sf_dir):
+    pages = load(spark, sf_dir, "pages")
+    return K.normalise_keys(pages, "url", URL_STRIP, "stripped") \
+        .select("page_id", "stripped", url_key("url").alias("key"))
+
+
+@query("last_write_wins")
+def q_last_write_wins(spark, sf_dir):
+    return K.last_write_wins(_hosts(spark, sf_dir), "key", ["url"], "page_id")
+
+
+def _snapshots(spark, sf_dir):
+    """Two snapshots of the same keyed table: the plain-http crawl is the base,
+    the https crawl the update; each is reduced to one row per key."""
+    h = _hosts(spark, sf_dir)
+    base = K.last_write_wins(h.filter(F.col("url").startswith("http://")), "key", ["url"], "page_id")
+    upd = K.last_write_wins(h.filter(F.col("url").startswith("https://")), "key", ["url"], "page_id")
+    return base, upd
+
+
+@query("snapshot_overlay")
+def q_snapshot_overlay(spark, sf_dir):
+    base, upd = _snapshots(spark, sf_dir)
+    return K.overlay(base, upd, "key", ["url"])
+
+
+@query("key_drift")
+def q_key_drift(spark, sf_dir):
+    base, upd = _snapshots(spark, sf_dir)
+    return K.key_drift(base, upd, "key")
+
+
+@query("flagged_share")
+def q_flagged_share(spark, sf_dir):
+    d = Fl.flag_any(_docs_flag_input(spark, sf_dir), "source", PATTERNS)
+    return K.flagged_share(d, "flag", "n_chars").select(
+        "n_flagged", "n_total", r6("share").alias("share"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
