@@ -205,6 +205,27 @@ def batch_summary(df: DataFrame, key: str, batch_size: int,
                                      F.max(key).alias("last_key"))
 
 
+def key_at(df: DataFrame, key: str, position: int, index: PositionIndex | None = None):
+    """The key value at ``position`` (a scalar), or ``None`` past the end."""
+    index = index or PositionIndex.build(df, key)
+    rows = index.slice(df.select(key), position, position + 1).collect()
+    return rows[0][0] if rows else None
+
+
+def split_fraction(df: DataFrame, key: str, fraction: float, names=("train", "test"),
+                   out: str = "split", index: PositionIndex | None = None) -> DataFrame:
+    """First ``floor(fraction * n)`` rows by ``key`` vs the rest, as a column.
+    Positions are monotone in the key, so the split is a key comparison against
+    the key at the boundary position: a filter that reaches the scan, with no
+    shuffle of the table."""
+    index = index or PositionIndex.build(df, key)
+    boundary = key_at(df, key, int(math.floor(fraction * index.total)), index)
+    if boundary is None:
+        return df.withColumn(out, F.lit(names[0]))
+    first = F.col(key).isNull() | (F.col(key) < F.lit(boundary))
+    return df.withColumn(out, F.when(first, F.lit(names[0])).otherwise(F.lit(names[1])))
+
+
 def first_batch(df: DataFrame, key: str, batch_size: int) -> DataFrame:
     """``next(iter(loader))``: the first ``batch_size`` rows."""
     return head(df, key, batch_size)

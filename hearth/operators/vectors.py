@@ -121,10 +121,10 @@ def shape_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     for c in cols:
         aggs += [F.count(F.lit(1)).alias(f"{c}__rows"),
                  F.count(F.when(F.col(c).isNull(), 1)).alias(f"{c}__nulls"),
-                 F.min(F.size(c)).alias(f"{c}__min_len"),
-                 F.max(F.size(c)).alias(f"{c}__max_len")]
+                 F.min(F.when(F.col(c).isNotNull(), F.size(c))).alias(f"{c}__min_len"),
+                 F.max(F.when(F.col(c).isNotNull(), F.size(c))).alias(f"{c}__max_len")]
     wide = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(c).alias("column"),
+    rows = F.array(*[F.struct(F.lit(c).alias("column_name"),
                               F.col(f"{c}__rows").cast("long").alias("n_rows"),
                               F.col(f"{c}__nulls").cast("long").alias("n_null"),
                               F.col(f"{c}__min_len").cast("int").alias("min_len"),

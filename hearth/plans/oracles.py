@@ -260,5 +260,51 @@ SELECT coalesce(sum(CASE WHEN {ANY} THEN n_chars ELSE 0 END), 0)::BIGINT AS n_fl
 FROM documents""")
 
 
+# --------------------------------------------------------------------- vectors
+
+oracle("view_pick", f"""WITH {EMB_LONG}
+SELECT vec_id, (j - 16)::INTEGER AS j, round(v, 6) AS v FROM emb_long WHERE j BETWEEN 16 AND 31""")
+oracle("layer_views", f"""WITH {EMB_LONG}
+SELECT vec_id, (j // 16 + 1)::INTEGER AS view, round(sqrt(sum(v * v)), 6) AS l2,
+       round(arg_min(v, j), 6) AS first
+FROM emb_long GROUP BY vec_id, j // 16""")
+oracle("pool_first", """
+SELECT conv_id, arg_min(text, turn) AS first_text, min(turn) AS first_turn
+FROM conversations GROUP BY conv_id""")
+oracle("project_wide", "WITH " + ",\n".join([EMB_LONG, head_cte("head", 3, 72, 64, scale=" / 8.0")]) + """
+SELECT e.vec_id, h.c::INTEGER AS k, round(sum(e.v * h.w), 6) AS y
+FROM emb_long e JOIN head h ON e.j = h.j GROUP BY e.vec_id, h.c""")
+oracle("vec_sum", f"""WITH {EMB_LONG}
+SELECT vec_id, (j % 16)::INTEGER AS j, round(sum(v), 6) AS v FROM emb_long GROUP BY vec_id, j % 16""")
+oracle("vec_concat", f"""WITH {EMB_LONG}
+SELECT vec_id, (CASE WHEN j >= 48 THEN j - 48 ELSE j + 16 END)::INTEGER AS j, round(v, 6) AS v
+FROM emb_long WHERE j >= 48 OR j < 16""")
+oracle("one_hot", """
+SELECT vec_id, label,
+       array_to_string(list_transform(range(10), lambda c: coalesce((c = label)::INTEGER, 0)), ' ')
+         AS one_hot
+FROM embeddings""")
+oracle("shape_profile", """
+SELECT 'embedding' AS column_name, count(*) AS n_rows,
+       count(*) FILTER (WHERE embedding IS NULL) AS n_null,
+       min(len(embedding))::INTEGER AS min_len, max(len(embedding))::INTEGER AS max_len
+FROM embeddings""")
+
+# ------------------------------------------------------------------ head fitting
+# Only the Gram sums are SQL-expressible; the solves (pseudo-inverse, iterative
+# logistic regression) have no oracle and are checked by row count and by the
+# unit tests against numpy.
+
+oracle("gram_matrix", f"""WITH {EMB_LONG},
+lab AS (SELECT * FROM emb_long WHERE label IS NOT NULL),
+xx AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS value
+       FROM lab a JOIN lab b ON a.vec_id = b.vec_id GROUP BY a.j, b.j),
+xy AS (SELECT j AS i, label AS c, sum(v) AS value FROM lab GROUP BY j, label)
+SELECT i::INTEGER AS i, j::INTEGER AS j, round(value, 6) AS value FROM xx
+UNION ALL
+SELECT i.range::INTEGER AS i, (64 + c.range)::INTEGER AS j, round(coalesce(xy.value, 0.0), 6) AS value
+FROM range(64) i CROSS JOIN range(10) c LEFT JOIN xy ON xy.i = i.range AND xy.c = c.range""")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

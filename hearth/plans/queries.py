@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from hearth.functions.arrays import argmax, matvec
 from hearth.operators import columns as P
 from hearth.operators import encode as Tx
+from hearth.operators import fitting as M
 from hearth.operators import flags as Fl
 from hearth.operators import keyed as K
 from hearth.operators import metrics as A
@@ -422,5 +423,183 @@ def q_flagged_share(spark, sf_dir):
         "n_flagged", "n_total", r6("share").alias("share"))
 
 
+# ------------------------------------------------------------------ vectors (V)
+
+def _long(df: DataFrame, key: str, arr: str, j: str = "j", v: str = "v") -> DataFrame:
+    return df.select(key, F.posexplode(arr).alias(j, v)).select(key, j, r6(F.col(v)).alias(v))
+
+
+def _views(spark, sf_dir) -> DataFrame:
+    emb = load(spark, sf_dir, "embeddings")
+    for k in range(1, N_VIEWS + 1):
+        emb = V.view_pick(emb, "embedding", k, VIEW_WIDTH, out=f"view{k}")
+    return emb
+
+
+@query("view_pick")
+def q_view_pick(spark, sf_dir):
+    emb = load(spark, sf_dir, "embeddings")
+    return _long(V.view_pick(emb, "embedding", 2, VIEW_WIDTH), "vec_id", "view")
+
+
+@query("layer_views")
+def q_layer_views(spark, sf_dir):
+    emb = load(spark, sf_dir, "embeddings")
+    lv = V.layer_views(emb, "embedding", VIEW_WIDTH, N_VIEWS, keep=["vec_id"])
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v.cast("double") * v))
+    return lv.select("vec_id", F.col("view").cast("int").alias("view"), r6(norm).alias("l2"),
+                     r6(F.element_at("vec", 1).cast("double")).alias("first"))
+
+
+@query("pool_first")
+def q_pool_first(spark, sf_dir):
+    conv = load(spark, sf_dir, "conversations")
+    return V.pool_first(conv, "conv_id", "turn", "text", out="first_text") \
+        .select("conv_id", "first_text", F.col("first_text_turn").alias("first_turn"))
+
+
+PROJ_OUT = 72   # 72 x 64 weights: above the JVM threshold, so the Arrow matmul runs
+
+
+@query("project_wide")
+def q_project_wide(spark, sf_dir):
+    emb = load(spark, sf_dir, "embeddings")
+    w = fixed_head(PROJ_OUT, WIDTH, 3) / 8.0
+    return _long(V.project(emb, "embedding", w, out="y"), "vec_id", "y", "k", "y")
+
+
+@query("vec_sum")
+def q_vec_sum(spark, sf_dir):
+    d = V.vec_sum(_views(spark, sf_dir), [f"view{k}" for k in range(1, N_VIEWS + 1)], "s")
+    return _long(d, "vec_id", "s")
+
+
+@query("vec_concat")
+def q_vec_concat(spark, sf_dir):
+    d = V.vec_concat(_views(spark, sf_dir), ["view4", "view1"], "c", widths=[VIEW_WIDTH] * 2)
+    return _long(d, "vec_id", "c")
+
+
+@query("one_hot")
+def q_one_hot(spark, sf_dir):
+    d = V.one_hot(load(spark, sf_dir, "embeddings"), "label", NUM_CLASSES)
+    return d.select("vec_id", "label",
+                    _ints_str(F.transform("one_hot", lambda v: v.cast("int"))).alias("one_hot"))
+
+
+@query("shape_profile")
+def q_shape_profile(spark, sf_dir):
+    return V.shape_profile(load(spark, sf_dir, "embeddings"), ["embedding"])
+
+
+# ------------------------------------------------------------ head fitting (M)
+
+TRAIN_FRACTION = 0.8
+
+
+def _split_embeddings(spark, sf_dir) -> DataFrame:
+    emb = load(spark, sf_dir, "embeddings")
+    return Fp.split_fraction(emb, "vec_id", TRAIN_FRACTION)
+
+
+@query("gram_matrix")
+def q_gram_matrix(spark, sf_dir):
+    g = M.gram_sums(load(spark, sf_dir, "embeddings"), "embedding", "label", NUM_CLASSES)
+    return g.select("i", "j", r6("value").alias("value"))
+
+
+def _heads_long(w) -> list[tuple[int, int, float]]:
+    return [(int(c), int(j), float(round(w[c, j], 6)))
+            for c in range(w.shape[0]) for j in range(w.shape[1])]
+
+
+@query("lstsq_fit")
+def q_lstsq_fit(spark, sf_dir):
+    """Weights of the closed-form head fitted on the train split (K x d rows)."""
+    s = _split_embeddings(spark, sf_dir)
+    w = M.fit_lstsq(s.filter(F.col("split") == "train"), "embedding", "label", NUM_CLASSES)
+    return spark.createDataFrame(_heads_long(w), "class_id int, j int, w double")
+
+
+@query("lstsq_eval")
+def q_lstsq_eval(spark, sf_dir):
+    """Closed-form head fitted on train, scored on the held-out rows."""
+    s = _split_embeddings(spark, sf_dir)
+    w = M.fit_lstsq(s.filter(F.col("split") == "train"), "embedding", "label", NUM_CLASSES)
+    test = s.filter(F.col("split") == "test")
+    return R.score_table(test, "embedding", w, label="label") \
+        .select("vec_id", "label", "pred", r6("score").alias("score"))
+
+
+@query("head_fit")
+def q_head_fit(spark, sf_dir):
+    """Softmax head (multinomial logistic regression) on frozen features."""
+    s = _split_embeddings(spark, sf_dir)
+    model = M.fit_softmax_head(s.filter(F.col("split") == "train"), "embedding", "label",
+                               max_iter=50)
+    w, b = M.softmax_head_weights(model)
+    test = s.filter(F.col("split") == "test")
+    return R.score_table(test, "embedding", w, b, label="label") \
+        .select("vec_id", "label", "pred", r6("score").alias("score"))
+
+
+@query("head_per_view")
+def q_head_per_view(spark, sf_dir):
+    """One closed-form head per layer view, fitted in one pass (grouped Gram sums)."""
+    s = _split_embeddings(spark, sf_dir)
+    lv = V.layer_views(s, "embedding", VIEW_WIDTH, N_VIEWS, keep=["vec_id", "label", "split"])
+    heads = M.fit_lstsq(lv.filter(F.col("split") == "train"), "vec", "label", NUM_CLASSES,
+                        group="view")
+    test = lv.filter(F.col("split") == "test")
+    views = F.array(*[F.lit(int(g)) for g in sorted(heads, key=int)])
+    mats = F.array(*[F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in heads[g]])
+                     for g in sorted(heads, key=int)])
+    lg = test.withColumn("logits", matvec("vec", F.element_at(
+        mats, F.array_position(views, F.col("view")).cast("int"))))
+    scored = R.score(lg, "logits", label="label")
+    return A.evaluate(scored, by=["view"]).select(
+        F.col("view").cast("int").alias("view"), r6("accuracy").alias("accuracy"),
+        "n_correct", "n_labelled")
+
+
+@query("fused_head")
+def q_fused_head(spark, sf_dir):
+    """Side branches of views 1-3 projected and summed, concatenated with view 4,
+    then a closed-form head on the fused vector."""
+    d = _views(spark, sf_dir)
+    d = Fp.split_fraction(d, "vec_id", TRAIN_FRACTION)
+    for k in (1, 2, 3):
+        d = V.project(d, f"view{k}", fixed_head(VIEW_WIDTH, VIEW_WIDTH, 4 + k) / 4.0,
+                      out=f"side{k}")
+    d = V.vec_sum(d, ["side1", "side2", "side3"], "side")
+    d = V.vec_concat(d, ["side", "view4"], "fused", widths=[VIEW_WIDTH, VIEW_WIDTH])
+    w = M.fit_lstsq(d.filter(F.col("split") == "train"), "fused", "label", NUM_CLASSES)
+    scored = R.score_table(d.filter(F.col("split") == "test"), "fused", w, label="label")
+    return A.evaluate(scored).select(r6("accuracy").alias("accuracy"), "n_correct", "n_labelled")
+
+
+FIT_ROUNDS = (1, 3, 10)
+
+
+@query("fit_rounds")
+def q_fit_rounds(spark, sf_dir):
+    """Repeated fit + evaluate rounds (growing iteration budget); one metrics row
+    per round, scored in one pass over the held-out rows."""
+    s = _split_embeddings(spark, sf_dir)
+    train, test = s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test")
+    models = M.fit_rounds(train, "embedding", "label", test, FIT_ROUNDS)
+    wb = [M.softmax_head_weights(m) for _, m in models]
+    mats = F.array(*[F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in w])
+                     for w, _ in wb])
+    biases = F.array(*[F.array(*[F.lit(float(x)) for x in b]) for _, b in wb])
+    x = test.select("vec_id", "label", "embedding",
+                    F.explode(F.array(*[F.lit(r) for r in range(len(wb))])).alias("round"))
+    lg = x.withColumn("logits", F.zip_with(
+        matvec("embedding", F.element_at(mats, F.col("round") + 1)),
+        F.element_at(biases, F.col("round") + 1), lambda a, b: a + b))
+    return A.evaluate(R.score(lg, "logits", label="label"), by=["round"]).select(
+        "round", r6("accuracy").alias("accuracy"), "n_correct", r6("mean_nll").alias("mean_nll"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
