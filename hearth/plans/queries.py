@@ -42,8 +42,14 @@ def query(name: str):
     return register
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, table_path(sf_dir, name), name)
+def load(spark: SparkSession, sf_dir: str, name: str, balance: bool = False) -> DataFrame:
+    return read_table(spark, table_path(sf_dir, name), name, balance=balance)
+
+
+def load_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for the tokenising queries (CPU-heavy per row): spread over the
+    cores when the file has fewer splits than the default parallelism."""
+    return load(spark, sf_dir, "documents", balance=True)
 
 
 def r6(c):
@@ -62,7 +68,7 @@ def _scored(spark, sf_dir, label: bool = True) -> DataFrame:
 def q_head_logits(spark, sf_dir):
     emb = load(spark, sf_dir, "embeddings")
     lg = R.head_logits(emb, "embedding", fixed_head(NUM_CLASSES, WIDTH))
-    return lg.select("vec_id", F.posexplode("logits").alias("class_id", "logit")) \
+    return lg.select("vec_id", F.posexplode_outer("logits").alias("class_id", "logit")) \
         .select("vec_id", "class_id", r6("logit").alias("logit"))
 
 
@@ -74,7 +80,7 @@ def q_project_chain(spark, sf_dir):
     w2 = fixed_head(NUM_CLASSES, WIDTH, 2)            # 64 -> 10
     b1 = [0.5] * WIDTH
     lg = R.head_logits(emb, "embedding", [(w1, b1), (w2, None)])
-    return lg.select("vec_id", F.posexplode("logits").alias("class_id", "logit")) \
+    return lg.select("vec_id", F.posexplode_outer("logits").alias("class_id", "logit")) \
         .select("vec_id", "class_id", r6("logit").alias("logit"))
 
 
@@ -88,7 +94,7 @@ def q_softmax(spark, sf_dir):
     emb = load(spark, sf_dir, "embeddings")
     s = R.score(R.head_logits(emb, "embedding", fixed_head(NUM_CLASSES, WIDTH)),
                 "logits", probabilities=True)
-    return s.select("vec_id", F.posexplode("probs").alias("class_id", "prob")) \
+    return s.select("vec_id", F.posexplode_outer("probs").alias("class_id", "prob")) \
         .select("vec_id", "class_id", r6("prob").alias("prob"))
 
 
@@ -287,16 +293,16 @@ def _ints_str(c):
 
 @query("token_counts")
 def q_token_counts(spark, sf_dir):
-    return Tx.token_counts(load(spark, sf_dir, "documents"), "doc_id", "text")
+    return Tx.token_counts(load_text(spark, sf_dir), "doc_id", "text")
 
 
 @query("vocab_top")
 def q_vocab_top(spark, sf_dir):
-    return Tx.build_vocab(load(spark, sf_dir, "documents"), "text", VOCAB)
+    return Tx.build_vocab(load_text(spark, sf_dir), "text", VOCAB)
 
 
 def _encoded(spark, sf_dir) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    docs = load_text(spark, sf_dir)
     vocab = Tx.build_vocab(docs, "text", VOCAB)
     return Tx.encode(docs, "doc_id", "text", vocab, MAX_LEN, vocab_max_rows=VOCAB)
 
@@ -318,12 +324,12 @@ def q_attention_mask(spark, sf_dir):
 
 @query("truncation_report")
 def q_truncation_report(spark, sf_dir):
-    return Tx.truncation_report(load(spark, sf_dir, "documents"), "doc_id", "text", MAX_LEN)
+    return Tx.truncation_report(load_text(spark, sf_dir), "doc_id", "text", MAX_LEN)
 
 
 @query("empty_input_guard")
 def q_empty_input_guard(spark, sf_dir):
-    return Tx.empty_input_summary(load(spark, sf_dir, "documents"), "text")
+    return Tx.empty_input_summary(load_text(spark, sf_dir), "text")
 
 
 # ---------------------------------------------------------- flags (F8-F12), keyed (K)
@@ -426,7 +432,7 @@ def q_flagged_share(spark, sf_dir):
 # ------------------------------------------------------------------ vectors (V)
 
 def _long(df: DataFrame, key: str, arr: str, j: str = "j", v: str = "v") -> DataFrame:
-    return df.select(key, F.posexplode(arr).alias(j, v)).select(key, j, r6(F.col(v)).alias(v))
+    return df.select(key, F.posexplode_outer(arr).alias(j, v)).select(key, j, r6(F.col(v)).alias(v))
 
 
 def _views(spark, sf_dir) -> DataFrame:

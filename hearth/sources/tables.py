@@ -21,8 +21,20 @@ def table_path(base_dir: str, name: str) -> str:
     return os.path.join(base_dir, name)
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition when a scan yields fewer input splits than the
+    cluster's default parallelism (e.g. one large single-row-group file), so
+    CPU-heavy per-row work (tokenising, matrix products) uses every core. With
+    many splits, as at scale, this is a no-op and adds no shuffle."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-               fmt: str = "parquet", options: dict | None = None) -> DataFrame:
+               fmt: str = "parquet", options: dict | None = None,
+               balance: bool = False) -> DataFrame:
     """Read a table and check it against a declared schema.
 
     ``schema`` may be a ``StructType`` or the name of one in ``SCHEMAS``. The file's
@@ -37,8 +49,10 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     if fmt in ("parquet", "orc"):
         found = reader.format(fmt).load(path).schema
         check_schema(found, schema, what=path)
-        return reader.format(fmt).load(path).select(*[f.name for f in schema.fields])
-    return reader.schema(schema).format(fmt).load(path)
+        df = reader.format(fmt).load(path).select(*[f.name for f in schema.fields])
+    else:
+        df = reader.schema(schema).format(fmt).load(path)
+    return spread(df) if balance else df
 
 
 def read_pair(spark: SparkSession, train_path: str, test_path: str,
