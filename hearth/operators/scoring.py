@@ -30,6 +30,31 @@ def head_logits(df: DataFrame, features: str, weights, bias=None,
     return project(df, features, w, b, out=out)
 
 
+def stacked_logits(df: DataFrame, features: str, heads: Sequence, keep: Sequence[str],
+                   head_col: str = "head", out: str = "logits") -> DataFrame:
+    """Score every row with several heads in one pass: the heads (same class
+    count) are stacked into one matrix, applied once, and the result is split
+    into one row per (row, head) with ``head`` = 0..n-1.
+
+    ``heads`` is a list of ``W`` or ``(W, b)``; a head reading only part of the
+    vector (a layer view) is a ``W`` with zeros outside that part.
+    """
+    ws, bs = [], []
+    for h in heads:
+        w, b = (h if isinstance(h, tuple) else (h, None))
+        w = np.asarray(w, dtype=float)
+        ws.append(w)
+        bs.append(np.zeros(w.shape[0]) if b is None else np.asarray(b, dtype=float))
+    k = ws[0].shape[0]
+    if any(w.shape[0] != k for w in ws):
+        raise ValueError("stacked heads must have the same number of classes")
+    allw = project(df.select(*dict.fromkeys(list(keep) + [features])), features,
+                   np.vstack(ws), np.concatenate(bs), out="_all")
+    parts = F.array(*[F.slice(F.col("_all"), i * k + 1, k) for i in range(len(ws))])
+    # outer: the array is never empty, and no filter is inferred above the matmul
+    return allw.select(*keep, F.posexplode_outer(parts).alias(head_col, out))
+
+
 def class_name_col(pred: Column, class_names: Mapping[int, str] | Sequence[str],
                    strict: bool = False) -> Column:
     """Map a class id to its name through a literal map. Unknown ids give NULL,

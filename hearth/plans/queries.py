@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,16 +143,14 @@ def q_correct_total(spark, sf_dir):
     return A.correct_total(_scored(spark, sf_dir))
 
 
-def _scored_rounds(spark, sf_dir) -> DataFrame:
-    """Every row scored by every round's head in one scan: rows are exploded over
-    rounds and each picks its round's matrix from a literal array of heads."""
+def _scored_rounds(spark, sf_dir, rounds=ROUNDS) -> DataFrame:
+    """Every row scored by every round's head in one scan and one stacked matmul."""
     emb = load(spark, sf_dir, "embeddings")
-    heads = F.array(*[F.array(*[F.array(*[F.lit(float(v)) for v in row])
-                                for row in fixed_head(NUM_CLASSES, WIDTH, r)]) for r in ROUNDS])
-    x = emb.select("vec_id", "label", "embedding",
-                   F.explode(F.array(*[F.lit(r) for r in ROUNDS])).alias("round"))
-    lg = x.withColumn("logits", matvec("embedding", F.element_at(heads, F.col("round") + 1)))
-    return R.score(lg, "logits", label="label")
+    heads = [fixed_head(NUM_CLASSES, WIDTH, r) for r in rounds]
+    lg = R.stacked_logits(emb, "embedding", heads, keep=["vec_id", "label"], head_col="round")
+    return R.score(lg.withColumn("round", F.element_at(F.array(*[F.lit(r) for r in rounds]),
+                                                      F.col("round") + 1)),
+                   "logits", label="label")
 
 
 @query("accuracy_by_round")
@@ -161,12 +161,14 @@ def q_accuracy_by_round(spark, sf_dir):
 
 def _two_rounds(spark, sf_dir) -> DataFrame:
     """Old (round 0) and new (round 1) predictions side by side, from one scan
-    and without a shuffle: both heads are applied to the same row."""
+    and without a shuffle: both heads are applied to the same row at once."""
     emb = load(spark, sf_dir, "embeddings")
-    return emb.select(
+    w = np.vstack([fixed_head(NUM_CLASSES, WIDTH, 0), fixed_head(NUM_CLASSES, WIDTH, 1)])
+    both = V.project(emb, "embedding", w, out="_l")
+    return both.select(
         "vec_id",
-        argmax(matvec("embedding", fixed_head(NUM_CLASSES, WIDTH, 0).tolist())).alias("old_pred"),
-        argmax(matvec("embedding", fixed_head(NUM_CLASSES, WIDTH, 1).tolist())).alias("new_pred"))
+        argmax(F.slice("_l", 1, NUM_CLASSES)).alias("old_pred"),
+        argmax(F.slice("_l", NUM_CLASSES + 1, NUM_CLASSES)).alias("new_pred"))
 
 
 @query("compare_results")
@@ -556,12 +558,19 @@ def q_head_per_view(spark, sf_dir):
     lv = V.layer_views(s, "embedding", VIEW_WIDTH, N_VIEWS, keep=["vec_id", "label", "split"])
     heads = M.fit_lstsq(lv.filter(F.col("split") == "train"), "vec", "label", NUM_CLASSES,
                         group="view")
-    test = lv.filter(F.col("split") == "test")
-    views = F.array(*[F.lit(int(g)) for g in sorted(heads, key=int)])
-    mats = F.array(*[F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in heads[g]])
-                     for g in sorted(heads, key=int)])
-    lg = test.withColumn("logits", matvec("vec", F.element_at(
-        mats, F.array_position(views, F.col("view")).cast("int"))))
+    # Each view's head, padded with zeros outside its slice, reads the full
+    # vector: all views are scored by one stacked matmul over the test rows.
+    views = sorted(heads, key=int)
+    padded = []
+    for g in views:
+        w = np.zeros((NUM_CLASSES, WIDTH))
+        start = (int(g) - 1) * VIEW_WIDTH
+        w[:, start:start + VIEW_WIDTH] = heads[g]
+        padded.append(w)
+    test = s.filter(F.col("split") == "test")
+    lg = R.stacked_logits(test, "embedding", padded, keep=["vec_id", "label"], head_col="view")
+    lg = lg.withColumn("view", F.element_at(F.array(*[F.lit(int(g)) for g in views]),
+                                            F.col("view") + 1))
     scored = R.score(lg, "logits", label="label")
     return A.evaluate(scored, by=["view"]).select(
         F.col("view").cast("int").alias("view"), r6("accuracy").alias("accuracy"),
@@ -595,14 +604,7 @@ def q_fit_rounds(spark, sf_dir):
     train, test = s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test")
     models = M.fit_rounds(train, "embedding", "label", test, FIT_ROUNDS)
     wb = [M.softmax_head_weights(m) for _, m in models]
-    mats = F.array(*[F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in w])
-                     for w, _ in wb])
-    biases = F.array(*[F.array(*[F.lit(float(x)) for x in b]) for _, b in wb])
-    x = test.select("vec_id", "label", "embedding",
-                    F.explode(F.array(*[F.lit(r) for r in range(len(wb))])).alias("round"))
-    lg = x.withColumn("logits", F.zip_with(
-        matvec("embedding", F.element_at(mats, F.col("round") + 1)),
-        F.element_at(biases, F.col("round") + 1), lambda a, b: a + b))
+    lg = R.stacked_logits(test, "embedding", wb, keep=["vec_id", "label"], head_col="round")
     return A.evaluate(R.score(lg, "logits", label="label"), by=["round"]).select(
         "round", r6("accuracy").alias("accuracy"), "n_correct", r6("mean_nll").alias("mean_nll"))
 
