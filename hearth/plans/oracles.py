@@ -306,5 +306,13 @@ SELECT i.range::INTEGER AS i, (64 + c.range)::INTEGER AS j, round(coalesce(xy.va
 FROM range(64) i CROSS JOIN range(10) c LEFT JOIN xy ON xy.i = i.range AND xy.c = c.range""")
 
 
+# ------------------------------------------------------------ user functions
+
+oracle("batched_map", """
+SELECT doc_id, lang, length(text)::BIGINT AS text_chars, upper(lang) AS lang_upper FROM documents""")
+oracle("score_user_fn", scoring_with() + "SELECT vec_id, pred, round(1.0 / se, 6) AS score FROM scored")
+oracle("score_no_labels", scoring_with() + "SELECT vec_id, pred, round(1.0 / se, 6) AS score FROM scored")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

@@ -609,5 +609,47 @@ def q_fit_rounds(spark, sf_dir):
         "round", r6("accuracy").alias("accuracy"), "n_correct", r6("mean_nll").alias("mean_nll"))
 
 
+# ------------------------------------------- user functions (T7/U2, U3) and R8
+
+@query("batched_map")
+def q_batched_map(spark, sf_dir):
+    """A batched row function over Arrow batches that keeps the input columns."""
+    from pyspark.sql import types as T
+    docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+
+    def fn(pdf):
+        return {"text_chars": pdf["text"].str.len().astype("int64"),
+                "lang_upper": pdf["lang"].str.upper()}
+
+    out = Tx.map_batches(docs, fn, [T.StructField("text_chars", T.LongType()),
+                                    T.StructField("lang_upper", T.StringType())])
+    return out.select("doc_id", "lang", "text_chars", "lang_upper")
+
+
+def _fixed_head_scorer():
+    """Scorer factory for ``score_with_fn``: called once per task."""
+    w = fixed_head(NUM_CLASSES, WIDTH)
+
+    def forward(feats):
+        return np.asarray(feats["embedding"], dtype=float) @ w.T
+    return forward
+
+
+@query("score_user_fn")
+def q_score_user_fn(spark, sf_dir):
+    """A user forward function (features -> logits) run per Arrow batch."""
+    emb = load(spark, sf_dir, "embeddings")
+    lg = R.score_with_fn(emb, _fixed_head_scorer, ["embedding"], NUM_CLASSES, keep=["vec_id"])
+    return R.score(lg, "logits").select("vec_id", "pred", r6("score").alias("score"))
+
+
+@query("score_no_labels")
+def q_score_no_labels(spark, sf_dir):
+    """Scoring without labels: the output has no loss column."""
+    s = _scored(spark, sf_dir, label=False)
+    assert "nll" not in s.columns
+    return s.select("vec_id", "pred", r6("score").alias("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
