@@ -212,17 +212,24 @@ def key_at(df: DataFrame, key: str, position: int, index: PositionIndex | None =
     return rows[0][0] if rows else None
 
 
-def split_fraction(df: DataFrame, key: str, fraction: float, names=("train", "test"),
-                   out: str = "split", index: PositionIndex | None = None) -> DataFrame:
-    """First ``floor(fraction * n)`` rows by ``key`` vs the rest, as a column.
-    Positions are monotone in the key, so the split is a key comparison against
-    the key at the boundary position: a filter that reaches the scan, with no
-    shuffle of the table."""
+def split_predicates(df: DataFrame, key: str, fraction: float,
+                     index: PositionIndex | None = None) -> tuple[Column, Column]:
+    """``(first, rest)`` predicates for the first ``floor(fraction * n)`` rows by
+    ``key`` and the remainder. Positions are monotone in the key, so each side is
+    a comparison with the key at the boundary position: a filter that reaches the
+    Parquet scan, with no shuffle of the table."""
     index = index or PositionIndex.build(df, key)
     boundary = key_at(df, key, int(math.floor(fraction * index.total)), index)
     if boundary is None:
-        return df.withColumn(out, F.lit(names[0]))
-    first = F.col(key).isNull() | (F.col(key) < F.lit(boundary))
+        return F.lit(True), F.lit(False)
+    k = F.col(key)
+    return k.isNull() | (k < F.lit(boundary)), k >= F.lit(boundary)
+
+
+def split_fraction(df: DataFrame, key: str, fraction: float, names=("train", "test"),
+                   out: str = "split", index: PositionIndex | None = None) -> DataFrame:
+    """The same split as a column (``names[0]`` / ``names[1]``)."""
+    first, _ = split_predicates(df, key, fraction, index)
     return df.withColumn(out, F.when(first, F.lit(names[0])).otherwise(F.lit(names[1])))
 
 

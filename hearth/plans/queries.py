@@ -505,9 +505,12 @@ def q_shape_profile(spark, sf_dir):
 TRAIN_FRACTION = 0.8
 
 
-def _split_embeddings(spark, sf_dir) -> DataFrame:
+def _split_embeddings(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """First 80% of rows by ``vec_id`` for fitting, the rest held out; both sides
+    are key-range filters pushed into the scan."""
     emb = load(spark, sf_dir, "embeddings")
-    return Fp.split_fraction(emb, "vec_id", TRAIN_FRACTION)
+    first, rest = Fp.split_predicates(emb, "vec_id", TRAIN_FRACTION)
+    return emb.filter(first), emb.filter(rest)
 
 
 @query("gram_matrix")
@@ -524,17 +527,16 @@ def _heads_long(w) -> list[tuple[int, int, float]]:
 @query("lstsq_fit")
 def q_lstsq_fit(spark, sf_dir):
     """Weights of the closed-form head fitted on the train split (K x d rows)."""
-    s = _split_embeddings(spark, sf_dir)
-    w = M.fit_lstsq(s.filter(F.col("split") == "train"), "embedding", "label", NUM_CLASSES)
+    train, _ = _split_embeddings(spark, sf_dir)
+    w = M.fit_lstsq(train, "embedding", "label", NUM_CLASSES)
     return spark.createDataFrame(_heads_long(w), "class_id int, j int, w double")
 
 
 @query("lstsq_eval")
 def q_lstsq_eval(spark, sf_dir):
     """Closed-form head fitted on train, scored on the held-out rows."""
-    s = _split_embeddings(spark, sf_dir)
-    w = M.fit_lstsq(s.filter(F.col("split") == "train"), "embedding", "label", NUM_CLASSES)
-    test = s.filter(F.col("split") == "test")
+    train, test = _split_embeddings(spark, sf_dir)
+    w = M.fit_lstsq(train, "embedding", "label", NUM_CLASSES)
     return R.score_table(test, "embedding", w, label="label") \
         .select("vec_id", "label", "pred", r6("score").alias("score"))
 
@@ -542,11 +544,9 @@ def q_lstsq_eval(spark, sf_dir):
 @query("head_fit")
 def q_head_fit(spark, sf_dir):
     """Softmax head (multinomial logistic regression) on frozen features."""
-    s = _split_embeddings(spark, sf_dir)
-    model = M.fit_softmax_head(s.filter(F.col("split") == "train"), "embedding", "label",
-                               max_iter=50)
+    train, test = _split_embeddings(spark, sf_dir)
+    model = M.fit_softmax_head(train, "embedding", "label", max_iter=50)
     w, b = M.softmax_head_weights(model)
-    test = s.filter(F.col("split") == "test")
     return R.score_table(test, "embedding", w, b, label="label") \
         .select("vec_id", "label", "pred", r6("score").alias("score"))
 
@@ -554,10 +554,9 @@ def q_head_fit(spark, sf_dir):
 @query("head_per_view")
 def q_head_per_view(spark, sf_dir):
     """One closed-form head per layer view, fitted in one pass (grouped Gram sums)."""
-    s = _split_embeddings(spark, sf_dir)
-    lv = V.layer_views(s, "embedding", VIEW_WIDTH, N_VIEWS, keep=["vec_id", "label", "split"])
-    heads = M.fit_lstsq(lv.filter(F.col("split") == "train"), "vec", "label", NUM_CLASSES,
-                        group="view")
+    train, test = _split_embeddings(spark, sf_dir)
+    lv = V.layer_views(train, "embedding", VIEW_WIDTH, N_VIEWS, keep=["vec_id", "label"])
+    heads = M.fit_lstsq(lv, "vec", "label", NUM_CLASSES, group="view")
     # Each view's head, padded with zeros outside its slice, reads the full
     # vector: all views are scored by one stacked matmul over the test rows.
     views = sorted(heads, key=int)
@@ -567,7 +566,6 @@ def q_head_per_view(spark, sf_dir):
         start = (int(g) - 1) * VIEW_WIDTH
         w[:, start:start + VIEW_WIDTH] = heads[g]
         padded.append(w)
-    test = s.filter(F.col("split") == "test")
     lg = R.stacked_logits(test, "embedding", padded, keep=["vec_id", "label"], head_col="view")
     lg = lg.withColumn("view", F.element_at(F.array(*[F.lit(int(g)) for g in views]),
                                             F.col("view") + 1))
@@ -582,14 +580,14 @@ def q_fused_head(spark, sf_dir):
     """Side branches of views 1-3 projected and summed, concatenated with view 4,
     then a closed-form head on the fused vector."""
     d = _views(spark, sf_dir)
-    d = Fp.split_fraction(d, "vec_id", TRAIN_FRACTION)
+    first, rest = Fp.split_predicates(d, "vec_id", TRAIN_FRACTION)
     for k in (1, 2, 3):
         d = V.project(d, f"view{k}", fixed_head(VIEW_WIDTH, VIEW_WIDTH, 4 + k) / 4.0,
                       out=f"side{k}")
     d = V.vec_sum(d, ["side1", "side2", "side3"], "side")
     d = V.vec_concat(d, ["side", "view4"], "fused", widths=[VIEW_WIDTH, VIEW_WIDTH])
-    w = M.fit_lstsq(d.filter(F.col("split") == "train"), "fused", "label", NUM_CLASSES)
-    scored = R.score_table(d.filter(F.col("split") == "test"), "fused", w, label="label")
+    w = M.fit_lstsq(d.filter(first), "fused", "label", NUM_CLASSES)
+    scored = R.score_table(d.filter(rest), "fused", w, label="label")
     return A.evaluate(scored).select(r6("accuracy").alias("accuracy"), "n_correct", "n_labelled")
 
 
@@ -600,8 +598,7 @@ FIT_ROUNDS = (1, 3, 10)
 def q_fit_rounds(spark, sf_dir):
     """Repeated fit + evaluate rounds (growing iteration budget); one metrics row
     per round, scored in one pass over the held-out rows."""
-    s = _split_embeddings(spark, sf_dir)
-    train, test = s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test")
+    train, test = _split_embeddings(spark, sf_dir)
     models = M.fit_rounds(train, "embedding", "label", test, FIT_ROUNDS)
     wb = [M.softmax_head_weights(m) for _, m in models]
     lg = R.stacked_logits(test, "embedding", wb, keep=["vec_id", "label"], head_col="round")
