@@ -434,7 +434,8 @@ def q_flagged_share(spark, sf_dir):
 # ------------------------------------------------------------------ vectors (V)
 
 def _long(df: DataFrame, key: str, arr: str, j: str = "j", v: str = "v") -> DataFrame:
-    return df.select(key, F.posexplode_outer(arr).alias(j, v)).select(key, j, r6(F.col(v)).alias(v))
+    return df.select(key, F.posexplode_outer(arr).alias(j, v)) \
+        .select(key, j, r6(F.col(v).cast("double")).alias(v))
 
 
 def _views(spark, sf_dir) -> DataFrame:
