@@ -97,15 +97,27 @@ def cross_entropy(logits, label, row_max=None) -> Column:
 
 
 def vec_add(a, b) -> Column:
-    """Element-wise sum; arrays of different width raise instead of padding."""
-    a, b = _c(a), _c(b)
-    checked = F.when(F.size(a) == F.size(b), a).otherwise(
-        F.raise_error(F.lit("vec_add: arrays differ in width")))
-    return F.zip_with(checked, b, lambda x, y: x.cast("double") + y.cast("double"))
+    """Element-wise sum (``zip_with``). Widths are not checked here, so the inputs
+    are referenced once each; :func:`vec_sum` checks them on its inputs."""
+    return F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") + y.cast("double"))
+
+
+def same_width(*cols) -> Column:
+    """True when all arrays have the width of the first one."""
+    cs = [_c(c) for c in cols]
+    return reduce(lambda acc, c: acc & (F.size(c) == F.size(cs[0])), cs[1:], F.lit(True))
 
 
 def vec_sum(*cols) -> Column:
-    return reduce(vec_add, [_c(c) for c in cols])
+    """Element-wise sum of several arrays; raises when their widths differ.
+    Pass column names (or cheap columns): each input is referenced twice, once
+    for the width check."""
+    cs = [_c(c) for c in cols]
+    total = reduce(vec_add, cs)
+    if len(cs) < 2:
+        return total
+    return F.when(same_width(*cs), total).otherwise(
+        F.raise_error(F.lit("vec_sum: arrays differ in width")))
 
 
 def one_hot(label, num_classes: int) -> Column:

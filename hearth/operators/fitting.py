@@ -33,14 +33,20 @@ def gram_sums(df: DataFrame, features: str, label: str, num_classes: int,
               group: str | None = None) -> DataFrame:
     """Long-form ``(grp, i, j, value)`` with ``value = sum_rows x_i * z_j`` where
     ``z = [x | one_hot(label)]``: ``j < d`` is ``X^T X``, ``j >= d`` is ``X^T Y``.
-    Unlabelled rows are left out (they carry no target)."""
+    Unlabelled rows and rows without a feature vector are left out (they carry
+    no target / no information). The label test is a Spark filter; the feature
+    test runs inside the task, because a filter on a computed vector would be
+    pushed below its projection and evaluate the whole expression twice."""
     cols = [F.col(features).alias("_x"), F.col(label).cast("int").alias("_y")]
     cols.append((F.col(group).cast("string") if group else F.lit("all")).alias("_g"))
-    src = df.select(*cols).filter(F.col("_y").isNotNull() & F.col("_x").isNotNull())
+    src = df.filter(F.col(label).isNotNull()).select(*cols)
 
     def partial(batches):
         acc: dict[str, np.ndarray] = {}
         for pdf in batches:
+            pdf = pdf[pdf["_x"].notna()]
+            if pdf.empty:
+                continue
             for g, part in pdf.groupby("_g", sort=False):
                 x = np.stack(part["_x"].to_numpy()).astype(np.float64)
                 y = part["_y"].to_numpy()
