@@ -23,8 +23,9 @@ PAD_ID, UNK_ID, BEGIN_ID, END_ID = 0, 1, 2, 3
 FIRST_WORD_ID = 4
 DEFAULT_MAX_LEN = 512
 
-# A vocabulary of at most this many rows is broadcast to the lookup join.
-BROADCAST_VOCAB_MAX_ROWS = 2_000_000
+# The vocabulary is broadcast to the lookup join only when its measured size is
+# at most this many bytes; beyond it Catalyst / AQE choose the join.
+BROADCAST_VOCAB_MAX_BYTES = 64 * 1024 * 1024
 
 
 def token_counts(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -46,6 +47,24 @@ def build_vocab(df: DataFrame, text: str, size: int) -> DataFrame:
         .select("token", "id", F.col("n").cast("long").alias("n"))
 
 
+def vocab_bytes(vocab: DataFrame) -> int:
+    """Measured size of a vocabulary (UTF-8 token bytes + id/count per row).
+    Cheap on a materialised vocabulary: it reads at most ``size`` rows."""
+    r = vocab.agg(F.coalesce(F.sum(F.octet_length("token") + 16), F.lit(0))).collect()[0][0]
+    return int(r)
+
+
+def prepare_vocab(df: DataFrame, text: str, size: int) -> tuple[DataFrame, int]:
+    """Build the vocabulary once, write it under the shared checkpoint folder
+    (encode once, reuse for every encoding job) and measure it, so the lookup
+    join can be broadcast on a proven size. Returns ``(vocab, bytes)``."""
+    import uuid
+
+    from hearth.sources.sinks import materialise
+    vocab = materialise(build_vocab(df, text, size), f"vocab-{uuid.uuid4().hex}")
+    return vocab, vocab_bytes(vocab)
+
+
 def _check_len(max_len: int) -> None:
     if max_len < 2:
         raise ValueError("max_len must leave room for the begin and end ids (>= 2)")
@@ -64,27 +83,33 @@ def truncation_report(df: DataFrame, key: str, text: str,
 
 def encode(df: DataFrame, key: str, text: str, vocab: DataFrame,
            max_len: int = DEFAULT_MAX_LEN, keep: Sequence[str] = (),
-           vocab_max_rows: int | None = None) -> DataFrame:
+           vocab_size_bytes: int | None = None) -> DataFrame:
     """``key, *keep, n_tokens, input_ids ARRAY<INT>[max_len], attention_mask
     ARRAY<INT>[max_len]``. Rows with no token keep a row: begin + end + padding.
 
-    ``vocab_max_rows`` is the proven row bound of ``vocab`` (its ``size``); the
-    lookup join is broadcast only under ``BROADCAST_VOCAB_MAX_ROWS``.
+    ``vocab_size_bytes`` is the measured size of ``vocab`` (see
+    :func:`prepare_vocab`); the lookup join is broadcast only when it is at most
+    ``BROADCAST_VOCAB_MAX_BYTES``. The regroup is keyed by a per-row id, so
+    every group holds at most ``max_len - 2`` tokens even if ``key`` repeats.
     """
     _check_len(max_len)
     keep = list(keep)
     toks = tokenize(text)
-    base = df.select(key, *keep, F.size(toks).alias("n_tokens"),
+    # Row identity for the regroup: partition index + offset of the row in its
+    # input split, stable when a lost task re-reads the same split.
+    base = df.select(key, *keep, F.monotonically_increasing_id().alias("_rid"),
+                     F.size(toks).alias("n_tokens"),
                      F.slice(toks, 1, max_len - 2).alias("_kept"))
-    ex = base.select(key, *keep, "n_tokens",
+    ex = base.select(key, *keep, "_rid", "n_tokens",
                      F.posexplode_outer("_kept").alias("_pos", "_tok"))
     v = vocab.select(F.col("token").alias("_tok"), F.col("id").alias("_id"))
-    if vocab_max_rows is not None and vocab_max_rows <= BROADCAST_VOCAB_MAX_ROWS:
+    if vocab_size_bytes is not None and vocab_size_bytes <= BROADCAST_VOCAB_MAX_BYTES:
         v = F.broadcast(v)
     j = ex.join(v, "_tok", "left")
     item = F.when(F.col("_pos").isNotNull(),
                   F.struct(F.col("_pos"), F.coalesce(F.col("_id"), F.lit(UNK_ID)).alias("_id")))
-    g = j.groupBy(key, *keep, "n_tokens").agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    g = j.groupBy("_rid", key, *keep, "n_tokens") \
+        .agg(F.array_sort(F.collect_list(item)).alias("_items"))
     ids = F.transform(F.col("_items"), lambda s: s["_id"])
     return g.select(key, *keep, "n_tokens", ids.alias("_ids")) \
         .withColumn("_n", F.size("_ids")) \

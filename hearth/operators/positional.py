@@ -30,7 +30,10 @@ from pyspark.sql import types as T
 TOP_K_MAX_ROWS = 100_000
 
 _BUCKET = "_hearth_bucket"
+_SUB = "_hearth_sub"
+_TIE = "_hearth_tie"
 _KEYD = "_hearth_keyd"
+_TWO63 = float(2 ** 63)
 
 
 def _numeric(df: DataFrame, key: str) -> bool:
@@ -44,62 +47,110 @@ def _default_buckets(df: DataFrame) -> int:
 
 @dataclass
 class PositionIndex:
-    """Monotone bucketing of the order key plus rows per bucket.
+    """Monotone bucketing of the order key plus rows per (bucket, sub-bucket).
 
     ``splits`` are Bucketizer boundaries (``-inf .. +inf``); bucket ``-1`` holds
     NULL keys (they sort first) and bucket ``len(splits) - 1`` holds NaN (sorts
-    last). ``counts[i + 1]`` is the row count of bucket ``i``.
+    last). A *hot* key (one that fills at least one bucket's worth of rows, e.g.
+    a third of the table) gets a bucket of its own, its rows are ordered by a
+    content hash (``xxhash64`` of the row), and the bucket is cut into
+    ``hot[bucket]`` contiguous hash ranges, so no window task holds it whole.
+    ``counts[(bucket, sub)]`` is the row count of each piece.
     """
 
     key: str
     splits: list[float]
-    counts: list[int]
+    hot: dict[int, int]
+    counts: dict[tuple[int, int], int]
+    tie_cols: list[str]
 
     @property
-    def buckets(self) -> list[int]:
-        return list(range(-1, len(self.splits)))
+    def pieces(self) -> list[tuple[int, int]]:
+        out = []
+        for b in range(-1, len(self.splits)):
+            out += [(b, s) for s in range(self.hot.get(b, 1))]
+        return out
 
     @property
-    def offsets(self) -> list[int]:
-        acc, out = 0, []
-        for c in self.counts:
-            out.append(acc)
-            acc += c
+    def offsets(self) -> dict[tuple[int, int], int]:
+        acc, out = 0, {}
+        for p in self.pieces:
+            out[p] = acc
+            acc += self.counts.get(p, 0)
         return out
 
     @property
     def total(self) -> int:
-        return sum(self.counts)
+        return sum(self.counts.values())
 
     @classmethod
     def build(cls, df: DataFrame, key: str, num_buckets: int | None = None,
-              rel_err: float | None = None) -> "PositionIndex":
-        """Two small jobs: a quantile sketch of the key (``num_buckets - 1`` values
-        come back) and a partially aggregated count per bucket."""
+              accuracy: int | None = None) -> "PositionIndex":
+        """Two small jobs: (1) a quantile sketch of the key and the row count in
+        one aggregation (``num_buckets - 1`` values come back), (2) a partially
+        aggregated count per (bucket, sub-bucket)."""
         nb = num_buckets or _default_buckets(df)
-        rel_err = rel_err if rel_err is not None else 1.0 / (4 * nb)
-        kd = df.select(F.col(key).cast("double").alias(_KEYD))
-        qs = kd.approxQuantile(_KEYD, [i / nb for i in range(1, nb)], rel_err)
-        inner = sorted({q for q in qs if q is not None and math.isfinite(q)})
-        splits = [-math.inf] + inner + [math.inf]
-        counted = _with_bucket(df.select(key), key, splits).groupBy(_BUCKET).count().collect()
-        by_bucket = {int(r[0]): int(r[1]) for r in counted}
-        counts = [by_bucket.get(b, 0) for b in range(-1, len(splits))]
-        return cls(key, splits, counts)
+        acc = accuracy or max(10_000, 8 * nb)
+        kd = F.col(key).cast("double")
+        probs = [i / nb for i in range(1, nb)]
+        row = df.agg(F.percentile_approx(F.when(~F.isnan(kd), kd), probs, acc).alias("q"),
+                     F.count(F.lit(1)).alias("n")).collect()[0]
+        qs = [q for q in (row["q"] or []) if q is not None and math.isfinite(q)]
+        reps: dict[float, int] = {}
+        for q in qs:
+            reps[q] = reps.get(q, 0) + 1
+        bounds = set(qs)
+        for v, r in reps.items():
+            if r >= 2:                       # v alone fills >= 1 bucket: isolate it
+                bounds.add(math.nextafter(v, math.inf))
+        splits = [-math.inf] + sorted(bounds) + [math.inf]
+        hot = {}
+        for v, r in reps.items():
+            if r >= 2:
+                hot[splits.index(v)] = r + 1  # about r + 1 buckets' worth of rows
+        tie_cols = [c for c in df.columns]
+        idx = cls(key, splits, hot, {}, tie_cols)
+        counted = idx._bucketed(df.select(*tie_cols)).groupBy(_BUCKET, _SUB).count().collect()
+        idx.counts = {(int(r[0]), int(r[1])): int(r[2]) for r in counted}
+        return idx
+
+    def _bucketed(self, df: DataFrame) -> DataFrame:
+        """Adds bucket, sub-bucket and tie-break columns."""
+        d = _with_bucket(df, self.key, self.splits)
+        if not self.hot:
+            return d.withColumn(_SUB, F.lit(0)).withColumn(_TIE, F.lit(0).cast("long"))
+        nsub = F.element_at(F.array(*[F.lit(self.hot.get(b, 1))
+                                      for b in range(-1, len(self.splits))]),
+                            F.col(_BUCKET) + 2)
+        is_hot = nsub > 1
+        tie = F.when(is_hot, F.xxhash64(*[F.col(c) for c in self.tie_cols])).otherwise(F.lit(0))
+        d = d.withColumn(_TIE, tie.cast("long"))
+        # Contiguous, monotone ranges of the 64-bit hash.
+        frac = (F.col(_TIE).cast("double") / F.lit(_TWO63) + 1.0) / 2.0
+        sub = F.least(F.floor(frac * nsub).cast("int"), nsub - 1)
+        return d.withColumn(_SUB, F.when(is_hot, sub).otherwise(F.lit(0)))
 
     def _offset_col(self) -> Column:
-        arr = F.array(*[F.lit(int(o)) for o in self.offsets])
-        return F.element_at(arr, F.col(_BUCKET) + 2)
+        offs = self.offsets
+        # Flat piece number = first piece of the bucket + sub-bucket.
+        first, n = [], 0
+        for b in range(-1, len(self.splits)):
+            first.append(n)
+            n += self.hot.get(b, 1)
+        flat = F.element_at(F.array(*[F.lit(f) for f in first]), F.col(_BUCKET) + 2) + F.col(_SUB)
+        arr = F.array(*[F.lit(int(offs[p])) for p in self.pieces])
+        return F.element_at(arr, flat + 1)
 
     def with_position(self, df: DataFrame, out: str = "pos",
                       bucket_range: tuple[int, int] | None = None) -> DataFrame:
         """Add a 0-based ``out`` position (BIGINT) to every row of ``df``."""
-        d = _with_bucket(df, self.key, self.splits)
+        d = self._bucketed(df)
         if bucket_range is not None:
             d = self._restrict(df, d, *bucket_range)
-        w = Window.partitionBy(_BUCKET).orderBy(F.col(self.key).asc_nulls_first())
+        w = Window.partitionBy(_BUCKET, _SUB).orderBy(F.col(self.key).asc_nulls_first(),
+                                                      F.col(_TIE))
         d = d.withColumn(out, (self._offset_col() + F.row_number().over(w) - 1).cast("long"))
-        return d.drop(_BUCKET)
+        return d.drop(_BUCKET, _SUB, _TIE)
 
     def _restrict(self, src: DataFrame, d: DataFrame, lo: int, hi: int) -> DataFrame:
         cond = F.col(_BUCKET).between(lo, hi)
@@ -120,9 +171,11 @@ class PositionIndex:
 
     def buckets_for(self, start: int, stop: int) -> tuple[int, int] | None:
         """Bucket ids whose positions overlap ``[start, stop)``."""
-        hit = [b for b, off, cnt in zip(self.buckets, self.offsets, self.counts)
-               if cnt and off < stop and off + cnt > start]
-        return (hit[0], hit[-1]) if hit else None
+        offs = self.offsets
+        hit = [b for (b, s) in self.pieces
+               if self.counts.get((b, s), 0) and offs[(b, s)] < stop
+               and offs[(b, s)] + self.counts[(b, s)] > start]
+        return (min(hit), max(hit)) if hit else None
 
     def slice(self, df: DataFrame, start: int, stop: int, pos_col: str | None = None) -> DataFrame:
         rng = self.buckets_for(start, stop)
@@ -132,6 +185,24 @@ class PositionIndex:
         out = self.with_position(df, p, rng).filter(F.col(p).between(start, stop - 1))
         return out if pos_col else out.drop(p)
 
+    def boundary(self, df: DataFrame, position: int):
+        """``(key, tie)`` of the row at ``position``, or ``None`` past the end;
+        ``tie`` is ``None`` unless the key is hot (its rows are then ordered by it)."""
+        rng = self.buckets_for(position, position + 1)
+        if rng is None:
+            return None
+        d = self._bucketed(df)
+        d = self._restrict(df, d, *rng)
+        w = Window.partitionBy(_BUCKET, _SUB).orderBy(F.col(self.key).asc_nulls_first(),
+                                                      F.col(_TIE))
+        d = d.withColumn("_p", self._offset_col() + F.row_number().over(w) - 1)
+        r = d.filter(F.col("_p") == position).select(self.key, _TIE, _SUB).collect()[0]
+        hot_row = self.hot.get(rng[0], 1) > 1 or self.hot.get(rng[1], 1) > 1
+        return r[0], (r[1] if hot_row else None)
+
+    def tie_col(self) -> Column:
+        return F.xxhash64(*[F.col(c) for c in self.tie_cols])
+
 
 def _with_bucket(df: DataFrame, key: str, splits: list[float]) -> DataFrame:
     bz = Bucketizer(splits=splits, inputCol=_KEYD, outputCol=_BUCKET, handleInvalid="keep")
@@ -208,8 +279,8 @@ def batch_summary(df: DataFrame, key: str, batch_size: int,
 def key_at(df: DataFrame, key: str, position: int, index: PositionIndex | None = None):
     """The key value at ``position`` (a scalar), or ``None`` past the end."""
     index = index or PositionIndex.build(df, key)
-    rows = index.slice(df.select(key), position, position + 1).collect()
-    return rows[0][0] if rows else None
+    b = index.boundary(df, position)
+    return None if b is None else b[0]
 
 
 def split_predicates(df: DataFrame, key: str, fraction: float,
@@ -217,13 +288,21 @@ def split_predicates(df: DataFrame, key: str, fraction: float,
     """``(first, rest)`` predicates for the first ``floor(fraction * n)`` rows by
     ``key`` and the remainder. Positions are monotone in the key, so each side is
     a comparison with the key at the boundary position: a filter that reaches the
-    Parquet scan, with no shuffle of the table."""
+    Parquet scan, with no shuffle of the table. When the boundary falls inside a
+    hot key, rows of that key are divided by their content hash (the same order
+    the index uses), so the split stays exact."""
     index = index or PositionIndex.build(df, key)
-    boundary = key_at(df, key, int(math.floor(fraction * index.total)), index)
-    if boundary is None:
+    b = index.boundary(df, int(math.floor(fraction * index.total)))
+    if b is None:
         return F.lit(True), F.lit(False)
+    bk, btie = b
     k = F.col(key)
-    return k.isNull() | (k < F.lit(boundary)), k >= F.lit(boundary)
+    if btie is None:
+        return k.isNull() | (k < F.lit(bk)), k >= F.lit(bk)
+    tie = index.tie_col()
+    first = k.isNull() | (k < F.lit(bk)) | ((k == F.lit(bk)) & (tie < F.lit(btie)))
+    rest = (k > F.lit(bk)) | ((k == F.lit(bk)) & (tie >= F.lit(btie)))
+    return first, rest
 
 
 def split_fraction(df: DataFrame, key: str, fraction: float, names=("train", "test"),

@@ -305,8 +305,8 @@ def q_vocab_top(spark, sf_dir):
 
 def _encoded(spark, sf_dir) -> DataFrame:
     docs = load_text(spark, sf_dir)
-    vocab = Tx.build_vocab(docs, "text", VOCAB)
-    return Tx.encode(docs, "doc_id", "text", vocab, MAX_LEN, vocab_max_rows=VOCAB)
+    vocab, nbytes = Tx.prepare_vocab(docs, "text", VOCAB)
+    return Tx.encode(docs, "doc_id", "text", vocab, MAX_LEN, vocab_size_bytes=nbytes)
 
 
 @query("encode_ids")

@@ -69,3 +69,40 @@ def test_deep_slice_prunes_buckets(spark):
     lo, hi = idx.buckets_for(500, 510)
     assert hi - lo <= 1
     assert sorted(r.v for r in idx.slice(df, 500, 510).collect()) == list(range(500, 510))
+
+
+def hot_table(spark):
+    # 400 of 1000 rows share key 5 (a hot key); the rest are unique
+    return spark.range(1000).select(
+        F.when(F.col("id") < 400, F.lit(5)).otherwise(F.col("id") * 2 + 100).alias("k"),
+        F.col("id").alias("v")).repartition(5)
+
+
+def test_hot_key_is_split_and_positions_exact(spark):
+    df = hot_table(spark)
+    idx = P.PositionIndex.build(df, "k", num_buckets=20)
+    assert idx.hot and max(idx.hot.values()) > 1          # the hot key got sub-buckets
+    hot_bucket = next(iter(idx.hot))
+    pieces = [c for (b, s), c in idx.counts.items() if b == hot_bucket]
+    assert sum(pieces) == 400 and max(pieces) < 400       # no piece holds it whole
+    rows = idx.with_position(df).collect()
+    pos = sorted((r.pos, r.k) for r in rows)
+    assert [p for p, _ in pos] == list(range(1000))
+    assert [k for _, k in pos] == sorted(r.k for r in rows)
+    again = {r.v: r.pos for r in idx.with_position(df).collect()}
+    assert again == {r.v: r.pos for r in rows}            # deterministic
+
+
+@pytest.mark.parametrize("fraction", [0.2, 0.5, 0.9])
+def test_split_exact_inside_hot_key(spark, fraction):
+    df = hot_table(spark)
+    first, rest = P.split_predicates(df, "k", fraction)
+    n_first, n_rest = df.filter(first).count(), df.filter(rest).count()
+    assert n_first == int(fraction * 1000) and n_first + n_rest == 1000
+
+
+def test_deep_slice_through_hot_key(spark):
+    df = hot_table(spark)
+    got = P.slice_range(df, "k", 350, 450, top_k_max_rows=0).collect()
+    assert len(got) == 100
+    assert sum(1 for r in got if r.k == 5) == 50
