@@ -26,8 +26,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     cluster's default parallelism (e.g. one large single-row-group file), so
     CPU-heavy per-row work (tokenising, matrix products) uses every core. With
     many splits, as at scale, this is a no-op and adds no shuffle."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # no RDD view (e.g. a Spark Connect session): leave as is
         return df
     return df.repartition(target)
 
