@@ -19,6 +19,30 @@ DEFAULT_CONF = {
 }
 
 
+def scale_conf(input_bytes: int, total_cores: int, feature_width: int = 768) -> dict[str, str]:
+    """Settings sized for a large run (e.g. 100 TB on ~1,000 executors).
+
+    * input splits of 256 MB keep tokenising tasks short and spill-free;
+    * shuffle partitions start at ~256 MB of input each (never fewer than 2x the
+      cores) and AQE coalesces them to the advisory size after each stage;
+    * a shuffle partition over 4x the median and 1 GB is split (skew join);
+    * Arrow batches are capped so one batch of ``feature_width`` doubles stays
+      near 32 MB inside the Python worker.
+    """
+    split = 256 * 1024 * 1024
+    shuffle = max(2 * total_cores, int(input_bytes // split) + 1)
+    batch_rows = max(1024, min(10_000, (32 * 1024 * 1024) // (8 * max(1, feature_width))))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(split),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(split),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * split),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(batch_rows),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    }
+
+
 def build_session(master: str = "local[*]", app: str = "hearth",
                   shuffle_partitions: int | None = None,
                   extra: dict[str, str] | None = None) -> SparkSession:

@@ -64,3 +64,27 @@ def test_map_batches_keeps_input_columns(spark):
 def test_max_len_too_small(spark):
     with pytest.raises(ValueError):
         E.truncation_report(docs(spark, ["a"]), "doc_id", "text", 1)
+
+
+@pytest.mark.parametrize("parts", [1, 8])
+def test_encoding_independent_of_partitioning(spark, parts):
+    texts = [" ".join(f"w{(i * 7 + j) % 13}" for j in range(i % 17)) for i in range(60)]
+    d = docs(spark, texts).repartition(parts)
+    enc = {r.doc_id: r.input_ids for r in
+           E.encode(d, "doc_id", "text", E.build_vocab(d, "text", 8), max_len=12).collect()}
+    ref = docs(spark, texts).coalesce(1)
+    want = {r.doc_id: r.input_ids for r in
+            E.encode(ref, "doc_id", "text", E.build_vocab(ref, "text", 8), max_len=12).collect()}
+    assert enc == want
+
+
+def test_duplicate_keys_encode_separately(spark):
+    d = spark.createDataFrame([(1, "a b"), (1, "c")], "doc_id long, text string")
+    rows = E.encode(d, "doc_id", "text", E.build_vocab(d, "text", 5), max_len=5).collect()
+    assert sorted(sum(r.attention_mask) for r in rows) == [3, 4]
+
+
+def test_prepare_vocab_measures_bytes(spark):
+    d = docs(spark, ["aa bb aa", "cc"])
+    vocab, nbytes = E.prepare_vocab(d, "text", 10)
+    assert vocab.count() == 3 and nbytes == 3 * (2 + 16)

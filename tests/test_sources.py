@@ -52,3 +52,12 @@ def test_metrics_append_and_materialise(spark, tmpdir_path):
     assert spark.read.parquet(path).count() == 2
     frozen = materialise(spark.range(10), "ten")
     assert frozen.count() == 10
+
+
+def test_scale_conf_sizes():
+    from hearth.session import scale_conf
+    c = scale_conf(100 * 1024 ** 4, 8000)
+    assert int(c["spark.sql.shuffle.partitions"]) > 16000
+    assert int(c["spark.sql.execution.arrow.maxRecordsPerBatch"]) * 768 * 8 <= 40 * 1024 ** 2
+    small = scale_conf(10 * 1024 ** 2, 8)
+    assert small["spark.sql.shuffle.partitions"] == "16"
