@@ -2,8 +2,8 @@
 
 * Closed form (minimum-norm least squares, ``W = pinv(X) Y``): every task folds
   its Arrow batches into partial sums ``X^T [X | Y]`` (float64, numpy), Spark sums
-  them per ``(group, i, j)``, and only the ``d x (d + K)`` result per group reaches
-  the driver, where ``W = pinv(X^T X) X^T Y`` is solved. Data never leaves the
+  them element-wise per ``(group, i)``, and only the ``d x (d + K)`` result per
+  group reaches the driver, where ``W = pinv(X^T X) X^T Y`` is solved. Data never leaves the
   executors; the driver holds parameter-sized matrices only.
 * Iterative (softmax head): Spark ML multinomial ``LogisticRegression``; each
   iteration is one distributed aggregation.
@@ -16,25 +16,29 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-GRAM_SCHEMA = T.StructType([
+GRAM_ROW_SCHEMA = T.StructType([
     T.StructField("grp", T.StringType()),
     T.StructField("i", T.IntegerType()),
-    T.StructField("j", T.IntegerType()),
-    T.StructField("value", T.DoubleType()),
+    T.StructField("row", T.ArrayType(T.DoubleType())),
 ])
 
 
-def gram_sums(df: DataFrame, features: str, label: str, num_classes: int,
+def gram_rows(df: DataFrame, features: str, label: str, num_classes: int,
               group: str | None = None) -> DataFrame:
-    """Long-form ``(grp, i, j, value)`` with ``value = sum_rows x_i * z_j`` where
+    """``(grp, i, row)`` with ``row[j] = sum_rows x_i * z_j`` where
     ``z = [x | one_hot(label)]``: ``j < d`` is ``X^T X``, ``j >= d`` is ``X^T Y``.
-    Unlabelled rows and rows without a feature vector are left out (they carry
-    no target / no information). The label test is a Spark filter; the feature
+
+    Each task emits ``d`` wide rows per group (its partial sums); Spark ML's
+    ``Summarizer.sum`` adds them element-wise in the JVM with partial
+    aggregation, so the exchange carries ``tasks x d`` rows of ``d + K`` doubles,
+    independent of the number of input rows. Unlabelled rows and rows without a
+    feature vector are left out. The label test is a Spark filter; the feature
     test runs inside the task, because a filter on a computed vector would be
     pushed below its projection and evaluate the whole expression twice."""
     cols = [F.col(features).alias("_x"), F.col(label).cast("int").alias("_y")]
@@ -56,26 +60,32 @@ def gram_sums(df: DataFrame, features: str, label: str, num_classes: int,
                 g_acc = acc.get(g)
                 acc[g] = x.T @ z if g_acc is None else g_acc + x.T @ z
         for g, m in acc.items():
-            d, w = m.shape
-            ii, jj = np.meshgrid(np.arange(d), np.arange(w), indexing="ij")
-            yield pd.DataFrame({"grp": g, "i": ii.ravel().astype(np.int32),
-                                "j": jj.ravel().astype(np.int32), "value": m.ravel()})
+            yield pd.DataFrame({"grp": g, "i": np.arange(m.shape[0], dtype=np.int32),
+                                "row": list(m)})
+
+    summed = src.mapInPandas(partial, GRAM_ROW_SCHEMA) \
+        .groupBy("grp", "i").agg(Summarizer.sum(array_to_vector(F.col("row"))).alias("_s"))
+    return summed.select("grp", "i", vector_to_array(F.col("_s")).alias("row"))
 
-    return src.mapInPandas(partial, GRAM_SCHEMA) \
-        .groupBy("grp", "i", "j").agg(F.sum("value").alias("value"))
+
+def gram_sums(df: DataFrame, features: str, label: str, num_classes: int,
+              group: str | None = None) -> DataFrame:
+    """Long form ``(grp, i, j, value)`` of :func:`gram_rows`."""
+    return gram_rows(df, features, label, num_classes, group) \
+        .select("grp", "i", F.posexplode("row").alias("j", "value"))
 
 
 def solve_from_gram(rows, num_classes: int) -> dict[str, np.ndarray]:
-    """Driver-side solve on collected Gram rows -> ``{group: W (K x d)}``."""
-    by_group: dict[str, list] = {}
+    """Driver-side solve on collected :func:`gram_rows` -> ``{group: W (K x d)}``."""
+    by_group: dict[str, dict[int, list]] = {}
     for r in rows:
-        by_group.setdefault(r["grp"], []).append((r["i"], r["j"], r["value"]))
+        by_group.setdefault(r["grp"], {})[int(r["i"])] = r["row"]
     heads = {}
     for g, items in by_group.items():
-        d = max(i for i, _, _ in items) + 1
+        d = max(items) + 1
         m = np.zeros((d, d + num_classes))
-        for i, j, v in items:
-            m[i, j] = v
+        for i, row in items.items():
+            m[i] = row
         xtx, xty = m[:, :d], m[:, d:]
         heads[g] = (np.linalg.pinv(xtx, hermitian=True) @ xty).T
     return heads
@@ -85,7 +95,7 @@ def fit_lstsq(df: DataFrame, features: str, label: str, num_classes: int,
               group: str | None = None) -> dict[str, np.ndarray] | np.ndarray:
     """Minimum-norm least-squares head(s), no intercept. Returns ``W`` (K x d), or
     ``{group: W}`` when ``group`` is given."""
-    rows = gram_sums(df, features, label, num_classes, group).collect()
+    rows = gram_rows(df, features, label, num_classes, group).collect()
     heads = solve_from_gram(rows, num_classes)
     if group:
         return heads
