@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,21 +39,30 @@ def fold_affine(layers: Sequence[tuple]) -> tuple[np.ndarray, np.ndarray]:
 
 def _project_arrow(df: DataFrame, features: str, w: np.ndarray, b: np.ndarray | None,
                    out: str) -> DataFrame:
+    """One numpy matmul per Arrow batch. The list column is flattened without a
+    per-row Python step (zero-copy for the values) and the result is rebuilt as a
+    list array from offsets; NULL vectors stay NULL."""
     wt = np.ascontiguousarray(w.T)
     bias = None if b is None else np.asarray(b, dtype=float)
-    width = w.shape[1]
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def _matmul(col: pd.Series) -> pd.Series:
-        if len(col) == 0:
-            return pd.Series([], dtype=object)
-        x = np.stack([np.asarray(v, dtype=float) for v in col])
-        if x.shape[1] != width:
-            raise ValueError(f"projection expects width {width}, got {x.shape[1]}")
-        z = x @ wt
+    width, k = w.shape[1], w.shape[0]
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def _matmul(col: pa.Array) -> pa.Array:
+        import pyarrow.compute as pc
+        n = len(col)
+        valid = np.ones(n, dtype=bool) if col.null_count == 0 else \
+            np.asarray(col.is_valid().to_numpy(zero_copy_only=False), dtype=bool)
+        lens = np.asarray(pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False))
+        if (lens[valid] != width).any():
+            raise ValueError(f"projection expects width {width}, got {set(lens[valid].tolist())}")
+        x = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+        z = x.reshape(int(valid.sum()), width) @ wt
         if bias is not None:
             z += bias
-        return pd.Series(list(z))
+        offsets = np.zeros(n + 1, dtype=np.int32)
+        offsets[1:] = np.cumsum(valid.astype(np.int32) * k)
+        mask = None if valid.all() else pa.array(~valid)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(z.ravel()), mask=mask)
 
     return df.withColumn(out, _matmul(F.col(features)))
 
