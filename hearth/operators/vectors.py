@@ -105,6 +105,18 @@ def pool_first(df: DataFrame, group: str, order: str, value: str, out: str = "fi
         F.min(F.col(order)).alias(f"{out}_{order}"))
 
 
+def first_of_sequence(df: DataFrame, seq: str, out: str = "first") -> DataFrame:
+    """Array form of first-element pooling: ``h[:, 0, :]`` on an
+    ``ARRAY<ARRAY<..>>`` column (one sequence per row); an empty sequence gives NULL."""
+    return df.withColumn(out, F.try_element_at(F.col(seq), F.lit(1)))
+
+
+def flatten_rows(df: DataFrame, nested: str, out: str, pos: str = "pos") -> DataFrame:
+    """``view(-1, K)``: one row per inner array of a nested column, with its index."""
+    return df.select(*[c for c in df.columns if c != nested],
+                     F.posexplode(F.col(nested)).alias(pos, out))
+
+
 def vec_sum(df: DataFrame, cols: Sequence[str], out: str = "vec_sum") -> DataFrame:
     return df.withColumn(out, vec_sum_col(*cols))
 

@@ -49,12 +49,13 @@ def start_metrics(scored: DataFrame, metrics_path: str, pred: str = "pred",
                   label: str = "label", name: str = "metrics",
                   checkpoint_location: str | None = None,
                   available_now: bool = True) -> StreamingQuery:
-    """One metrics row per micro-batch, appended to ``metrics_path``."""
+    """One metrics row per micro-batch under ``metrics_path/batch_id=<n>``. Each
+    batch overwrites its own folder, so a retried micro-batch is idempotent."""
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         m = evaluate(batch, pred, label, nll="nll" if "nll" in batch.columns else None)
         m.withColumn("batch_id", F.lit(batch_id).cast("long")) \
-            .write.mode("append").parquet(os.path.join(metrics_path, f"batch_id={batch_id}"))
+            .write.mode("overwrite").parquet(os.path.join(metrics_path, f"batch_id={batch_id}"))
 
     w = scored.writeStream.foreachBatch(write_batch).option(
         "checkpointLocation", _ckpt(scored.sparkSession, name, checkpoint_location))

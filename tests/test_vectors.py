@@ -50,3 +50,12 @@ def test_shape_profile_counts_nulls(spark):
 def test_fold_affine_width_check():
     with pytest.raises(ValueError):
         V.fold_affine([(np.ones((3, 4)), None), (np.ones((2, 5)), None)])
+
+
+def test_first_of_sequence_and_flatten(spark):
+    d = spark.createDataFrame([(1, [[1.0, 2.0], [3.0, 4.0]]), (2, [])],
+                              "id long, h array<array<double>>")
+    got = {r.id: r.first for r in V.first_of_sequence(d, "h").collect()}
+    assert got == {1: [1.0, 2.0], 2: None}
+    flat = V.flatten_rows(d, "h", "vec").collect()
+    assert [(r.id, r.pos, r.vec) for r in flat] == [(1, 0, [1.0, 2.0]), (1, 1, [3.0, 4.0])]
