@@ -116,7 +116,8 @@ def vec_sum(*cols) -> Column:
     total = reduce(vec_add, cs)
     if len(cs) < 2:
         return total
-    return F.when(same_width(*cs), total).otherwise(
+    any_null = reduce(lambda a, b: a | b, [c.isNull() for c in cs])
+    return F.when(any_null, F.lit(None)).when(same_width(*cs), total).otherwise(
         F.raise_error(F.lit("vec_sum: arrays differ in width")))
 
 

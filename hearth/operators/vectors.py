@@ -75,7 +75,7 @@ def project(df: DataFrame, features: str, weights, bias=None, out: str = "projec
     b = None if bias is None else np.asarray(bias, dtype=float)
     if w.size <= JVM_PROJECTION_MAX_WEIGHTS:
         x = F.col(features)
-        checked = F.when(F.size(x) == w.shape[1], x).otherwise(F.raise_error(
+        checked = F.when(x.isNull() | (F.size(x) == w.shape[1]), x).otherwise(F.raise_error(
             F.concat(F.lit(f"projection expects width {w.shape[1]}, got "),
                      F.size(x).cast("string"))))
         return df.withColumn(out, matvec(checked, w.tolist(),
@@ -128,7 +128,7 @@ def vec_concat(df: DataFrame, cols: Sequence[str], out: str = "vec_concat",
     for i, c in enumerate(cols):
         col = F.col(c)
         if widths is not None:
-            col = F.when(F.size(col) == widths[i], col).otherwise(
+            col = F.when(col.isNull() | (F.size(col) == widths[i]), col).otherwise(
                 F.raise_error(F.lit(f"vec_concat: {c} is not {widths[i]} wide")))
         parts.append(col.cast(T.ArrayType(T.DoubleType())))
     return df.withColumn(out, F.concat(*parts))

@@ -59,3 +59,14 @@ def test_first_of_sequence_and_flatten(spark):
     assert got == {1: [1.0, 2.0], 2: None}
     flat = V.flatten_rows(d, "h", "vec").collect()
     assert [(r.id, r.pos, r.vec) for r in flat] == [(1, 0, [1.0, 2.0]), (1, 1, [3.0, 4.0])]
+
+
+def test_null_vectors_give_null(spark):
+    d = spark.createDataFrame([(1, [1.0, 2.0], None), (2, [1.0, 1.0], [2.0, 2.0])],
+                              "id long, a array<double>, b array<double>")
+    s = {r.id: r.s for r in V.vec_sum(d, ["a", "b"], "s").collect()}
+    assert s == {1: None, 2: [3.0, 3.0]}
+    c = {r.id: r.c for r in V.vec_concat(d, ["a", "b"], "c", widths=[2, 2]).collect()}
+    assert c[1] is None and c[2] == [1.0, 1.0, 2.0, 2.0]
+    p = {r.id: r.y for r in V.project(d, "b", [[1.0, 1.0]], out="y").collect()}
+    assert p == {1: None, 2: [4.0]}
