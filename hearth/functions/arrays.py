@@ -47,10 +47,11 @@ def matvec(x, weights, bias=None) -> Column:
     out = F.transform(wcol, lambda row: F.aggregate(
         F.zip_with(x, row, lambda a, b: a.cast("double") * b.cast("double")),
         F.lit(0.0), lambda acc, v: acc + v))
-    if bias is None:
-        return out
-    bcol = array_literal(bias) if isinstance(bias, (list, tuple)) else _c(bias)
-    return F.zip_with(out, bcol, lambda a, b: a + b)
+    if bias is not None:
+        bcol = array_literal(bias) if isinstance(bias, (list, tuple)) else _c(bias)
+        out = F.zip_with(out, bcol, lambda a, b: a + b)
+    # a NULL vector gives NULL (not an array of NULLs)
+    return F.when(x.isNotNull(), out)
 
 
 def argmax(logits) -> Column:
