@@ -14,8 +14,10 @@ def _labelled(label: str) -> Column:
 def compute_metrics(pred: str = "pred", label: str = "label",
                     nll: str | None = "nll") -> dict[str, Column]:
     """Metric callback: name -> aggregate Column. Unlabelled rows are left out of
-    every metric and counted separately."""
-    hit = F.when(_labelled(label), (F.col(pred) == F.col(label)).cast("double"))
+    every metric and counted separately; a labelled row without a prediction
+    (e.g. a NULL feature vector) counts as wrong."""
+    hit = F.when(_labelled(label),
+                 F.coalesce(F.col(pred) == F.col(label), F.lit(False)).cast("double"))
     metrics = {
         "accuracy": F.avg(hit),
         "n_correct": F.coalesce(F.sum(hit), F.lit(0.0)).cast("long"),

@@ -122,3 +122,9 @@ def test_compare_results(spark):
     s = summary.collect()[0]
     assert (s.n_rows, s.n_agree) == (3, 2)
     assert confusion.count() == 3
+
+
+def test_missing_prediction_counts_as_wrong(spark):
+    df = spark.createDataFrame([(1, 1, 1), (2, None, 0)], "id long, pred int, label int")
+    m = A.evaluate(df, nll=None).collect()[0]
+    assert (m.n_labelled, m.n_correct) == (2, 1) and m.accuracy == pytest.approx(0.5)
