@@ -55,7 +55,9 @@ class PositionIndex:
     a third of the table) gets a bucket of its own, its rows are ordered by a
     content hash (``xxhash64`` of the row), and the bucket is cut into
     ``hot[bucket]`` contiguous hash ranges, so no window task holds it whole.
-    ``counts[(bucket, sub)]`` is the row count of each piece.
+    ``counts[(bucket, sub)]`` is the row count of each piece. Rows are ordered
+    by ``(key, xxhash64(row))`` everywhere, so repeated keys have one
+    deterministic order and positional splits stay exact.
     """
 
     key: str
@@ -110,20 +112,25 @@ class PositionIndex:
                 hot[splits.index(v)] = r + 1  # about r + 1 buckets' worth of rows
         tie_cols = [c for c in df.columns]
         idx = cls(key, splits, hot, {}, tie_cols)
-        counted = idx._bucketed(df.select(*tie_cols)).groupBy(_BUCKET, _SUB).count().collect()
+        counted = idx._bucketed(df.select(*tie_cols), with_tie=False) \
+            .groupBy(_BUCKET, _SUB).count().collect()
         idx.counts = {(int(r[0]), int(r[1])): int(r[2]) for r in counted}
         return idx
 
-    def _bucketed(self, df: DataFrame) -> DataFrame:
-        """Adds bucket, sub-bucket and tie-break columns."""
+    def _bucketed(self, df: DataFrame, with_tie: bool = True) -> DataFrame:
+        """Adds bucket, sub-bucket and tie-break columns. The total order is
+        ``(key, xxhash64(row))``: deterministic, and it lets repeated keys be cut
+        exactly. The count job needs the hash only inside hot buckets."""
         d = _with_bucket(df, self.key, self.splits)
+        tie_all = F.xxhash64(*[F.col(c) for c in self.tie_cols])
         if not self.hot:
-            return d.withColumn(_SUB, F.lit(0)).withColumn(_TIE, F.lit(0).cast("long"))
+            return d.withColumn(_SUB, F.lit(0)).withColumn(
+                _TIE, tie_all if with_tie else F.lit(0).cast("long"))
         nsub = F.element_at(F.array(*[F.lit(self.hot.get(b, 1))
                                       for b in range(-1, len(self.splits))]),
                             F.col(_BUCKET) + 2)
         is_hot = nsub > 1
-        tie = F.when(is_hot, F.xxhash64(*[F.col(c) for c in self.tie_cols])).otherwise(F.lit(0))
+        tie = tie_all if with_tie else F.when(is_hot, tie_all).otherwise(F.lit(0))
         d = d.withColumn(_TIE, tie.cast("long"))
         # Contiguous, monotone ranges of the 64-bit hash.
         frac = (F.col(_TIE).cast("double") / F.lit(_TWO63) + 1.0) / 2.0
@@ -186,8 +193,7 @@ class PositionIndex:
         return out if pos_col else out.drop(p)
 
     def boundary(self, df: DataFrame, position: int):
-        """``(key, tie)`` of the row at ``position``, or ``None`` past the end;
-        ``tie`` is ``None`` unless the key is hot (its rows are then ordered by it)."""
+        """``(key, tie)`` of the row at ``position``, or ``None`` past the end."""
         rng = self.buckets_for(position, position + 1)
         if rng is None:
             return None
@@ -196,9 +202,8 @@ class PositionIndex:
         w = Window.partitionBy(_BUCKET, _SUB).orderBy(F.col(self.key).asc_nulls_first(),
                                                       F.col(_TIE))
         d = d.withColumn("_p", self._offset_col() + F.row_number().over(w) - 1)
-        r = d.filter(F.col("_p") == position).select(self.key, _TIE, _SUB).collect()[0]
-        hot_row = self.hot.get(rng[0], 1) > 1 or self.hot.get(rng[1], 1) > 1
-        return r[0], (r[1] if hot_row else None)
+        r = d.filter(F.col("_p") == position).select(self.key, _TIE).collect()[0]
+        return r[0], r[1]
 
     def tie_col(self) -> Column:
         return F.xxhash64(*[F.col(c) for c in self.tie_cols])
@@ -226,7 +231,8 @@ def slice_range(df: DataFrame, key: str, start: int, stop: int,
     if stop <= start:
         return df.limit(0)
     if index is None and stop <= top_k_max_rows:
-        out = df.orderBy(F.col(key).asc_nulls_first())
+        # same total order as the index route: key, then the row's content hash
+        out = df.orderBy(F.col(key).asc_nulls_first(), F.xxhash64(*[F.col(c) for c in df.columns]))
         if start:
             out = out.offset(start)
         return out.limit(stop - start)
@@ -284,22 +290,40 @@ def key_at(df: DataFrame, key: str, position: int, index: PositionIndex | None =
 
 
 def split_predicates(df: DataFrame, key: str, fraction: float,
-                     index: PositionIndex | None = None) -> tuple[Column, Column]:
+                     index: PositionIndex | None = None,
+                     top_k_max_rows: int = TOP_K_MAX_ROWS) -> tuple[Column, Column]:
     """``(first, rest)`` predicates for the first ``floor(fraction * n)`` rows by
     ``key`` and the remainder. Positions are monotone in the key, so each side is
     a comparison with the key at the boundary position: a filter that reaches the
-    Parquet scan, with no shuffle of the table. When the boundary falls inside a
-    hot key, rows of that key are divided by their content hash (the same order
-    the index uses), so the split stays exact."""
-    index = index or PositionIndex.build(df, key)
+    Parquet scan, with no shuffle of the table. Rows sharing the boundary key are
+    divided by their content hash, so the split stays exact with repeated (hot)
+    keys. A boundary within ``top_k_max_rows`` is found with a count and a
+    bounded top-k; a deeper one through the :class:`PositionIndex`."""
+    tie = F.xxhash64(*[F.col(c) for c in df.columns])
+    if index is None:
+        n = df.count()
+        p = int(math.floor(fraction * n))
+        if p >= n:
+            return F.lit(True), F.lit(False)
+        if p < top_k_max_rows:
+            r = df.select(F.col(key).alias("_k"), tie.alias("_t")) \
+                .orderBy(F.col("_k").asc_nulls_first(), "_t").offset(p).limit(1).collect()[0]
+            bk, btie = r[0], r[1]
+            return _split_on(key, bk, btie, tie)
+        index = PositionIndex.build(df, key)
     b = index.boundary(df, int(math.floor(fraction * index.total)))
     if b is None:
         return F.lit(True), F.lit(False)
-    bk, btie = b
+    return _split_on(key, b[0], b[1], tie)
+
+
+def _split_on(key: str, bk, btie, tie: Column) -> tuple[Column, Column]:
     k = F.col(key)
+    if bk is None:          # boundary among NULL keys (they sort first)
+        first = k.isNull() & (tie < F.lit(btie))
+        return first, ~first
     if btie is None:
         return k.isNull() | (k < F.lit(bk)), k >= F.lit(bk)
-    tie = index.tie_col()
     first = k.isNull() | (k < F.lit(bk)) | ((k == F.lit(bk)) & (tie < F.lit(btie)))
     rest = (k > F.lit(bk)) | ((k == F.lit(bk)) & (tie >= F.lit(btie)))
     return first, rest

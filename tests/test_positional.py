@@ -106,3 +106,33 @@ def test_deep_slice_through_hot_key(spark):
     got = P.slice_range(df, "k", 350, 450, top_k_max_rows=0).collect()
     assert len(got) == 100
     assert sum(1 for r in got if r.k == 5) == 50
+
+
+@pytest.mark.parametrize("fraction", [0.0, 0.3, 0.75, 1.0])
+def test_split_routes_agree(spark, fraction):
+    df = hot_table(spark)
+    a_first, _ = P.split_predicates(df, "k", fraction)                     # top-k route
+    idx = P.PositionIndex.build(df, "k", num_buckets=20)
+    b_first, b_rest = P.split_predicates(df, "k", fraction, index=idx)     # index route
+    n = int(fraction * 1000)
+    assert df.filter(a_first).count() == n == df.filter(b_first).count()
+    assert df.filter(b_rest).count() == 1000 - n
+
+
+def test_split_exact_with_moderate_duplicates(spark):
+    # every key appears 3 times: fewer copies than a bucket holds, so not "hot"
+    df = spark.range(600).select((F.col("id") % 200).alias("k"), F.col("id").alias("v"))
+    idx = P.PositionIndex.build(df, "k", num_buckets=8)
+    for frac in (0.1, 0.5, 0.91):
+        first, rest = P.split_predicates(df, "k", frac, index=idx)
+        assert df.filter(first).count() == int(frac * 600)
+        assert df.filter(rest).count() == 600 - int(frac * 600)
+    pos = {r.v: r.pos for r in idx.with_position(df).collect()}
+    assert sorted(pos.values()) == list(range(600))
+
+
+def test_slice_routes_agree_on_repeated_keys(spark):
+    df = spark.range(300).select((F.col("id") % 50).alias("k"), F.col("id").alias("v"))
+    a = sorted(r.v for r in P.slice_range(df, "k", 40, 130).collect())
+    b = sorted(r.v for r in P.slice_range(df, "k", 40, 130, top_k_max_rows=0).collect())
+    assert a == b and len(a) == 90
