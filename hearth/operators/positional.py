@@ -1,7 +1,9 @@
-"""Positional operators over an explicit, unique order key.
+"""Positional operators over an explicit order key.
 
 Spark rows have no position, so every operator here takes the order key that
-defines it. Two physical routes give identical results:
+defines it. The total order is ``(key, xxhash64(row))``: the key, then a content
+hash that orders repeated keys deterministically (identical rows are
+interchangeable). Two physical routes give identical results:
 
 * shallow slices (ending within ``TOP_K_MAX_ROWS``) use ``orderBy().offset().limit()``,
   planned as a bounded per-task top-k and one small merge;
@@ -12,8 +14,10 @@ defines it. Two physical routes give identical results:
   size is the bucket count, not the data. A slice touches only the buckets that
   overlap it; for numeric keys their key range is also pushed into the scan.
 
-The position route is deterministic (no ``monotonically_increasing_id``), so a
-lost executor recomputes exactly the same rows from lineage.
+A key holding a large share of the rows (e.g. a third) is isolated in its own
+bucket and cut into hash ranges, so no window task holds it whole. The position
+route is deterministic (no ``monotonically_increasing_id``), so a lost executor
+recomputes exactly the same rows from lineage.
 """
 
 from __future__ import annotations

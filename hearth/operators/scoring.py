@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearth.functions.arrays import argmax, has_nan, matvec, max_prob, softmax
+from hearth.functions.arrays import argmax, has_nan, max_prob, softmax
 from hearth.operators.vectors import fold_affine, project
 
 

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearth.functions.arrays import argmax, matvec
+from hearth.functions.arrays import argmax
 from hearth.operators import columns as P
 from hearth.operators import encode as Tx
 from hearth.operators import fitting as M
