@@ -5,8 +5,9 @@ defines it. The total order is ``(key, xxhash64(row))``: the key, then a content
 hash that orders repeated keys deterministically (identical rows are
 interchangeable). Two physical routes give identical results:
 
-* shallow slices (ending within ``TOP_K_MAX_ROWS``) use ``orderBy().offset().limit()``,
-  planned as a bounded per-task top-k and one small merge;
+* shallow slices use ``orderBy().offset().limit()``, planned as a per-task top-k
+  and one merge of ``stop x input partitions`` rows, only while that product is
+  within ``TOP_K_MAX_MERGE_ROWS``;
 * deep slices and per-row positions use a :class:`PositionIndex`: quantile split
   points of the key define monotone buckets, one aggregation counts rows per
   bucket, and ``row_number`` runs *per bucket* (a hash exchange on the bucket id,
@@ -30,8 +31,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Slices that end within this many rows are served by a bounded top-k.
-TOP_K_MAX_ROWS = 100_000
+# The top-k route merges (slice end) x (input partitions) rows in one task; it is
+# used only while that product stays within this many rows, else the index route.
+TOP_K_MAX_MERGE_ROWS = 200_000
+# Kept for callers that pass it explicitly: 0 forces the index route.
+TOP_K_MAX_ROWS = TOP_K_MAX_MERGE_ROWS
+# Index sizing: rows per bucket (one window task each), bucket cap (the offsets
+# literal), and sampled keys per bucket for the boundary sketch.
+ROWS_PER_BUCKET = 2_000_000
+MAX_BUCKETS = 16_384
+SAMPLES_PER_BUCKET = 200
 
 _BUCKET = "_hearth_bucket"
 _SUB = "_hearth_sub"
@@ -44,9 +53,15 @@ def _numeric(df: DataFrame, key: str) -> bool:
     return isinstance(df.schema[key].dataType, T.NumericType)
 
 
-def _default_buckets(df: DataFrame) -> int:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(16, 2 * parts)
+def _input_partitions(df: DataFrame) -> int:
+    try:
+        return df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. Spark Connect): assume a large input
+        return 1_000_000
+
+
+def _top_k_ok(df: DataFrame, stop: int, top_k_max_rows: int) -> bool:
+    return stop * _input_partitions(df) <= top_k_max_rows
 
 
 @dataclass
@@ -91,16 +106,25 @@ class PositionIndex:
 
     @classmethod
     def build(cls, df: DataFrame, key: str, num_buckets: int | None = None,
-              accuracy: int | None = None) -> "PositionIndex":
-        """Two small jobs: (1) a quantile sketch of the key and the row count in
-        one aggregation (``num_buckets - 1`` values come back), (2) a partially
-        aggregated count per (bucket, sub-bucket)."""
-        nb = num_buckets or _default_buckets(df)
+              accuracy: int | None = None, seed: int = 17) -> "PositionIndex":
+        """Three narrow jobs over the key column: (1) the row count, (2) a
+        quantile sketch of a seeded sample of the key (about
+        ``SAMPLES_PER_BUCKET`` keys per bucket, so the sketch merge stays small
+        at any partition count; ``num_buckets - 1`` values come back), (3) a
+        partially aggregated count per (bucket, sub-bucket). Boundaries only
+        balance the buckets; positions come from the exact counts."""
+        n = df.count()
+        nb = num_buckets or min(MAX_BUCKETS, max(16, -(-n // ROWS_PER_BUCKET)))
         acc = accuracy or max(10_000, 8 * nb)
         kd = F.col(key).cast("double")
         probs = [i / nb for i in range(1, nb)]
-        row = df.agg(F.percentile_approx(F.when(~F.isnan(kd), kd), probs, acc).alias("q"),
-                     F.count(F.lit(1)).alias("n")).collect()[0]
+        frac = min(1.0, SAMPLES_PER_BUCKET * nb / max(1, n))
+        keys = df.select(kd.alias(_KEYD))
+        if frac < 1.0:
+            keys = keys.sample(withReplacement=False, fraction=frac, seed=seed)
+        kcol = F.col(_KEYD)
+        row = keys.agg(F.percentile_approx(F.when(~F.isnan(kcol), kcol), probs, acc)
+                       .alias("q")).collect()[0]
         qs = [q for q in (row["q"] or []) if q is not None and math.isfinite(q)]
         reps: dict[float, int] = {}
         for q in qs:
@@ -234,7 +258,7 @@ def slice_range(df: DataFrame, key: str, start: int, stop: int,
     start, stop = max(0, int(start)), int(stop)
     if stop <= start:
         return df.limit(0)
-    if index is None and stop <= top_k_max_rows:
+    if index is None and _top_k_ok(df, stop, top_k_max_rows):
         # same total order as the index route: key, then the row's content hash
         out = df.orderBy(F.col(key).asc_nulls_first(), F.xxhash64(*[F.col(c) for c in df.columns]))
         if start:
@@ -295,21 +319,22 @@ def key_at(df: DataFrame, key: str, position: int, index: PositionIndex | None =
 
 def split_predicates(df: DataFrame, key: str, fraction: float,
                      index: PositionIndex | None = None,
-                     top_k_max_rows: int = TOP_K_MAX_ROWS) -> tuple[Column, Column]:
+                     top_k_max_rows: int = TOP_K_MAX_MERGE_ROWS) -> tuple[Column, Column]:
     """``(first, rest)`` predicates for the first ``floor(fraction * n)`` rows by
     ``key`` and the remainder. Positions are monotone in the key, so each side is
     a comparison with the key at the boundary position: a filter that reaches the
     Parquet scan, with no shuffle of the table. Rows sharing the boundary key are
     divided by their content hash, so the split stays exact with repeated (hot)
-    keys. A boundary within ``top_k_max_rows`` is found with a count and a
-    bounded top-k; a deeper one through the :class:`PositionIndex`."""
+    keys. A shallow boundary (``position x input partitions`` within
+    ``top_k_max_rows``) is found with a count and a bounded top-k; any other
+    through the :class:`PositionIndex`."""
     tie = F.xxhash64(*[F.col(c) for c in df.columns])
     if index is None:
         n = df.count()
         p = int(math.floor(fraction * n))
         if p >= n:
             return F.lit(True), F.lit(False)
-        if p < top_k_max_rows:
+        if _top_k_ok(df, p + 1, top_k_max_rows):
             r = df.select(F.col(key).alias("_k"), tie.alias("_t")) \
                 .orderBy(F.col("_k").asc_nulls_first(), "_t").offset(p).limit(1).collect()[0]
             bk, btie = r[0], r[1]
