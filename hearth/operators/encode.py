@@ -109,7 +109,7 @@ def encode(df: DataFrame, key: str, text: str, vocab: DataFrame,
     item = F.when(F.col("_pos").isNotNull(),
                   F.struct(F.col("_pos"), F.coalesce(F.col("_id"), F.lit(UNK_ID)).alias("_id")))
     g = j.groupBy("_rid", key, *keep, "n_tokens") \
-        .agg(F.array_sort(F.collect_list(item)).alias("_items"))
+        .agg(F.sort_array(F.collect_list(item)).alias("_items"))
     ids = F.col("_items._id")   # field of an array of structs: no lambda
     return g.select(key, *keep, "n_tokens", ids.alias("_ids")) \
         .withColumn("_n", F.size("_ids")) \

@@ -104,14 +104,20 @@ def fit_lstsq(df: DataFrame, features: str, label: str, num_classes: int,
     return heads["all"]
 
 
+def _lr_input(df: DataFrame, features: str, label: str) -> DataFrame:
+    return df.select(array_to_vector(F.col(features)).alias("features"),
+                     F.col(label).cast("double").alias("label")).filter(F.col("label").isNotNull())
+
+
+def _lr(max_iter: int, reg: float) -> LogisticRegression:
+    return LogisticRegression(featuresCol="features", labelCol="label", family="multinomial",
+                              maxIter=max_iter, regParam=reg, standardization=False)
+
+
 def fit_softmax_head(df: DataFrame, features: str, label: str, max_iter: int = 100,
                      reg: float = 0.0):
     """Multinomial logistic-regression head on frozen features (Spark ML)."""
-    train = df.select(array_to_vector(F.col(features)).alias("features"),
-                      F.col(label).cast("double").alias("label")).filter(F.col("label").isNotNull())
-    lr = LogisticRegression(featuresCol="features", labelCol="label", family="multinomial",
-                            maxIter=max_iter, regParam=reg, standardization=False)
-    return lr.fit(train)
+    return _lr(max_iter, reg).fit(_lr_input(df, features, label))
 
 
 def softmax_head_weights(model) -> tuple[np.ndarray, np.ndarray]:
@@ -120,8 +126,14 @@ def softmax_head_weights(model) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_rounds(df: DataFrame, features: str, label: str, evaluate_on: DataFrame,
-               max_iters: Sequence[int]) -> list[tuple[int, object]]:
+               max_iters: Sequence[int], reg: float = 0.0) -> list[tuple[int, object]]:
     """Repeated fit rounds with a growing iteration budget; returns the fitted
-    model per round (the caller scores ``evaluate_on`` with each)."""
-    return [(r, fit_softmax_head(df, features, label, max_iter=it))
-            for r, it in enumerate(max_iters)]
+    model per round (the caller scores ``evaluate_on`` with each, in one pass).
+    The vectorised training set is persisted once for all rounds (each fit is
+    iterative and would otherwise re-read and re-cache it) and released after."""
+    from pyspark import StorageLevel
+    train = _lr_input(df, features, label).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return [(r, _lr(it, reg).fit(train)) for r, it in enumerate(max_iters)]
+    finally:
+        train.unpersist()
