@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearth.functions.arrays import argmax, has_nan, max_prob, softmax
+from hearth.functions.arrays import argmax, has_nan
 from hearth.operators.vectors import fold_affine, project
 
 
@@ -80,20 +80,23 @@ def score(df: DataFrame, logits: str = "logits", label: str | None = None,
     l = F.col(logits)
     if strict:
         l = F.when(~has_nan(l), l).otherwise(F.raise_error(F.lit("NaN in logits")))
+    # Row max and sum(exp(l - max)) are computed once, as columns: two lambdas
+    # with the same body are not merged by subexpression elimination.
     out = df.withColumn("_m", F.array_max(l))
     m = F.col("_m")
-    out = out.withColumn("pred", argmax(logits)).withColumn("score", max_prob(logits, m))
+    out = out.withColumn("_se", F.aggregate(F.col(logits), F.lit(0.0),
+                                            lambda acc, v: acc + F.exp(v - m)))
+    se = F.col("_se")
+    out = out.withColumn("pred", argmax(logits)).withColumn("score", F.lit(1.0) / se)
     if probabilities:
-        out = out.withColumn("probs", softmax(logits, m))
+        out = out.withColumn("probs", F.transform(F.col(logits), lambda v: F.exp(v - m) / se))
     if class_names is not None:
         out = out.withColumn("pred_name", class_name_col(F.col("pred"), class_names, strict))
     if label is not None:
         # log-sum-exp shifted by the row max, minus the logit of the true class.
-        lse = m + F.log(F.aggregate(F.col(logits), F.lit(0.0),
-                                    lambda acc, v: acc + F.exp(v - m)))
-        out = out.withColumn("nll", lse - F.element_at(F.col(logits),
-                                                       F.col(label).cast("int") + 1))
-    return out.drop("_m")
+        out = out.withColumn("nll", m + F.log(se) - F.element_at(
+            F.col(logits), F.col(label).cast("int") + 1))
+    return out.drop("_m", "_se")
 
 
 def classify_struct(df: DataFrame, logits: str, class_names, out: str = "result") -> DataFrame:
