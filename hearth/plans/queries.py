@@ -324,6 +324,19 @@ def q_attention_mask(spark, sf_dir):
                     _ints_str(F.col("attention_mask")).alias("attention_mask"))
 
 
+@query("encoded_reuse")
+def q_encoded_reuse(spark, sf_dir):
+    """Encode once, write the encoded table under the checkpoint folder, and run
+    later work on the written table (lineage cut, no re-tokenising)."""
+    import uuid
+
+    from hearth.sources.sinks import materialise
+    enc = materialise(_encoded(spark, sf_dir), f"encoded-{uuid.uuid4().hex}")
+    return enc.select("doc_id", "n_tokens",
+                      F.aggregate("attention_mask", F.lit(0), lambda a, v: a + v).alias("mask_sum"),
+                      F.size("input_ids").alias("length"))
+
+
 @query("truncation_report")
 def q_truncation_report(spark, sf_dir):
     return Tx.truncation_report(load_text(spark, sf_dir), "doc_id", "text", MAX_LEN)
