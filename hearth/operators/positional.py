@@ -133,6 +133,8 @@ class PositionIndex:
         for v, r in reps.items():
             if r >= 2:                       # v alone fills >= 1 bucket: isolate it
                 bounds.add(math.nextafter(v, math.inf))
+        if not bounds:              # empty / all-NaN key: Bucketizer needs 3 splits
+            bounds = {0.0}
         splits = [-math.inf] + sorted(bounds) + [math.inf]
         hot = {}
         for v, r in reps.items():
