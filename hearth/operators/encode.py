@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,27 +85,99 @@ def truncation_report(df: DataFrame, key: str, text: str,
 
 def encode(df: DataFrame, key: str, text: str, vocab: DataFrame,
            max_len: int = DEFAULT_MAX_LEN, keep: Sequence[str] = (),
-           vocab_size_bytes: int | None = None) -> DataFrame:
+           vocab_size_bytes: int | None = None, route: str = "auto") -> DataFrame:
     """``key, *keep, n_tokens, input_ids ARRAY<INT>[max_len], attention_mask
     ARRAY<INT>[max_len]``. Rows with no token keep a row: begin + end + padding.
 
     ``vocab_size_bytes`` is the measured size of ``vocab`` (see
-    :func:`prepare_vocab`); the lookup join is broadcast only when it is at most
-    ``BROADCAST_VOCAB_MAX_BYTES``. The regroup is keyed by a per-row id, so
-    every group holds at most ``max_len - 2`` tokens even if ``key`` repeats.
+    :func:`prepare_vocab`). Within ``BROADCAST_VOCAB_MAX_BYTES`` the lookup is
+    map-only (``route='lookup'``): the vocabulary is broadcast and each Arrow
+    batch of token lists is mapped with a vectorised hash lookup, with no explode,
+    shuffle or regroup. A larger (or unmeasured) vocabulary uses the join route
+    (``route='join'``). Both give identical ids.
     """
     _check_len(max_len)
-    keep = list(keep)
-    toks = tokenize(text)
+    small = vocab_size_bytes is not None and vocab_size_bytes <= BROADCAST_VOCAB_MAX_BYTES
+    if route == "lookup" or (route == "auto" and small):
+        return _encode_lookup(df, key, text, vocab, max_len, list(keep))
+    return _encode_join(df, key, text, vocab, max_len, list(keep), small)
+
+
+def _encode_lookup(df: DataFrame, key: str, text: str, vocab: DataFrame, max_len: int,
+                   keep: list[str]) -> DataFrame:
+    # The vocabulary is a parameter of measured size: its tokens, ordered by id,
+    # are broadcast once per executor.
+    pairs = [(r[0], int(r[1])) for r in vocab.orderBy("id").select("token", "id").collect()]
+    tokens = [t for t, _ in pairs]
+    first_id = pairs[0][1] if pairs else FIRST_WORD_ID
+    if any(i != first_id + k for k, (_, i) in enumerate(pairs)) or len(set(tokens)) != len(tokens):
+        # ids not consecutive in token order, or repeated tokens: join route
+        return _encode_join(df, key, text, vocab, max_len, keep, True)
+    try:
+        shipped = df.sparkSession.sparkContext.broadcast(tokens)
+        get_tokens = lambda: shipped.value
+    except Exception:  # no SparkContext (e.g. Spark Connect): ship with the UDF
+        get_tokens = lambda: tokens
+    ids_udf = _ids_udf(get_tokens, int(first_id), max_len)
+    base = _tokens_once(df, key, text, keep, max_len)
+    n = F.size("_kept")
+    pad = F.lit(max_len - 2) - n
+    mask = F.concat(F.array_repeat(F.lit(1), n + 2), F.array_repeat(F.lit(0), pad))
+    return base.select(key, *keep, "n_tokens", ids_udf(F.col("_kept")).alias("input_ids"),
+                       mask.alias("attention_mask"))
+
+
+def _tokens_once(df: DataFrame, key: str, text: str, keep: list[str],
+                 max_len: int) -> DataFrame:
+    """``key, *keep, n_tokens, _kept``: the text is tokenised once, in its own
+    projection. ``n_tokens`` and ``_kept`` both read that column; the optimizer
+    keeps it (it is referenced twice and is not cheap), so neither the Python
+    evaluation node nor the explode re-tokenises."""
+    t = df.select(key, *keep, tokenize(text).alias("_toks"))
+    return t.select(key, *keep, F.size("_toks").alias("n_tokens"),
+                    F.slice("_toks", 1, max_len - 2).alias("_kept"))
+
+
+def _ids_udf(get_tokens, first_id: int, max_len: int):
+    cache: dict = {}
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def _ids(col: pa.Array) -> pa.Array:
+        import pyarrow.compute as pc
+        if "vocab" not in cache:
+            cache["vocab"] = pa.array(get_tokens(), type=pa.string())
+        n = len(col)
+        lens = np.asarray(pc.fill_null(pc.list_value_length(col), 0)
+                          .to_numpy(zero_copy_only=False), dtype=np.int64)
+        flat = col.flatten()
+        found = pc.index_in(flat.cast(pa.string()), value_set=cache["vocab"])
+        ids = np.asarray(pc.fill_null(pc.add(found, first_id), UNK_ID)
+                         .to_numpy(zero_copy_only=False), dtype=np.int32)
+        out = np.full((n, max_len), PAD_ID, dtype=np.int32)
+        out[:, 0] = BEGIN_ID
+        rows = np.repeat(np.arange(n), lens)
+        starts = np.repeat(np.cumsum(lens) - lens, lens)
+        out[rows, np.arange(len(ids)) - starts + 1] = ids
+        out[np.arange(n), lens + 1] = END_ID
+        offsets = pa.array(np.arange(0, (n + 1) * max_len, max_len, dtype=np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
+
+    return _ids
+
+
+def _encode_join(df: DataFrame, key: str, text: str, vocab: DataFrame, max_len: int,
+                 keep: list[str], broadcast_vocab: bool) -> DataFrame:
+    """Explode -> hash join on the vocabulary -> regroup per row. The regroup is
+    keyed by a per-row id, so every group holds at most ``max_len - 2`` tokens
+    even if ``key`` repeats; partial aggregation completes it map-side."""
     # Row identity for the regroup: partition index + offset of the row in its
     # input split, stable when a lost task re-reads the same split.
-    base = df.select(key, *keep, F.monotonically_increasing_id().alias("_rid"),
-                     F.size(toks).alias("n_tokens"),
-                     F.slice(toks, 1, max_len - 2).alias("_kept"))
+    base = _tokens_once(df.withColumn("_rid", F.monotonically_increasing_id()), key, text,
+                        keep + ["_rid"], max_len)
     ex = base.select(key, *keep, "_rid", "n_tokens",
                      F.posexplode_outer("_kept").alias("_pos", "_tok"))
     v = vocab.select(F.col("token").alias("_tok"), F.col("id").alias("_id"))
-    if vocab_size_bytes is not None and vocab_size_bytes <= BROADCAST_VOCAB_MAX_BYTES:
+    if broadcast_vocab:
         v = F.broadcast(v)
     j = ex.join(v, "_tok", "left")
     item = F.when(F.col("_pos").isNotNull(),

@@ -9,10 +9,16 @@ def docs(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
 
-def test_empty_and_blank_text_encode_to_specials(spark):
+@pytest.fixture(params=["lookup", "join"])
+def route(request):
+    return request.param
+
+
+def test_empty_and_blank_text_encode_to_specials(spark, route):
     d = docs(spark, ["", "   ", "a b"])
     vocab = E.build_vocab(d, "text", 10)
-    enc = {r.doc_id: r for r in E.encode(d, "doc_id", "text", vocab, max_len=6).collect()}
+    enc = {r.doc_id: r for r in E.encode(d, "doc_id", "text", vocab, max_len=6,
+                                         route=route).collect()}
     assert enc[0].input_ids == [E.BEGIN_ID, E.END_ID, 0, 0, 0, 0]
     assert enc[1].attention_mask == [1, 1, 0, 0, 0, 0]
     assert {r.doc_id for r in E.empty_inputs(d, "doc_id", "text").collect()} == {0, 1}
@@ -20,22 +26,23 @@ def test_empty_and_blank_text_encode_to_specials(spark):
         E.empty_inputs(d, "doc_id", "text", strict=True).collect()
 
 
-def test_over_long_text_truncated(spark):
+def test_over_long_text_truncated(spark, route):
     d = docs(spark, [" ".join(f"w{i}" for i in range(50))])
     vocab = E.build_vocab(d, "text", 100)
-    r = E.encode(d, "doc_id", "text", vocab, max_len=8).collect()[0]
+    r = E.encode(d, "doc_id", "text", vocab, max_len=8, route=route).collect()[0]
     assert len(r.input_ids) == 8 and r.attention_mask == [1] * 8
     assert r.input_ids[0] == E.BEGIN_ID and r.input_ids[-1] == E.END_ID
     rep = E.truncation_report(d, "doc_id", "text", 8).collect()[0]
     assert (rep.n_tokens, rep.n_kept, rep.truncated) == (50, 6, True)
 
 
-def test_vocab_ties_and_unknown(spark):
+def test_vocab_ties_and_unknown(spark, route):
     d = docs(spark, ["b a c", "a b", "d"])
     vocab = {r.token: r.id for r in E.build_vocab(d, "text", 2).collect()}
     assert vocab == {"a": 4, "b": 5}          # a, b tie on count: byte order
     r = {x.doc_id: x.input_ids for x in E.encode(d, "doc_id", "text",
-                                                 E.build_vocab(d, "text", 2), 6).collect()}
+                                                 E.build_vocab(d, "text", 2), 6,
+                                                 route=route).collect()}
     assert r[0] == [2, 5, 4, E.UNK_ID, 3, 0]
 
 
@@ -45,10 +52,11 @@ def test_tokenisation_lowercases_and_splits_whitespace(spark):
     assert {r.token: r.n for r in E.build_vocab(d, "text", 5).collect()} == {"hello": 2, "world": 1}
 
 
-def test_mask_property(spark):
+def test_mask_property(spark, route):
     texts = [" ".join(["x"] * n) for n in (0, 1, 5, 9, 30)]
     d = docs(spark, texts)
-    for r in E.encode(d, "doc_id", "text", E.build_vocab(d, "text", 3), max_len=10).collect():
+    for r in E.encode(d, "doc_id", "text", E.build_vocab(d, "text", 3), max_len=10,
+                      route=route).collect():
         assert len(r.input_ids) == 10 and len(r.attention_mask) == 10
         assert sum(r.attention_mask) == min(r.n_tokens, 8) + 2
 
@@ -67,20 +75,23 @@ def test_max_len_too_small(spark):
 
 
 @pytest.mark.parametrize("parts", [1, 8])
-def test_encoding_independent_of_partitioning(spark, parts):
+def test_encoding_independent_of_partitioning(spark, parts, route):
     texts = [" ".join(f"w{(i * 7 + j) % 13}" for j in range(i % 17)) for i in range(60)]
     d = docs(spark, texts).repartition(parts)
     enc = {r.doc_id: r.input_ids for r in
-           E.encode(d, "doc_id", "text", E.build_vocab(d, "text", 8), max_len=12).collect()}
+           E.encode(d, "doc_id", "text", E.build_vocab(d, "text", 8), max_len=12,
+                    route=route).collect()}
     ref = docs(spark, texts).coalesce(1)
     want = {r.doc_id: r.input_ids for r in
-            E.encode(ref, "doc_id", "text", E.build_vocab(ref, "text", 8), max_len=12).collect()}
+            E.encode(ref, "doc_id", "text", E.build_vocab(ref, "text", 8), max_len=12,
+                     route="join").collect()}
     assert enc == want
 
 
-def test_duplicate_keys_encode_separately(spark):
+def test_duplicate_keys_encode_separately(spark, route):
     d = spark.createDataFrame([(1, "a b"), (1, "c")], "doc_id long, text string")
-    rows = E.encode(d, "doc_id", "text", E.build_vocab(d, "text", 5), max_len=5).collect()
+    rows = E.encode(d, "doc_id", "text", E.build_vocab(d, "text", 5), max_len=5,
+                    route=route).collect()
     assert sorted(sum(r.attention_mask) for r in rows) == [3, 4]
 
 
@@ -88,3 +99,18 @@ def test_prepare_vocab_measures_bytes(spark):
     d = docs(spark, ["aa bb aa", "cc"])
     vocab, nbytes = E.prepare_vocab(d, "text", 10)
     assert vocab.count() == 3 and nbytes == 3 * (2 + 16)
+
+
+def test_null_text_encodes_like_empty(spark, route):
+    d = spark.createDataFrame([(1, None), (2, "a")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in E.encode(d, "doc_id", "text", E.build_vocab(d, "text", 5),
+                                          max_len=4, route=route).collect()}
+    assert rows[1].input_ids == [E.BEGIN_ID, E.END_ID, 0, 0]
+    assert rows[2].input_ids == [E.BEGIN_ID, 4, E.END_ID, 0]
+
+
+def test_non_consecutive_vocab_falls_back(spark):
+    d = docs(spark, ["a b c"])
+    vocab = spark.createDataFrame([("a", 10), ("c", 7)], "token string, id int")
+    r = E.encode(d, "doc_id", "text", vocab, max_len=6, route="lookup").collect()[0]
+    assert r.input_ids == [E.BEGIN_ID, 10, E.UNK_ID, 7, E.END_ID, 0]
