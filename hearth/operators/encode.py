@@ -56,14 +56,21 @@ def vocab_bytes(vocab: DataFrame) -> int:
     return int(r)
 
 
-def prepare_vocab(df: DataFrame, text: str, size: int) -> tuple[DataFrame, int]:
+def prepare_vocab(df: DataFrame, text: str, size: int) -> tuple[DataFrame, int | None]:
     """Build the vocabulary once, write it under the shared checkpoint folder
     (encode once, reuse for every encoding job) and measure it, so the lookup
-    join can be broadcast on a proven size. Returns ``(vocab, bytes)``."""
+    can be broadcast on a proven size. Returns ``(vocab, bytes)``. Without a
+    shared folder (``spark.checkpoint.dir`` unset on a cluster) the vocabulary
+    stays lazy and unmeasured: ``bytes`` is ``None`` and :func:`encode` takes
+    the join route with no broadcast hint."""
     import uuid
 
     from hearth.sources.sinks import materialise
-    vocab = materialise(build_vocab(df, text, size), f"vocab-{uuid.uuid4().hex}")
+    vocab = build_vocab(df, text, size)
+    try:
+        vocab = materialise(vocab, f"vocab-{uuid.uuid4().hex}")
+    except RuntimeError:
+        return vocab, None
     return vocab, vocab_bytes(vocab)
 
 
