@@ -31,23 +31,35 @@ def last_write_wins(df: DataFrame, key: str, values: Sequence[str], order: str)
     return agg.select(key, *[F.col(f"_v.{v}").alias(v) for v in values], order)
 
 
+def _match(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
+    """Equi-join on ``key``. Both sides come out of an aggregation on ``key``, so
+    the join reuses that hash partitioning with no further exchange. SQL NULL
+    semantics apply: a NULL key matches nothing (it is reported as drift); a
+    null-safe join would re-partition both sides on ``coalesce(key)``."""
+    return left.join(right, key, how)
+
+
 def overlay(base: DataFrame, updates: DataFrame, key: str, values: Sequence[str],
             strict: bool = False) -> DataFrame:
     """Load ``updates`` onto ``base``: the base key set, with values replaced where
-    the update has the key. Both inputs must have one row per key (use
-    :func:`last_write_wins` first). ``strict`` raises on missing or unexpected keys."""
-    b = base.select(key, *[F.col(v).alias(f"_b_{v}") for v in values])
+    the update has the key (even by a NULL value). Both inputs must have one row
+    per key (use :func:`last_write_wins` first). ``strict`` raises on missing or
+    unexpected keys."""
+    b = base.select(key, F.lit(True).alias("_in_b"),
+                    *[F.col(v).alias(f"_b_{v}") for v in values])
     u = updates.select(key, F.lit(True).alias("_in_u"),
                        *[F.col(v).alias(f"_u_{v}") for v in values])
     if strict:
-        j = b.withColumn("_in_b", F.lit(True)).join(u, key, "full_outer")
+        j = _match(b, u, key, "full_outer")
         bad = F.col("_in_b").isNull() | F.col("_in_u").isNull()
         j = j.withColumn("_in_u", F.when(~bad, F.col("_in_u")).otherwise(F.raise_error(
-            F.concat(F.lit("key drift on "), F.col(key).cast("string")))))
+            F.concat(F.lit("key drift on "), F.coalesce(F.col(key).cast("string"),
+                                                        F.lit("NULL"))))))
     else:
-        j = b.join(u, key, "left")
-    return j.select(key, *[F.coalesce(F.col(f"_u_{v}"), F.col(f"_b_{v}")).alias(v) for v in values],
-                    F.coalesce(F.col("_in_u"), F.lit(False)).alias("from_update"))
+        j = _match(b, u, key, "left")
+    hit = F.coalesce(F.col("_in_u"), F.lit(False))
+    return j.select(key, *[F.when(hit, F.col(f"_u_{v}")).otherwise(F.col(f"_b_{v}")).alias(v)
+                           for v in values], hit.alias("from_update"))
 
 
 def key_drift(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
@@ -55,7 +67,7 @@ def key_drift(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     ``'unexpected'`` (in updates, not in base): one full outer join."""
     b = base.select(key).distinct().withColumn("_in_b", F.lit(True))
     u = updates.select(key).distinct().withColumn("_in_u", F.lit(True))
-    j = b.join(u, key, "full_outer")
+    j = _match(b, u, key, "full_outer")
     status = F.when(F.col("_in_u").isNull(), F.lit("missing")) \
         .when(F.col("_in_b").isNull(), F.lit("unexpected"))
     return j.select(key, status.alias("status")).filter(F.col("status").isNotNull())

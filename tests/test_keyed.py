@@ -77,3 +77,13 @@ def test_list_flagged(spark):
     d = Fl.flag_any(params(spark, [(0, "a.classifier", 0.0, 1), (1, "b", 0.0, 1)]), "name",
                     ["classifier"])
     assert [r.ord for r in Fl.list_flagged(d, "ord").collect()] == [0]
+
+
+def test_overlay_null_update_and_null_keys(spark):
+    base = spark.createDataFrame([("a", 1.0), (None, 2.0)], "key string, value double")
+    upd = spark.createDataFrame([("a", None), (None, 5.0)], "key string, value double")
+    ov = {r.key: (r.value, r.from_update) for r in K.overlay(base, upd, "key", ["value"]).collect()}
+    # an update to NULL still replaces; NULL keys follow SQL semantics (no match)
+    assert ov == {"a": (None, True), None: (2.0, False)}
+    drift = sorted(r.status for r in K.key_drift(base, upd, "key").collect())
+    assert drift == ["missing", "unexpected"]
