@@ -25,9 +25,12 @@ PAD_ID, UNK_ID, BEGIN_ID, END_ID = 0, 1, 2, 3
 FIRST_WORD_ID = 4
 DEFAULT_MAX_LEN = 512
 
-# The vocabulary is broadcast to the lookup join only when its measured size is
-# at most this many bytes; beyond it Catalyst / AQE choose the join.
+# The vocabulary is broadcast (map-only lookup) only when its measured size is at
+# most this many bytes. A larger one takes the join route, where its most
+# frequent HEAD_VOCAB_ROWS tokens (the hot keys) are still broadcast and only
+# the rare tail is joined through a shuffle.
 BROADCAST_VOCAB_MAX_BYTES = 64 * 1024 * 1024
+HEAD_VOCAB_ROWS = 200_000
 
 
 def token_counts(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -101,13 +104,16 @@ def encode(df: DataFrame, key: str, text: str, vocab: DataFrame,
     map-only (``route='lookup'``): the vocabulary is broadcast and each Arrow
     batch of token lists is mapped with a vectorised hash lookup, with no explode,
     shuffle or regroup. A larger (or unmeasured) vocabulary uses the join route
-    (``route='join'``). Both give identical ids.
+    (``route='join'``): broadcast join when measured small, else a broadcast
+    head of hot tokens plus a shuffle join for the rare tail
+    (``route='split-join'`` forces that form). All routes give identical ids.
     """
     _check_len(max_len)
     small = vocab_size_bytes is not None and vocab_size_bytes <= BROADCAST_VOCAB_MAX_BYTES
     if route == "lookup" or (route == "auto" and small):
         return _encode_lookup(df, key, text, vocab, max_len, list(keep))
-    return _encode_join(df, key, text, vocab, max_len, list(keep), small)
+    return _encode_join(df, key, text, vocab, max_len, list(keep),
+                        small and route != "split-join")
 
 
 def _encode_lookup(df: DataFrame, key: str, text: str, vocab: DataFrame, max_len: int,
@@ -174,9 +180,16 @@ def _ids_udf(get_tokens, first_id: int, max_len: int):
 
 def _encode_join(df: DataFrame, key: str, text: str, vocab: DataFrame, max_len: int,
                  keep: list[str], broadcast_vocab: bool) -> DataFrame:
-    """Explode -> hash join on the vocabulary -> regroup per row. The regroup is
-    keyed by a per-row id, so every group holds at most ``max_len - 2`` tokens
-    even if ``key`` repeats; partial aggregation completes it map-side."""
+    """Explode -> hash join on the vocabulary -> regroup per row.
+
+    For a vocabulary too large to broadcast, a token like "the" can be a third
+    of all exploded rows, and a plain shuffle join would send it to one task.
+    Ids are ranked by frequency, so the hot tokens are exactly the first ids:
+    the head (``HEAD_VOCAB_ROWS`` rows, bounded) is broadcast, and only tokens
+    it does not resolve (rare by construction) are joined to the tail through a
+    shuffle. The regroup is keyed by a per-row id, so every group holds at most
+    ``max_len - 2`` tokens even if ``key`` repeats; partial aggregation
+    completes it map-side."""
     # Row identity for the regroup: partition index + offset of the row in its
     # input split, stable when a lost task re-reads the same split.
     base = _tokens_once(df.withColumn("_rid", F.monotonically_increasing_id()), key, text,
@@ -185,8 +198,17 @@ def _encode_join(df: DataFrame, key: str, text: str, vocab: DataFrame, max_len:
                      F.posexplode_outer("_kept").alias("_pos", "_tok"))
     v = vocab.select(F.col("token").alias("_tok"), F.col("id").alias("_id"))
     if broadcast_vocab:
-        v = F.broadcast(v)
-    j = ex.join(v, "_tok", "left")
+        j = ex.join(F.broadcast(v), "_tok", "left")
+    else:
+        first = vocab.agg(F.min("id")).collect()[0][0]
+        cut = (first if first is not None else FIRST_WORD_ID) + HEAD_VOCAB_ROWS
+        head = F.broadcast(v.filter(F.col("_id") < cut))
+        tail = v.filter(F.col("_id") >= cut)
+        h = ex.join(head, "_tok", "left")
+        resolved = h.filter(F.col("_id").isNotNull() | F.col("_tok").isNull())
+        rest = h.filter(F.col("_id").isNull() & F.col("_tok").isNotNull()).drop("_id") \
+            .join(tail, "_tok", "left")
+        j = resolved.unionByName(rest)
     item = F.when(F.col("_pos").isNotNull(),
                   F.struct(F.col("_pos"), F.coalesce(F.col("_id"), F.lit(UNK_ID)).alias("_id")))
     g = j.groupBy("_rid", key, *keep, "n_tokens") \

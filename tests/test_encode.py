@@ -9,7 +9,7 @@ def docs(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
 
-@pytest.fixture(params=["lookup", "join"])
+@pytest.fixture(params=["lookup", "join", "split-join"])
 def route(request):
     return request.param
 
@@ -114,3 +114,14 @@ def test_non_consecutive_vocab_falls_back(spark):
     vocab = spark.createDataFrame([("a", 10), ("c", 7)], "token string, id int")
     r = E.encode(d, "doc_id", "text", vocab, max_len=6, route="lookup").collect()[0]
     assert r.input_ids == [E.BEGIN_ID, 10, E.UNK_ID, 7, E.END_ID, 0]
+
+
+def test_split_join_uses_head_and_tail(spark, monkeypatch):
+    monkeypatch.setattr(E, "HEAD_VOCAB_ROWS", 2)    # head = 2 hottest tokens
+    d = docs(spark, ["a a a b b c d", "c d e"])
+    vocab = E.build_vocab(d, "text", 4)
+    got = {r.doc_id: r.input_ids for r in
+           E.encode(d, "doc_id", "text", vocab, 10, route="split-join").collect()}
+    want = {r.doc_id: r.input_ids for r in
+            E.encode(d, "doc_id", "text", vocab, 10, route="lookup").collect()}
+    assert got == want
