@@ -349,14 +349,18 @@ def split_predicates(df: DataFrame, key: str, fraction: float,
 
 
 def _split_on(key: str, bk, btie, tie: Column) -> tuple[Column, Column]:
+    """Predicates around the boundary row ``(bk, btie)``. Each carries a plain key
+    range as its own conjunct, so the range reaches the Parquet scan; the hash
+    comparison only decides rows whose key equals the boundary key."""
     k = F.col(key)
     if bk is None:          # boundary among NULL keys (they sort first)
         first = k.isNull() & (tie < F.lit(btie))
         return first, ~first
     if btie is None:
         return k.isNull() | (k < F.lit(bk)), k >= F.lit(bk)
-    first = k.isNull() | (k < F.lit(bk)) | ((k == F.lit(bk)) & (tie < F.lit(btie)))
-    rest = (k > F.lit(bk)) | ((k == F.lit(bk)) & (tie >= F.lit(btie)))
+    first = (k.isNull() | (k <= F.lit(bk))) & \
+        (k.isNull() | (k < F.lit(bk)) | (tie < F.lit(btie)))
+    rest = (k >= F.lit(bk)) & ((k > F.lit(bk)) | (tie >= F.lit(btie)))
     return first, rest
 
 
