@@ -49,6 +49,12 @@ _KEYD = "_hearth_keyd"
 _TWO63 = float(2 ** 63)
 
 
+def _int_array(values: list[int]) -> Column:
+    """A literal ``ARRAY<BIGINT>`` built by one parsed expression instead of one
+    JVM call per element (the index can hold tens of thousands of entries)."""
+    return F.expr("array(" + ",".join(f"CAST({int(v)} AS BIGINT)" for v in values) + ")")
+
+
 def _numeric(df: DataFrame, key: str) -> bool:
     return isinstance(df.schema[key].dataType, T.NumericType)
 
@@ -156,8 +162,8 @@ class PositionIndex:
         if not self.hot:
             return d.withColumn(_SUB, F.lit(0)).withColumn(
                 _TIE, tie_all if with_tie else F.lit(0).cast("long"))
-        nsub = F.element_at(F.array(*[F.lit(self.hot.get(b, 1))
-                                      for b in range(-1, len(self.splits))]),
+        nsub = F.element_at(_int_array([self.hot.get(b, 1)
+                                         for b in range(-1, len(self.splits))]),
                             F.col(_BUCKET) + 2)
         is_hot = nsub > 1
         tie = tie_all if with_tie else F.when(is_hot, tie_all).otherwise(F.lit(0))
@@ -174,9 +180,9 @@ class PositionIndex:
         for b in range(-1, len(self.splits)):
             first.append(n)
             n += self.hot.get(b, 1)
-        flat = F.element_at(F.array(*[F.lit(f) for f in first]), F.col(_BUCKET) + 2) + F.col(_SUB)
-        arr = F.array(*[F.lit(int(offs[p])) for p in self.pieces])
-        return F.element_at(arr, flat + 1)
+        flat = F.element_at(_int_array(first), F.col(_BUCKET) + 2) + F.col(_SUB)
+        arr = _int_array([offs[p] for p in self.pieces])
+        return F.element_at(arr, (flat + 1).cast("int"))
 
     def with_position(self, df: DataFrame, out: str = "pos",
                       bucket_range: tuple[int, int] | None = None) -> DataFrame:
