@@ -131,11 +131,20 @@ def score_with_fn(df: DataFrame, make_scorer: Callable[[], Callable], inputs: Se
         import numpy as _np
         fn = make_scorer()
         for pdf in batches:
-            feats = {c: _np.stack(pdf[c].to_numpy()) if pdf[c].dtype == object
-                     else pdf[c].to_numpy() for c in inputs}
-            z = _np.asarray(fn(feats), dtype=float).reshape(len(pdf), num_classes)
             res = pdf[keep].copy()
-            res["logits"] = list(z)
+            # rows with a NULL input get NULL logits; the scorer sees the rest
+            ok = _np.ones(len(pdf), dtype=bool)
+            for c in inputs:
+                ok &= pdf[c].notna().to_numpy()
+            logits = [None] * len(pdf)
+            if ok.any():
+                sub = pdf[ok]
+                feats = {c: _np.stack(sub[c].to_numpy()) if sub[c].dtype == object
+                         else sub[c].to_numpy() for c in inputs}
+                z = _np.asarray(fn(feats), dtype=float).reshape(len(sub), num_classes)
+                for pos, row in zip(_np.flatnonzero(ok), z):
+                    logits[pos] = row
+            res["logits"] = logits
             yield res
 
     return df.select(*dict.fromkeys(keep + list(inputs))).mapInPandas(run, out_schema)

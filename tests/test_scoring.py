@@ -128,3 +128,13 @@ def test_missing_prediction_counts_as_wrong(spark):
     df = spark.createDataFrame([(1, 1, 1), (2, None, 0)], "id long, pred int, label int")
     m = A.evaluate(df, nll=None).collect()[0]
     assert (m.n_labelled, m.n_correct) == (2, 1) and m.accuracy == pytest.approx(0.5)
+
+
+def test_score_with_fn_null_inputs_give_null(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "id long, x array<double>")
+
+    def make():
+        return lambda feats: feats["x"] @ np.eye(2)
+
+    out = {r.id: r.logits for r in R.score_with_fn(df, make, ["x"], 2, keep=["id"]).collect()}
+    assert out == {1: [1.0, 0.0], 2: None}
