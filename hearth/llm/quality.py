@@ -30,11 +30,11 @@ CORE = 0.75  # share of a group in the determinant's subset
 STEPS = 4
 MIN_GROUP = 100  # smaller groups take the estimate of their language, then of all rows
 # Rejection: a squared distance above CUT. With five features a normal vector passes it
-# about once in 10^11, so heavy tails of clean text stay and junk, tens of scales off, goes.
-CUT = 60.0
+# less than once in 10^14, so heavy tails of clean text stay and junk, tens of scales off, goes.
+CUT = 80.0
 # Smallest scale of each transformed feature: a group whose documents agree exactly
 # still lets documents differ by a few of these.
-FLOOR = (0.5, 0.1, 0.1, 0.15, 0.15)
+FLOOR = (0.5, 0.1, 0.1, 0.25, 0.25)
 BINS = 64
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearth.llm import chat, html, lattice, licences, mixing, packing, quality, simhash, tokens
+from hearth.llm import chat, html, lattice, licences, mixing, packing, quality, simhash, suffixes, tokens
 from hearth.llm.common import Scratch, table
 
 
@@ -22,6 +22,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op3"))
+    return cut.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
 
@@ -62,6 +67,6 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_simhash, op4_packing, op5_token_counts, op6_licences, op7_quality,
+    f.__name__: f for f in (op1_mixing, op2_simhash, op3_suffixes, op4_packing, op5_token_counts, op6_licences, op7_quality,
                             op8_embeddings, op9_html, op10_chat)
 }
