@@ -19,7 +19,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
+    return found.select("doc_id", "fingerprint", "component_id")
 
 
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

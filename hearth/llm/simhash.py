@@ -51,15 +51,16 @@ def _majority(shingles, digest, seed: int) -> int:
 
 
 def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """``key, fp``: fingerprints as signed longs."""
-    src = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    """``key, text_hash, fp``: fingerprints as signed longs."""
+    src = df.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.col(text)).alias("text_hash"),
+                    F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["key", "fp"])
+            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["key", "text_hash", "fp"])
 
-    return src.mapInArrow(run, "key long, fp long")
+    return src.mapInArrow(run, "key long, text_hash long, fp long")
 
 
 def _compare(radius: int):
@@ -120,7 +121,8 @@ def _parts(df: DataFrame) -> int:
 
 def near_duplicates(df: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE,
                     radius: int = RADIUS) -> DataFrame:
-    """``key``, fingerprint (16 hex digits) and component_id for every row.
+    """``key``, fingerprint (16 hex digits), component_id, and text_hash and component (which
+    name the row's text and its component, also where keys are null or repeat) for every row.
 
     component_id is the smallest key reachable over links of at most ``radius`` bits.
     Null and empty texts have the fingerprint zero and link like any other; rows with a
@@ -135,6 +137,25 @@ def near_duplicates(df: DataFrame, scratch: Scratch, text: str = "text", key: st
         "fp", "low", F.coalesce("root", "fp").alias("root"))
     named = scratch.save(named, "named")
     lows = named.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("component_id"))
-    ids = scratch.save(named.join(lows, named.root == lows.r).select(F.col("fp").alias("f"), "component_id"), "ids")
+    ids = scratch.save(named.join(lows, named.root == lows.r).select(
+        F.col("fp").alias("f"), "component_id", F.col("root").alias("component")), "ids")
     return docs.join(ids, docs.fp == ids.f).select(
-        F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+        F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id",
+        "text_hash", "component")
+
+
+def one_of_each(df: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``df`` with one document of each component: the one of the smallest key
+    (null last), of several with that key the one of the smallest text hash."""
+    found = scratch.save(near_duplicates(df, scratch, text, key, **options).withColumnRenamed(key, "k"), "found")
+    first = F.min(F.struct(F.col("k").isNull().alias("n"), "k", "text_hash")).alias("m")
+    best = found.groupBy("component").agg(first).select(F.col("m.k").alias("_best_key"), F.col("m.text_hash").alias("_best_hash"))
+    best = scratch.save(best, "best")
+    on = F.col(key).cast("long").eqNullSafe(F.col("_best_key")) & (F.xxhash64(F.col(text)) == F.col("_best_hash"))
+    kept = df.join(best, on, "left_semi")
+    again = found.groupBy("k", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
+    again = again.join(best, F.col("k").eqNullSafe(F.col("_best_key")) & (F.col("text_hash") == F.col("_best_hash")))
+    if not again.head(1):
+        return kept
+    # rows that repeat key and text: as rare as broken keys, so only then is there a shuffle for them
+    return (kept.withColumn("_best_text", F.xxhash64(F.col(text))).dropDuplicates([key, "_best_text"]).drop("_best_text"))
