@@ -61,9 +61,9 @@ def op6() -> str:
 def op8() -> str:
     return f"""
     WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS x FROM embeddings),
-    ok AS (SELECT r, vec_id, x, sqrt(list_sum(list_transform(x, y -> y * y))) AS norm FROM v
-           WHERE x IS NOT NULL AND len(list_filter(x, y -> y IS NULL OR isnan(y) OR isinf(y))) = 0
-             AND list_sum(list_transform(x, y -> y * y)) > 0),
+    ok AS (SELECT r, vec_id, x, sqrt(list_sum([y * y for y in x])) AS norm FROM v
+           WHERE x IS NOT NULL AND len([y for y in x if y IS NULL OR isnan(y) OR isinf(y)]) = 0
+             AND list_sum([y * y for y in x]) > 0),
     links AS (SELECT a.r AS a, b.r AS b, b.vec_id AS other FROM ok a JOIN ok b
               ON a.r <> b.r AND list_dot_product(a.x, b.x) / (a.norm * b.norm) >= {COSINE}),
     reach(r, id) AS (SELECT r, vec_id FROM v UNION SELECT links.a, reach.id FROM reach JOIN links ON reach.r = links.b),
