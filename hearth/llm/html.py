@@ -100,9 +100,7 @@ def parse(source: str) -> Page:
         if stack[-1][1] != block:
             page.text.append((-1, ""))
 
-    for m in _TAG.finditer(source):
-        if m.start() < at:
-            continue  # inside a raw text element
+    while m := _TAG.search(source, at):
         put(source[at:m.start()])
         at = m.end()
         slash, name, attr = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
