@@ -48,49 +48,106 @@ def default_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-def _piece_ids(path: str, pieces: list[str]) -> list[bytes]:
-    """Ids of each piece as little-endian 32-bit numbers. Pieces used lately come from a
-    cache of two generations: when the recent one is full, it becomes the older one."""
+def _cached(path: str, pieces: list[str], encode) -> list[bytes]:
+    """Ids of each piece as little-endian 32-bit numbers, new ones from ``encode``. Pieces used
+    lately come from a cache of two generations: a full recent one becomes the older one."""
     young, old = _caches.setdefault(path, [{}, {}])
     out: list[bytes | None] = [young.get(p) for p in pieces]
     new = []
-    for i, p in enumerate(pieces):
-        if out[i] is None:
-            if (ids := old.get(p)) is None:
+    for i, ids in enumerate(out):
+        if ids is None:
+            if (ids := old.get(pieces[i])) is None:
                 new.append(i)
             else:
-                out[i] = young[p] = ids
-    tok = tokenizer(path)
+                out[i] = young[pieces[i]] = ids
     for k in range(0, len(new), 20_000):
         part = new[k:k + 20_000]
-        for i, e in zip(part, tok.encode_batch([pieces[i] for i in part], add_special_tokens=False)):
-            out[i] = np.array(e.ids, "<u4").tobytes()
+        for i, ids in zip(part, encode([pieces[i] for i in part])):
+            out[i] = ids
             if len(young) < 2 * CACHE_PIECES:
-                young[pieces[i]] = out[i]
+                young[pieces[i]] = ids
     if len(young) > CACHE_PIECES:
         _caches[path] = [{}, young]
     return out
 
 
+# A word of Latin letters that are composed and have simple lower case, and one mark.
+_SIMPLE = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
+
+
+def _encode_words(tok):
+    """Lower-case words of letters, each one unit of the tokenizer: encoded as one text."""
+
+    def encode(words: list[str]) -> list[bytes]:
+        e = tok.encode(" ".join(words), add_special_tokens=False)
+        ids = np.array(e.ids, "<u4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(words)))).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+    return encode
+
+
+def _encode_any(tok):
+    return lambda pieces: [np.array(e.ids, "<u4").tobytes()
+                           for e in tok.encode_batch(pieces, add_special_tokens=False)]
+
+
+def _distinct_ids(path: str, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of distinct pieces as one array, and how many each has.
+
+    A simple word and the mark after it are units of their own: the word is encoded in
+    lower case without the mark, so its forms are encoded once.
+    """
+    tok = tokenizer(path)
+    marks = {m: tok.encode(m, add_special_tokens=False).ids for m in ".,"}
+    simple = pc.match_substring_regex(pieces, _SIMPLE).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(simple)
+    chosen = pieces.take(pa.array(at))
+    size = np.zeros(len(pieces), np.int64)
+    mark = np.zeros(len(pieces), np.int64)
+    for m, ids in marks.items():
+        mark[at[pc.ends_with(chosen, m).to_numpy(zero_copy_only=False)]] = ids[0]
+        if len(ids) != 1:
+            raise ValueError(f"the tokenizer cuts {m!r} into {len(ids)} tokens")
+    words = pc.utf8_lower(pc.utf8_rtrim(chosen, ".,")).dictionary_encode()
+    known = _cached(path, words.dictionary.to_pylist(), _encode_words(tok))
+    other = np.flatnonzero(~simple)
+    known += _cached(path + "*", pieces.take(pa.array(other)).to_pylist(), _encode_any(tok))
+    source = np.empty(len(pieces), np.int64)
+    source[at] = words.indices.to_numpy()
+    source[other] = len(words.dictionary) + np.arange(len(other))
+    n = np.fromiter(map(len, known), np.int64, len(known)) // 4
+    flat = np.frombuffer(b"".join(known), "<u4")
+    size = n[source] + (mark > 0)
+    out = np.zeros(int(size.sum()), np.uint32)
+    ends = np.cumsum(size)
+    out[ends[mark > 0] - 1] = mark[mark > 0]
+    fill = np.ones(len(out), bool)
+    fill[ends[mark > 0] - 1] = False
+    out[fill] = flat[_gather(np.concatenate([[0], np.cumsum(n)])[source], n[source])]
+    return out, size
+
+
+def _gather(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Positions ``start[k], start[k] + 1, ...`` (``n[k]`` of them) for each k in turn."""
+    ends = np.cumsum(n)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - n), n)
+
+
 def encode_many(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of many texts (null: empty), as one array and the texts' bounds in it."""
     filled = pc.fill_null(texts.cast(pa.large_string()), "")
-    lists = pc.split_pattern_regex(filled, r"[ \t\n\r]+")
+    for blank in "\t\n\r":
+        filled = pc.replace_substring(filled, blank, " ")
+    lists = pc.split_pattern(filled, " ")  # empty pieces have no ids
     lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
     coded = lists.flatten().dictionary_encode()
-    ids = _piece_ids(path, coded.dictionary.to_pylist())
-    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    flat = np.frombuffer(b"".join(ids), "<u4")
+    flat, size = _distinct_ids(path, coded.dictionary)
     at = np.concatenate([[0], np.cumsum(size)])
     word = coded.indices.to_numpy()
-    n = size[word] if len(word) else np.zeros(0, np.int64)
-    ends = np.cumsum(n)
-    total = int(ends[-1]) if len(ends) else 0
-    # token k of word w sits at at[w] + k: steps of one inside a word, jumps between words
-    gather = np.arange(total) + np.repeat(at[word] - (ends - n), n) if total else np.zeros(0, np.int64)
+    n = size[word]
     bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    token_bounds = np.concatenate([[0], ends])[bounds]
-    return flat[gather], token_bounds
+    return flat[_gather(at[word], n)], np.concatenate([[0], np.cumsum(n)])[bounds]
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
