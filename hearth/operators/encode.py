@@ -14,9 +14,10 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from hearth.functions.text import tokenize
 
@@ -230,16 +231,21 @@ def _pad_and_mask(ids, n, max_len: int):
 def empty_inputs(df: DataFrame, key: str, text: str, strict: bool = False) -> DataFrame:
     """Rows whose text has no token (they would encode to begin + end only).
     ``strict`` turns the first such row into an error instead of a report."""
-    n = F.size(tokenize(text))
+    n = _n_tokens(text)
     out = df.select(key, n.alias("n_tokens")).filter(F.col("n_tokens") == 0)
-    if strict:
-        out = out.withColumn("n_tokens", F.raise_error(
-            F.concat(F.lit("empty input for key "), F.col(key).cast("string"))))
+    if strict:  # in a filter, so that no plan can leave the check out
+        out = out.filter(F.raise_error(F.concat(
+            F.lit("empty input for key "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")))).cast("boolean"))
     return out
 
 
+def _n_tokens(text) -> Column:
+    """Tokens of a text; a NULL text has none."""
+    return F.greatest(F.coalesce(F.size(tokenize(text)), F.lit(0)), F.lit(0))
+
+
 def empty_input_summary(df: DataFrame, text: str) -> DataFrame:
-    n = F.size(tokenize(text))
+    n = _n_tokens(text)
     return df.agg(F.count(F.lit(1)).alias("n_rows"),
                   F.count(F.when(n == 0, 1)).alias("n_empty"))
 
@@ -249,13 +255,13 @@ def map_batches(df: DataFrame, fn: Callable, new_fields: Sequence[T.StructField]
     ``fn(pandas.DataFrame) -> dict | DataFrame`` of new columns; input columns are
     kept, the new ones appended."""
     out_schema = T.StructType(list(df.schema.fields) + list(new_fields))
-    names = [f.name for f in new_fields]
+    kinds = [(f.name, to_arrow_type(f.dataType)) for f in new_fields]
 
     def run(batches):
-        for pdf in batches:
-            res = fn(pdf)
-            for n in names:
-                pdf[n] = list(res[n]) if not hasattr(res[n], "dtype") else res[n]
-            yield pdf
+        import pyarrow as pa
+        for b in batches:
+            res = fn(b.to_pandas())  # input columns pass through as Arrow, untouched
+            new = [pa.array(list(res[n]), t, from_pandas=True) for n, t in kinds]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *(n for n, _ in kinds)])
 
-    return df.mapInPandas(run, out_schema)
+    return df.mapInArrow(run, out_schema)

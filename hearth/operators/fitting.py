@@ -105,8 +105,10 @@ def fit_lstsq(df: DataFrame, features: str, label: str, num_classes: int,
 
 
 def _lr_input(df: DataFrame, features: str, label: str) -> DataFrame:
-    return df.select(array_to_vector(F.col(features)).alias("features"),
-                     F.col(label).cast("double").alias("label")).filter(F.col("label").isNotNull())
+    """Labelled rows with a vector; like the closed form, NULL vectors (or elements) are left out."""
+    whole = F.col(features).isNotNull() & ~F.exists(F.col(features), lambda v: v.isNull()) & F.col(label).isNotNull()
+    return df.filter(whole).select(array_to_vector(F.col(features)).alias("features"),
+                                   F.col(label).cast("double").alias("label"))
 
 
 def _lr(max_iter: int, reg: float) -> LogisticRegression:

@@ -26,7 +26,9 @@ def last_write_wins(df: DataFrame, key: str, values: Sequence[str], order: str)
     """One row per key: the values of the row with the greatest ``order``
     (rebuilding a map in source order, later writes overwrite)."""
     packed = F.struct(*[F.col(v) for v in values])
-    agg = df.groupBy(key).agg(F.max_by(packed, F.col(order)).alias("_v"),
+    # equal order values: the larger content hash wins, whatever the task order
+    last = F.struct(F.col(order), F.xxhash64(*[F.col(v) for v in values]))
+    agg = df.groupBy(key).agg(F.max_by(packed, last).alias("_v"),
                               F.max(order).alias(order))
     return agg.select(key, *[F.col(f"_v.{v}").alias(v) for v in values], order)
 
@@ -52,9 +54,9 @@ def overlay(base: DataFrame, updates: DataFrame, key: str, values: Sequence[str]
     if strict:
         j = _match(b, u, key, "full_outer")
         bad = F.col("_in_b").isNull() | F.col("_in_u").isNull()
-        j = j.withColumn("_in_u", F.when(~bad, F.col("_in_u")).otherwise(F.raise_error(
-            F.concat(F.lit("key drift on "), F.coalesce(F.col(key).cast("string"),
-                                                        F.lit("NULL"))))))
+        # in a filter, so that no plan (a count, say) can leave the check out
+        drift = F.concat(F.lit("key drift on "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")))
+        j = j.filter(F.when(bad, F.raise_error(drift).cast("boolean")).otherwise(F.lit(True)))
     else:
         j = _match(b, u, key, "left")
     hit = F.coalesce(F.col("_in_u"), F.lit(False))

@@ -48,11 +48,12 @@ def correct_total(df: DataFrame, pred: str = "pred", label: str = "label") -> Da
 
 
 def compare_results(df: DataFrame, old: str, new: str) -> tuple[DataFrame, DataFrame]:
-    """Old vs new result on one table: (agreement summary, old x new counts)."""
+    """Old vs new result on one table: (agreement summary, old x new counts). Every row
+    counts: two NULL results agree, a NULL and a value differ."""
     summary = df.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.sum((F.col(old) == F.col(new)).cast("long")).alias("n_agree"),
-        F.avg((F.col(old) == F.col(new)).cast("double")).alias("agreement"))
+        F.sum(F.col(old).eqNullSafe(F.col(new)).cast("long")).alias("n_agree"),
+        F.avg(F.col(old).eqNullSafe(F.col(new)).cast("double")).alias("agreement"))
     confusion = df.groupBy(F.col(old).alias("old_result"), F.col(new).alias("new_result")) \
         .agg(F.count(F.lit(1)).alias("n_rows"))
     return summary, confusion

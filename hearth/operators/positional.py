@@ -59,11 +59,33 @@ def _numeric(df: DataFrame, key: str) -> bool:
     return isinstance(df.schema[key].dataType, T.NumericType)
 
 
+def _projection(df: DataFrame, key: str) -> Column:
+    """A DOUBLE that never falls as the key rises, for any orderable scalar type. It only
+    chooses buckets: keys that share a value share a bucket, where the key itself orders."""
+    kind, c = df.schema[key].dataType, F.col(key)
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return c.cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        start = F.substring(c.cast("binary"), 1, 6)  # strings sort by their UTF-8 bytes
+        return F.conv(F.rpad(F.hex(start), 12, "0"), 16, 10).cast("double")
+    raise TypeError(f"no order projection for key {key!r} of type {kind.simpleString()}")
+
+
 def _input_partitions(df: DataFrame) -> int:
+    """An upper estimate of the partitions of ``df`` from its plan's size; runs no job."""
+    spark = df.sparkSession
     try:
-        return df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. Spark Connect): assume a large input
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        split = df._jdf.sparkSession().sessionState().conf().filesMaxPartitionBytes()
+    except AttributeError:  # no plan at hand (Spark Connect): assume a large input
         return 1_000_000
+    return max(size // int(split) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _top_k_ok(df: DataFrame, stop: int, top_k_max_rows: int) -> bool:
@@ -77,9 +99,12 @@ class PositionIndex:
     ``splits`` are Bucketizer boundaries (``-inf .. +inf``); bucket ``-1`` holds
     NULL keys (they sort first) and bucket ``len(splits) - 1`` holds NaN (sorts
     last). A *hot* key (one that fills at least one bucket's worth of rows, e.g.
-    a third of the table) gets a bucket of its own, its rows are ordered by a
-    content hash (``xxhash64`` of the row), and the bucket is cut into
-    ``hot[bucket]`` contiguous hash ranges, so no window task holds it whole.
+    a third of the table) gets a bucket of its own. Only where the counts show that
+    a bucket's smallest and largest key are equal, its rows, which the content
+    hash (``xxhash64`` of the row) orders then, are cut into ``hot[bucket]``
+    contiguous hash ranges, so no window task holds it whole. Distinct keys that
+    share a bucket boundary's DOUBLE (wide integers, decimals, long texts with one
+    start) stay in one bucket, ordered by the key.
     ``counts[(bucket, sub)]`` is the row count of each piece. Rows are ordered
     by ``(key, xxhash64(row))`` everywhere, so repeated keys have one
     deterministic order and positional splits stay exact.
@@ -122,7 +147,7 @@ class PositionIndex:
         n = df.count()
         nb = num_buckets or min(MAX_BUCKETS, max(16, -(-n // ROWS_PER_BUCKET)))
         acc = accuracy or max(10_000, 8 * nb)
-        kd = F.col(key).cast("double")
+        kd = _projection(df, key)
         probs = [i / nb for i in range(1, nb)]
         frac = min(1.0, SAMPLES_PER_BUCKET * nb / max(1, n))
         keys = df.select(kd.alias(_KEYD))
@@ -142,15 +167,18 @@ class PositionIndex:
         if not bounds:              # empty / all-NaN key: Bucketizer needs 3 splits
             bounds = {0.0}
         splits = [-math.inf] + sorted(bounds) + [math.inf]
-        hot = {}
-        for v, r in reps.items():
-            if r >= 2:
-                hot[splits.index(v)] = r + 1  # about r + 1 buckets' worth of rows
         tie_cols = [c for c in df.columns]
-        idx = cls(key, splits, hot, {}, tie_cols)
-        counted = idx._bucketed(df.select(*tie_cols), with_tie=False) \
-            .groupBy(_BUCKET, _SUB).count().collect()
-        idx.counts = {(int(r[0]), int(r[1])): int(r[2]) for r in counted}
+        idx = cls(key, splits, {}, {}, tie_cols)
+        k = F.col(key)
+        found = _with_bucket(df.select(*tie_cols), key, splits).groupBy(_BUCKET).agg(
+            F.count(F.lit(1)).alias("n"), F.min(k).eqNullSafe(F.max(k)).alias("one_key")).collect()
+        idx.counts = {(int(r[0]), 0): int(r["n"]) for r in found}
+        idx.hot = {int(r[0]): -(-int(r["n"]) * nb // n) + 1 for r in found
+                   if r["one_key"] and r["n"] * nb >= 2 * n}
+        if idx.hot:
+            cut = idx._bucketed(df.select(*tie_cols), with_tie=False).filter(F.col(_BUCKET).isin(list(idx.hot)))
+            idx.counts = {p: c for p, c in idx.counts.items() if p[0] not in idx.hot}
+            idx.counts |= {(int(r[0]), int(r[1])): int(r[2]) for r in cut.groupBy(_BUCKET, _SUB).count().collect()}
         return idx
 
     def _bucketed(self, df: DataFrame, with_tie: bool = True) -> DataFrame:
@@ -203,10 +231,10 @@ class PositionIndex:
             k = F.col(self.key)
             lo_v = self.splits[lo] if 0 <= lo < len(self.splits) else -math.inf
             hi_v = self.splits[hi + 1] if -1 <= hi < len(self.splits) - 1 else math.inf
-            if lo >= 0 and math.isfinite(lo_v):
+            if lo >= 0 and abs(lo_v) < 2.0 ** 62:
                 margin = max(1.0, abs(lo_v) * 2.0 ** -50)
                 d = d.filter(k >= F.lit(math.floor(lo_v - margin)))
-            if math.isfinite(hi_v) and hi < len(self.splits) - 1:
+            if abs(hi_v) < 2.0 ** 62 and hi < len(self.splits) - 1:
                 margin = max(1.0, abs(hi_v) * 2.0 ** -50)
                 bound = k <= F.lit(math.ceil(hi_v + margin))
                 d = d.filter(bound | k.isNull()) if lo < 0 else d.filter(bound)
@@ -247,7 +275,7 @@ class PositionIndex:
 
 def _with_bucket(df: DataFrame, key: str, splits: list[float]) -> DataFrame:
     bz = Bucketizer(splits=splits, inputCol=_KEYD, outputCol=_BUCKET, handleInvalid="keep")
-    d = bz.transform(df.withColumn(_KEYD, F.col(key).cast("double")))
+    d = bz.transform(df.withColumn(_KEYD, _projection(df, key)))
     b = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.col(_BUCKET).cast("int"))
     return d.withColumn(_BUCKET, b).drop(_KEYD)
 

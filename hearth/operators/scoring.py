@@ -18,6 +18,9 @@ from pyspark.sql import types as T
 from hearth.functions.arrays import argmax, has_nan
 from hearth.operators.vectors import fold_affine, project
 
+# A row with this label has no loss, as the loss functions of training libraries have it.
+IGNORE_LABEL = -100
+
 
 def head_logits(df: DataFrame, features: str, weights, bias=None,
                 out: str = "logits") -> DataFrame:
@@ -94,8 +97,11 @@ def score(df: DataFrame, logits: str = "logits", label: str | None = None,
         out = out.withColumn("pred_name", class_name_col(F.col("pred"), class_names, strict))
     if label is not None:
         # log-sum-exp shifted by the row max, minus the logit of the true class.
-        out = out.withColumn("nll", m + F.log(se) - F.element_at(
-            F.col(logits), F.col(label).cast("int") + 1))
+        y = F.col(label).cast("int")
+        known = (y >= 0) & (y < F.size(F.col(logits)))
+        out = out.withColumn("nll", F.when(known, m + F.log(se) - F.get(F.col(logits), y)).when(
+            y.isNotNull() & (y != IGNORE_LABEL) & F.col(logits).isNotNull(),
+            F.raise_error(F.concat(F.lit("label out of range: "), y.cast("string"))).cast("double")))
     return out.drop("_m", "_se")
 
 
@@ -129,22 +135,23 @@ def score_with_fn(df: DataFrame, make_scorer: Callable[[], Callable], inputs: Se
 
     def run(batches):
         import numpy as _np
+        import pyarrow as _pa
         fn = make_scorer()
-        for pdf in batches:
-            res = pdf[keep].copy()
+        for b in batches:
+            pdf = b.select(list(inputs)).to_pandas()
             # rows with a NULL input get NULL logits; the scorer sees the rest
             ok = _np.ones(len(pdf), dtype=bool)
             for c in inputs:
                 ok &= pdf[c].notna().to_numpy()
-            logits = [None] * len(pdf)
+            z = _np.zeros((0, num_classes))
             if ok.any():
                 sub = pdf[ok]
                 feats = {c: _np.stack(sub[c].to_numpy()) if sub[c].dtype == object
                          else sub[c].to_numpy() for c in inputs}
                 z = _np.asarray(fn(feats), dtype=float).reshape(len(sub), num_classes)
-                for pos, row in zip(_np.flatnonzero(ok), z):
-                    logits[pos] = row
-            res["logits"] = logits
-            yield res
+            ends = _np.concatenate([[0], _np.cumsum(ok * num_classes)]).astype(_np.int32)
+            lists = _pa.ListArray.from_arrays(_pa.array(ends), _pa.array(z.ravel()), mask=_pa.array(~ok))
+            # kept columns pass through as Arrow, untouched
+            yield _pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), lists], names=[*keep, "logits"])
 
-    return df.select(*dict.fromkeys(keep + list(inputs))).mapInPandas(run, out_schema)
+    return df.select(*dict.fromkeys(keep + list(inputs))).mapInArrow(run, out_schema)

@@ -101,7 +101,8 @@ def pool_first(df: DataFrame, group: str, order: str, value: str, out: str = "fi
     ``min_by`` aggregates partially on the map side, so a very long sequence
     sends one candidate per task through the shuffle."""
     return df.groupBy(group).agg(
-        F.min_by(F.col(value), F.col(order)).alias(out),
+        # equal order values: the smaller content hash is first, whatever the task order
+        F.min_by(F.col(value), F.struct(F.col(order), F.xxhash64(F.col(value)))).alias(out),
         F.min(F.col(order)).alias(f"{out}_{order}"))
 
 

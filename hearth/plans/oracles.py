@@ -141,6 +141,19 @@ oracle("scan_documents", f"SELECT {DOC_COLS}, length(text)::INTEGER AS text_len
 oracle("row_count", "SELECT count(*) AS n_rows FROM documents")
 oracle("slice_head", f"SELECT {DOC_COLS} FROM documents ORDER BY doc_id LIMIT 160")
 oracle("slice_range", f"SELECT {DOC_COLS} FROM documents ORDER BY doc_id LIMIT 40 OFFSET 160")
+INDEX_KEYS = {
+    "wide": "(1152921504606846976 + doc_id)::BIGINT",
+    "decimal": "doc_id::DECIMAL(38,0) + 1000000000000000000000000000000::DECIMAL(38,0)",
+    "date": "(DATE '2000-01-01' + doc_id::INTEGER)::DATE",
+}
+for _kind, _key in INDEX_KEYS.items():
+    oracle(f"index_slice_{_kind}", f"""
+SELECT doc_id, lang, ({_key})::VARCHAR AS k FROM documents ORDER BY {_key} LIMIT 40 OFFSET 160""")
+    oracle(f"index_batch_{_kind}", f"""
+SELECT doc_id, ((row_number() OVER (ORDER BY {_key}) - 1) // 32)::BIGINT AS batch_id FROM documents""")
+oracle("index_slice_text", "SELECT page_id, url FROM pages ORDER BY encode(url), page_id LIMIT 40 OFFSET 160")
+oracle("index_batch_text", """
+SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 32)::BIGINT AS batch_id FROM documents""")
 oracle("slice_range_indexed", f"SELECT {DOC_COLS} FROM documents ORDER BY doc_id LIMIT 40 OFFSET 160")
 oracle("row_at", f"SELECT {DOC_COLS} FROM documents ORDER BY doc_id LIMIT 1 OFFSET 170")
 oracle("split_positional", f"""
@@ -158,19 +171,17 @@ FROM (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS pos FRO
 oracle("first_batch", f"SELECT {DOC_COLS} FROM documents ORDER BY doc_id LIMIT 64")
 oracle("const_columns", "SELECT doc_id, lang, '' AS new_result, 0.0::DOUBLE AS new_score FROM documents")
 oracle("label_swap", """
-SELECT d.doc_id, l.quality,
-       CASE WHEN l.quality IN (0, 1) THEN 1 - l.quality ELSE l.quality END::INTEGER AS label
-FROM documents d JOIN labels l USING (doc_id)""")
+SELECT doc_id, quality,
+       CASE WHEN quality IN (0, 1) THEN 1 - quality ELSE quality END::INTEGER AS label
+FROM labels""")
 oracle("record_assembly", """
 SELECT d.doc_id AS idx, d.text AS sentence,
        CASE WHEN l.quality IN (0, 1) THEN 1 - l.quality ELSE l.quality END::INTEGER AS labels
 FROM documents d JOIN labels l USING (doc_id)""")
 oracle("score_writeback", scoring_with() + """
-, first AS (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 160)
-SELECT e.vec_id, e.label,
-       coalesce(CASE WHEN f.vec_id IS NOT NULL THEN 'class_' || s.pred::VARCHAR END, '') AS new_result,
-       round(coalesce(CASE WHEN f.vec_id IS NOT NULL THEN 1.0 / s.se END, 0.0), 6) AS new_score
-FROM embeddings e LEFT JOIN first f USING (vec_id) LEFT JOIN scored s USING (vec_id)""")
+SELECT e.vec_id, e.label, coalesce('class_' || s.pred::VARCHAR, '') AS new_result,
+       round(coalesce(1.0 / s.se, 0.0), 6) AS new_score
+FROM embeddings e LEFT JOIN scored s USING (vec_id)""")
 
 
 # --------------------------------------------------------------------- encoder
@@ -221,9 +232,9 @@ HOSTS = """hosts AS (
   FROM pages)"""
 SNAPSHOTS = HOSTS + """,
 base AS (SELECT key, arg_max(url, page_id) AS url, max(page_id) AS page_id
-         FROM hosts WHERE starts_with(url, 'http://') GROUP BY key),
+         FROM hosts WHERE page_id % 2 = 0 GROUP BY key),
 upd AS (SELECT key, arg_max(url, page_id) AS url, max(page_id) AS page_id
-        FROM hosts WHERE starts_with(url, 'https://') GROUP BY key)"""
+        FROM hosts WHERE page_id % 2 <> 0 GROUP BY key)"""
 
 oracle("flag_any_substring", f"SELECT doc_id, source, coalesce({ANY}, false) AS flag FROM documents")
 oracle("flag_additive", f"""

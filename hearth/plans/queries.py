@@ -217,6 +217,50 @@ def q_slice_range_indexed(spark, sf_dir):
                           SLICE_A, SLICE_B, top_k_max_rows=0)
 
 
+# Order keys beyond 2^53, decimals, texts and dates through the position index.
+ORDER_KEYS = {
+    "wide": "CAST(1152921504606846976 + doc_id AS BIGINT)",
+    "decimal": "CAST(doc_id AS DECIMAL(38,0)) + CAST(1000000000000000000000000000000 AS DECIMAL(38,0))",
+    "date": "date_add(DATE'2000-01-01', CAST(doc_id AS INT))",
+}
+
+
+def _keyed_docs(spark, sf_dir, kind):
+    docs = load(spark, sf_dir, "documents").select("doc_id", "lang")
+    return docs.withColumn("k", F.expr(ORDER_KEYS[kind]))
+
+
+def _register_index_queries():
+    def add(kind):
+        @query(f"index_slice_{kind}")
+        def _slice(spark, sf_dir):
+            d = Fp.slice_range(_keyed_docs(spark, sf_dir, kind), "k", SLICE_A, SLICE_B, top_k_max_rows=0)
+            return d.select("doc_id", "lang", F.col("k").cast("string").alias("k"))
+
+        @query(f"index_batch_{kind}")
+        def _batch(spark, sf_dir):
+            d = _keyed_docs(spark, sf_dir, kind)
+            return Fp.with_batch(d, "k", 32).select("doc_id", "batch_id")
+
+    for kind in ORDER_KEYS:
+        add(kind)
+
+
+_register_index_queries()
+
+
+@query("index_slice_text")
+def q_index_slice_text(spark, sf_dir):
+    pages = load(spark, sf_dir, "pages").select("page_id", "url")
+    return Fp.slice_range(pages, "url", SLICE_A, SLICE_B, top_k_max_rows=0)
+
+
+@query("index_batch_text")
+def q_index_batch_text(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.format_string("doc-%012d", F.col("doc_id")).alias("k"))
+    return Fp.with_batch(docs, "k", 32).select("doc_id", "batch_id")
+
+
 @query("row_at")
 def q_row_at(spark, sf_dir):
     return Fp.row_at(load(spark, sf_dir, "documents").select(*DOC_COLS), "doc_id", 170)
@@ -258,7 +302,7 @@ def _labelled_docs(spark, sf_dir) -> DataFrame:
 
 @query("label_swap")
 def q_label_swap(spark, sf_dir):
-    d = _labelled_docs(spark, sf_dir).select("doc_id", "quality")
+    d = load(spark, sf_dir, "labels").select("doc_id", "quality")
     return P.swap_labels(d, "quality", out="label")
 
 
@@ -270,16 +314,14 @@ def q_record_assembly(spark, sf_dir):
 
 @query("score_writeback")
 def q_score_writeback(spark, sf_dir):
-    """Score the first rows (as the scoring script does), write the class name and
-    probability back onto the whole table; other rows keep the defaults."""
+    """Score every row and write the class name and probability back onto the table."""
     emb = load(spark, sf_dir, "embeddings")
     base = P.add_constants(emb.select("vec_id", "label"), P.SCORE_DEFAULTS)
-    first = Fp.head(emb, "vec_id", SLICE_A)
-    s = R.score_table(first, "embedding", fixed_head(NUM_CLASSES, WIDTH),
+    s = R.score_table(emb, "embedding", fixed_head(NUM_CLASSES, WIDTH),
                       class_names=class_names(NUM_CLASSES))
     s = s.select("vec_id", F.col("pred_name").alias("new_result"),
                  F.col("score").alias("new_score"))
-    out = P.write_back(base, s, "vec_id", scores_max_rows=SLICE_A)
+    out = P.write_back(base, s, "vec_id")
     return out.select("vec_id", "label", "new_result", r6("new_score").alias("new_score"))
 
 
@@ -416,11 +458,11 @@ def q_last_write_wins(spark, sf_dir):
 
 
 def _snapshots(spark, sf_dir):
-    """Two snapshots of the same keyed table: the plain-http crawl is the base,
-    the https crawl the update; each is reduced to one row per key."""
+    """Two snapshots of the same keyed table: the rows of even page ids are the base,
+    those of odd ones the update; each is reduced to one row per key."""
     h = _hosts(spark, sf_dir)
-    base = K.last_write_wins(h.filter(F.col("url").startswith("http://")), "key", ["url"], "page_id")
-    upd = K.last_write_wins(h.filter(F.col("url").startswith("https://")), "key", ["url"], "page_id")
+    base = K.last_write_wins(h.filter(F.col("page_id") % 2 == 0), "key", ["url"], "page_id")
+    upd = K.last_write_wins(h.filter(F.col("page_id") % 2 != 0), "key", ["url"], "page_id")
     return base, upd
 
 

@@ -136,3 +136,20 @@ def test_slice_routes_agree_on_repeated_keys(spark):
     a = sorted(r.v for r in P.slice_range(df, "k", 40, 130).collect())
     b = sorted(r.v for r in P.slice_range(df, "k", 40, 130, top_k_max_rows=0).collect())
     assert a == b and len(a) == 90
+
+
+@pytest.mark.parametrize("cast", ["CAST(1152921504606846976 + id AS BIGINT)", "CAST(id AS DECIMAL(38,0)) + CAST('1e30' AS DECIMAL(38,0))",
+                                  "concat('https://same.example/', lpad(id, 6, '0'))", "date_add(DATE'2000-01-01', CAST(id AS INT))",
+                                  "timestamp_micros(id)", "CASE WHEN id < 700 THEN 9007199254740993 ELSE id END",
+                                  "CASE WHEN id % 3 = 0 THEN NULL ELSE 9007199254740992 + id % 7 END"])
+def test_index_route_orders_every_key_type(spark, cast):
+    df = spark.range(2000).selectExpr("id", f"{cast} AS k").repartition(5)
+    want = [r.id for r in P.slice_range(df, "k", 900, 960, top_k_max_rows=10 ** 9).collect()]
+    got = [r.id for r in P.slice_range(df, "k", 900, 960, top_k_max_rows=0).collect()]
+    assert sorted(got) == sorted(want)
+    idx = P.PositionIndex.build(df, "k", num_buckets=16)
+    rows = idx.with_position(df).collect()
+    assert sorted(r.pos for r in rows) == list(range(2000))
+    first = lambda r: (r.k is not None, r.k if r.k is not None else 0)
+    rows.sort(key=lambda r: r.pos)
+    assert all(first(a) <= first(b) for a, b in zip(rows, rows[1:]))
