@@ -35,7 +35,7 @@ HEAD_VOCAB_ROWS = 200_000
 
 
 def token_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(key, F.size(tokenize(text)).alias("n_tokens"))
+    return df.select(key, _n_tokens(text).alias("n_tokens"))
 
 
 def build_vocab(df: DataFrame, text: str, size: int) -> DataFrame:
@@ -147,7 +147,9 @@ def _tokens_once(df: DataFrame, key: str, text: str, keep: list[str],
     projection. ``n_tokens`` and ``_kept`` both read that column; the optimizer
     keeps it (it is referenced twice and is not cheap), so neither the Python
     evaluation node nor the explode re-tokenises."""
-    t = df.select(key, *keep, tokenize(text).alias("_toks"))
+    # a NULL text has no tokens, on every route
+    toks = F.coalesce(tokenize(text), F.array().cast("array<string>"))
+    t = df.select(key, *keep, toks.alias("_toks"))
     return t.select(key, *keep, F.size("_toks").alias("n_tokens"),
                     F.slice("_toks", 1, max_len - 2).alias("_kept"))
 

@@ -55,8 +55,13 @@ def _project_arrow(df: DataFrame, features: str, w: np.ndarray, b: np.ndarray |
         lens = np.asarray(pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False))
         if (lens[valid] != width).any():
             raise ValueError(f"projection expects width {width}, got {set(lens[valid].tolist())}")
-        x = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-        z = x.reshape(int(valid.sum()), width) @ wt
+        flat = col.flatten()
+        x = flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(int(valid.sum()), width)
+        if flat.null_count:  # a NULL element makes the row's result NULL, as in the JVM form
+            whole = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(x.shape).any(axis=1)
+            x, valid = x[whole], valid.copy()
+            valid[np.flatnonzero(valid)[~whole]] = False
+        z = x @ wt
         if bias is not None:
             z += bias
         offsets = np.zeros(n + 1, dtype=np.int32)
@@ -68,7 +73,8 @@ def _project_arrow(df: DataFrame, features: str, w: np.ndarray, b: np.ndarray |
 
 
 def project(df: DataFrame, features: str, weights, bias=None, out: str = "projected") -> DataFrame:
-    """``out = W x + b`` for every row. Width mismatches raise."""
+    """``out = W x + b`` for every row; NULL for a NULL vector or one with a NULL element.
+    Width mismatches raise."""
     w = np.asarray(weights, dtype=float)
     if w.ndim != 2:
         raise ValueError("weights must be a 2-D matrix (outputs x width)")
@@ -78,7 +84,8 @@ def project(df: DataFrame, features: str, weights, bias=None, out: str = "projec
         checked = F.when(x.isNull() | (F.size(x) == w.shape[1]), x).otherwise(F.raise_error(
             F.concat(F.lit(f"projection expects width {w.shape[1]}, got "),
                      F.size(x).cast("string"))))
-        return df.withColumn(out, matvec(checked, w.tolist(),
+        whole = F.when(~F.exists(checked, lambda v: v.isNull()), checked)
+        return df.withColumn(out, matvec(whole, w.tolist(),
                                          None if b is None else b.tolist()))
     return _project_arrow(df, features, w, b, out)
 

@@ -125,3 +125,19 @@ def test_split_join_uses_head_and_tail(spark, monkeypatch):
     want = {r.doc_id: r.input_ids for r in
             E.encode(d, "doc_id", "text", vocab, 10, route="lookup").collect()}
     assert got == want
+
+
+def test_null_text_has_no_tokens_on_every_route(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "k long, t string")
+    vocab = E.build_vocab(df, "t", 10)
+    want = [1, 1, 0, 0, 0]
+    for route in ("lookup", "join", "split-join"):
+        got = {r.k: r.attention_mask for r in E.encode(df, "k", "t", vocab, 5, route=route).collect()}
+        assert got[2] == got[3] == want, route
+    assert {r.k for r in E.empty_inputs(df, "k", "t").collect()} == {2, 3}
+
+
+def test_map_batches_keeps_wide_integers_beside_nulls(spark):
+    df = spark.createDataFrame([(9007199254740993,), (None,)], "k long")
+    out = E.map_batches(df, lambda pdf: {"n": [1] * len(pdf)}, [T.StructField("n", T.IntegerType())])
+    assert {r.k for r in out.collect()} == {9007199254740993, None}

@@ -138,3 +138,12 @@ def test_score_with_fn_null_inputs_give_null(spark):
 
     out = {r.id: r.logits for r in R.score_with_fn(df, make, ["x"], 2, keep=["id"]).collect()}
     assert out == {1: [1.0, 0.0], 2: None}
+
+
+def test_ignored_and_wrong_labels(spark):
+    df = spark.createDataFrame([([0.0, 1.0], 1), ([0.0, 1.0], -100), ([0.0, 1.0], None)], "logits array<double>, y int")
+    got = [r.nll for r in R.score(df, "logits", "y").collect()]
+    assert got[0] is not None and got[1] is None and got[2] is None
+    bad = spark.createDataFrame([([0.0, 1.0], -2)], "logits array<double>, y int")
+    with pytest.raises(Exception, match="label out of range"):
+        R.score(bad, "logits", "y").collect()

@@ -70,3 +70,10 @@ def test_null_vectors_give_null(spark):
     assert c[1] is None and c[2] == [1.0, 1.0, 2.0, 2.0]
     p = {r.id: r.y for r in V.project(d, "b", [[1.0, 1.0]], out="y").collect()}
     assert p == {1: None, 2: [4.0]}
+
+
+def test_null_elements_give_null_on_both_projection_routes(spark):
+    df = spark.createDataFrame([([1.0, None, 3.0, 4.0],), (None,), ([1.0, 2.0, 3.0, 4.0],)], "x array<double>")
+    for k in (3, 80):
+        got = [r.p for r in V.project(df, "x", np.ones((k, 4)), out="p").collect()]
+        assert got == [None, None, [10.0] * k]
