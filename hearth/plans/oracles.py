@@ -329,3 +329,21 @@ oracle("score_no_labels", scoring_with() + "SELECT vec_id, pred, round(1.0 / se,
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+# ------------------------------------------------- written tables, read back
+
+oracle("split_pair", """
+SELECT doc_id, lang, CASE WHEN doc_id % 5 = 0 THEN 'validation' ELSE 'train' END AS split FROM documents""")
+oracle("table_sink", """
+SELECT lang, count(*) AS n_rows, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY lang""")
+oracle("metric_history", scoring_with() + """
+SELECT run, coalesce(sum((pred = label)::INTEGER) FILTER (WHERE label IS NOT NULL), 0)::BIGINT AS n_correct,
+       count(*) FILTER (WHERE label IS NOT NULL) AS n_total
+FROM scored, (VALUES ('first'), ('second')) r(run) GROUP BY run""")
+oracle("head_reload", scoring_with() + """
+SELECT vec_id, class_id::INTEGER AS class_id, round(z, 6) AS logit FROM logits""")
+oracle("feature_reuse", f"""WITH {EMB_LONG}
+SELECT vec_id, (j // 16 + 1)::INTEGER AS view, round(sqrt(sum(v * v)), 6) AS l2 FROM emb_long GROUP BY vec_id, j // 16""")
+oracle("flatten_views", f"""WITH {EMB_LONG}
+SELECT vec_id, (j // 16)::INTEGER AS pos, round(sqrt(sum(v * v)), 6) AS l2 FROM emb_long GROUP BY vec_id, j // 16""")

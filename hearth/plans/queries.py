@@ -705,3 +705,83 @@ def q_score_no_labels(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
+
+
+# ------------------------------------------------- written tables, read back (S)
+
+def _shared(spark, name) -> str:
+    """A new folder under the shared folder that the session names."""
+    import os
+    import uuid
+
+    from hearth.session import checkpoint_dir
+    return os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+
+
+@query("split_pair")
+def q_split_pair(spark, sf_dir):
+    """Training and validation tables of one schema, written and read as a pair."""
+    from hearth.sources.sinks import write_table
+    from hearth.sources.tables import read_pair
+    docs, root = load(spark, sf_dir, "documents"), _shared(spark, "pair")
+    held = F.coalesce(F.col("doc_id") % 5 == 0, F.lit(False))
+    write_table(docs.filter(~held), f"{root}/train")
+    write_table(docs.filter(held), f"{root}/validation")
+    return read_pair(spark, f"{root}/train", f"{root}/validation", "documents").select("doc_id", "lang", "split")
+
+
+@query("table_sink")
+def q_table_sink(spark, sf_dir):
+    """A table written in one folder per language, read back and counted."""
+    from hearth.sources.sinks import write_table
+    path = _shared(spark, "sink")
+    write_table(load(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), path, partition_by=["lang"])
+    return spark.read.parquet(path).groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("n_chars").alias("n_chars"))
+
+
+@query("metric_history")
+def q_metric_history(spark, sf_dir):
+    """Metrics of two runs appended to one history, read back."""
+    from hearth.sources.sinks import append_metrics
+    path = _shared(spark, "metrics")
+    found = A.correct_total(_scored(spark, sf_dir))
+    for run in ("first", "second"):
+        append_metrics(found.withColumn("run", F.lit(run)), path)
+    return spark.read.parquet(path).select("run", "n_correct", "n_total")
+
+
+@query("head_reload")
+def q_head_reload(spark, sf_dir):
+    """Logits of a head that was saved and loaded again."""
+    from hearth.sources.sinks import load_head, save_head
+    path = _shared(spark, "head")
+    save_head(spark, path, fixed_head(NUM_CLASSES, WIDTH))
+    w, b = load_head(spark, path)
+    lg = R.head_logits(load(spark, sf_dir, "embeddings"), "embedding", w, b)
+    return lg.select("vec_id", F.posexplode_outer("logits").alias("class_id", "logit")) \
+        .select("vec_id", "class_id", r6("logit").alias("logit"))
+
+
+def _l2(vec: str):
+    return r6(F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, v: a + v.cast("double") * v)))
+
+
+@query("feature_reuse")
+def q_feature_reuse(spark, sf_dir):
+    """Features written once, then used from the written table."""
+    import uuid
+
+    from hearth.sources.sinks import materialise
+    views = V.layer_views(load(spark, sf_dir, "embeddings"), "embedding", VIEW_WIDTH, N_VIEWS, keep=["vec_id"])
+    kept = materialise(views, f"features-{uuid.uuid4().hex}")
+    return kept.select("vec_id", F.col("view").cast("int").alias("view"), _l2("vec").alias("l2"))
+
+
+@query("flatten_views")
+def q_flatten_views(spark, sf_dir):
+    """One row per inner vector of a nested column."""
+    emb = load(spark, sf_dir, "embeddings")
+    nested = F.array(*[F.slice("embedding", k * VIEW_WIDTH + 1, VIEW_WIDTH) for k in range(N_VIEWS)])
+    rows = V.flatten_rows(emb.select("vec_id", nested.alias("views")), "views", "vec")
+    return rows.select("vec_id", F.col("pos").cast("int").alias("pos"), _l2("vec").alias("l2"))
