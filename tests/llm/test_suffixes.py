@@ -82,3 +82,15 @@ def test_anchors_are_the_same_in_blocks(monkeypatch):
     monkeypatch.setattr(suffixes, "BLOCK", 256)
     parts = suffixes.anchors(buf, bounds)
     assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+
+
+def test_suffix_order_of_long_repeats():
+    rng = np.random.default_rng(8)
+    for trial in range(60):
+        blocks = [rng.integers(0 if trial % 2 else 97, 99, int(rng.integers(1, 160))).astype(np.uint8) for _ in range(4)]
+        b = np.concatenate([blocks[k] for k in rng.integers(0, 4, 25)] + [np.zeros(trial % 3 * 40, np.uint8)])
+        s = b.tobytes() + bytes(80)
+        got = suffixes.suffix_order(b)
+        assert sorted(got.tolist()) == list(range(len(b)))
+        keys = [s[i:i + 72] for i in got]
+        assert keys == sorted(keys)
