@@ -63,18 +63,12 @@ def vocab_bytes(vocab: DataFrame) -> int:
 def prepare_vocab(df: DataFrame, text: str, size: int) -> tuple[DataFrame, int | None]:
     """Build the vocabulary once, write it under the shared checkpoint folder
     (encode once, reuse for every encoding job) and measure it, so the lookup
-    can be broadcast on a proven size. Returns ``(vocab, bytes)``. Without a
-    shared folder (``spark.checkpoint.dir`` unset on a cluster) the vocabulary
-    stays lazy and unmeasured: ``bytes`` is ``None`` and :func:`encode` takes
-    the join route with no broadcast hint."""
+    can be broadcast on a proven size. Returns ``(vocab, bytes)``. A cluster must name
+    the shared folder in ``spark.checkpoint.dir``; without one this raises."""
     import uuid
 
     from hearth.sources.sinks import materialise
-    vocab = build_vocab(df, text, size)
-    try:
-        vocab = materialise(vocab, f"vocab-{uuid.uuid4().hex}")
-    except RuntimeError:
-        return vocab, None
+    vocab = materialise(build_vocab(df, text, size), f"vocab-{uuid.uuid4().hex}")
     return vocab, vocab_bytes(vocab)
 
 
@@ -134,11 +128,21 @@ def _encode_lookup(df: DataFrame, key: str, text: str, vocab: DataFrame, max_len
         get_tokens = lambda: tokens
     ids_udf = _ids_udf(get_tokens, int(first_id), max_len)
     base = _tokens_once(df, key, text, keep, max_len)
-    n = F.size("_kept")
-    pad = F.lit(max_len - 2) - n
-    mask = F.concat(F.array_repeat(F.lit(1), n + 2), F.array_repeat(F.lit(0), pad))
     return base.select(key, *keep, "n_tokens", ids_udf(F.col("_kept")).alias("input_ids"),
-                       mask.alias("attention_mask"))
+                       _mask(F.size("_kept"), max_len).alias("attention_mask"))
+
+
+def _mask(n: Column, max_len: int) -> Column:
+    return F.concat(F.array_repeat(F.lit(1), n + 2), F.array_repeat(F.lit(0), F.lit(max_len - 2) - n))
+
+
+def attention_mask(df: DataFrame, key: str, text: str, max_len: int = DEFAULT_MAX_LEN,
+                   keep: Sequence[str] = ()) -> DataFrame:
+    """``key, *keep, n_tokens, attention_mask`` as :func:`encode` gives them. The mask needs
+    the token count alone: no vocabulary, no shuffle."""
+    _check_len(max_len)
+    counted = df.select(key, *keep, _n_tokens(text).alias("n_tokens"))
+    return counted.withColumn("attention_mask", _mask(F.least(F.col("n_tokens"), F.lit(max_len - 2)), max_len))
 
 
 def _tokens_once(df: DataFrame, key: str, text: str, keep: list[str],
@@ -160,15 +164,14 @@ def _ids_udf(get_tokens, first_id: int, max_len: int):
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def _ids(col: pa.Array) -> pa.Array:
         import pyarrow.compute as pc
-        if "vocab" not in cache:
-            cache["vocab"] = pa.array(get_tokens(), type=pa.string())
-        n = len(col)
+        if "ids" not in cache:  # one table per Python worker, not one per batch
+            cache["ids"] = {t: first_id + k for k, t in enumerate(get_tokens())}
+        n, known = len(col), cache["ids"]
         lens = np.asarray(pc.fill_null(pc.list_value_length(col), 0)
                           .to_numpy(zero_copy_only=False), dtype=np.int64)
-        flat = col.flatten()
-        found = pc.index_in(flat.cast(pa.string()), value_set=cache["vocab"])
-        ids = np.asarray(pc.fill_null(pc.add(found, first_id), UNK_ID)
-                         .to_numpy(zero_copy_only=False), dtype=np.int32)
+        words = col.flatten().dictionary_encode()  # each distinct word of the batch is looked up once
+        table = np.array([known.get(t, UNK_ID) for t in words.dictionary.to_pylist()], dtype=np.int32)
+        ids = table[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, dtype=np.int32)
         out = np.full((n, max_len), PAD_ID, dtype=np.int32)
         out[:, 0] = BEGIN_ID
         rows = np.repeat(np.arange(n), lens)
@@ -226,8 +229,7 @@ def _pad_and_mask(ids, n, max_len: int):
     pad = F.lit(max_len - 2) - n
     input_ids = F.concat(F.array(F.lit(BEGIN_ID)), ids, F.array(F.lit(END_ID)),
                          F.array_repeat(F.lit(PAD_ID), pad))
-    mask = F.concat(F.array_repeat(F.lit(1), n + 2), F.array_repeat(F.lit(0), pad))
-    return input_ids.alias("input_ids"), mask.alias("attention_mask")
+    return input_ids.alias("input_ids"), _mask(n, max_len).alias("attention_mask")
 
 
 def empty_inputs(df: DataFrame, key: str, text: str, strict: bool = False) -> DataFrame:

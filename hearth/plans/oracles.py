@@ -319,6 +319,117 @@ SELECT i.range::INTEGER AS i, (64 + c.range)::INTEGER AS j, round(coalesce(xy.va
 FROM range(64) i CROSS JOIN range(10) c LEFT JOIN xy ON xy.i = i.range AND xy.c = c.range""")
 
 
+# ---------------------------------------------------------------- closed-form heads
+
+RANKED = """ranked AS (
+  SELECT vec_id, label, embedding,
+         row_number() OVER (ORDER BY vec_id) <= floor(0.8 * count(*) OVER ()) AS is_train
+  FROM embeddings),
+raw AS (
+  SELECT vec_id, label, is_train, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS j
+  FROM ranked)"""
+
+
+def gauss_jordan(name: str, cells: str, d: int) -> str:
+    """Eliminates the first ``d`` columns of ``cells(grp, i, j, v)`` in ``d`` steps, for every group."""
+    return f"""{name}(grp, k, i, j, v) AS (
+  SELECT grp, 0, i, j, v FROM {cells}
+  UNION ALL
+  SELECT a.grp, a.k + 1, a.i, a.j, CASE WHEN a.i = a.k THEN a.v / p.v ELSE a.v - c.v * r.v / p.v END
+  FROM {name} a
+  JOIN {name} p ON p.grp = a.grp AND p.i = a.k AND p.j = a.k
+  JOIN {name} r ON r.grp = a.grp AND r.i = a.k AND r.j = a.j
+  JOIN {name} c ON c.grp = a.grp AND c.i = a.i AND c.j = a.k
+  WHERE a.k < {d})"""
+
+
+def closed_form(feats: str, d: int) -> str:
+    """``feats`` selects ``(grp, vec_id, label, is_train, j, v)``; gives ``head`` and ``scored`` (held-out rows)."""
+    return f"""WITH RECURSIVE {RANKED},
+feats AS ({feats}),
+x AS (SELECT * FROM feats WHERE is_train AND label IS NOT NULL),
+cells AS (
+  SELECT a.grp, a.j AS i, b.j AS j, sum(a.v * b.v) AS v
+  FROM x a JOIN x b ON a.grp = b.grp AND a.vec_id = b.vec_id GROUP BY a.grp, a.j, b.j
+  UNION ALL
+  SELECT grp, j, {d} + c.range, sum(CASE WHEN label = c.range THEN v ELSE 0.0 END)
+  FROM x CROSS JOIN range(10) c GROUP BY grp, j, c.range),
+{gauss_jordan("solved", "cells", d)},
+head AS (SELECT grp, j - {d} AS c, i AS j, v AS w FROM solved WHERE k = {d} AND j >= {d}),
+logits AS (
+  SELECT e.grp, e.vec_id, e.label, h.c AS class_id, sum(e.v * h.w) AS z
+  FROM feats e JOIN head h ON e.grp = h.grp AND e.j = h.j WHERE NOT e.is_train
+  GROUP BY e.grp, e.vec_id, e.label, h.c),
+scored AS (
+  SELECT grp, vec_id, label, min(class_id) FILTER (WHERE z = m)::INTEGER AS pred, 1.0 / sum(exp(z - m)) AS score
+  FROM (SELECT *, max(z) OVER (PARTITION BY grp, vec_id) AS m FROM logits) t GROUP BY grp, vec_id, label)
+"""
+
+
+WHOLE = "SELECT 1 AS grp, * FROM raw"
+HITS = """round(avg((pred = label)::DOUBLE) FILTER (WHERE label IS NOT NULL), 6) AS accuracy,
+       coalesce(sum((pred = label)::INTEGER) FILTER (WHERE label IS NOT NULL), 0)::BIGINT AS n_correct,
+       count(*) FILTER (WHERE label IS NOT NULL) AS n_labelled"""
+
+oracle("lstsq_fit", closed_form(WHOLE, 64) + """
+SELECT c::INTEGER AS class_id, j::INTEGER AS j, round(w, 6) AS w FROM head""")
+oracle("lstsq_eval", closed_form(WHOLE, 64) + """
+SELECT vec_id, label, pred, round(score, 6) AS score FROM scored""")
+oracle("head_per_view", closed_form(
+    "SELECT j // 16 + 1 AS grp, vec_id, label, is_train, j % 16 AS j, v FROM raw", 16) + f"""
+SELECT grp::INTEGER AS view, {HITS} FROM scored GROUP BY grp""")
+oracle("fused_head", closed_form("""
+  SELECT 1 AS grp, vec_id, label, is_train, m.range AS j,
+         sum(v * ((((m.range * 31 + (raw.j % 16) * 17 + (5 + raw.j // 16) * 7) % 23) - 11) / 11.0::DOUBLE) / 4.0) AS v
+  FROM raw CROSS JOIN range(16) m WHERE raw.j < 48 GROUP BY vec_id, label, is_train, m.range
+  UNION ALL
+  SELECT 1, vec_id, label, is_train, j - 32, v FROM raw WHERE j >= 48""", 32) + f"""
+SELECT {HITS} FROM scored""")
+
+
+def _rounds_sql(steps: tuple[int, ...], reg: float = 1e-3) -> str:
+    """The continued rounds, one chain of common table expressions per step."""
+    parts = [f"""WITH RECURSIVE {RANKED},
+x AS (SELECT vec_id, label, is_train, j, v FROM raw
+      UNION ALL SELECT vec_id, label, is_train, 64, 1.0 FROM ranked),
+t AS MATERIALIZED (SELECT * FROM x WHERE is_train AND label IS NOT NULL),
+n AS (SELECT count(DISTINCT vec_id) AS n FROM t),
+cells AS (
+  SELECT 1 AS grp, a.j AS i, b.j AS j,
+         0.5 * sum(a.v * b.v) / any_value(n.n) + CASE WHEN a.j = b.j THEN {reg}::DOUBLE ELSE 0.0 END AS v
+  FROM t a JOIN t b ON a.vec_id = b.vec_id CROSS JOIN n GROUP BY a.j, b.j
+  UNION ALL
+  SELECT 1, i.range, 65 + j.range, CASE WHEN i.range = j.range THEN 1.0 ELSE 0.0 END FROM range(65) i, range(65) j),
+{gauss_jordan("solved", "cells", 65)},
+bound AS MATERIALIZED (SELECT i, j - 65 AS j, v FROM solved WHERE k = 65 AND j >= 65),
+w0 AS (SELECT c.range AS c, j.range AS j, 0.0::DOUBLE AS w FROM range(10) c, range(65) j)"""]
+    for s in range(sum(steps)):
+        parts.append(f"""z{s} AS (SELECT vec_id, label, c, sum(v * w) AS z FROM t JOIN w{s} USING (j) GROUP BY vec_id, label, c),
+e{s} AS (SELECT vec_id, c, exp(z - m) / sum(exp(z - m)) OVER (PARTITION BY vec_id) - (label = c)::INTEGER AS r
+  FROM (SELECT *, max(z) OVER (PARTITION BY vec_id) AS m FROM z{s}) q),
+g{s} AS (SELECT c, j, sum(r * v) / any_value(n.n) AS g FROM e{s} JOIN t USING (vec_id) CROSS JOIN n GROUP BY c, j),
+d{s} AS (SELECT c, j, g + {reg}::DOUBLE * w AS g FROM g{s} JOIN w{s} USING (c, j)),
+w{s + 1} AS MATERIALIZED (
+  SELECT w{s}.c, w{s}.j, any_value(w{s}.w) - sum(d{s}.g * bound.v) AS w
+  FROM w{s} JOIN d{s} ON d{s}.c = w{s}.c JOIN bound ON bound.i = d{s}.j AND bound.j = w{s}.j GROUP BY w{s}.c, w{s}.j)""")
+    ends = [sum(steps[:k + 1]) for k in range(len(steps))]
+    parts.append("heads AS (" + " UNION ALL ".join(f"SELECT {r} AS round, * FROM w{e}" for r, e in enumerate(ends)) + ")")
+    parts.append("""logits AS (SELECT round, vec_id, label, c, sum(v * w) AS z
+  FROM x JOIN heads USING (j) WHERE NOT is_train GROUP BY round, vec_id, label, c),
+scored AS (
+  SELECT round, vec_id, label, min(c) FILTER (WHERE z = m) AS pred,
+         ln(sum(exp(z - m))) + any_value(m) - max(z) FILTER (WHERE c = label) AS nll
+  FROM (SELECT *, max(z) OVER (PARTITION BY round, vec_id) AS m FROM logits) q GROUP BY round, vec_id, label)""")
+    return ",\n".join(parts) + """
+SELECT round::INTEGER AS round, round(avg((pred = label)::DOUBLE) FILTER (WHERE label IS NOT NULL), 6) AS accuracy,
+       coalesce(sum((pred = label)::INTEGER) FILTER (WHERE label IS NOT NULL), 0)::BIGINT AS n_correct,
+       round(avg(nll) FILTER (WHERE label IS NOT NULL), 6) AS mean_nll
+FROM scored GROUP BY scored.round"""
+
+
+oracle("fit_rounds", _rounds_sql((1, 3, 10)))
+
+
 # ------------------------------------------------------------ user functions
 
 oracle("batched_map", """

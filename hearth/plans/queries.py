@@ -359,9 +359,8 @@ def q_encode_ids(spark, sf_dir):
 
 @query("attention_mask")
 def q_attention_mask(spark, sf_dir):
-    e = _encoded(spark, sf_dir)
-    return e.select("doc_id", F.aggregate("attention_mask", F.lit(0),
-                                          lambda a, v: a + v).alias("mask_sum"),
+    e = Tx.attention_mask(load_text(spark, sf_dir), "doc_id", "text", MAX_LEN)
+    return e.select("doc_id", F.aggregate("attention_mask", F.lit(0), lambda a, v: a + v).alias("mask_sum"),
                     _ints_str(F.col("attention_mask")).alias("attention_mask"))
 
 
@@ -608,20 +607,14 @@ def q_head_fit(spark, sf_dir):
 
 @query("head_per_view")
 def q_head_per_view(spark, sf_dir):
-    """One closed-form head per layer view, fitted in one pass (grouped Gram sums)."""
+    """One closed-form head per layer view: the views' Gram matrices are blocks of the one
+    over the whole vector, and all heads score the held-out rows in one stacked matmul."""
     train, test = _split_embeddings(spark, sf_dir)
-    lv = V.layer_views(train, "embedding", VIEW_WIDTH, N_VIEWS, keep=["vec_id", "label"])
-    heads = M.fit_lstsq(lv, "vec", "label", NUM_CLASSES, group="view")
-    # Each view's head, padded with zeros outside its slice, reads the full
-    # vector: all views are scored by one stacked matmul over the test rows.
+    eye = np.eye(WIDTH)
+    maps = {str(k + 1): eye[k * VIEW_WIDTH:(k + 1) * VIEW_WIDTH] for k in range(N_VIEWS)}
+    heads = M.fit_mapped_heads(train, "embedding", "label", NUM_CLASSES, maps)
     views = sorted(heads, key=int)
-    padded = []
-    for g in views:
-        w = np.zeros((NUM_CLASSES, WIDTH))
-        start = (int(g) - 1) * VIEW_WIDTH
-        w[:, start:start + VIEW_WIDTH] = heads[g]
-        padded.append(w)
-    lg = R.stacked_logits(test, "embedding", padded, keep=["vec_id", "label"], head_col="view")
+    lg = R.stacked_logits(test, "embedding", [heads[g] for g in views], keep=["vec_id", "label"], head_col="view")
     lg = lg.withColumn("view", F.element_at(F.array(*[F.lit(int(g)) for g in views]),
                                             F.col("view") + 1))
     scored = R.score(lg, "logits", label="label")
@@ -632,17 +625,15 @@ def q_head_per_view(spark, sf_dir):
 
 @query("fused_head")
 def q_fused_head(spark, sf_dir):
-    """Side branches of views 1-3 projected and summed, concatenated with view 4,
-    then a closed-form head on the fused vector."""
-    d = _views(spark, sf_dir)
-    first, rest = Fp.split_predicates(d, "vec_id", TRAIN_FRACTION)
+    """Side branches of views 1-3 projected and summed, concatenated with view 4, then a
+    closed-form head on the fused vector. The branches are affine: they fold into one map."""
+    train, test = _split_embeddings(spark, sf_dir)
+    fuse = np.zeros((2 * VIEW_WIDTH, WIDTH))
     for k in (1, 2, 3):
-        d = V.project(d, f"view{k}", fixed_head(VIEW_WIDTH, VIEW_WIDTH, 4 + k) / 4.0,
-                      out=f"side{k}")
-    d = V.vec_sum(d, ["side1", "side2", "side3"], "side")
-    d = V.vec_concat(d, ["side", "view4"], "fused", widths=[VIEW_WIDTH, VIEW_WIDTH])
-    w = M.fit_lstsq(d.filter(first), "fused", "label", NUM_CLASSES)
-    scored = R.score_table(d.filter(rest), "fused", w, label="label")
+        fuse[:VIEW_WIDTH, (k - 1) * VIEW_WIDTH:k * VIEW_WIDTH] = fixed_head(VIEW_WIDTH, VIEW_WIDTH, 4 + k) / 4.0
+    fuse[VIEW_WIDTH:, 3 * VIEW_WIDTH:] = np.eye(VIEW_WIDTH)
+    w = M.fit_mapped_heads(train, "embedding", "label", NUM_CLASSES, {"fused": fuse})["fused"]
+    scored = R.score_table(test, "embedding", w, label="label")
     return A.evaluate(scored).select(r6("accuracy").alias("accuracy"), "n_correct", "n_labelled")
 
 
@@ -651,11 +642,10 @@ FIT_ROUNDS = (1, 3, 10)
 
 @query("fit_rounds")
 def q_fit_rounds(spark, sf_dir):
-    """Repeated fit + evaluate rounds (growing iteration budget); one metrics row
+    """Fit + evaluate rounds, each going on from the weights of the last; one metrics row
     per round, scored in one pass over the held-out rows."""
     train, test = _split_embeddings(spark, sf_dir)
-    models = M.fit_rounds(train, "embedding", "label", test, FIT_ROUNDS)
-    wb = [M.softmax_head_weights(m) for _, m in models]
+    wb = M.fit_rounds(train, "embedding", "label", NUM_CLASSES, FIT_ROUNDS)
     lg = R.stacked_logits(test, "embedding", wb, keep=["vec_id", "label"], head_col="round")
     return A.evaluate(R.score(lg, "logits", label="label"), by=["round"]).select(
         "round", r6("accuracy").alias("accuracy"), "n_correct", r6("mean_nll").alias("mean_nll"))

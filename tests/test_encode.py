@@ -141,3 +141,11 @@ def test_map_batches_keeps_wide_integers_beside_nulls(spark):
     df = spark.createDataFrame([(9007199254740993,), (None,)], "k long")
     out = E.map_batches(df, lambda pdf: {"n": [1] * len(pdf)}, [T.StructField("n", T.IntegerType())])
     assert {r.k for r in out.collect()} == {9007199254740993, None}
+
+
+def test_mask_without_vocabulary_equals_the_encoder(spark):
+    df = spark.createDataFrame([(0, "a b c d e f"), (1, ""), (2, None), (3, "x")], "id long, text string")
+    vocab, size = E.prepare_vocab(df, "text", 3)
+    want = E.encode(df, "id", "text", vocab, 6, vocab_size_bytes=size).select("id", "n_tokens", "attention_mask")
+    got = E.attention_mask(df, "id", "text", 6)
+    assert sorted(got.collect()) == sorted(want.collect())

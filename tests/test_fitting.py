@@ -65,3 +65,51 @@ def test_softmax_head_separates(spark):
     w, b = M.softmax_head_weights(model)
     assert w.shape == (3, 3) and b.shape == (3,)
     assert ((x @ w.T + b).argmax(1) == y).mean() == 1.0
+
+
+def test_null_vectors_and_elements_left_out(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, None, 1), (2, [None, 5.0], 1), (3, [0.0, 1.0], 1)],
+                               "id long, f array<double>, label int")
+    assert np.allclose(M.fit_lstsq(df, "f", "label", 2), np.eye(2))
+
+
+def test_mapped_heads_equal_heads_on_mapped_rows(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(60, 6)), rng.integers(0, 3, size=60)
+    maps = {"view": np.eye(6)[2:5], "fused": rng.normal(size=(4, 6))}
+    heads = M.fit_mapped_heads(feature_df(spark, x, y), "f", "label", 3, maps)
+    for name, m in maps.items():
+        want = (np.linalg.pinv(x @ m.T) @ np.eye(3)[y]).T @ m
+        assert np.allclose(heads[name], want, atol=1e-8)
+
+
+def test_rounds_continue_and_lower_the_loss(spark):
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 3, size=80)
+    x = np.eye(3)[y] + rng.normal(scale=0.5, size=(80, 3))
+    df = feature_df(spark, x, y).cache()
+    (w1, b1), (w2, b2) = M.fit_rounds(df, "f", "label", 3, (2, 3))
+    (w5, b5), = M.fit_rounds(df, "f", "label", 3, (5,))
+    assert np.allclose(w2, w5) and np.allclose(b2, b5)   # 2 steps and 3 more are 5 steps
+
+    def loss(w, b):
+        z = x @ w.T + b
+        return (np.log(np.exp(z).sum(axis=1)) - z[np.arange(80), y]).mean()
+    assert loss(w2, b2) < loss(w1, b1) < np.log(3)
+
+
+def test_rounds_reach_the_regularised_optimum(spark):
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(size=(40, 2)), rng.integers(0, 2, size=40)
+    df = feature_df(spark, x, y, parts=1).cache()
+    (w, b), = M.fit_rounds(df, "f", "label", 2, (25,), reg=0.1)
+    full = np.concatenate([w, b[:, None]], axis=1)
+    grad, n = M.softmax_gradient(df, "f", "label", full)
+    assert n == 40 and np.abs(grad / n + 0.1 * full).max() < 1e-6
+
+
+def test_no_key_receives_one_row_per_task(spark):
+    """The partial sums meet per slot first, so the Gram plan has two exchanges."""
+    df = spark.range(8).selectExpr("array(double(id), 1D) AS f", "int(id % 2) AS label")
+    plan = M.gram_rows(df, "f", "label", 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "slot" in plan
