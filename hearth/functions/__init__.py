@@ -2,8 +2,7 @@
 built-in Spark SQL functions, so it stays inside the JVM and whole-stage codegen."""
 
 from hearth.functions.arrays import (  # noqa: F401
-    argmax, array_literal, cross_entropy, dot, has_nan, logsumexp, matrix_literal,
-    matvec, max_prob, one_hot, same_width, softmax, vec_add, vec_sum,
+    argmax, array_literal, has_nan, matrix_literal, matvec, one_hot, same_width, vec_add, vec_sum,
 )
 from hearth.functions.text import (  # noqa: F401
     any_contains, matches_target, strip_literals, tokenize, url_key,

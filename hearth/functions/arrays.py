@@ -29,13 +29,6 @@ def matrix_literal(rows: Sequence[Sequence[float]]) -> Column:
     return F.array(*[array_literal(r) for r in rows])
 
 
-def dot(x, w) -> Column:
-    """Inner product of two equal-length arrays (``w`` may be a list of floats)."""
-    w = array_literal(w) if isinstance(w, (list, tuple)) else _c(w)
-    prod = F.zip_with(_c(x), w, lambda a, b: a.cast("double") * b.cast("double"))
-    return F.aggregate(prod, F.lit(0.0), lambda acc, v: acc + v)
-
-
 def matvec(x, weights, bias=None) -> Column:
     """``W x + b``: one output per row of ``weights``.
 
@@ -64,39 +57,6 @@ def has_nan(logits) -> Column:
     return F.exists(_c(logits), lambda v: F.isnan(v))
 
 
-def _sum_exp_shifted(l: Column, m: Column) -> Column:
-    return F.aggregate(l, F.lit(0.0), lambda acc, v: acc + F.exp(v - m))
-
-
-def logsumexp(logits, row_max=None) -> Column:
-    """Stable ``log(sum(exp(l)))``; pass a precomputed ``row_max`` column to avoid
-    re-evaluating ``array_max`` inside the lambda."""
-    l = _c(logits)
-    m = F.array_max(l) if row_max is None else _c(row_max)
-    return m + F.log(_sum_exp_shifted(l, m))
-
-
-def softmax(logits, row_max=None) -> Column:
-    """``exp(l - max) / sum(exp(l - max))``; finite for large logits."""
-    l = _c(logits)
-    m = F.array_max(l) if row_max is None else _c(row_max)
-    s = _sum_exp_shifted(l, m)
-    return F.transform(l, lambda v: F.exp(v - m) / s)
-
-
-def max_prob(logits, row_max=None) -> Column:
-    """Probability of the arg-max class: ``1 / sum(exp(l - max))``."""
-    l = _c(logits)
-    m = F.array_max(l) if row_max is None else _c(row_max)
-    return F.lit(1.0) / _sum_exp_shifted(l, m)
-
-
-def cross_entropy(logits, label, row_max=None) -> Column:
-    """Per-row ``logsumexp(l) - l[label]`` (label 0-based). NULL label -> NULL."""
-    l = _c(logits)
-    return logsumexp(l, row_max) - F.element_at(l, _c(label).cast("int") + 1)
-
-
 def vec_add(a, b) -> Column:
     """Element-wise sum (``zip_with``). Widths are not checked here, so the inputs
     are referenced once each; :func:`vec_sum` checks them on its inputs."""

@@ -1,19 +1,13 @@
-"""Projection-level operators: picking and renaming columns, constant columns,
-score write-back, label correction, class names."""
+"""Projection-level operators: renaming columns, constant columns,
+score write-back, label correction."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearth.operators.scoring import class_name_col
-
-
-def pick(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.select(*cols)
-
 
 def add_constants(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     """Constant columns, e.g. ``{'new_result': '', 'new_score': 0.0}``."""
@@ -31,14 +25,11 @@ def assemble_record(df: DataFrame, text: str, label: str, key: str | None = None
 
 
 def write_back(base: DataFrame, scores: DataFrame, key: str,
-               defaults: Mapping[str, object] = SCORE_DEFAULTS,
-               scores_max_rows: int | None = None) -> DataFrame:
+               defaults: Mapping[str, object] = SCORE_DEFAULTS) -> DataFrame:
     """Left join the score table onto ``base`` by ``key``; rows without a score
-    keep the defaults. ``scores_max_rows`` is a proven bound on the score table
-    (e.g. it is a slice); only then is it broadcast."""
+    keep the defaults. No side is forced into a broadcast: the measured size of the
+    score table decides at run time."""
     s = scores.select(key, *[F.col(c).alias(f"_s_{c}") for c in defaults])
-    if scores_max_rows is not None and scores_max_rows <= 1_000_000:
-        s = F.broadcast(s)
     joined = base.drop(*[c for c in defaults if c in base.columns]).join(s, key, "left")
     return joined.withColumns({c: F.coalesce(F.col(f"_s_{c}"), F.lit(v))
                                for c, v in defaults.items()}) \
@@ -49,8 +40,3 @@ def swap_labels(df: DataFrame, label: str, out: str | None = None) -> DataFrame:
     """Correct a 0/1 label that was stored reversed; other values are kept."""
     c = F.col(label)
     return df.withColumn(out or label, F.when(c.isin(0, 1), F.lit(1) - c).otherwise(c))
-
-
-def with_class_name(df: DataFrame, class_col: str, names, out: str = "class_name",
-                    strict: bool = False) -> DataFrame:
-    return df.withColumn(out, class_name_col(F.col(class_col), names, strict))

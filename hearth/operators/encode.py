@@ -32,6 +32,8 @@ DEFAULT_MAX_LEN = 512
 # the rare tail is joined through a shuffle.
 BROADCAST_VOCAB_MAX_BYTES = 64 * 1024 * 1024
 HEAD_VOCAB_ROWS = 200_000
+# Slots that rank their tokens side by side when a vocabulary is built.
+VOCAB_SLOTS = 512
 
 
 def token_counts(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -46,7 +48,11 @@ def build_vocab(df: DataFrame, text: str, size: int) -> DataFrame:
     counts = df.select(F.explode(tokenize(text)).alias("token")) \
         .groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     order = [F.col("n").desc(), F.col("token").asc()]
-    top = counts.orderBy(*order).limit(size)
+    # Each of VOCAB_SLOTS slots of the tokens keeps its own top, so the last merge reads
+    # VOCAB_SLOTS x size rows at most, however many partitions and tokens there are.
+    in_slot = Window.partitionBy(F.pmod(F.hash("token"), F.lit(VOCAB_SLOTS))).orderBy(*order)
+    kept = counts.withColumn("_r", F.row_number().over(in_slot)).filter(F.col("_r") <= size)
+    top = kept.select("token", "n").orderBy(*order).limit(size)
     # The window runs over at most `size` rows (the top-k output).
     return top.withColumn("id", (F.row_number().over(Window.orderBy(*order))
                                  + (FIRST_WORD_ID - 1)).cast("int")) \

@@ -346,13 +346,6 @@ def batch_summary(df: DataFrame, key: str, batch_size: int,
                                      F.max(key).alias("last_key"))
 
 
-def key_at(df: DataFrame, key: str, position: int, index: PositionIndex | None = None):
-    """The key value at ``position`` (a scalar), or ``None`` past the end."""
-    index = index or PositionIndex.build(df, key)
-    b = index.boundary(df, position)
-    return None if b is None else b[0]
-
-
 def split_predicates(df: DataFrame, key: str, fraction: float,
                      index: PositionIndex | None = None,
                      top_k_max_rows: int = TOP_K_MAX_MERGE_ROWS) -> tuple[Column, Column]:

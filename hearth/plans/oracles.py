@@ -214,7 +214,8 @@ SELECT doc_id, (n + 2)::INTEGER AS mask_sum,
        array_to_string(list_resize(list_transform(range(n + 2), lambda i: 1), 128, 0), ' ')
          AS attention_mask FROM enc""")
 oracle("encoded_reuse", f"""WITH {TOKS}, {VOCAB_CTE}, {ENCODED}
-SELECT doc_id, n_tokens, (n + 2)::INTEGER AS mask_sum, len(input_ids)::INTEGER AS length FROM enc""")
+SELECT doc_id, n_tokens, (n + 2)::INTEGER AS mask_sum, len(input_ids)::INTEGER AS length,
+       list_sum(input_ids)::BIGINT AS id_sum FROM enc""")
 oracle("truncation_report", f"""WITH {TOKS}
 SELECT doc_id, len(t)::INTEGER AS n_tokens, least(len(t), 126)::INTEGER AS n_kept,
        len(t) > 126 AS truncated FROM toks""")

@@ -374,7 +374,8 @@ def q_encoded_reuse(spark, sf_dir):
     enc = materialise(_encoded(spark, sf_dir), f"encoded-{uuid.uuid4().hex}")
     return enc.select("doc_id", "n_tokens",
                       F.aggregate("attention_mask", F.lit(0), lambda a, v: a + v).alias("mask_sum"),
-                      F.size("input_ids").alias("length"))
+                      F.size("input_ids").alias("length"),
+                      F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, v: a + v).alias("id_sum"))
 
 
 @query("truncation_report")
