@@ -10,7 +10,10 @@ smaller key goes. The work runs in four written steps:
    pieces. Equal pieces collapse into one with the smallest key before any sorting, so a
    passage of a third of all documents is sorted once.
 3. *Suffix sorting.* The windows of distinct pieces are dealt by their anchor, which puts
-   equal windows into one bucket of bounded size. A bucket is sorted by the
+   equal windows into one bucket. An anchor with more contexts than half a bucket holds
+   (a short header amid each document's own text) is hot: its windows are dealt by their
+   own bytes instead, with partial minima of their keys, so that no bucket grows with
+   the documents of one anchor. A bucket is sorted by the
    difference-cover algorithm: sampled triples (three 8-byte words at positions that are
    not multiples of three) are sorted and named, triples of names are sorted in the
    recursion, the remaining suffixes are sorted by first byte and rank of the next
@@ -289,15 +292,86 @@ def contexts(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def _send_contexts(buckets: int):
+def _joined(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
+    data = b"".join(texts)
+    return data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+
+
+def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts of each anchor, each counted as often as its piece weighs."""
+    for whole in batches:
+        for b in slices(whole, 1, CHUNK_BYTES):
+            weight = b.column("weight").to_numpy()
+            data, bounds = _joined(b.column("piece").to_pylist())
+            h, piece, _, _ = contexts(np.frombuffer(data, np.uint8), bounds)
+            anchor, group = np.unique(h, return_inverse=True)
+            n = np.bincount(group, weight[piece], len(anchor)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(n)], names=["anchor", "n"])
+
+
+def hot_anchors(distinct: DataFrame) -> np.ndarray:
+    """Sorted hashes of the anchors whose contexts fill half a bucket or more.
+
+    Counted on a share of the pieces that has some 256 contexts of such an anchor, long
+    pieces on all; it only decides by which route equal windows meet. The driver gets
+    eight bytes for half a bucket of contexts.
+    """
+    enough = max(2, BUCKET_BYTES // 2 // LENGTH)
+    every = max(1, enough // 256)
+    long_ = F.octet_length("piece") > BLOCK
+    some = distinct.where(long_ | (F.pmod(F.xxhash64("id"), F.lit(every)) == 0)).select(
+        F.when(long_, 1).otherwise(every).cast("long").alias("weight"), "piece")
+    n = some.mapInArrow(_count_contexts, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    found = n.where(F.col("n") >= enough).select("anchor").collect()
+    return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
+
+
+def _is_hot(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return np.zeros(len(h), bool)
+    return hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+
+
+WINDOWS = "window binary, id long, low long, at int"
+
+
+def _hot_windows(hot: np.ndarray):
+    """The windows of hot anchors, one row each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, 2, BLOCK):
+                ids, lows = (b.column(c).to_numpy() for c in ("id", "low"))
+                data, bounds = _joined(b.column("piece").to_pylist())
+                buf = np.frombuffer(data, np.uint8)
+                h, piece, first, past = contexts(buf, bounds)
+                r = np.flatnonzero(_is_hot(h, hot))
+                if not len(r):
+                    continue
+                n = past[r] - first[r]
+                owner = np.repeat(piece[r], n)
+                i = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[r], n)
+                for k in range(0, len(i), BLOCK):
+                    at, mine = i[k:k + BLOCK], owner[k:k + BLOCK]
+                    rows = np.lib.stride_tricks.sliding_window_view(buf, LENGTH)[at]
+                    ends = np.arange(0, LENGTH * len(at) + 1, LENGTH, dtype=np.int32)
+                    windows = pa.Array.from_buffers(pa.binary(), len(at), [
+                        None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+                    yield pa.RecordBatch.from_arrays(
+                        [windows, pa.array(ids[mine]), pa.array(lows[mine]), pa.array((at - bounds[mine]).astype(np.int32))],
+                        names=["window", "id", "low", "at"])
+
+    return run
+
+
+def _send_contexts(buckets: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, 2, CHUNK_BYTES):
                 ids, lows = (b.column(c).to_numpy() for c in ("id", "low"))
-                texts = b.column("piece").to_pylist()
-                data = b"".join(texts)
-                bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-                h, piece, first, past = contexts(np.frombuffer(data, np.uint8), bounds)
+                data, bounds = _joined(b.column("piece").to_pylist())
+                found = contexts(np.frombuffer(data, np.uint8), bounds)
+                cold = ~_is_hot(found[0], hot)
+                h, piece, first, past = (x[cold] for x in found)
                 bucket = (h % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -452,6 +526,17 @@ def _sort_bucket(t: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(out_id, pa.int64()), "lo": pa.array(out_lo, pa.int32()), "hi": pa.array(out_hi, pa.int32())})
 
 
+def _cover_hot(distinct: DataFrame, hot: np.ndarray, scratch: Scratch) -> DataFrame:
+    """Windows of hot anchors that also start in a document with a smaller key.
+
+    The minima are written first: behind an aggregate a skewed join is not split."""
+    windows = distinct.select("id", "low", "piece").mapInArrow(_hot_windows(hot), WINDOWS)
+    least = windows.groupBy(F.col("window").alias("w")).agg(F.min("low").alias("least"), F.max("low").alias("most"))
+    least = scratch.save(least.where(F.col("least") < F.col("most")).select("w", "least"), "least")
+    return windows.join(least, (F.col("window") == F.col("w")) & (F.col("low") > F.col("least"))).select(
+        "id", F.col("at").alias("lo"), (F.col("at") + 1).cast("int").alias("hi"))
+
+
 # ---- cutting --------------------------------------------------------------------------
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -532,8 +617,14 @@ def remove_repeats(df: DataFrame, scratch: Scratch, text: str = "text", key: str
     distinct = scratch.save(distinct.select(F.monotonically_increasing_id().alias("id"), "low", "piece", "name"), "distinct")
     size = distinct.agg(F.sum(F.octet_length("piece"))).head()[0] or 0
     parts = max(1, size * LENGTH // (WINDOW // 2) // BUCKET_BYTES)
-    dealt = distinct.select("id", "low", "piece").mapInArrow(_send_contexts(parts), "bucket int, body binary")
-    covered = scratch.save(dealt.groupBy("bucket").applyInArrow(_sort_bucket, COVERED), "covered")
+    hot = hot_anchors(distinct)
+    dealt = distinct.select("id", "low", "piece").mapInArrow(_send_contexts(parts, hot), "bucket int, body binary")
+    covered = dealt.groupBy("bucket").applyInArrow(_sort_bucket, COVERED)
+    if len(hot):
+        covered = covered.unionByName(_cover_hot(distinct, hot, scratch))
+    covered = scratch.save(covered, "covered")
+    if len(hot):
+        scratch.drop("least")
 
     by_piece = covered.groupBy(F.col("id").alias("i")).agg(F.collect_list(F.struct("lo", "hi")).alias("part"))
     lows = scratch.save(distinct.select("id", "low", F.octet_length("piece").alias("n"), F.col("name").alias("m"))

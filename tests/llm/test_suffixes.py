@@ -94,3 +94,33 @@ def test_suffix_order_of_long_repeats():
         assert sorted(got.tolist()) == list(range(len(b)))
         keys = [s[i:i + 72] for i in got]
         assert keys == sorted(keys)
+
+
+def test_hot_anchors_do_not_share_a_bucket(spark, scratch, monkeypatch):
+    rng = random.Random(12)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    header = "Share this page with your friends now"  # 37 bytes, amid the text of each document
+    rows = [(k, f"{own(90)}{header}{own(90)}") for k in range(600)]
+    rows += [(600 + k, f"{own(30)}{rng.choice(rows)[1][60:150]}{own(20)}") for k in range(200)]  # its windows again
+    rows += [(900 + k, own(60) + " " * rng.randint(40, 90) + own(60)) for k in range(300)]
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", 20_000)
+
+    pieces = spark.createDataFrame([(k, k, t.encode()) for k, t in rows], "id long, low long, piece binary").repartition(4)
+    hot = suffixes.hot_anchors(pieces)
+    assert 0 < len(hot) < 40
+
+    def largest(hot):  # contexts of the anchor that has most in any bucket
+        dealt = pieces.mapInArrow(suffixes._send_contexts(8, hot), "bucket int, body binary").collect()
+        h = np.concatenate([suffixes.from_body(bytes(r.body)).column("h").to_numpy() for r in dealt])
+        return np.unique(h, return_counts=True)[1].max()
+
+    assert largest(hot[:0]) > 500  # what one task got before
+    assert largest(hot) < 200
+
+    used, cover = [], suffixes._cover_hot
+    monkeypatch.setattr(suffixes, "_cover_hot", lambda *a: used.append(1) or cover(*a))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [tuple(r) for r in suffixes.remove_repeats(df, scratch).select(
+        "doc_id", "_n_bytes", "_n_removed", "_n_spans", "_kept_sha256").collect()]
+    assert sorted(got) == sorted(brute(rows))
+    assert used
