@@ -43,7 +43,30 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]
                   r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role|y)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"[a-z]+")
-_HIDDEN = re.compile(r"\b(?:hidden|aria-hidden\s*=\s*[\"']?true)\b|display\s*:\s*none", re.I)
+_MAY_HIDE = re.compile(r"hidden|display|visibility", re.I)
+_NAMED = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+
+
+def hidden(attr: str) -> bool:
+    """Whether the attributes hide their element: ``hidden`` with any value, ``aria-hidden``
+    true, or a style that ends at display none or visibility hidden."""
+    if not _MAY_HIDE.search(attr):
+        return False
+    given: dict[str, str] = {}
+    for name, value in _NAMED.findall(attr):  # the first of a name counts
+        given.setdefault(name.lower(), html.unescape(value[1:-1] if value[:1] in ("'", '"') else value))
+    if "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    style: dict[str, str] = {}
+    firm = set()
+    for declared in _COMMENT.sub("", given.get("style", "")).split(";"):
+        name, _, value = (x.strip().lower() for x in declared.partition(":"))
+        value, mark, _ = value.partition("!")
+        if mark or name not in firm:  # the last counts, but for an important one
+            style[name] = value.strip()
+            firm |= {name} if mark else set()
+    return style.get("display") == "none" or style.get("visibility") == "hidden"
 
 
 class Page:
@@ -176,7 +199,7 @@ class Trees:
                 parent.append(base + p if p >= 0 else -1)
                 depth.append(depth[base + p] + 1 if p >= 0 else 0)
             self.features += features(page)
-            self.never += [t in NEVER or bool(a and _HIDDEN.search(a)) for t, a in zip(page.tag, page.attr)]
+            self.never += [t in NEVER or bool(a and hidden(a)) for t, a in zip(page.tag, page.attr)]
             self.bounds.append(len(parent))
         self.parent, depth = np.array(parent, np.int64), np.array(depth, np.int64)
         order = np.argsort(depth, kind="stable")

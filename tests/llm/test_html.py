@@ -81,3 +81,19 @@ def test_awkward_pages(spark):
     long_ = "<div>" * 3000 + f"<article><p>{text}</p></article>" + "<p>" + "w " * 100_000
     assert text in html.extract_many([long_], html.model())[0]
     assert html.extract(df.limit(0)).count() == 0
+
+
+def test_only_hidden_blocks_are_hidden():
+    text = "This is a long enough sentence of the main text. It goes on, and ends here."
+    visible = ['style="overflow:hidden"', 'class="overflow-hidden"', "class='hidden-print'", 'title="The hidden valley"',
+               'aria-hidden="false"', "data-hidden=true", "class=hidden", 'style="display:block; overflow: hidden"',
+               'style="display:none; display:block"', 'title="display:none"', 'style="/* display:none */ color:red"']
+    gone = ["hidden", "HIDDEN", 'hidden=""', "class=x hidden", 'title="a" hidden', 'aria-hidden="true"', "aria-hidden=true",
+            'style="display:none"', "style='color:red; DISPLAY : None !important; display:block'", 'style="visibility: hidden;"']
+    for attr in visible + gone:
+        shown = attr in visible
+        assert html.hidden(" " + attr) != shown, attr
+        page = f"<body><article><p>{text}</p><p {attr}>Another sentence, that may be seen or not. It ends.</p></article></body>"
+        assert ("Another" in html.extract_many([page], html.model())[0]) == shown, attr
+        if shown:
+            assert html.extract_many([f"<article {attr}><p>{text}</p><p>{text}</p></article>"], html.model()) == [f"{text} {text}"]
