@@ -1,10 +1,10 @@
 """Fitting a classifier head on frozen features.
 
-* Closed form (minimum-norm least squares, ``W = pinv(X) Y``): every task folds
-  its Arrow batches into partial sums ``X^T [X | Y]`` (float64, numpy), Spark sums
-  them element-wise per ``(group, i)``, and only the ``d x (d + K)`` result per
-  group reaches the driver, where ``W = pinv(X^T X) X^T Y`` is solved. Data never leaves the
-  executors; the driver holds parameter-sized matrices only.
+* Closed form (minimum-norm least squares, ``W = pinv(X) Y``): every task reduces its Arrow
+  batches to the triangle of ``[X | Y]`` (:mod:`hearth.operators.tsqr`), triangles merge in a
+  tree, and ``W`` is solved from the last one: on the driver for one head, on the executors
+  for one head per group. ``X^T X`` is never formed for a fit, so its condition isn't squared.
+* Gram sums ``X^T [X | Y]`` as a table of their own, and as the curvature bound of fit rounds.
 * Iterative (softmax head): Spark ML multinomial ``LogisticRegression``; each
   iteration is one distributed aggregation. Rounds that continue from one another take
   curvature-bounded gradient steps, one distributed pass each.
@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hearth.operators import tsqr
+
 GRAM_ROW_SCHEMA = T.StructType([
     T.StructField("grp", T.StringType()),
     T.StructField("i", T.IntegerType()),
@@ -113,39 +115,70 @@ def _matrices(rows) -> dict[str, np.ndarray]:
     return {g: np.array([items[i] for i in range(len(items))]) for g, items in by_group.items()}
 
 
-def _solve(xtx: np.ndarray, xty: np.ndarray) -> np.ndarray:
-    return (np.linalg.pinv(xtx, hermitian=True) @ xty).T
+def _labelled(df: DataFrame, features: str, label: str, num_classes: int, group: str | None) -> DataFrame:
+    """Triangles of ``[X | one_hot(label)]``, one a group; like the Gram sums, unlabelled rows and
+    vectors that are NULL or hold a NULL are left out."""
+    src = df.filter(F.col(label).isNotNull()).select(
+        F.col(features).cast("array<double>").alias("_x"), F.col(label).cast("int").alias("_y"),
+        (F.col(group).cast("string") if group else F.lit("all")).alias("_g"))
 
+    def blocks(b):
+        x, ok = _whole_vectors(b.column(0))
+        y = b.column(1).to_numpy(zero_copy_only=False)[ok]
+        if ((y < 0) | (y >= num_classes)).any():
+            raise ValueError(f"label outside 0..{num_classes - 1}")
+        z = np.concatenate([x, np.eye(num_classes)[y.astype(np.int64)]], axis=1)
+        names = b.column(2).filter(pa.array(ok)).dictionary_encode("encode")
+        codes, names = names.indices.to_numpy(), names.dictionary.to_pylist()
+        order = np.argsort(codes, kind="stable")
+        ends = np.cumsum(np.bincount(codes, minlength=len(names)))
+        for g, part in zip(names, np.split(order, ends[:-1])):
+            yield g, z[part]
 
-def solve_from_gram(rows, num_classes: int) -> dict[str, np.ndarray]:
-    """Driver-side solve on collected :func:`gram_rows` -> ``{group: W (K x d)}``."""
-    return {g: _solve(m[:, :-num_classes], m[:, -num_classes:]) for g, m in _matrices(rows).items()}
+    return tsqr.triangles(src, blocks)
 
 
 def fit_mapped_heads(df: DataFrame, features: str, label: str, num_classes: int,
                      maps: Mapping[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Closed-form heads on linear maps of one vector (layer views, fused views), all from
-    one ungrouped Gram pass: with ``G = X^T X`` the features ``M x`` have the Gram matrix
-    ``M G M^T`` and the moments ``M X^T Y``, so no row is mapped or repeated. Returns each
+    one ungrouped pass: with ``[X | Y] = Q R`` the features ``M x`` have the triangle
+    ``R11 M^T`` against ``R12``, so no row is mapped or repeated. Returns each
     head folded with its map (``W M``): it reads the raw vector."""
-    found = _matrices(gram_rows(df, features, label, num_classes).collect())
-    if not found:
+    r = tsqr.collected(_labelled(df, features, label, num_classes, None))
+    if r is None:
         raise ValueError("no labelled rows to fit")
-    g, xty = found["all"][:, :-num_classes], found["all"][:, -num_classes:]
-    return {name: _solve(m @ g @ m.T, m @ xty) @ m for name, m in maps.items()}
+    d = len(r) - num_classes
+    return {name: tsqr.solve(_with_targets(r[:d, :d] @ m.T, r[:d, d:]), num_classes) @ m for name, m in maps.items()}
+
+
+def _with_targets(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return tsqr.fold(None, np.concatenate([x, y], axis=1))
+
+
+def fit_lstsq_groups(df: DataFrame, features: str, label: str, num_classes: int, group: str) -> DataFrame:
+    """Minimum-norm least-squares heads, no intercept, one for each value of ``group``: a table
+    ``(grp, class, w)``. Each group is solved on the executor that merged it, so the number of
+    groups is bounded by the cluster and not by the driver. A NULL group is a group."""
+    return tsqr.solved(_labelled(df, features, label, num_classes, group), num_classes)
 
 
 def fit_lstsq(df: DataFrame, features: str, label: str, num_classes: int,
-              group: str | None = None) -> dict[str, np.ndarray] | np.ndarray:
+              group: str | None = None, max_groups: int = 1000) -> dict[str, np.ndarray] | np.ndarray:
     """Minimum-norm least-squares head(s), no intercept. Returns ``W`` (K x d), or
-    ``{group: W}`` when ``group`` is given."""
-    rows = gram_rows(df, features, label, num_classes, group).collect()
-    heads = solve_from_gram(rows, num_classes)
+    ``{group: W}`` of at most ``max_groups`` groups when ``group`` is given; for more use
+    :func:`fit_lstsq_groups`."""
     if group:
+        rows = fit_lstsq_groups(df, features, label, num_classes, group).limit(max_groups * num_classes + 1).collect()
+        if len(rows) > max_groups * num_classes:
+            raise ValueError(f"more than {max_groups} groups: use fit_lstsq_groups")
+        heads: dict[str, np.ndarray] = {}
+        for r in rows:
+            heads.setdefault(r["grp"], np.zeros((num_classes, len(r["w"]))))[r["class"]] = r["w"]
         return heads
-    if not heads:
+    r = tsqr.collected(_labelled(df, features, label, num_classes, None))
+    if r is None:
         raise ValueError("no labelled rows to fit")
-    return heads["all"]
+    return tsqr.solve(r, num_classes)
 
 
 def _lr_input(df: DataFrame, features: str, label: str) -> DataFrame:

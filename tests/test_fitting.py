@@ -113,3 +113,55 @@ def test_no_key_receives_one_row_per_task(spark):
     df = spark.range(8).selectExpr("array(double(id), 1D) AS f", "int(id % 2) AS label")
     plan = M.gram_rows(df, "f", "label", 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and "slot" in plan
+
+
+def ill_conditioned(rng, n, d, condition):
+    u, _ = np.linalg.qr(rng.normal(size=(n, d)))
+    v, _ = np.linalg.qr(rng.normal(size=(d, d)))
+    return u @ np.diag(np.logspace(0, -np.log10(condition), d)) @ v.T
+
+
+@pytest.mark.parametrize("condition,tolerance", [(1e3, 1e-10), (1e7, 1e-8), (1e9, 1e-6)])
+def test_condition_is_not_squared(spark, condition, tolerance):
+    rng = np.random.default_rng(7)
+    x, y = ill_conditioned(rng, 300, 8, condition), rng.integers(0, 3, size=300)
+    w = M.fit_lstsq(feature_df(spark, x, y, parts=7), "f", "label", 3)
+    want = (np.linalg.pinv(x) @ np.eye(3)[y]).T
+    assert np.abs(w - want).max() / np.abs(want).max() < tolerance
+    if condition == 1e7:  # what the Gram matrix of the same rows gives
+        gram = (np.linalg.pinv(x.T @ x, hermitian=True) @ x.T @ np.eye(3)[y]).T
+        assert np.abs(gram - want).max() / np.abs(want).max() > 1e-5
+
+
+def test_mapped_heads_match_pinv_of_mapped_rows(spark):
+    rng = np.random.default_rng(8)
+    x, y = ill_conditioned(rng, 200, 9, 1e5), rng.integers(0, 3, size=200)
+    m = rng.normal(size=(4, 9))
+    w = M.fit_mapped_heads(feature_df(spark, x, y), "f", "label", 3, {"m": m})["m"]
+    want = (np.linalg.pinv(x @ m.T) @ np.eye(3)[y]).T @ m
+    assert np.abs(w - want).max() / np.abs(want).max() < 1e-8
+
+
+def test_many_groups_are_solved_on_the_executors(spark):
+    groups = 10_000
+    df = spark.range(6 * groups).selectExpr(
+        "cast(id % 10000 as string) AS g", "array(cast(id % 7 as double), cast(id % 11 as double) / 3) AS f", "cast(id % 3 as int) AS label")
+    heads = M.fit_lstsq_groups(df, "f", "label", 3, "g")
+    assert heads.count() == 3 * groups
+    got = {(r["grp"], r["class"]): r["w"] for r in heads.where("grp in ('0', '77', '9999')").collect()}
+    for g in (0, 77, 9999):
+        i = np.arange(g, 6 * groups, groups)
+        want = np.linalg.pinv(np.stack([i % 7, (i % 11) / 3], axis=1).astype(float)) @ np.eye(3)[i % 3]
+        assert np.allclose([got[str(g), c] for c in range(3)], want.T, atol=1e-8)
+    with pytest.raises(ValueError):
+        M.fit_lstsq(df, "f", "label", 3, group="g")
+
+
+def test_null_group_and_no_rows(spark):
+    df = spark.createDataFrame([(None, [1.0, 0.0], 0), (None, [0.0, 2.0], 1), ("a", [3.0, 0.0], 1), ("a", None, 0), ("b", [1.0, 1.0], None)],
+                               "g string, f array<double>, label int")
+    got = {(r["grp"], r["class"]): [round(v, 9) for v in r["w"]] for r in M.fit_lstsq_groups(df, "f", "label", 2, "g").collect()}
+    assert got == {(None, 0): [1.0, 0.0], (None, 1): [0.0, 0.5], ("a", 0): [0.0, 0.0], ("a", 1): [round(1 / 3, 9), 0.0]}
+    assert M.fit_lstsq_groups(df.limit(0), "f", "label", 2, "g").count() == 0
+    with pytest.raises(ValueError):
+        M.fit_lstsq(df.limit(0), "f", "label", 2)
