@@ -1,13 +1,17 @@
 """Byte-level BPE encoding and decoding with the ranks of a public vocabulary file.
 
 An Arrow pass cuts whole texts by the vocabulary's pattern and emits, for each few
-megabytes of text, the words new to the task and the texts as numbers of words. Spark's
+megabytes of text, the distinct words and the texts as numbers of words. Spark's
 higher-order functions then fold the ranked merges over the byte array of each distinct
 word: a step looks up every neighbouring pair in the rank map and joins the leftmost pair
 of least rank. The rank map is a literal of the plan, an array of small maps chosen by the
-hash of the pair. A last Arrow pass gathers the ids of each text. Nothing is shuffled and
-every row is bounded by ``BATCH_BYTES`` of text or one text. Decoding joins the bytes of
-the pieces.
+hash of the pair. A last Arrow pass gathers the ids of each text. Nothing but a sample is
+shuffled and every row is bounded by ``BATCH_BYTES`` of text or one text. Decoding joins the
+bytes of the pieces.
+
+Words that stand twice or more in a sample of ``SAMPLE_ROWS`` texts are folded first, once,
+and broadcast, so that tasks fold only the rarer ones; what the sample holds changes the
+work and not the result.
 
 Inside the plan a byte array is a string of one character for each piece: the character
 after ``FIRST`` with the piece's rank as its number.
@@ -27,12 +31,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from hearth.llm.tokens import _gather, slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-BATCH_BYTES = 16 << 20  # text whose distinct words share a row
-KNOWN_WORDS = 500_000  # words that a task remembers before it starts afresh
+BATCH_BYTES = 8 << 20  # text whose distinct words share a row
+SAMPLE_ROWS = 20_000  # texts among which common words are sought
 PLACES = 1024  # a word of so many bytes or more (no blank, mark or digit in it) is merged by a heap
 BUCKETS = 1 << 15  # maps of the rank literal
 FIRST = 0x100  # the character of rank 0
@@ -143,12 +148,12 @@ class _Numbers(dict):
         return n
 
 
-WORDS = "keys array<{key}>, ends binary, codes binary, words array<string>, fresh boolean"
+WORDS = "keys array<{key}>, ends binary, codes binary, words array<string>"
 
 
-def _cut(ranks: dict[bytes, int], pattern: str, kind: pa.DataType):
-    """Rows ``WORDS`` of texts: words the task hasn't met yet as byte arrays, and each text
-    as numbers of words, counted from the last ``fresh`` row on.
+def _cut(ranks: dict[bytes, int], pattern: str, kind: pa.DataType, common):
+    """Rows ``WORDS`` of texts: the distinct words of a few megabytes that are not common, as
+    byte arrays, and each text as numbers of words, the common ones first.
 
     A word never runs from a visible character into white space, so texts are first cut
     there, and the pattern cuts each distinct stretch once.
@@ -160,55 +165,61 @@ def _cut(ranks: dict[bytes, int], pattern: str, kind: pa.DataType):
 
         import regex
         split, stretch = regex.compile(pattern).findall, re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+").findall
-        seen, known, n, flat = _Numbers(), _Numbers(), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        base = common.value[0] if common else {}
         for batch in batches:
             for b in slices(batch, 1, BATCH_BYTES):
-                fresh = not known or len(known) > KNOWN_WORDS
-                if fresh:
-                    seen, known, n, flat = _Numbers(), _Numbers(), np.zeros(0, np.int64), np.zeros(0, np.int32)
-                had = len(known)
+                seen, known = _Numbers(), _Numbers(base)
                 codes, ends = [], []
                 for text in b.column(1).to_pylist():
                     found = stretch(text or "")
                     codes.append(np.fromiter(map(seen.__getitem__, found), np.int32, len(found)))
                     ends.append(len(found))
-                parts = [split(s) for s in islice(seen, len(n), None)]
-                n = np.concatenate([n, np.fromiter(map(len, parts), np.int64, len(parts))])
-                flat = np.concatenate([flat, np.fromiter((known[w] for ws in parts for w in ws), np.int32)])
+                n, flat = np.zeros(len(seen), np.int64), []
+                for i, s in enumerate(seen):
+                    words = split(s)
+                    n[i] = len(words)
+                    flat += words
+                flat = np.fromiter(map(known.__getitem__, flat), np.int32, len(flat))
                 code = np.concatenate(codes)
                 at = np.concatenate([[0], np.cumsum(n[code])])
                 out = flat[_gather((np.cumsum(n) - n)[code], n[code])]
-                chars = [w.encode().decode("latin-1").translate(single) for w in islice(known, had, None)]
+                chars = [w.encode().decode("latin-1").translate(single) for w in islice(known, len(base), None)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([b.column(0).to_pylist()], pa.list_(kind)),
                     pa.array([at[np.cumsum(ends)].astype("<i8").tobytes()], pa.binary()),
-                    pa.array([out.astype("<i4").tobytes()], pa.binary()), pa.array([chars], pa.list_(pa.string())),
-                    pa.array([fresh])], names=["keys", "ends", "codes", "words", "fresh"])
+                    pa.array([out.astype("<i4").tobytes()], pa.binary()), pa.array([chars], pa.list_(pa.string()))],
+                    names=["keys", "ends", "codes", "words"])
 
     return run
 
 
-def _gathered(ranks: dict[bytes, int], kind: pa.DataType, key: str):
-    """Each text's ids, from the pieces of the task's words."""
+def _ids(ranks: dict[bytes, int]):
+    """A function from the pieces of words (null: a very long word) and the words themselves to
+    the ids of all words one after the other, and how many each has."""
     back = {ord(_char(ranks[bytes([i])])): i for i in range(256)}
 
-    def ids(pieces: list[str | None], words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words one after the other, and how many each has."""
+    def ids(pieces: list[str | None], words: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         for i in [i for i, p in enumerate(pieces) if p is None]:
-            word = words[i].as_py().translate(back).encode("latin-1")
+            word = str(words[i]).translate(back).encode("latin-1")
             pieces[i] = "".join(map(_char, heap_merge(ranks, word)))
         n = np.fromiter(map(len, pieces), np.int64, len(pieces))
         chars = np.frombuffer("".join(pieces).encode("utf-32-le"), "<u4").astype(np.int32)
         return (chars - FIRST - 0x800 * (chars > 0xD7FF)).astype(np.int32), n
 
+    return ids
+
+
+def _gathered(ranks: dict[bytes, int], kind: pa.DataType, key: str, common):
+    """Each text's ids, from the common words and the pieces of the row's words."""
+    ids = _ids(ranks)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, n = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        _, base_ids, base_n = common.value
         for batch in batches:
             for k in range(batch.num_rows):
                 r = batch.slice(k, 1)
-                f, m = ids(r.column(5).flatten().to_pylist(), r.column(3).flatten())
-                fresh = r.column(4)[0].as_py()
-                flat, n = (f, m) if fresh else (np.concatenate([flat, f]), np.concatenate([n, m]))
+                flat, n = ids(r.column(4).flatten().to_pylist(), r.column(3).flatten())
+                flat, n = np.concatenate([base_ids, flat]), np.concatenate([base_n, n])
                 code = np.frombuffer(r.column(2)[0].as_py(), "<i4")
                 at = np.concatenate([[0], np.cumsum(n[code])])
                 bounds = at[np.concatenate([[0], np.frombuffer(r.column(1)[0].as_py(), "<i8")])]
@@ -223,6 +234,42 @@ def _gathered(ranks: dict[bytes, int], kind: pa.DataType, key: str):
     return run
 
 
+def _folded(ranks: dict[bytes, int], words: DataFrame) -> DataFrame:
+    """``words`` with the pieces of each word."""
+    return words.select("*", _let(_literal(ranks), lambda maps: _let(
+        _chars(ranks), lambda chars: F.transform("words", lambda w: _fold(maps, chars, w)))).alias("pieces"))
+
+
+def common_words(texts: DataFrame, ranks: dict[bytes, int], pattern: str, rows: int | None = None):
+    """A broadcast of the words that stand twice or more in a sample of about ``rows`` of the
+    ``texts (key, text)``, folded: their numbers, their ids one after the other, and how many
+    ids each has. The sample bounds their number."""
+    rows = rows or SAMPLE_ROWS
+    share = min(1.0, rows / max(1, texts.count()))
+    sample = (texts.sample(share, seed=11) if share < 1 else texts).select(F.lit(0).cast("long"), texts.columns[1])
+    cut = sample.mapInArrow(_cut(ranks, pattern, pa.int64(), None), WORDS.format(key="bigint"))
+    # a word stands in a row's list once, so count the numbers that refer to it
+    found = cut.mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    lists = found.select("word", F.pmod(F.xxhash64("word"), F.lit(64)).alias("part")).groupBy("part").agg(
+        F.collect_list("word").alias("words"))
+    back = {_char(ranks[bytes([i])]): i for i in range(256)}
+    table = str.maketrans({c: chr(i) for c, i in back.items()})
+    words, pieces = [], []
+    for r in _folded(ranks, lists).select("words", "pieces").toLocalIterator():
+        words += r["words"]
+        pieces += r["pieces"]
+    flat, n = _ids(ranks)(pieces, words)
+    plain = [w.translate(table).encode("latin-1").decode() for w in words]
+    return texts.sparkSession.sparkContext.broadcast((dict(zip(plain, range(len(plain)))), flat, n))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(b.num_rows):
+            n = np.bincount(np.frombuffer(b.column(2)[k].as_py(), "<i4"), minlength=len(b.column(3)[k].values))
+            yield pa.RecordBatch.from_arrays([b.column(3)[k].values.cast(pa.string()), pa.array(n)], names=["word", "n"])
+
+
 def _under(bounds: np.ndarray, limit: int = 1 << 22) -> Iterator[np.ndarray]:
     """Runs of neighbouring texts, as places in ``bounds``, that have about ``limit`` ids."""
     part = bounds[1:] // limit
@@ -240,16 +287,14 @@ def encode(df: DataFrame, path: str | None = None, pattern: str | None = None, t
     their row; an empty table gives none. A text of any length is encoded whole. Other
     columns are left out, whatever their names.
     """
-    ranks = read_ranks(path or default_path())
+    ranks, pattern = read_ranks(path or default_path()), pattern or default_pattern()
     kind = df.schema[key].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
     arrow = to_arrow_type(kind)
-    words = df.select(F.col(key), F.col(text)).mapInArrow(_cut(ranks, pattern or default_pattern(), arrow),
-                                            WORDS.format(key=kind.simpleString()))
-    pieces = _let(_literal(ranks), lambda maps: _let(
-        _chars(ranks), lambda chars: F.transform("words", lambda w: _fold(maps, chars, w))))
+    texts = df.select(F.col(key), F.col(text))
+    common = common_words(texts, ranks, pattern)
+    words = texts.mapInArrow(_cut(ranks, pattern, arrow, common), WORDS.format(key=kind.simpleString()))
     schema = T.StructType([T.StructField(key, kind), T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
-    return words.select("*", pieces.alias("pieces")).mapInArrow(_gathered(ranks, arrow, key), schema)
+    return _folded(ranks, words).mapInArrow(_gathered(ranks, arrow, key, common), schema)
 
 
 def decode(df: DataFrame, path: str | None = None, ids: str = "ids", to: str = "decoded") -> DataFrame:

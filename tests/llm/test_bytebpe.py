@@ -43,14 +43,14 @@ def test_query_against_the_library(spark, tmp_path, awkward, library):
     assert got == sorted(want)
 
 
-def test_words_are_remembered_within_a_task_and_forgotten(spark, library, monkeypatch):
-    texts = [f"word{i % 7} common text number {i}" for i in range(60)]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
-    for size, words in ((100, 10**6), (100, 20), (1 << 20, 5)):
+def test_rows_and_samples_of_any_size(spark, library, monkeypatch):
+    texts = [f"word{i % 7} common text number {i}" for i in range(60)] + [None, "", "x" * 2000, "x" * 2000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(2)
+    for size, rows in ((100, 1), (100, 10**6), (1 << 20, 5)):
         monkeypatch.setattr(bytebpe, "BATCH_BYTES", size)
-        monkeypatch.setattr(bytebpe, "KNOWN_WORDS", words)
+        monkeypatch.setattr(bytebpe, "SAMPLE_ROWS", rows)
         got = {r.doc_id: r.ids for r in bytebpe.encode(df).collect()}
-        assert got == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
+        assert got == {i: library.encode_ordinary(t or "") for i, t in enumerate(texts)}
 
 
 def test_other_ranks(spark, library):
