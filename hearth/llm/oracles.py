@@ -90,4 +90,35 @@ def op10() -> str:
     FROM c GROUP BY conv_id"""
 
 
-ORACLES = {"op1_mixing": op1(), "op6_licences": op6(), "op8_embeddings": op8(), "op10_chat": op10()}
+def op13() -> str:
+    # CRC-32 of a decimal number, bit by bit (fixed value: its reflected polynomial)
+    crc = """xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(substr(c::VARCHAR, i, 1))::BIGINT
+                 for i in range(1, length(c::VARCHAR) + 1)]),
+             lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                                      lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+    return rf"""
+    WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p,
+                      coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+    h AS (SELECT c, c - c % 20 AS base, {crc} % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+    m AS (SELECT h.c, t.p, t.role, t.text FROM h JOIN t ON t.c = h.base AND t.p <= h.h
+          UNION ALL SELECT t.c, t.p, t.role, t.text FROM t JOIN h ON t.c = h.c AND t.p > h.h),
+    d AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY p) AS d, md5(length(role) || ':' || role || text) AS k,
+                 coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS w FROM m),
+    pre AS (SELECT c, d, w, md5(string_agg(k, '') OVER (PARTITION BY c ORDER BY d)) AS key FROM d
+            UNION ALL SELECT c, 0, 0, '' FROM h),
+    nodes AS (SELECT key, d, min(c) AS c, count(*) AS n, any_value(w) AS w FROM pre GROUP BY key, d),
+    up AS (SELECT DISTINCT a.key, b.key AS parent FROM pre a JOIN pre b ON a.c = b.c AND b.d = a.d - 1),
+    kids AS (SELECT parent AS key, count(*) AS n FROM up GROUP BY parent),
+    ends AS (SELECT key, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS sha
+             FROM (SELECT c, max(d) AS d FROM pre GROUP BY c) JOIN pre USING (c, d) GROUP BY key),
+    under AS (SELECT DISTINCT b.key AS top, a.key FROM pre a JOIN pre b ON a.c = b.c AND b.d <= a.d),
+    sums AS (SELECT top AS key, sum((nodes.n - 1) * nodes.w) AS saved, count(*) FILTER (kids.n IS NULL) AS leaves
+             FROM under JOIN nodes USING (key) LEFT JOIN kids USING (key) GROUP BY top)
+    SELECT nodes.c::BIGINT AS conv_id, nodes.d::BIGINT AS depth, p.c::BIGINT AS parent_conv_id, nodes.n::BIGINT AS n_convs,
+           coalesce(kids.n, 0)::BIGINT AS n_children, sums.leaves::BIGINT AS n_leaves, sums.saved::BIGINT AS saved_tokens,
+           coalesce(ends.sha, sha256('')) AS ends_sha256
+    FROM nodes JOIN sums USING (key) LEFT JOIN kids USING (key) LEFT JOIN ends USING (key)
+    LEFT JOIN up USING (key) LEFT JOIN nodes p ON p.key = up.parent"""
+
+
+ORACLES = {"op1_mixing": op1(), "op6_licences": op6(), "op8_embeddings": op8(), "op10_chat": op10(), "op13_prefix_trie": op13()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearth.llm import bytebpe, chat, html, lattice, licences, mixing, packing, quality, simhash, suffixes, tokens, whitening
+from hearth.llm import bytebpe, chat, html, lattice, licences, mixing, packing, quality, simhash, suffixes, tokens, trie, whitening
 from hearth.llm.common import Scratch, table
 
 
@@ -75,8 +75,14 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.components(table(spark, sf_dir, "embeddings"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op13")
+    rows = scratch.save(trie.turns(table(spark, sf_dir, "conversations")), "turns")
+    return trie.prefix_trie(trie.rebuild(rows), scratch)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mixing, op2_simhash, op3_suffixes, op4_packing, op5_token_counts, op6_licences, op7_quality,
                             op8_embeddings, op9_html, op10_chat, op11_byte_bpe,
-                            op12_whitening)
+                            op12_whitening, op13_prefix_trie)
 }
