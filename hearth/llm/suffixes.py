@@ -9,18 +9,20 @@ smaller key goes. The work runs in four written steps:
 2. *Pieces.* Windows with such an anchor join into runs, cut at sparse anchors into
    pieces. Equal pieces collapse into one with the smallest key before any sorting, so a
    passage of a third of all documents is sorted once.
-3. *Suffix sorting.* The windows of distinct pieces are dealt by their anchor, which puts
-   equal windows into one bucket. An anchor with more contexts than half a bucket holds
-   (a short header amid each document's own text) is hot: its windows are dealt by their
-   own bytes instead, with partial minima of their keys, so that no bucket grows with
-   the documents of one anchor. A bucket is sorted by the
-   difference-cover algorithm: sampled triples (three 8-byte words at positions that are
-   not multiples of three) are sorted and named, triples of names are sorted in the
-   recursion, the remaining suffixes are sorted by first byte and rank of the next
-   suffix, and both are merged. The recursion ends after one level as its names cover 72
-   bytes and strings are judged at 50. Adjacent prefixes are compared, and each class of
-   equal windows gets its smallest key.
-4. *Cutting.* Covered windows return to their chunks as intervals.
+3. *Suffix sorting.* Distinct pieces are packed into chunks, and the windows of a chunk are
+   dealt by their anchor, as bodies of contexts, which puts equal windows into one bucket.
+   A bucket is sorted by the difference-cover algorithm: sampled triples (three 8-byte words
+   at positions that are not multiples of three) are sorted and named, triples of names are
+   sorted in the recursion, the remaining suffixes are sorted by first byte and rank of the
+   next suffix, and both are merged. The recursion ends after one level as its names cover
+   72 bytes and strings are judged at 50. Adjacent prefixes are compared, each class of
+   equal windows gets its smallest key, and each body is answered with one bit a window.
+   An anchor whose contexts are half a bucket or more (a short header amid each document's
+   own text) would fill one task; chunks count contexts by anchor, learn by packed bits which
+   are so crowded, and deal those anchors' windows by their own 50 bytes into buckets that
+   are sorted in the same way. No table has a row for each occurrence of a window.
+4. *Cutting.* Chunks turn the bits into intervals of their pieces, which return to the
+   chunks of documents.
 
 Steps 1 and 2 only drop windows that cannot repeat and copies of what is sorted.
 """
@@ -32,13 +34,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearth.llm.common import Scratch
-from hearth.llm.tokens import slices
+from hearth.llm.tokens import _gather, slices
 
 LENGTH = 50
 GRAM = 24
@@ -261,8 +264,7 @@ def _make_pieces(text: str, key: str, buckets: int):
 
 # ---- suffix sorting -------------------------------------------------------------------
 
-CONTEXT = pa.schema([("h", pa.uint64()), ("id", pa.int64()), ("low", pa.int64()), ("start", pa.int32()),
-                     ("text", pa.binary())])
+CONTEXT = pa.schema([("h", pa.uint64()), ("low", pa.int64()), ("text", pa.binary())])
 
 
 def contexts(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -297,95 +299,140 @@ def _joined(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
     return data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
-def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts of each anchor, each counted as often as its piece weighs."""
+def _pack_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of distinct pieces ``(name, low, piece)``."""
+    chunk = TaskContext.get().partitionId() << 33
     for whole in batches:
-        for b in slices(whole, 1, CHUNK_BYTES):
-            weight = b.column("weight").to_numpy()
-            data, bounds = _joined(b.column("piece").to_pylist())
-            h, piece, _, _ = contexts(np.frombuffer(data, np.uint8), bounds)
-            anchor, group = np.unique(h, return_inverse=True)
-            n = np.bincount(group, weight[piece], len(anchor)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(n)], names=["anchor", "n"])
+        for b in slices(whole, 2, CHUNK_BYTES):
+            size = sum(len(x) for x in b.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([to_body(b)], pa.binary()),
+                                              pa.array([size], pa.int64())], names=["chunk", "body", "size"])
+            chunk += 1
 
 
-def hot_anchors(distinct: DataFrame) -> np.ndarray:
-    """Sorted hashes of the anchors whose contexts fill half a bucket or more.
-
-    Counted on a share of the pieces that has some 256 contexts of such an anchor, long
-    pieces on all; it only decides by which route equal windows meet. The driver gets
-    eight bytes for half a bucket of contexts.
-    """
-    enough = max(2, BUCKET_BYTES // 2 // LENGTH)
-    every = max(1, enough // 256)
-    long_ = F.octet_length("piece") > BLOCK
-    some = distinct.where(long_ | (F.pmod(F.xxhash64("id"), F.lit(every)) == 0)).select(
-        F.when(long_, 1).otherwise(every).cast("long").alias("weight"), "piece")
-    n = some.mapInArrow(_count_contexts, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    found = n.where(F.col("n") >= enough).select("anchor").collect()
-    return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
+class Pieces:
+    """A chunk of distinct pieces and its contexts. Every pass over a chunk finds the same."""
 
+    def __init__(self, body: bytes):
+        rows = from_body(body)
+        self.names, self.lows = rows.column("name"), rows.column("low").to_numpy()
+        self.data, self.bounds = _joined(rows.column("piece").to_pylist())
+        self.buf = np.frombuffer(self.data, np.uint8)
+        self.h, self.piece, self.first, self.past = contexts(self.buf, self.bounds)
+
+    def crowded(self, told: list | None, buckets: int) -> np.ndarray:
+        """Which contexts have an anchor that the buckets called crowded."""
+        if not told:
+            return np.zeros(len(self.h), bool)
+        code = codes(self.h, buckets)
+        known, place = np.unique(code, return_inverse=True)
+        cut = np.searchsorted(known, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
+        bits = np.zeros(len(known), bool)
+        for t in told:
+            k = t["bucket"]
+            bits[cut[k]:cut[k + 1]] = np.unpackbits(np.frombuffer(t["bits"], np.uint8), count=int(cut[k + 1] - cut[k]))
+        return bits[place]
+
+    def by_anchor(self, crowded: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Buckets and their contexts."""
+        mine = np.flatnonzero(~crowded)
+        bucket = (self.h[mine] % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cut = np.searchsorted(bucket[order], np.arange(parts + 1))
+        for k in np.flatnonzero(np.diff(cut)).tolist():
+            yield k, mine[order[cut[k]:cut[k + 1]]]
+
+    def by_window(self, crowded: np.ndarray) -> Iterator["Windows"]:
+        """The windows of crowded anchors, some at a time."""
+        mine = np.flatnonzero(crowded)
+        at = _gather(self.first[mine], self.past[mine] - self.first[mine])
+        for k in range(0, len(at), BLOCK):
+            yield Windows(self, at[k:k + BLOCK])
+
+
+class Windows:
+    """Windows that start ``at`` some places, equal ones taken together with their smallest key."""
+
+    def __init__(self, c: Pieces, at: np.ndarray):
+        rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(c.buf, LENGTH)[at])
+        self.at = at
+        self.low = c.lows[np.searchsorted(c.bounds, at, side="right") - 1]
+        self.texts, self.which = np.unique(rows.view(f"V{LENGTH}").ravel(), return_inverse=True)
+        self.least = np.full(len(self.texts), np.iinfo(np.int64).max)
+        np.minimum.at(self.least, self.which, self.low)
+        rows = np.frombuffer(self.texts.tobytes(), np.uint8).reshape(-1, LENGTH)
+        h = np.full(len(rows), LENGTH, np.uint64)
+        with np.errstate(over="ignore"):
+            for off in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+                h = (h ^ np.ascontiguousarray(rows[:, off:off + 8]).view("<u8").ravel()) * _MUL
+                h ^= h >> np.uint64(29)
+        self.h = h
+
+    def buckets(self, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+        bucket = (self.h % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cut = np.searchsorted(bucket[order], np.arange(parts + 1))
+        for k in np.flatnonzero(np.diff(cut)).tolist():
+            yield k, order[cut[k]:cut[k + 1]]
+
+
+def _send_counts(buckets: int):
+    """Of each chunk and bucket the anchors and how many contexts each has."""
 
-def _is_hot(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    if not len(hot):
-        return np.zeros(len(h), bool)
-    return hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, body in zip(b.column("chunk").to_pylist(), b.column("body").to_pylist()):
+                code, n = np.unique(codes(Pieces(body).h, buckets), return_counts=True)
+                cut = np.searchsorted(code, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
+                some = np.flatnonzero(np.diff(cut))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some.astype(np.int32)), pa.array([chunk] * len(some), pa.int64()),
+                     pa.array([code[cut[k]:cut[k + 1]].astype("<u4").tobytes() for k in some], pa.binary()),
+                     pa.array([n[cut[k]:cut[k + 1]].astype("<u4").tobytes() for k in some], pa.binary())],
+                    names=["bucket", "chunk", "codes", "counts"])
 
+    return run
 
-WINDOWS = "window binary, id long, low long, at int"
 
+def _crowded(enough: int):
+    """Of each chunk's anchors in a bucket, the bits that tell which have ``enough`` contexts."""
 
-def _hot_windows(hot: np.ndarray):
-    """The windows of hot anchors, one row each."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, 2, BLOCK):
-                ids, lows = (b.column(c).to_numpy() for c in ("id", "low"))
-                data, bounds = _joined(b.column("piece").to_pylist())
-                buf = np.frombuffer(data, np.uint8)
-                h, piece, first, past = contexts(buf, bounds)
-                r = np.flatnonzero(_is_hot(h, hot))
-                if not len(r):
-                    continue
-                n = past[r] - first[r]
-                owner = np.repeat(piece[r], n)
-                i = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[r], n)
-                for k in range(0, len(i), BLOCK):
-                    at, mine = i[k:k + BLOCK], owner[k:k + BLOCK]
-                    rows = np.lib.stride_tricks.sliding_window_view(buf, LENGTH)[at]
-                    ends = np.arange(0, LENGTH * len(at) + 1, LENGTH, dtype=np.int32)
-                    windows = pa.Array.from_buffers(pa.binary(), len(at), [
-                        None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
-                    yield pa.RecordBatch.from_arrays(
-                        [windows, pa.array(ids[mine]), pa.array(lows[mine]), pa.array((at - bounds[mine]).astype(np.int32))],
-                        names=["window", "id", "low", "at"])
+    def run(t: pa.Table) -> pa.Table:
+        lists = [np.frombuffer(x, "<u4") for x in t.column("codes").to_pylist()]
+        value, place = np.unique(np.concatenate(lists), return_inverse=True)
+        n = np.bincount(place, np.concatenate([np.frombuffer(x, "<u4") for x in t.column("counts").to_pylist()]), len(value))
+        hit = np.split((n >= enough)[place], np.cumsum([len(x) for x in lists])[:-1])
+        some = [k for k, x in enumerate(hit) if x.any()]
+        return pa.table({"chunk": t.column("chunk").take(pa.array(some, pa.int64())),
+                         "bucket": t.column("bucket").take(pa.array(some, pa.int64())),
+                         "bits": pa.array([np.packbits(hit[k]).tobytes() for k in some], pa.binary())})
 
     return run
 
 
-def _send_contexts(buckets: int, hot: np.ndarray):
+DEALT = "bucket int, chunk long, part int, body binary"
+
+
+def _send_contexts(buckets: int, parts: int):
+    """The contexts of each chunk, a body for each bucket: by anchor in ``part`` -1, windows of
+    crowded anchors by their own bytes in the parts from 0."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, 2, CHUNK_BYTES):
-                ids, lows = (b.column(c).to_numpy() for c in ("id", "low"))
-                data, bounds = _joined(b.column("piece").to_pylist())
-                found = contexts(np.frombuffer(data, np.uint8), bounds)
-                cold = ~_is_hot(found[0], hot)
-                h, piece, first, past = (x[cold] for x in found)
-                bucket = (h % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                out = []
-                for k in np.flatnonzero(np.diff(cut)).tolist():
-                    r = order[cut[k]:cut[k + 1]]
-                    body = pa.RecordBatch.from_arrays(
-                        [pa.array(h[r]), pa.array(ids[piece[r]]), pa.array(lows[piece[r]]),
-                         pa.array((first[r] - bounds[piece[r]]).astype(np.int32)),
-                         pa.array([data[i:j] for i, j in zip(first[r].tolist(), (past[r] + LENGTH - 1).tolist())], pa.binary())],
-                        schema=CONTEXT)
-                    out.append((k, to_body(body)))
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()),
-                                                  pa.array([x for _, x in out], pa.binary())], names=["bucket", "body"])
+        for b in batches:
+            for chunk, body, told in zip(*(b.column(c).to_pylist() for c in ("chunk", "body", "told"))):
+                c = Pieces(body)
+                crowded, out = c.crowded(told, buckets), []
+                for k, r in c.by_anchor(crowded, parts):
+                    texts = [c.data[i:j] for i, j in zip(c.first[r].tolist(), (c.past[r] + LENGTH - 1).tolist())]
+                    out.append((k, -1, (c.h[r], c.lows[c.piece[r]], texts)))
+                for part, w in enumerate(c.by_window(crowded)):
+                    out += [(k, part, (w.h[r], w.least[r], w.texts[r].tolist())) for k, r in w.buckets(parts)]
+                bodies = [to_body(pa.RecordBatch.from_arrays([pa.array(h), pa.array(low), pa.array(x, pa.binary())], schema=CONTEXT))
+                          for _, _, (h, low, x) in out]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k for k, _, _ in out], pa.int32()), pa.array([chunk] * len(out), pa.int64()),
+                     pa.array([p for _, p, _ in out], pa.int32()), pa.array(bodies, pa.binary())],
+                    names=["bucket", "chunk", "part", "body"])
 
     return run
 
@@ -468,18 +515,20 @@ def equal_prefixes(b: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.cumsum(new)
 
 
-COVERED = "id long, lo int, hi int"
+ANSWERS = "chunk long, bucket int, part int, bits binary"
 
 
 def _sort_bucket(t: pa.Table) -> pa.Table:
-    """Intervals of windows of pieces that also start in a document with a smaller key."""
+    """For each body a bit a window: it also starts in a document with a smaller key."""
     parts = [from_body(x) for x in t.column("body").to_pylist()]
     whole = pa.concat_tables(parts)
     h = whole.column("h").to_numpy()
+    windows = pc.binary_length(whole.column("text")).to_numpy().astype(np.int64) - LENGTH + 1
+    place = np.cumsum(windows) - windows
+    flags = np.zeros(int(windows.sum()), bool)
     _, group, count = np.unique(h, return_inverse=True, return_counts=True)
     rows = np.flatnonzero(count[group] > 1)
-    ids, lows, starts = (whole.column(c).to_numpy()[rows] for c in ("id", "low", "start"))
-    group = group[rows]
+    lows, group = whole.column("low").to_numpy()[rows], group[rows]
     texts = whole.column("text").take(pa.array(rows)).to_pylist()
     # equal contexts are sorted once, with their smallest key
     number: dict[tuple[int, bytes], int] = {}
@@ -490,51 +539,66 @@ def _sort_bucket(t: pa.Table) -> pa.Table:
     of = np.array([g for g, _ in number], np.int64)
     alone = np.bincount(of, minlength=len(count))[of] == 1 if len(of) else np.zeros(0, bool)
     base = np.full(len(number), -1, np.int64)
-    least = np.zeros(0, np.int64)
     if (~alone).any():
         kept = np.flatnonzero(~alone)
         strings = [x for (_, x), a in zip(number, alone) if not a]
         base[kept] = np.concatenate([[0], np.cumsum(size[kept])[:-1]])
         b = np.frombuffer(b"".join(strings), np.uint8)
-        start_of = np.zeros(len(b), bool)
         owner = np.repeat(np.arange(len(kept)), size[kept])
         start_of = np.arange(len(b)) - base[kept][owner] <= size[kept][owner] - LENGTH
         order = suffix_order(b)
         order = order[start_of[order]]
         cls = equal_prefixes(b, order)
-        key = low[kept][owner[order]]
         first = np.full(int(cls[-1]) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(first, cls, key)
+        np.minimum.at(first, cls, low[kept][owner[order]])
         least = np.full(len(b), np.iinfo(np.int64).max)
         least[order] = first[cls]
-    out_id, out_lo, out_hi = [], [], []
-    for r, (k, mine, at) in enumerate(zip(which.tolist(), lows.tolist(), starts.tolist())):
-        n = int(size[k]) - LENGTH + 1
-        if mine > low[k]:
-            lo, hi = [0], [n]
-        elif base[k] < 0:
-            continue
-        else:
-            hit = least[base[k]:base[k] + n] < mine
-            if not hit.any():
-                continue
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]])))
-            lo, hi = edge[::2].tolist(), edge[1::2].tolist()
-        out_id += [int(ids[r])] * len(lo)
-        out_lo += [at + x for x in lo]
-        out_hi += [at + x for x in hi]
-    return pa.table({"id": pa.array(out_id, pa.int64()), "lo": pa.array(out_lo, pa.int32()), "hi": pa.array(out_hi, pa.int32())})
+        some = np.flatnonzero((base[which] >= 0) & (lows == low[which]))
+        n = windows[rows[some]]
+        flags[_gather(place[rows[some]], n)] = least[_gather(base[which[some]], n)] < np.repeat(lows[some], n)
+    later = rows[lows > low[which]]
+    flags[_gather(place[later], windows[later])] = True
+    ends = np.cumsum([len(x) for x in parts])
+    cuts = [0, *(place[ends[:-1]]).tolist(), len(flags)]
+    bits = [flags[a:b] for a, b in zip(cuts, cuts[1:])]
+    some = [k for k, x in enumerate(bits) if x.any()]
+    return pa.table({c: t.column(c).take(pa.array(some, pa.int64())) for c in ("chunk", "bucket", "part")} |
+                    {"bits": pa.array([np.packbits(bits[k]).tobytes() for k in some], pa.binary())})
+
 
+LOWS = "m binary, low long, n int, part array<struct<lo:int,hi:int>>"
 
-def _cover_hot(distinct: DataFrame, hot: np.ndarray, scratch: Scratch) -> DataFrame:
-    """Windows of hot anchors that also start in a document with a smaller key.
 
-    The minima are written first: behind an aggregate a skewed join is not split."""
-    windows = distinct.select("id", "low", "piece").mapInArrow(_hot_windows(hot), WINDOWS)
-    least = windows.groupBy(F.col("window").alias("w")).agg(F.min("low").alias("least"), F.max("low").alias("most"))
-    least = scratch.save(least.where(F.col("least") < F.col("most")).select("w", "least"), "least")
-    return windows.join(least, (F.col("window") == F.col("w")) & (F.col("low") > F.col("least"))).select(
-        "id", F.col("at").alias("lo"), (F.col("at") + 1).cast("int").alias("hi"))
+def _cover_pieces(buckets: int, parts: int):
+    """The distinct pieces of each chunk with the intervals of their covered windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for body, told, answers in zip(*(b.column(c).to_pylist() for c in ("body", "told", "answers"))):
+                c = Pieces(body)
+                found = {(x["part"], x["bucket"]): np.frombuffer(x["bits"], np.uint8) for x in answers or ()}
+                crowded, covered = c.crowded(told, buckets), np.zeros(len(c.buf) + 1, bool)
+                for k, r in c.by_anchor(crowded, parts):
+                    if (-1, k) in found:
+                        at = _gather(c.first[r], c.past[r] - c.first[r])
+                        covered[at] = np.unpackbits(found[-1, k], count=len(at)).astype(bool)
+                for part, w in enumerate(c.by_window(crowded)):
+                    hit = np.zeros(len(w.texts), bool)
+                    for k, r in w.buckets(parts):
+                        if (part, k) in found:
+                            hit[r] = np.unpackbits(found[part, k], count=len(r)).astype(bool)
+                    covered[w.at] = hit[w.which] | (w.low > w.least[w.which])
+                edge = np.flatnonzero(np.diff(covered, prepend=False))
+                lo, hi = edge[::2], edge[1::2]
+                piece = np.searchsorted(c.bounds, lo, side="right") - 1
+                ends = np.searchsorted(piece, np.arange(len(c.lows) + 1))
+                spans = pa.StructArray.from_arrays([pa.array((lo - c.bounds[piece]).astype(np.int32)),
+                                                    pa.array((hi - c.bounds[piece]).astype(np.int32))], names=["lo", "hi"])
+                yield pa.RecordBatch.from_arrays(
+                    [c.names.combine_chunks(), pa.array(c.lows), pa.array(np.diff(c.bounds).astype(np.int32)),
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans)], names=["m", "low", "n", "part"])
+
+    return run
 
 
 # ---- cutting --------------------------------------------------------------------------
@@ -614,22 +678,21 @@ def remove_repeats(df: DataFrame, scratch: Scratch, text: str = "text", key: str
     scratch.drop("bits")
 
     distinct = pieces.groupBy("name").agg(F.min("key").alias("low"), F.first("piece").alias("piece"))
-    distinct = scratch.save(distinct.select(F.monotonically_increasing_id().alias("id"), "low", "piece", "name"), "distinct")
-    size = distinct.agg(F.sum(F.octet_length("piece"))).head()[0] or 0
+    packed = scratch.save(distinct.mapInArrow(_pack_pieces, "chunk long, body binary, size long"), "packed", codec="uncompressed")
+    size = packed.agg(F.sum("size")).head()[0] or 0
+    counted = max(1, size // (WINDOW // 2) // BUCKET_ANCHORS + 1)
     parts = max(1, size * LENGTH // (WINDOW // 2) // BUCKET_BYTES)
-    hot = hot_anchors(distinct)
-    dealt = distinct.select("id", "low", "piece").mapInArrow(_send_contexts(parts, hot), "bucket int, body binary")
-    covered = dealt.groupBy("bucket").applyInArrow(_sort_bucket, COVERED)
-    if len(hot):
-        covered = covered.unionByName(_cover_hot(distinct, hot, scratch))
-    covered = scratch.save(covered, "covered")
-    if len(hot):
-        scratch.drop("least")
-
-    by_piece = covered.groupBy(F.col("id").alias("i")).agg(F.collect_list(F.struct("lo", "hi")).alias("part"))
-    lows = scratch.save(distinct.select("id", "low", F.octet_length("piece").alias("n"), F.col("name").alias("m"))
-                        .join(by_piece, F.col("id") == F.col("i"), "left").select("m", "low", "n", "part"), "lows")
-    scratch.drop("distinct", "covered")
+    counts = packed.select("chunk", "body").mapInArrow(_send_counts(counted), "bucket int, chunk long, codes binary, counts binary")
+    crowded = counts.groupBy("bucket").applyInArrow(_crowded(max(2, BUCKET_BYTES // 2 // LENGTH)), "chunk long, bucket int, bits binary")
+    crowded = crowded.groupBy(F.col("chunk").alias("c")).agg(F.collect_list(F.struct("bucket", "bits")).alias("told"))
+    packed = scratch.save(packed.join(crowded, F.col("chunk") == F.col("c"), "left").select("chunk", "body", "told"),
+                          "marked", codec="uncompressed")
+    dealt = packed.mapInArrow(_send_contexts(counted, parts), DEALT)
+    answers = scratch.save(dealt.groupBy("bucket").applyInArrow(_sort_bucket, ANSWERS), "answers")
+    answers = answers.groupBy(F.col("chunk").alias("c")).agg(F.collect_list(F.struct("part", "bucket", "bits")).alias("answers"))
+    lows = packed.join(answers, F.col("chunk") == F.col("c"), "left").select("body", "told", "answers")
+    lows = scratch.save(lows.mapInArrow(_cover_pieces(counted, parts), LOWS), "lows")
+    scratch.drop("packed", "marked", "answers")
     all_of = F.array(F.struct(F.lit(0).alias("lo"), (F.col("n") - LENGTH + 1).cast("int").alias("hi")))
     hits = pieces.select("name", "key", "chunk", "doc", "start").join(lows, F.col("name") == F.col("m")).select(
         "chunk", "doc", "start", F.explode(F.when(F.col("key") > F.col("low"), all_of).otherwise(F.col("part"))).alias("w"))

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from hearth.llm import suffixes
 from hearth.llm.queries import op3_suffixes
@@ -96,31 +97,36 @@ def test_suffix_order_of_long_repeats():
         assert keys == sorted(keys)
 
 
-def test_hot_anchors_do_not_share_a_bucket(spark, scratch, monkeypatch):
+def test_crowded_anchors_do_not_share_a_bucket(spark, scratch, monkeypatch):
     rng = random.Random(12)
     own = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
     header = "Share this page with your friends now"  # 37 bytes, amid the text of each document
     rows = [(k, f"{own(90)}{header}{own(90)}") for k in range(600)]
     rows += [(600 + k, f"{own(30)}{rng.choice(rows)[1][60:150]}{own(20)}") for k in range(200)]  # its windows again
     rows += [(900 + k, own(60) + " " * rng.randint(40, 90) + own(60)) for k in range(300)]
+    rows += [(2000 + k, f"{own(40)}{'-' * 49}{k % 7}{own(40)}") for k in range(300)]  # all but one byte of a window
     monkeypatch.setattr(suffixes, "BUCKET_BYTES", 20_000)
+    monkeypatch.setattr(suffixes, "CHUNK_BYTES", 9000)
+
+    most, sent = [], []
+    pieces = spark.createDataFrame([(str(k).encode(), k, t.encode()) for k, t in rows], "name binary, low long, piece binary")
+    packed = pieces.repartition(4).mapInArrow(suffixes._pack_pieces, "chunk long, body binary, size long").collect()
+    chunks = [suffixes.Pieces(bytes(r.body)) for r in packed]
+    lists = [np.unique(suffixes.codes(c.h, 1), return_counts=True) for c in chunks]
+    counts = {"chunk": list(range(len(chunks))), "bucket": [0] * len(chunks),
+              "codes": [c.astype("<u4").tobytes() for c, _ in lists], "counts": [n.astype("<u4").tobytes() for _, n in lists]}
+    told = suffixes._crowded(200)(pa.table(counts)).to_pylist()
+    assert told
+    for k, c in enumerate(chunks):
+        crowded = c.crowded([t for t in told if t["chunk"] == k], 1)
+        most += c.h[~crowded].tolist()
+        for w in c.by_window(crowded):
+            assert [w.texts[x].tobytes() for x in w.which] == [c.data[i:i + 50] for i in w.at.tolist()]
+            sent += w.h.tolist()
+    assert np.unique(np.array(most, np.uint64), return_counts=True)[1].max() < 200
+    assert np.unique(np.array(sent, np.uint64), return_counts=True)[1].max() <= len(chunks)  # a chunk sends a window once
 
-    pieces = spark.createDataFrame([(k, k, t.encode()) for k, t in rows], "id long, low long, piece binary").repartition(4)
-    hot = suffixes.hot_anchors(pieces)
-    assert 0 < len(hot) < 40
-
-    def largest(hot):  # contexts of the anchor that has most in any bucket
-        dealt = pieces.mapInArrow(suffixes._send_contexts(8, hot), "bucket int, body binary").collect()
-        h = np.concatenate([suffixes.from_body(bytes(r.body)).column("h").to_numpy() for r in dealt])
-        return np.unique(h, return_counts=True)[1].max()
-
-    assert largest(hot[:0]) > 500  # what one task got before
-    assert largest(hot) < 200
-
-    used, cover = [], suffixes._cover_hot
-    monkeypatch.setattr(suffixes, "_cover_hot", lambda *a: used.append(1) or cover(*a))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = [tuple(r) for r in suffixes.remove_repeats(df, scratch).select(
         "doc_id", "_n_bytes", "_n_removed", "_n_spans", "_kept_sha256").collect()]
     assert sorted(got) == sorted(brute(rows))
-    assert used
