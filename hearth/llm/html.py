@@ -29,7 +29,7 @@ RAW = set("script style textarea title xmp iframe noembed noframes template".spl
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
              "small span strike strong sub sup time tt u var wbr img input select option button".split())
 NEVER = set("script style textarea xmp iframe noembed noframes template head title noscript select option button svg math "
-            "object canvas form".split())  # never text of the article
+            "object canvas".split())  # never text of the article
 CLOSES = {  # a start tag that ends an open element of these
     **{t: {"p"} for t in "address article aside blockquote center details dialog div dl fieldset figcaption figure footer form "
        "h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()},
@@ -41,21 +41,28 @@ SCOPE = set("ul ol dl table div article section body main aside".split())  # an
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
                   r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|y)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"[a-z]+")
-_MAY_HIDE = re.compile(r"hidden|display|visibility", re.I)
+_WORDS_OF = ("class", "id", "role")  # attributes whose words are features
+OUTER = ("#page", "html", "body", "form")  # elements that may hold a whole page
+PLAIN = set("p h1 h2 h3 h4 h5 h6 pre blockquote ul ol dl table".split())
+GROUPS = set("div section td blockquote".split())
+LABEL = "y"  # of training pages
 _NAMED = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 
 
-def hidden(attr: str) -> bool:
-    """Whether the attributes hide their element: ``hidden`` with any value, ``aria-hidden``
-    true, or a style that ends at display none or visibility hidden."""
-    if not _MAY_HIDE.search(attr):
-        return False
+def attributes(raw: str) -> dict[str, str]:
+    """Names, in lower case, and values of a tag's attributes; the first of a name counts. A
+    name is read whole: ``data-id`` is no ``id``."""
     given: dict[str, str] = {}
-    for name, value in _NAMED.findall(attr):  # the first of a name counts
+    for name, value in _NAMED.findall(raw):
         given.setdefault(name.lower(), html.unescape(value[1:-1] if value[:1] in ("'", '"') else value))
+    return given
+
+
+def hidden(given: dict[str, str]) -> bool:
+    """Whether the attributes hide their element: ``hidden`` with any value, ``aria-hidden``
+    true, or a style that ends at display none or visibility hidden."""
     if "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true":
         return True
     style: dict[str, str] = {}
@@ -72,36 +79,80 @@ def hidden(attr: str) -> bool:
 class Page:
     """Block elements of a page and its text in page order."""
 
-    __slots__ = ("tag", "parent", "attr", "label", "chars", "linked", "ends", "text")
+    __slots__ = ("tag", "parent", "given", "label", "own", "chars", "linked", "ends", "text")
 
     def __init__(self) -> None:
         self.tag: list[str] = []
         self.parent: list[int] = []
-        self.attr: list[str] = []
+        self.given: list[dict[str, str]] = []
         self.label: list[int] = []
-        self.chars: list[int] = []  # own text; of the whole subtree after parsing
+        self.own: list[int] = []  # text right in the block
+        self.chars: list[int] = []  # text of the whole subtree, after parsing
         self.linked: list[int] = []
         self.ends: list[int] = []
         self.text: list[tuple[int, str]] = []  # block and text; block -1: a boundary
 
-    def add(self, tag: str, parent: int, attr: str) -> int:
+    def add(self, tag: str, parent: int, given: dict[str, str], label: int | None = None) -> int:
         self.tag.append(tag)
         self.parent.append(parent)
-        self.attr.append(attr)
-        given = {k.lower(): v for k, v in _ATTR.findall(attr) if k.lower() == "y"} if attr else {}
-        self.label.append(int(given["y"].strip("\"'")) if "y" in given else self.label[parent] if parent >= 0 else 0)
-        self.chars.append(0)
+        self.given.append(given)
+        self.label.append(label if label is not None else self.label[parent] if parent >= 0 else 0)
+        self.own.append(0)
         self.linked.append(0)
         self.ends.append(0)
         self.text.append((-1, ""))
         return len(self.tag) - 1
 
 
-def parse(source: str) -> Page:
-    """The block tree of a page; broken markup ends somehow, nothing is dropped but comments."""
+class Open:
+    """The open elements of a page. Where the last of a name stands is known without a walk, so
+    broken markup of any kind takes linear time."""
+
+    def __init__(self, root: int) -> None:
+        self.stack: list[tuple[str, int]] = [("#page", root)]  # each with the block it stands in
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = [0]  # places of elements that aren't inline
+        self.scopes: list[int] = [0]
+
+    def push(self, name: str, block: int) -> None:
+        k = len(self.stack)
+        self.stack.append((name, block))
+        self.at.setdefault(name, []).append(k)
+        if name not in INLINE:
+            self.blocks.append(k)
+        if name in SCOPE:
+            self.scopes.append(k)
+
+    def pop(self) -> tuple[str, int]:
+        name, block = self.stack.pop()
+        k = len(self.stack)
+        self.at[name].pop()
+        for places in (self.blocks, self.scopes):
+            if places[-1] == k:
+                places.pop()
+        return name, block
+
+    def last(self, name: str) -> int:
+        """Place of the last open element of a name; 0 if there is none."""
+        places = self.at.get(name)
+        return places[-1] if places else 0
+
+    def ended_by(self, shut: set[str]) -> int:
+        """The first of the neighbouring open elements that a start tag ends; 0 if none is."""
+        k = max(map(self.last, shut))
+        if not k or k < self.scopes[-1]:
+            return 0
+        while k > 1 and self.stack[k - 1][0] in shut:
+            k -= 1
+        return k
+
+
+def parse(source: str, labelled: bool = False) -> Page:
+    """The block tree of a page; broken markup ends somehow, nothing is dropped but comments.
+    Labels are read from training pages only."""
     page = Page()
-    node = page.add("#page", -1, "")
-    stack: list[tuple[str, int]] = [("#page", node)]  # open elements and the block each stands in
+    open_ = Open(page.add("#page", -1, {}))
+    stack = open_.stack
     links = 0
     at = 0
 
@@ -111,14 +162,14 @@ def parse(source: str) -> Page:
             block = stack[-1][1]
             page.text.append((block, text))
             size = len(text) - text.count(" ")
-            page.chars[block] += size
+            page.own[block] += size
             if links:
                 page.linked[block] += size
             page.ends[block] += text.count(". ") + text.rstrip().endswith((".", "!", "?", ":"))
 
     def pop() -> None:
         nonlocal links
-        name, block = stack.pop()
+        name, block = open_.pop()
         links -= name == "a"
         if stack[-1][1] != block:
             page.text.append((-1, ""))
@@ -131,8 +182,8 @@ def parse(source: str) -> Page:
             continue
         name = name.lower()
         if slash:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
-            if depth and not (name in INLINE and any(t not in INLINE for t, _ in stack[depth + 1:])):
+            depth = open_.last(name)
+            if depth and not (name in INLINE and open_.blocks[-1] > depth):
                 while len(stack) > depth:
                     pop()
             elif name == "p":
@@ -142,21 +193,16 @@ def parse(source: str) -> Page:
             if name in ("br", "hr"):
                 page.text.append((-1, ""))
             continue
-        if shut := CLOSES.get(name):
-            k = len(stack) - 1
-            while k > 0 and stack[k][0] not in shut and stack[k][0] not in SCOPE:
-                k -= 1
-            if k > 0 and stack[k][0] in shut:
-                low = k
-                while low > 1 and stack[low - 1][0] in shut:
-                    low -= 1
-                while len(stack) > low:
-                    pop()
+        if (shut := CLOSES.get(name)) and (low := open_.ended_by(shut)):
+            while len(stack) > low:
+                pop()
         if name in INLINE and name not in NEVER:
-            stack.append((name, stack[-1][1]))
+            open_.push(name, stack[-1][1])
             links += name == "a"
         else:
-            stack.append((name, page.add(name, stack[-1][1], attr)))
+            given = attributes(attr) if attr else {}
+            label = int(given.pop(LABEL)) if labelled and LABEL in given else None
+            open_.push(name, page.add(name, stack[-1][1], given, label))
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(source, at)
             stop = end.start() if end else len(source)
@@ -165,6 +211,7 @@ def parse(source: str) -> Page:
         elif attr.endswith("/") and name in ("svg", "path"):
             pop()
     put(source[at:])
+    page.chars = page.own.copy()
     for k in range(len(page.tag) - 1, 0, -1):
         p = page.parent[k]
         page.chars[p] += page.chars[k]
@@ -176,11 +223,16 @@ def parse(source: str) -> Page:
 def features(page: Page) -> list[list[str]]:
     """Names of each block's features."""
     out = []
-    for tag, attr, chars, linked, ends in zip(page.tag, page.attr, page.chars, page.linked, page.ends):
-        f = [f"tag:{tag}"]
-        if attr:
-            words = {w for k, v in _ATTR.findall(attr) if k.lower() != "y" for w in _WORD.findall(v.lower())}
-            f += [f"word:{w}" for w in words]
+    for tag, parent, given, own, chars, linked, ends in zip(page.tag, page.parent, page.given, page.own, page.chars, page.linked, page.ends):
+        f, words = [f"tag:{tag}"], {w for k in _WORDS_OF if k in given for w in _WORD.findall(given[k].lower())}
+        f += [f"word:{w}" for w in words]
+        if tag in OUTER and own:
+            f.append("outer text")
+        elif tag in PLAIN and parent >= 0 and page.tag[parent] in OUTER:
+            f.append(f"outer:{tag}")
+        if tag in GROUPS and not words:
+            f.append("no name")
+        f.append(f"own:{min(4, int(math.log(own + 1, 5)))}")
         f.append(f"chars:{min(4, int(math.log(chars + 1, 5)))}")
         f.append(f"links:{0 if not linked else 1 + (linked * 2 > chars) + (linked * 10 > chars * 9)}")
         f.append(f"ends:{min(3, ends)}")
@@ -199,7 +251,7 @@ class Trees:
                 parent.append(base + p if p >= 0 else -1)
                 depth.append(depth[base + p] + 1 if p >= 0 else 0)
             self.features += features(page)
-            self.never += [t in NEVER or bool(a and hidden(a)) for t, a in zip(page.tag, page.attr)]
+            self.never += [t in NEVER or bool(g and hidden(g)) for t, g in zip(page.tag, page.given)]
             self.bounds.append(len(parent))
         self.parent, depth = np.array(parent, np.int64), np.array(depth, np.int64)
         order = np.argsort(depth, kind="stable")
@@ -236,7 +288,7 @@ class Model:
     def train(cls, sources: list[str], steps: int = 150, rate: float = 0.5, decay: float = 0.002) -> Model:
         """Maximum likelihood by gradient: what the labels have of each feature and pair of
         states, less what the marginals expect. Starts at zero; the same on every machine."""
-        pages = [parse(s) for s in sources]
+        pages = [parse(s, labelled=True) for s in sources]
         trees = Trees(pages)
         y = np.array([v for p in pages for v in p.label])
         names = {f: k for k, f in enumerate(sorted({f for fs in trees.features for f in fs}))}
@@ -286,7 +338,8 @@ def extract_many(sources: list[str | None], trained: Model) -> list[str]:
 def extract(df: DataFrame, source: str = "html", keep: tuple[str, ...] = ("page_id", "url"), batch: int = 64) -> DataFrame:
     """``keep`` plus text and n_chars (code points) of every row.
 
-    Null and empty pages, and pages without a content block, give an empty text;
+    Null and empty pages, and pages without a content block, give an empty text; attributes of
+    any name and value and markup that is broken or very deep are read in linear time;
     repeated rows each give their row; an empty table gives none.
     """
     src = df.select(*[F.col(c) for c in keep], F.col(source).cast("string").alias("_html"))

@@ -60,10 +60,73 @@ LAYOUTS = (
     '</td></tr></table><center><small>{s}</small></center></body>',
     '<body y="0"><nav>' + MENU + '</nav><div class="comment-list"><div class="comment"><p>{p}</p></div></div>'
     '<article y="1"><h1>{h}</h1><p>{p}</p><dl><dt>{s}</dt><dd>{p}</dd></dl></article><div class="ads">{p}</div></body>',
+    # pages without a container, short and bare ones
+    '<body y="1">{p}</body>',
+    '<body y="1">{p}<br><br>{p}</body>',
+    '<body y="1"><h1>{h}</h1>{p}<p>{p}<div class="footer" y="0">{s}</div></body>',
+    '<body y="1"><h1>{h}</h1><p>{p}</p></body>',
+    '<body y="1"><h2>{h}</h2><p>{s}</p><p>{p}</p></body>',
+    '<body y="1">' + TEXT + '</body>',
+    '<body y="1"><p>{p}</p></body>',
+    '<body y="1"><pre>{p}</pre></body>',
+    '<body y="1"><h3>{h}</h3><pre>{p} {p}</pre><p>{p}</p></body>',
+    '<body y="1"><div>{p}</div><div>{p}</div></body>',
+    '<body y="1"><nav y="0">' + MENU + '</nav><h2>{h}</h2>' + TEXT + '<footer y="0">{s}</footer></body>',
+    '<body y="1"><div id="menu" y="0">' + MENU + '</div><p>{p}</p><p>{s}</p><form y="0"><label>{s}</label><input></form></body>',
+    '<h1 y="1">{h}</h1><p y="1">{p}</p><p y="1">{p}</p>',
+    '<div y="1"><p>{p}</p><p>{p}</p></div>',
+    '<main y="1"><p>{p}</p></main>',
+    '<body y="0"><section y="1"><p>{p}</p></section></body>',
+    '<body y="0"><blockquote y="1"><p>{p}</p></blockquote></body>',
+    '<body y="1"><ul><li>{p}</li><li>{p}</li></ul></body>',
+    '<body y="1"><h1>{h}</h1>{p}<br>{p}</body>',
+    '<body y="1">{p}<p>{p}</p></body>',
+    '<body y="0"><div y="1"><h1>{h}</h1><p>{p}</p></div><div class="footer">{s}</div></body>',
+    '<body y="0"><div y="1">{p}</div></body>',
+    '<body y="0"><div class="container"><div y="1"><p>{p}</p><p>{p}</p></div></div></body>',
+    '<body y="0"><div class="container"><div class="row" y="1"><p>{p}</p></div><div class="row footer"><p>{s}</p></div></div></body>',
+    # what doesn't belong to the text, within it and beside it
+    '<body y="0"><article y="1"><p>{p}</p><div class="advert" y="0"><p>{p}</p></div><p>{p}</p><div class="comments" y="0">'
+    '<h3>{s}</h3><p>{p}</p></div></article></body>',
+    '<body y="0"><div class="content" y="1"><p>{p}</p><aside y="0"><p>{p}</p></aside><div class="ad" y="0">{p}</div><p>{p}</p>'
+    '<section id="comments" y="0"><p>{p}</p><p>{p}</p></section></div></body>',
+    '<body y="0"><main y="1"><h1>{h}</h1><p>{p}</p><section class="comments" y="0"><h2>{s}</h2><div><p>{p}</p></div></section>'
+    '</main><aside class="sponsored"><p>{p}</p></aside></body>',
+    '<body y="0"><aside><p>{p}</p></aside><div class="sponsored promo">{p}</div><main y="1"><p>{p}</p><p>{s}</p></main></body>',
+    '<body y="0"><div class="notice"><p>{p}</p></div><div id="article" y="1"><p>{p}</p><div class="ad sponsored" y="0"><p>{s}</p></div>'
+    '<p>{p}</p></div><aside class="ads">{p}</aside><section class="comments"><p>{p}</p></section></body>',
+    # a form around the whole page, and forms within it
+    '<body y="0"><form id="aspnetForm" action="/"><div class="content" y="1"><p>{p}</p></div></form></body>',
+    '<body y="0"><form id="form1"><div class="header">{s}</div><div id="content" y="1"><h1>{h}</h1>' + TEXT
+    + '</div><div class="footer">{s}</div></form></body>',
+    '<body y="0"><form id="theForm"><div id="main" y="1"><h1>{h}</h1><p>{p}</p></div></form></body>',
+    '<body y="0"><form name="main"><table><tr><td class="nav">' + MENU + '</td><td y="1"><p>{p}</p><p>{p}</p></td></tr></table></form></body>',
+    '<body y="0"><article y="1"><h1>{h}</h1>' + TEXT + '</article><form class="contact"><p>{p}</p><label>{s}</label><textarea>'
+    '</textarea><button>{s}</button></form></body>',
+    '<body y="0"><form><label>{s}</label><input></form><div class="content" y="1"><p>{p}</p></div><form id="subscribe"><p>{s}</p>'
+    '<div>{s}</div><input></form></body>',
+    # further names of containers
+    '<body y="0"><div id="top">{s}</div><div id="article-text" y="1"><p>{p}</p><p>{p}</p></div><div id="bottom">{s}</div></body>',
+    '<body y="0"><div class="header">{s}</div><div class="main-content" id="main" y="1"><h1>{h}</h1><p>{p}</p><div class="ad" y="0">'
+    '<p>{s}</p></div><p>{p}</p></div><div class="sidebar">{s}</div></body>',
+    '<body y="0"><div class="post article" y="1"><h2>{h}</h2><p>{p}</p><aside class="promo" y="0"><p>{p}</p></aside><p>{s}</p></div>'
+    '<section class="comments"><p>{p}</p><p>{s}</p></section><form class="reply"><p>{s}</p><input></form></body>',
+    '<body y="0"><div class="story-body" y="1"><p>{p}</p><p>{p}</p></div><div id="comments"><p>{p}</p></div></body>',
+    '<body y="0"><div id="article" y="1"><h1>{h}</h1><p>{p}</p><p>{p}</p></div></body>',
+    '<body y="0"><div class="page-content" y="1"><p>{p}</p><div class="comments" y="0"><p>{p}</p></div></div></body>',
+    '<body y="1">{s}<br>{p}<br>{p}</body>',
+    '<body y="1"><pre>{p} {p}</pre><hr><pre>{s}</pre></body>',
+    '<body y="0"><div class="content" y="1"><div class="ad" y="0">{s}</div><p>{p}</p><p>{p}</p><aside y="0">{p}</aside></div></body>',
+    '<body y="0"><div class="notice">{s}</div><div class="article" y="1"><p>{p}</p><section y="1"><h2>{h}</h2><p>{p}</p></section></div>'
+    '<section class="comments"><p>{p}</p></section></body>',
+    '<nav>' + MENU + '</nav><article y="1"><p>{p}</p><p>{p}</p></article><footer>{s}</footer>',
+    '<nav><ul><li>{k}</li></ul></nav><article y="1"><p>{p}</p><div class="comments" y="0"><p>{p}</p></div></article>',
+    '<body y="0"><article y="1"><p>{p}</p><section class="comment-list" y="0"><p>{p}</p></section></article></body>',
+    '<article y="1"><p>{p}</p></article>',
 )
 
 
-def labelled_pages(copies: int = 12, seed: int = 7) -> list[str]:
+def labelled_pages(copies: int = 8, seed: int = 7) -> list[str]:
     """The layouts filled in with invented words, ``copies`` times each."""
     rng = random.Random(seed)
 
@@ -71,7 +134,7 @@ def labelled_pages(copies: int = 12, seed: int = 7) -> list[str]:
         return " ".join("".join(rng.choice("abdeilmnorstu") for _ in range(rng.randint(1, 9))) for _ in range(n))
 
     def fill(layout: str) -> str:
-        out, rest = [], HEAD + layout
+        out, rest = [], (HEAD if rng.random() < 0.7 else "") + layout
         rest = rest.replace("{{", "\x00").replace("}}", "\x01")
         while True:
             head, mark, tail = rest.partition("{")

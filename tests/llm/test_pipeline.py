@@ -57,7 +57,7 @@ def test_empty_documents(spark, nothing, tmp_path):
 def test_registration():
     import __spark_entry__ as entry
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
 
 
 def test_entry_works_without_the_subpackage():
