@@ -1,5 +1,6 @@
 import hashlib
 import os
+import random
 import subprocess
 import sys
 import zlib
@@ -12,7 +13,7 @@ from hearth.llm.common import Scratch
 from hearth.llm.queries import QUERIES
 
 from .conftest import fixture
-from .test_quality import slow_stats
+from .test_quality import clean_and_junk, slow_stats
 from .test_simhash import slow_components, slow_fingerprint
 from .test_suffixes import brute as slow_suffixes
 
@@ -50,6 +51,13 @@ def test_stages_against_brute_force(spark, awkward, tmp_path):
     assert sorted(pieces, key=str) == sorted([(r.doc_id, r.piece, r.ids_crc32) for r in packed], key=str)
 
 
+def test_quality_stage_drops_planted_outliers(spark):
+    rows = [(*r, len(r[1])) for r in clean_and_junk(random.Random(4), 300, 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.STAGES[0][1](spark, docs, "")
+    assert sorted(kept.collect()) == sorted(docs.where("doc_id < 100000").collect())
+
+
 def test_empty_documents(spark, nothing, tmp_path):
     assert corpus_pipeline.run(spark, fixture(spark, tmp_path, "documents", nothing)).count() == 0
 
