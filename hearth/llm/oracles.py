@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from hearth.llm.chat import END, TEXT, TURN
 from hearth.llm.lattice import COSINE
-from hearth.llm.licences import PHRASES, TEMPLATES, THRESHOLD
+from hearth.llm.licences import PHRASES, TEMPLATES, THRESHOLD, span
 from hearth.llm.mixing import MAX_EPOCHS, SHARE, WEIGHTS
 
 
@@ -37,7 +37,7 @@ def op6() -> str:
     words = f"[{chars}]+"
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     phrases = ", ".join(f"({p.split()!r}, '{x}')" for p, x in PHRASES.items())
-    templates = ", ".join(f"({k}, '{x}', {sorted(set(t.split()))!r})" for k, (x, t) in enumerate(TEMPLATES))
+    templates = ", ".join(f"({k}, '{x}', {sorted(set(t.split()))!r}, {span(t)})" for k, (x, t) in enumerate(TEMPLATES))
     return rf"""
     WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
     w AS (SELECT r, doc_id, regexp_extract_all({low.format('text')}, '{words}') AS ws FROM d),
@@ -45,11 +45,10 @@ def op6() -> str:
     u AS (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS i, ws FROM w),
     hits AS (SELECT u.r, u.i, p.label FROM u JOIN p ON u.w = p.ph[1] AND u.ws[u.i + 1:u.i + len(p.ph)] = p.ph),
     base AS (SELECT r, count(*) AS n, min(i) AS first, max(i) AS last, list(DISTINCT label) AS labels FROM hits GROUP BY r),
-    t(k, label, words) AS (VALUES {templates}),
-    lines AS (SELECT r, unnest(string_split({low.format('text')}, chr(10))) AS line FROM d),
-    sets AS (SELECT r, list_distinct(regexp_extract_all(line, '{words}')) AS ws FROM lines),
-    met AS (SELECT r, label, len(list_intersect(ws, words)) / len(words)::DOUBLE AS score
-            FROM sets JOIN t ON len(list_intersect(ws, words)) >= ceil({THRESHOLD} * len(words) - 1e-9)),
+    t(k, label, words, wide) AS (VALUES {templates}),
+    met AS (SELECT r, label, max(len(list_intersect(ws[i + 1:i + wide], words))) / len(words)::DOUBLE AS score
+            FROM u JOIN t ON list_contains(words, w) GROUP BY r, k, label, words, wide
+            HAVING max(len(list_intersect(ws[i + 1:i + wide], words))) >= ceil({THRESHOLD} * len(words) - 1e-9)),
     more AS (SELECT r, list(DISTINCT label) AS labels, max(score) AS score FROM met GROUP BY r)
     SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, base.first::BIGINT AS first_word,
            base.last::BIGINT AS last_word, array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
@@ -103,7 +102,8 @@ def op13() -> str:
     m AS (SELECT h.c, t.p, t.role, t.text FROM h JOIN t ON t.c = h.base AND t.p <= h.h
           UNION ALL SELECT t.c, t.p, t.role, t.text FROM t JOIN h ON t.c = h.c AND t.p > h.h),
     d AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY p) AS d, md5(length(role) || ':' || role || text) AS k,
-                 coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS w FROM m),
+                 coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS w FROM m),
     pre AS (SELECT c, d, w, md5(string_agg(k, '') OVER (PARTITION BY c ORDER BY d)) AS key FROM d
             UNION ALL SELECT c, 0, 0, '' FROM h),
     nodes AS (SELECT key, d, min(c) AS c, count(*) AS n, any_value(w) AS w FROM pre GROUP BY key, d),
