@@ -169,6 +169,16 @@ oracle("batch_assign", """
 SELECT doc_id, n_chars, pos::BIGINT AS pos, (pos // 64)::BIGINT AS batch_id
 FROM (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents) t""")
 oracle("first_batch", f"SELECT {DOC_COLS} FROM documents ORDER BY doc_id LIMIT 64")
+# one file a table: DuckDB numbers the rows of a scan in file order
+oracle("file_slice", f"""
+SELECT {DOC_COLS} FROM (SELECT *, row_number() OVER () - 1 AS pos FROM documents) t WHERE pos >= 160 AND pos < 200""")
+oracle("file_batches", """
+SELECT (pos // 64)::BIGINT AS batch_id, count(*) AS n_rows, min(page_id) AS first_key, max(page_id) AS last_key
+FROM (SELECT page_id, row_number() OVER () - 1 AS pos FROM pages) t GROUP BY pos // 64""")
+oracle("file_split", """
+SELECT CASE WHEN pos < 160 THEN 'train' ELSE 'test' END AS split, count(*) AS n_rows, min(event_id) AS first_key,
+       max(event_id) AS last_key
+FROM (SELECT event_id, row_number() OVER () - 1 AS pos FROM events) t WHERE pos < 200 GROUP BY 1""")
 oracle("const_columns", "SELECT doc_id, lang, '' AS new_result, 0.0::DOUBLE AS new_score FROM documents")
 oracle("label_swap", """
 SELECT doc_id, quality,

@@ -17,6 +17,7 @@ from hearth.functions.arrays import argmax
 from hearth.functions.text import URL_STRIP, url_key
 from hearth.operators import columns as P
 from hearth.operators import encode as Tx
+from hearth.operators import fileorder as Fo
 from hearth.operators import fitting as M
 from hearth.operators import flags as Fl
 from hearth.operators import keyed as K
@@ -288,6 +289,28 @@ def q_first_batch(spark, sf_dir):
     return Fp.first_batch(load(spark, sf_dir, "documents").select(*DOC_COLS), "doc_id", BATCH)
 
 
+@query("file_slice")
+def q_file_slice(spark, sf_dir):
+    """Rows 160 to 199 as they stand in the file."""
+    return Fo.FileOrder.build(spark, table_path(sf_dir, "documents")).slice(SLICE_A, SLICE_B).select(*DOC_COLS)
+
+
+@query("file_batches")
+def q_file_batches(spark, sf_dir):
+    """Mini-batches of 64 consecutive rows of the file."""
+    d = Fo.FileOrder.build(spark, table_path(sf_dir, "pages")).with_batch(64)
+    return d.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"), F.min("page_id").alias("first_key"),
+                                     F.max("page_id").alias("last_key"))
+
+
+@query("file_split")
+def q_file_split(spark, sf_dir):
+    """The first 160 rows and the next 40 of the file."""
+    parts = [("train", 0, SLICE_A), ("test", SLICE_A, SLICE_B)]
+    return Fo.FileOrder.build(spark, table_path(sf_dir, "events")).split(parts).groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("event_id").alias("first_key"), F.max("event_id").alias("last_key"))
+
+
 @query("const_columns")
 def q_const_columns(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", "lang")
