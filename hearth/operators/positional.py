@@ -41,6 +41,8 @@ TOP_K_MAX_ROWS = TOP_K_MAX_MERGE_ROWS
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 16_384
 SAMPLES_PER_BUCKET = 200
+SPLIT_SAMPLES = 16  # sampled keys per bucket where split points are keys (at most 262,144 on the driver)
+SPLIT_CHARS = 64
 
 _BUCKET = "_hearth_bucket"
 _SUB = "_hearth_sub"
@@ -77,6 +79,62 @@ def _projection(df: DataFrame, key: str) -> Column:
     raise TypeError(f"no order projection for key {key!r} of type {kind.simpleString()}")
 
 
+def _native(df: DataFrame, key: str, least=None, most=None) -> bool:
+    """Whether split points are keys of their own type: where a DOUBLE would not tell keys
+    apart (texts, bytes, decimals, integers beyond 53 bits)."""
+    kind = df.schema[key].dataType
+    if isinstance(kind, T.LongType):
+        return least is not None and (least <= -2 ** 53 or most >= 2 ** 53)
+    return isinstance(kind, (T.StringType, T.BinaryType, T.DecimalType))
+
+
+def _after(value, kind: T.DataType):
+    """The least key above ``value``."""
+    if isinstance(kind, T.StringType):
+        return value + "\0"
+    if isinstance(kind, T.BinaryType):
+        return bytes(value) + b"\0"
+    if isinstance(kind, T.DecimalType):
+        more = value.scaleb(kind.scale) + 1  # exact: a decimal of this type has at most 38 digits
+        return None if len(more.as_tuple().digits) > kind.precision else more.scaleb(-kind.scale)
+    return value + 1 if value < 2 ** 63 - 1 else None
+
+
+def _native_splits(keys: DataFrame, key: str, num_buckets: int) -> list:
+    """Split points in the key's own order, from sampled keys: each ``SPLIT_SAMPLES``-th of them,
+    long texts by their first ``SPLIT_CHARS``. A key that fills a bucket or more gets one of its own."""
+    kind, c = keys.schema[key].dataType, F.col(key)
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        c = F.substring(c, 1, SPLIT_CHARS)
+    rows = keys.where(F.col(key).isNotNull()).select(c.alias("k")).orderBy("k").collect()
+    found = [r["k"] for r in rows]
+    step = max(1, len(found) // num_buckets)
+    points = found[step::step][:num_buckets - 1]
+    out = []
+    for i, v in enumerate(points):
+        if not out or out[-1] != v:
+            out.append(v)
+        if i + 1 < len(points) and points[i + 1] == v and (i + 2 == len(points) or points[i + 2] != v):
+            nxt = _after(v, kind)  # v fills a bucket: what follows starts another
+            out += [nxt] if nxt is not None else []
+    return out
+
+
+def _search(key: Column, splits: list, kind: T.DataType) -> Column:
+    """How many of the rising ``splits`` are not above the key: a binary search in the JVM, a few
+    comparisons in the key's own type."""
+    n = len(splits)
+    if not n:
+        return F.lit(0)
+    points = F.array(*[F.lit(bytearray(v) if isinstance(v, bytes) else v).cast(kind) for v in splits])
+    steps = F.array(*[F.lit(1 << b) for b in range(n.bit_length() - 1, -1, -1)])
+
+    def step(at: Column, by: Column) -> Column:
+        return F.when((at + by <= n) & (F.get(points, at + by - 1) <= key), at + by).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def _input_partitions(df: DataFrame) -> int:
     """An upper estimate of the partitions of ``df`` from its plan's size; runs no job."""
     spark = df.sparkSession
@@ -102,9 +160,9 @@ class PositionIndex:
     a third of the table) gets a bucket of its own. Only where the counts show that
     a bucket's smallest and largest key are equal, its rows, which the content
     hash (``xxhash64`` of the row) orders then, are cut into ``hot[bucket]``
-    contiguous hash ranges, so no window task holds it whole. Distinct keys that
-    share a bucket boundary's DOUBLE (wide integers, decimals, long texts with one
-    start) stay in one bucket, ordered by the key.
+    contiguous hash ranges, so no window task holds it whole. Where a DOUBLE does not
+    tell keys apart (texts, bytes, decimals, integers beyond 53 bits) the inner
+    ``splits`` are sampled keys themselves, found by binary search.
     ``counts[(bucket, sub)]`` is the row count of each piece. Rows are ordered
     by ``(key, xxhash64(row))`` everywhere, so repeated keys have one
     deterministic order and positional splits stay exact.
@@ -115,6 +173,7 @@ class PositionIndex:
     hot: dict[int, int]
     counts: dict[tuple[int, int], int]
     tie_cols: list[str]
+    native: bool = False  # ``splits`` are keys between two placeholders
 
     @property
     def pieces(self) -> list[tuple[int, int]]:
@@ -144,8 +203,16 @@ class PositionIndex:
         at any partition count; ``num_buckets - 1`` values come back), (3) a
         partially aggregated count per (bucket, sub-bucket). Boundaries only
         balance the buckets; positions come from the exact counts."""
-        n = df.count()
+        least = most = None
+        if isinstance(df.schema[key].dataType, T.LongType):
+            n, least, most = df.agg(F.count(F.lit(1)), F.min(key), F.max(key)).collect()[0]
+        else:
+            n = df.count()
         nb = num_buckets or min(MAX_BUCKETS, max(16, -(-n // ROWS_PER_BUCKET)))
+        if _native(df, key, least, most):
+            frac = min(1.0, SPLIT_SAMPLES * nb / max(1, n))
+            keys = df.select(key) if frac == 1.0 else df.select(key).sample(withReplacement=False, fraction=frac, seed=seed)
+            return cls(key, [None, *_native_splits(keys, key, nb), None], {}, {}, list(df.columns), True)._counted(df, n, nb)
         acc = accuracy or max(10_000, 8 * nb)
         kd = _projection(df, key)
         probs = [i / nb for i in range(1, nb)]
@@ -167,25 +234,33 @@ class PositionIndex:
         if not bounds:              # empty / all-NaN key: Bucketizer needs 3 splits
             bounds = {0.0}
         splits = [-math.inf] + sorted(bounds) + [math.inf]
-        tie_cols = [c for c in df.columns]
-        idx = cls(key, splits, {}, {}, tie_cols)
-        k = F.col(key)
-        found = _with_bucket(df.select(*tie_cols), key, splits).groupBy(_BUCKET).agg(
+        return cls(key, splits, {}, {}, list(df.columns))._counted(df, n, nb)
+
+    def _counted(self, df: DataFrame, n: int, nb: int) -> "PositionIndex":
+        """Exact counts per bucket; buckets of one hot key are cut by hash."""
+        k = F.col(self.key)
+        found = self._with_bucket(df.select(*self.tie_cols)).groupBy(_BUCKET).agg(
             F.count(F.lit(1)).alias("n"), F.min(k).eqNullSafe(F.max(k)).alias("one_key")).collect()
-        idx.counts = {(int(r[0]), 0): int(r["n"]) for r in found}
-        idx.hot = {int(r[0]): -(-int(r["n"]) * nb // n) + 1 for r in found
-                   if r["one_key"] and r["n"] * nb >= 2 * n}
-        if idx.hot:
-            cut = idx._bucketed(df.select(*tie_cols), with_tie=False).filter(F.col(_BUCKET).isin(list(idx.hot)))
-            idx.counts = {p: c for p, c in idx.counts.items() if p[0] not in idx.hot}
-            idx.counts |= {(int(r[0]), int(r[1])): int(r[2]) for r in cut.groupBy(_BUCKET, _SUB).count().collect()}
-        return idx
+        self.counts = {(int(r[0]), 0): int(r["n"]) for r in found}
+        self.hot = {int(r[0]): -(-int(r["n"]) * nb // n) + 1 for r in found
+                    if r["one_key"] and r["n"] * nb >= 2 * n}
+        if self.hot:
+            cut = self._bucketed(df.select(*self.tie_cols), with_tie=False).filter(F.col(_BUCKET).isin(list(self.hot)))
+            self.counts = {p: c for p, c in self.counts.items() if p[0] not in self.hot}
+            self.counts |= {(int(r[0]), int(r[1])): int(r[2]) for r in cut.groupBy(_BUCKET, _SUB).count().collect()}
+        return self
+
+    def _with_bucket(self, df: DataFrame) -> DataFrame:
+        if not self.native:
+            return _with_bucket(df, self.key, self.splits)
+        b = _search(F.col(self.key), self.splits[1:-1], df.schema[self.key].dataType)
+        return df.withColumn(_BUCKET, F.when(F.col(self.key).isNull(), F.lit(-1)).otherwise(b))
 
     def _bucketed(self, df: DataFrame, with_tie: bool = True) -> DataFrame:
         """Adds bucket, sub-bucket and tie-break columns. The total order is
         ``(key, xxhash64(row))``: deterministic, and it lets repeated keys be cut
         exactly. The count job needs the hash only inside hot buckets."""
-        d = _with_bucket(df, self.key, self.splits)
+        d = self._with_bucket(df)
         tie_all = F.xxhash64(*[F.col(c) for c in self.tie_cols])
         if not self.hot:
             return d.withColumn(_SUB, F.lit(0)).withColumn(
@@ -225,7 +300,15 @@ class PositionIndex:
 
     def _restrict(self, src: DataFrame, d: DataFrame, lo: int, hi: int) -> DataFrame:
         cond = F.col(_BUCKET).between(lo, hi)
-        if _numeric(src, self.key):
+        if self.native:  # the same range on the raw key is pushed into the scan
+            k, kind = F.col(self.key), src.schema[self.key].dataType
+            point = lambda v: F.lit(bytearray(v) if isinstance(v, bytes) else v).cast(kind)
+            if lo > 0:
+                d = d.filter(k >= point(self.splits[lo]))
+            if hi + 1 < len(self.splits) - 1:
+                bound = k < point(self.splits[hi + 1])
+                d = d.filter(bound | k.isNull() if lo < 0 else bound)
+        elif _numeric(src, self.key):
             # Loose key range on the raw column: pushed into the Parquet scan
             # (row-group pruning); the exact bucket test above keeps it correct.
             k = F.col(self.key)

@@ -153,3 +153,49 @@ def test_index_route_orders_every_key_type(spark, cast):
     first = lambda r: (r.k is not None, r.k if r.k is not None else 0)
     rows.sort(key=lambda r: r.pos)
     assert all(first(a) <= first(b) for a, b in zip(rows, rows[1:]))
+
+
+def keys_of(kind, n):
+    if kind == "text":  # one long common start
+        return F.format_string("https://example.org/a/very/long/start/%09d", F.col("id") * 7919 % n)
+    if kind == "decimal":
+        return ((F.col("id") * 7919 % n).cast("decimal(38,0)") + F.lit("1000000000000000000000000000000").cast("decimal(38,0)"))
+    if kind == "fraction":
+        return ((F.col("id") * 7919 % n).cast("decimal(30,10)") / F.lit(10 ** 8).cast("decimal(10,0)")).cast("decimal(30,10)")
+    if kind == "binary":
+        return F.format_string("samestart%09d", F.col("id") * 7919 % n).cast("binary")
+    return F.lit(2 ** 60) + F.col("id") * 7919 % n
+
+
+@pytest.mark.parametrize("kind", ["text", "decimal", "fraction", "binary", "wide"])
+def test_native_split_points_spread_the_keys(spark, kind):
+    n = 4001
+    df = spark.range(n).select(keys_of(kind, n).alias("k"), (F.col("id") * 7919 % n).alias("v")).repartition(5)
+    idx = P.PositionIndex.build(df, "k", num_buckets=16)
+    assert idx.native and idx.total == n
+    sizes = [c for c in idx.counts.values() if c]
+    assert len(sizes) >= 8 and max(sizes) <= n // 4  # over at least half the buckets, none of them large
+    got = {r.v: r.pos for r in idx.with_position(df).collect()}
+    assert got == {i: i for i in range(n)}
+    assert sorted(r.v for r in idx.slice(df, 1999, 2013).collect()) == list(range(1999, 2013))
+    assert P.PositionIndex.build(df, "k").native  # as the queries build it
+
+
+def test_native_split_points_with_hot_null_and_few_keys(spark):
+    import decimal
+    rows = [("hot", i) for i in range(600)] + [(f"k{i:04d}", 1000 + i) for i in range(600)] + [(None, 5000 + i) for i in range(9)]
+    df = spark.createDataFrame(rows, "k string, v int").repartition(3)
+    idx = P.PositionIndex.build(df, "k", num_buckets=16)
+    assert idx.hot and max(idx.counts.values()) < 300  # the hot key is cut by hash
+    pos = sorted((r.pos, r.k) for r in idx.with_position(df).collect())
+    assert [p for p, _ in pos] == list(range(len(rows)))
+    assert [k for _, k in pos] == [None] * 9 + ["hot"] * 600 + sorted(k for k, _ in rows if k and k != "hot")
+    top = decimal.Decimal("9" * 5)
+    few = spark.createDataFrame([(top,), (top,), (decimal.Decimal(1),)], "k decimal(5,0)")
+    assert sorted(r.pos for r in P.PositionIndex.build(few, "k").with_position(few).collect()) == [0, 1, 2]
+    none = few.limit(0)
+    assert P.PositionIndex.build(none, "k").with_position(none).count() == 0
+
+
+def test_small_integers_keep_the_double_search(spark):
+    assert not P.PositionIndex.build(numbered(spark, 100), "k").native
