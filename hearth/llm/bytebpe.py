@@ -303,11 +303,13 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids", to: str = "
     ranks = read_ranks(path or default_path())
     pieces = [""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
-        pieces[rank] = piece.hex()
-    known = F.split(F.lit(",".join(pieces)), ",")
-    fits = ~F.exists(ids, lambda i: i.isNull() | (i < 0) | (i >= len(pieces)))
-    joined = _let(known, lambda p: F.array_join(F.transform(ids, lambda i: F.element_at(p, i + 1)), ""))
-    return df.withColumn(to, F.when(fits, F.unhex(joined)))
+        pieces[rank] = piece.decode("latin-1")  # a character a byte
+    end = "\u0100"
+    known = F.split(F.lit(end.join(pieces)), end)
+    least, most = F.coalesce(F.array_min(ids), F.lit(0)), F.coalesce(F.array_max(ids), F.lit(0))
+    fits = (F.size(F.array_compact(ids)) == F.size(ids)) & (least >= 0) & (most < len(pieces))
+    joined = _let(known, lambda p: F.array_join(F.transform(ids, lambda i: F.get(p, i)), ""))
+    return df.withColumn(to, F.when(fits, F.encode(joined, "ISO-8859-1")))
 
 
 def digests(coded: DataFrame, key: str = "doc_id", path: str | None = None) -> DataFrame:
