@@ -273,6 +273,12 @@ SELECT key, arg_max(url, page_id) AS url, max(page_id) AS page_id FROM hosts GRO
 oracle("snapshot_overlay", f"""WITH {SNAPSHOTS}
 SELECT b.key, coalesce(u.url, b.url) AS url, u.key IS NOT NULL AS from_update
 FROM base b LEFT JOIN upd u USING (key)""")
+CHAIN_AS_OF = """SELECT key, arg_max(url, v) AS url, max(v)::BIGINT AS changed{extra} FROM (
+  SELECT key, page_id % 5 AS v, arg_max(url, page_id) AS url FROM hosts WHERE page_id % 5 <= {upto} GROUP BY key, v) t
+GROUP BY key HAVING min(v) = 0"""
+oracle("snapshot_chain", f"""WITH {HOSTS}
+{CHAIN_AS_OF.format(upto=2, extra=", 2 AS version")} UNION ALL {CHAIN_AS_OF.format(upto=4, extra=", 4 AS version")}""")
+oracle("snapshot_compacted", f"WITH {HOSTS} {CHAIN_AS_OF.format(upto=4, extra='')}")
 oracle("key_drift", f"""WITH {SNAPSHOTS}
 SELECT key, 'missing' AS status FROM base WHERE key NOT IN (SELECT key FROM upd)
 UNION ALL

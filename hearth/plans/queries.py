@@ -24,6 +24,7 @@ from hearth.operators import keyed as K
 from hearth.operators import metrics as A
 from hearth.operators import positional as Fp
 from hearth.operators import scoring as R
+from hearth.operators import snapshots as Sn
 from hearth.operators import vectors as V
 from hearth.plans.heads import class_names, fixed_head
 from hearth.sources.tables import read_table, table_path
@@ -495,6 +496,34 @@ def q_snapshot_overlay(spark, sf_dir):
     return K.overlay(base, upd, "key", ["url"])
 
 
+CHAIN = 5
+
+
+def _chain(spark, sf_dir) -> Sn.SnapshotChain:
+    """Five snapshots of one keyed table: page ids by their remainder modulo 5, 0 the base."""
+    h = _hosts(spark, sf_dir)
+    part = lambda v: K.last_write_wins(h.filter(F.col("page_id") % CHAIN == v), "key", ["url"], "page_id")
+    chain = Sn.SnapshotChain(spark, _shared(spark, "chain"), "key", ["url"], buckets=16).start(part(0))
+    for v in range(1, CHAIN):
+        chain.append(part(v), v)
+    return chain
+
+
+@query("snapshot_chain")
+def q_snapshot_chain(spark, sf_dir):
+    """Versions 2 and 4 of the chain, each in one pass."""
+    chain = _chain(spark, sf_dir)
+    return chain.as_of(2).withColumn("version", F.lit(2)).unionByName(chain.as_of(4).withColumn("version", F.lit(4)))
+
+
+@query("snapshot_compacted")
+def q_snapshot_compacted(spark, sf_dir):
+    """The last version after the first three deltas were folded into the base."""
+    chain = _chain(spark, sf_dir)
+    chain.compact(3)
+    return chain.as_of(4)
+
+
 @query("key_drift")
 def q_key_drift(spark, sf_dir):
     base, upd = _snapshots(spark, sf_dir)
