@@ -273,6 +273,22 @@ SELECT key, arg_max(url, page_id) AS url, max(page_id) AS page_id FROM hosts GRO
 oracle("snapshot_overlay", f"""WITH {SNAPSHOTS}
 SELECT b.key, coalesce(u.url, b.url) AS url, u.key IS NOT NULL AS from_update
 FROM base b LEFT JOIN upd u USING (key)""")
+LETTERS = "(SELECT chr(97 + range::INTEGER) AS c FROM range(26))"
+oracle("flag_any_many", f"""
+SELECT doc_id, coalesce(bool_or(contains(text, p.pattern)), false) AS flag
+FROM documents CROSS JOIN (SELECT s || c AS pattern FROM (VALUES ('qu'), ('zz'), ('Xy')) v(s), {LETTERS}) p GROUP BY doc_id""")
+oracle("pattern_report_many", f"""
+SELECT p.pattern, count(d.doc_id) AS n_matched
+FROM (SELECT a.c || b.c AS pattern FROM {LETTERS} a, {LETTERS} b) p
+LEFT JOIN documents d ON contains(d.text, p.pattern) GROUP BY p.pattern""")
+MANY_TARGETS = """targets AS (
+  SELECT 'site' || range || '.example.org' AS target FROM range(500)
+  UNION ALL SELECT unnest(['example.org', 'example.com', 'example', 'org', 'com']))"""
+oracle("match_targets_many", f"""WITH {HOSTS}, {MANY_TARGETS}
+SELECT page_id, target FROM hosts JOIN targets ON key = target OR ends_with(key, '.' || target)""")
+oracle("target_report_many", f"""WITH {HOSTS}, {MANY_TARGETS}
+SELECT target AS pattern, count(page_id) AS n_matched
+FROM targets LEFT JOIN hosts ON key = target OR ends_with(key, '.' || target) GROUP BY target""")
 CHAIN_AS_OF = """SELECT key, arg_max(url, v) AS url, max(v)::BIGINT AS changed{extra} FROM (
   SELECT key, page_id % 5 AS v, arg_max(url, page_id) AS url FROM hosts WHERE page_id % 5 <= {upto} GROUP BY key, v) t
 GROUP BY key HAVING min(v) = 0"""

@@ -496,6 +496,31 @@ def q_snapshot_overlay(spark, sf_dir):
     return K.overlay(base, upd, "key", ["url"])
 
 
+MANY_PATTERNS = [a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+RARE_PATTERNS = [p + c for p in ("qu", "zz", "Xy") for c in "abcdefghijklmnopqrstuvwxyz"]
+MANY_TARGETS = ["example.org", "example.com", "example", "org", "com", *(f"site{i}.example.org" for i in range(500))]
+
+
+@query("flag_any_many")
+def q_flag_any_many(spark, sf_dir):
+    return Fl.flag_any_many(load_text(spark, sf_dir), "text", RARE_PATTERNS).select("doc_id", "flag")
+
+
+@query("pattern_report_many")
+def q_pattern_report_many(spark, sf_dir):
+    return Fl.pattern_report_many(load_text(spark, sf_dir), "text", MANY_PATTERNS)
+
+
+@query("match_targets_many")
+def q_match_targets_many(spark, sf_dir):
+    return Fl.match_targets(_hosts(spark, sf_dir), "page_id", "key", MANY_TARGETS)
+
+
+@query("target_report_many")
+def q_target_report_many(spark, sf_dir):
+    return Fl.target_report_many(_hosts(spark, sf_dir), "page_id", "key", MANY_TARGETS)
+
+
 CHAIN = 5
 
 
