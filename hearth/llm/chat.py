@@ -83,7 +83,9 @@ def format_trees(nodes: DataFrame, scratch: Scratch, best: int = 1, learn: str =
 
     ``nodes``: tree, node, parent, role, text, score. A branch's score is the mean of
     its nodes' scores (null: 0); ties go to the smaller leaf. ``loss`` lists the
-    (start, length) of each text by ``learn``, in code points of ``formatted``.
+    (start, length) of each text by ``learn``, in code points of ``formatted``. Null roles and
+    texts are empty in :func:`linear_nodes`; texts of any length stay whole; a table without
+    nodes gives no rows.
     """
     nodes = scratch.save(nodes, "nodes")
     on = paths(nodes, scratch).alias("p").join(

@@ -24,7 +24,8 @@ class Scratch:
     """Tables of one run under the shared folder named by ``spark.checkpoint.dir``.
 
     ``save`` cuts lineage: what follows reads the written files, which survive the
-    loss of any executor. ``drop`` removes tables that nothing reads any more; the
+    loss of any executor. ``drop`` removes tables that nothing reads any more (a name of no
+    characters: the whole folder); the
     tables a returned DataFrame still reads stay until the folder is cleared.
     """
 
@@ -41,7 +42,7 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
             path.getFileSystem(conf).delete(path, True)
 
 

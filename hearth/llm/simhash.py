@@ -127,7 +127,8 @@ def near_duplicates(df: DataFrame, scratch: Scratch, text: str = "text", key: st
     component_id is the smallest key reachable over links of at most ``radius`` bits.
     Null and empty texts have the fingerprint zero and link like any other; rows with a
     null key take part and name no component (null where there is nothing else);
-    repeated rows share a component; an empty table gives no rows.
+    repeated rows share a component; texts of any length are read whole; an empty table gives no
+    rows.
     """
     docs = scratch.save(fingerprints(df, text, key, shingle), "fingerprints")
     classes = scratch.save(docs.groupBy("fp").agg(F.min("key").alias("low")), "classes")

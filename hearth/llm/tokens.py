@@ -5,11 +5,14 @@ The tokenizer drops white space and never merges across it, so the ids of a text
 those of its white-space-separated pieces one after the other. A batch is cut into
 pieces by Arrow, each distinct piece is encoded once by the library, and the ids are
 gathered with numpy. Pieces are cut at ASCII blanks only, which every rule of the
-tokenizer treats as white space; all else is left to the library.
+tokenizer treats as white space; all else is left to the library. A file with other
+rules (:func:`words_stand_alone`) is left to the library text by text.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +46,28 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
+# Rules of the files whose words stand alone between blanks.
+ALONE = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
+
+@functools.lru_cache(8)
+def words_stand_alone(path: str) -> bool:
+    """Whether the file's rules are those that the cuts at blanks and the encoding of lower-case
+    words rely on: read from the file, since another one would give wrong ids in silence."""
+    with open(path, "rb") as f:
+        rules = json.load(f)
+    model = rules["model"]
+    return (all(rules.get(k) == v for k, v in ALONE.items()) and model["type"] == "BPE" and not model.get("dropout")
+            and not any(c.isspace() for t in rules.get("added_tokens") or () for c in t["content"]))
+
+
 def default_path() -> str:
     import public_tokenizers
     return public_tokenizers.path(TOKENIZER)
@@ -137,6 +162,9 @@ def _gather(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 def encode_many(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of many texts (null: empty), as one array and the texts' bounds in it."""
     filled = pc.fill_null(texts.cast(pa.large_string()), "")
+    if not words_stand_alone(path):
+        found = _encode_any(tokenizer(path))(filled.to_pylist())
+        return np.frombuffer(b"".join(found), "<u4"), np.cumsum([0, *(len(x) // 4 for x in found)])
     for blank in "\t\n\r":
         filled = pc.replace_substring(filled, blank, " ")
     lists = pc.split_pattern(filled, " ")  # empty pieces have no ids
@@ -211,6 +239,34 @@ def _encode_chunks(path: str):
     return run
 
 
+CHUNKS = "key long, hash string, k int, n int, start long, overlap int, chunk string"
+
+
+def _cut_chunks(chunk: int, overlap: int):
+    """Rows ``CHUNKS`` of ``(key, hash, text)``: each text is cut once, in time linear in it."""
+
+    def rows(key, hash_, text) -> Iterator[tuple]:
+        n = max(-(-(len(text) - overlap) // chunk), 1)
+        for k in range(n):
+            yield key, hash_, k, n, k * chunk, overlap, text if n == 1 else text[k * chunk:(k + 1) * chunk + overlap]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in CHUNKS.split(", ")]
+        kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.string()]
+        for b in batches:
+            for key, hash_, text in zip(*(c.to_pylist() for c in b.columns)):
+                held: list[tuple] = []
+                for row in rows(key, hash_, text):
+                    held.append(row)
+                    if len(held) * chunk >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names=names)
+                        held = []
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names=names)
+
+    return run
+
+
 def count_huge(docs: DataFrame, path: str, scratch, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
     """``(key, hash, n_tokens)`` of huge texts ``docs (key, hash, text)``.
 
@@ -222,13 +278,7 @@ def count_huge(docs: DataFrame, path: str, scratch, chunk: int = CHUNK_CHARS, ov
     todo = docs.dropDuplicates(["key", "hash"])
     step = 0
     while True:
-        size = F.char_length("text")
-        n = F.greatest(F.ceil((size - overlap) / chunk), F.lit(1)).cast("int")
-        pieces = todo.select("key", "hash", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("k"), "text")
-        pieces = pieces.select(
-            "key", "hash", "k", "n", (F.col("k") * chunk).cast("long").alias("start"), F.lit(overlap).alias("overlap"),
-            F.when(F.col("n") == 1, F.col("text")).otherwise(
-                F.substring("text", F.col("k") * chunk + 1, F.lit(chunk + overlap))).alias("chunk"))
+        pieces = todo.select("key", "hash", "text").mapInArrow(_cut_chunks(chunk, overlap), CHUNKS)
         made = scratch.save(pieces.repartition(F.col("key"), F.col("hash"), F.col("k"))
                             .mapInArrow(_encode_chunks(path), CHUNK), f"chunks{step}")
         a, b = made.alias("a"), made.alias("b")
@@ -260,9 +310,12 @@ def token_counts(df: DataFrame, scratch, path: str | None = None, text: str = "t
     """``key``, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of every row.
 
     A null text is empty: no bytes, no tokens. Special strings inside texts count as
-    the library counts them by default. Repeated rows each give their row.
+    the library counts them by default. Repeated rows each give their row, an empty table
+    none. Texts over ``huge`` characters are cut into chunks, if the file's words stand alone.
     """
     path = path or default_path()
+    if not words_stand_alone(path):
+        huge = 2 ** 31 - 1
     t = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.col(key).cast("long").alias("key"), F.octet_length(t).cast("long").alias("n_bytes"), t.alias("text"))
     long_ = F.char_length("text") > huge

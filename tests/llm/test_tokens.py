@@ -1,4 +1,5 @@
 import random
+import time
 
 import pyarrow as pa
 
@@ -50,3 +51,27 @@ def test_resynchronisation_of_huge_texts(spark, scratch, nothing):
     assert {(r.doc_id, r.n_tokens) for r in out.collect()} == {
         (k, len(tok.encode(t or "", add_special_tokens=False).ids)) for k, t in rows}
     assert tokens.token_counts(nothing, Scratch(spark, "t")).count() == 0
+
+
+def test_another_tokenizer_gives_its_ids(spark, awkward):
+    """Byte-level pieces keep their blanks: the cuts at blanks don't hold, so the library reads whole texts."""
+    import public_tokenizers
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert tokens.words_stand_alone(tokens.default_path()) and not tokens.words_stand_alone(path)
+    tok = tokens.tokenizer(path)
+    texts = ["two  words", " A b\nC", None, "", "x" * 300, "Ärger 日本"]
+    flat, bounds = tokens.encode_many(path, pa.array(texts, pa.string()))
+    assert [flat[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    got = sorted((str(r.doc_id), r.n_tokens) for r in tokens.token_counts(awkward, Scratch(spark, "t"), path=path, huge=100).collect())
+    assert got == sorted((str(r.doc_id), len(tok.encode(r.text or "", add_special_tokens=False).ids)) for r in awkward.collect())
+
+
+def test_a_huge_text_is_cut_in_linear_time():
+    cut = tokens._cut_chunks(tokens.CHUNK_CHARS, tokens.OVERLAP_CHARS)
+    text = "some words and more " * 2_500_000  # 50 MB
+    start = time.time()
+    rows = n = 0
+    for b in cut(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["h"]), pa.array([text])], names=["key", "hash", "text"])])):
+        rows, n = rows + b.num_rows, b.column(3)[0].as_py()
+        assert b.nbytes < 4 * tokens.BATCH_BYTES
+    assert rows == n == -(-(len(text) - tokens.OVERLAP_CHARS) // tokens.CHUNK_CHARS) and time.time() - start < 10
