@@ -406,6 +406,11 @@ HITS = """round(avg((pred = label)::DOUBLE) FILTER (WHERE label IS NOT NULL), 6)
 
 oracle("lstsq_fit", closed_form(WHOLE, 64) + """
 SELECT c::INTEGER AS class_id, j::INTEGER AS j, round(w, 6) AS w FROM head""")
+# an optimum: every listed move of one weight raises the loss over the rows it was fitted on
+oracle("head_fit_optimum", """
+WITH train AS (SELECT label, row_number() OVER (ORDER BY vec_id) <= floor(0.8 * count(*) OVER ()) AS is_train FROM embeddings)
+SELECT c.range::INTEGER AS class, f.feature, s.sign, (SELECT count(label) FROM train WHERE is_train) AS n_rows, true AS higher
+FROM range(10) c, (VALUES (0), (21), (42), (63)) f(feature), (VALUES (1), (-1)) s(sign)""")
 oracle("lstsq_eval", closed_form(WHOLE, 64) + """
 SELECT vec_id, label, pred, round(score, 6) AS score FROM scored""")
 oracle("head_per_view", closed_form(

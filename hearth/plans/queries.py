@@ -683,6 +683,29 @@ def q_head_fit(spark, sf_dir):
         .select("vec_id", "label", "pred", r6("score").alias("score"))
 
 
+OPTIMUM_FEATURES, OPTIMUM_STEP = (0, 21, 42, 63), 0.5
+
+
+@query("head_fit_optimum")
+def q_head_fit_optimum(spark, sf_dir):
+    """The fitted softmax head against heads that differ from it in one weight: the mean
+    cross-entropy of the rows it was fitted on is above its own for each of them."""
+    train, _ = _split_embeddings(spark, sf_dir)
+    w, b = M.softmax_head_weights(M.fit_softmax_head(train, "embedding", "label", max_iter=200))
+    moves = [(c, j, s) for c in range(NUM_CLASSES) for j in OPTIMUM_FEATURES for s in (1, -1)]
+    heads = [(w, b)]
+    for c, j, s in moves:
+        moved = w.copy()
+        moved[c, j] += s * OPTIMUM_STEP
+        heads.append((moved, b))
+    lg = R.stacked_logits(train, "embedding", heads, keep=["vec_id", "label"], head_col="h")
+    loss = A.evaluate(R.score(lg, "logits", label="label"), by=["h"]).select("h", "n_labelled", "mean_nll")
+    own = loss.where("h = 0").select(F.col("h").alias("of"), F.col("mean_nll").alias("own"))
+    named = spark.createDataFrame([(k + 1, 0, *m) for k, m in enumerate(moves)], "k int, of int, class int, feature int, sign int")
+    return loss.join(named, F.col("h") == F.col("k")).join(own, "of").select(
+        "class", "feature", "sign", F.col("n_labelled").alias("n_rows"), (F.col("mean_nll") > F.col("own")).alias("higher"))
+
+
 @query("head_per_view")
 def q_head_per_view(spark, sf_dir):
     """One closed-form head per layer view: the views' Gram matrices are blocks of the one
