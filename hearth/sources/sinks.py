@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from urllib.parse import quote
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -21,10 +22,17 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "p
     w.save(path)
 
 
-def append_metrics(metrics: DataFrame, path: str) -> None:
-    """Append metric rows (one per run / round) to a history table."""
-    metrics.withColumn("recorded_at", F.current_timestamp()) \
-        .write.mode("append").parquet(path)
+def append_metrics(metrics: DataFrame, path: str, run: str | None = None) -> None:
+    """Add metric rows (one per run / round) to a history table.
+
+    With ``run`` they go to that run's own folder, which a retry of the run replaces, and
+    the name is read back as the column ``run``. Without, rows are appended each time. One
+    history keeps to one of the two ways."""
+    rows = metrics.withColumn("recorded_at", F.current_timestamp())
+    if run is None:
+        rows.write.mode("append").parquet(path)
+    else:
+        rows.drop("run").write.mode("overwrite").parquet(f"{path}/run={quote(run, safe='')}")
 
 
 def materialise(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:

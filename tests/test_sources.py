@@ -61,3 +61,11 @@ def test_scale_conf_sizes():
     assert int(c["spark.sql.execution.arrow.maxRecordsPerBatch"]) * 768 * 8 <= 40 * 1024 ** 2
     small = scale_conf(10 * 1024 ** 2, 8)
     assert small["spark.sql.shuffle.partitions"] == "16"
+
+
+def test_a_retried_run_replaces_its_metrics(spark, tmp_path):
+    path = str(tmp_path / "history")
+    m = spark.createDataFrame([(0, 0.5)], "round int, accuracy double")
+    for run in ("a", "b", "b", "c/d e"):
+        append_metrics(m, path, run)
+    assert sorted(r.run for r in spark.read.parquet(path).collect()) == ["a", "b", "c/d e"]
