@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents embeddings pages labels conversations benchmark".split()
+TABLES = "documents embeddings pages labels conversations benchmark events".split()
 
 
 def test_entry_runs(spark):
