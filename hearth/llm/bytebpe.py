@@ -151,7 +151,7 @@ class _Numbers(dict):
 WORDS = "keys array<{key}>, ends binary, codes binary, words array<string>"
 
 
-def _cut(ranks: dict[bytes, int], pattern: str, kind: pa.DataType, common):
+def _cut(ranks: dict[bytes, int], pattern: str, kind: pa.DataType, numbers):
     """Rows ``WORDS`` of texts: the distinct words of a few megabytes that are not common, as
     byte arrays, and each text as numbers of words, the common ones first.
 
@@ -165,7 +165,7 @@ def _cut(ranks: dict[bytes, int], pattern: str, kind: pa.DataType, common):
 
         import regex
         split, stretch = regex.compile(pattern).findall, re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+").findall
-        base = common.value[0] if common else {}
+        base = numbers.value if numbers else {}
         for batch in batches:
             for b in slices(batch, 1, BATCH_BYTES):
                 seen, known = _Numbers(), _Numbers(base)
@@ -214,7 +214,7 @@ def _gathered(ranks: dict[bytes, int], kind: pa.DataType, key: str, common):
     ids = _ids(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, base_ids, base_n = common.value
+        base_ids, base_n = common.value
         for batch in batches:
             for k in range(batch.num_rows):
                 r = batch.slice(k, 1)
@@ -241,9 +241,9 @@ def _folded(ranks: dict[bytes, int], words: DataFrame) -> DataFrame:
 
 
 def common_words(texts: DataFrame, ranks: dict[bytes, int], pattern: str, rows: int | None = None):
-    """A broadcast of the words that stand twice or more in a sample of about ``rows`` of the
-    ``texts (key, text)``, folded: their numbers, their ids one after the other, and how many
-    ids each has. The sample bounds their number."""
+    """Broadcasts of the words that stand twice or more in a sample of about ``rows`` of the
+    ``texts (key, text)``, folded: their numbers, and their ids one after the other with how
+    many each has. The sample bounds their number."""
     rows = rows or SAMPLE_ROWS
     share = min(1.0, rows / max(1, texts.count()))
     sample = (texts.sample(share, seed=11) if share < 1 else texts).select(F.lit(0).cast("long"), texts.columns[1])
@@ -260,7 +260,8 @@ def common_words(texts: DataFrame, ranks: dict[bytes, int], pattern: str, rows:
         pieces += r["pieces"]
     flat, n = _ids(ranks)(pieces, words)
     plain = [w.translate(table).encode("latin-1").decode() for w in words]
-    return texts.sparkSession.sparkContext.broadcast((dict(zip(plain, range(len(plain)))), flat, n))
+    sc = texts.sparkSession.sparkContext
+    return sc.broadcast(dict(zip(plain, range(len(plain))))), sc.broadcast((flat, n))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,8 +292,8 @@ def encode(df: DataFrame, path: str | None = None, pattern: str | None = None, t
     kind = df.schema[key].dataType
     arrow = to_arrow_type(kind)
     texts = df.select(F.col(key), F.col(text))
-    common = common_words(texts, ranks, pattern)
-    words = texts.mapInArrow(_cut(ranks, pattern, arrow, common), WORDS.format(key=kind.simpleString()))
+    numbers, common = common_words(texts, ranks, pattern)
+    words = texts.mapInArrow(_cut(ranks, pattern, arrow, numbers), WORDS.format(key=kind.simpleString()))
     schema = T.StructType([T.StructField(key, kind), T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
     return _folded(ranks, words).mapInArrow(_gathered(ranks, arrow, key, common), schema)
 
