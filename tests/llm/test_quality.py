@@ -21,6 +21,11 @@ def slow_stats(text):
     return (len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(rep))
 
 
+def slow_vector(s):
+    n = max(s[0], 1)
+    return [np.log1p(s[0]), np.log1p(s[1] / n), *(np.log1p(s[k] / n * 10) for k in (2, 3, 4))]
+
+
 def test_query_against_brute_force(spark, awkward, tmp_path):
     rows = awkward.collect()
     want = []
@@ -128,12 +133,7 @@ def test_verdict_of_the_query_against_brute_force(spark, tmp_path):
     got = {r.doc_id: r for r in op7_quality(spark, fixture(spark, tmp_path, "documents", df)).collect()}
     stats = {r[0]: slow_stats(r[1]) for r in rows}
     ok = [r for r in rows if stats[r[0]][0] >= 10 and 100 * stats[r[0]][4] <= 20 * stats[r[0]][0]]
-
-    def vector(s):
-        n = max(s[0], 1)
-        return [np.log1p(s[0]), np.log1p(s[1] / n), *(np.log1p(s[k] / n * 10) for k in (2, 3, 4))]
-
-    x = {r[0]: np.array(vector(stats[r[0]])) for r in ok}
+    x = {r[0]: np.array(slow_vector(stats[r[0]])) for r in ok}
     size = Counter((r[2], r[3]) for r in ok), Counter(r[2] for r in ok)
     near = 0
     for r in ok:
