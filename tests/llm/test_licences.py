@@ -3,6 +3,7 @@ import random
 import re
 
 import duckdb
+from pyspark.sql import functions as F
 
 from hearth.llm import licences
 from hearth.llm.oracles import op6
@@ -97,3 +98,11 @@ def test_notices_across_lines_and_scattered_words(spark):
         assert got[k].score == (1.0 if base else best), t
         if k < len(want):
             assert want[k] in labels if want[k] else not labels, t
+
+
+def test_words_are_counted_in_every_document(spark):
+    """More rows than a sample would take: each count is that of the whole table."""
+    df = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, "The LICENSE, the licence").when(F.col("id") % 1000 == 1, "mozilla\u212a public").alias("text"))
+    n = licences.word_frequencies(df, "text", ["the", "license", "mozilla", "mozillak", "public", "absent"])
+    assert n == {"the": 10_000, "license": 10_000, "public": 20}
