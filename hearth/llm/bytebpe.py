@@ -102,16 +102,16 @@ def _fold(maps: Column, chars: Column, word: Column) -> Column:
 
     def merge(acc: Column, _: Column) -> Column:
         s, n = acc["pieces"], acc["n"]
-        pairs = F.transform(F.sequence(F.lit(1), n), lambda i: ranked(F.substring(s, i, F.lit(2)), i))
+        pairs = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(s, i, F.lit(2)))
 
         def joined(least: Column) -> Column:
-            at = (least % PLACES).cast("int")
+            at = (least % PLACES + 1).cast("int")
             new = F.get(chars, F.shiftright(least, PLACES.bit_length() - 1))
             return F.when(least.isNotNull(), F.struct(
                 F.concat(F.substring(s, F.lit(1), at - 1), new, F.substring(s, at + 2, n)).alias("pieces"),
                 (n - 1).alias("n"))).otherwise(F.struct(s.alias("pieces"), F.lit(0).alias("n")))
 
-        return F.when(n > 0, _let(F.array_min(pairs), joined)).otherwise(acc)
+        return F.when(n > 0, _let(F.array_min(F.transform(pairs, ranked)), joined)).otherwise(acc)
 
     n = F.char_length(word) - 1  # pairs that may merge; none once no pair does
     folded = F.aggregate(F.sequence(F.lit(0), n), F.struct(word.alias("pieces"), n.alias("n")), merge,
@@ -176,7 +176,7 @@ def _cut(ranks: dict[bytes, int], pattern: str, kind: pa.DataType, numbers):
                     ends.append(len(found))
                 n, flat = np.zeros(len(seen), np.int64), []
                 for i, s in enumerate(seen):
-                    words = split(s)
+                    words = (s,) if s in base else split(s)  # a common word stands alone
                     n[i] = len(words)
                     flat += words
                 flat = np.fromiter(map(known.__getitem__, flat), np.int32, len(flat))
@@ -242,8 +242,10 @@ def _folded(ranks: dict[bytes, int], words: DataFrame) -> DataFrame:
 
 def common_words(texts: DataFrame, ranks: dict[bytes, int], pattern: str, rows: int | None = None):
     """Broadcasts of the words that stand twice or more in a sample of about ``rows`` of the
-    ``texts (key, text)``, folded: their numbers, and their ids one after the other with how
-    many each has. The sample bounds their number."""
+    ``texts (key, text)``, folded, as far as the pattern leaves them whole when they stand alone:
+    their numbers, and their ids one after the other with how many each has. The sample bounds
+    their number."""
+    import regex
     rows = rows or SAMPLE_ROWS
     share = min(1.0, rows / max(1, texts.count()))
     sample = (texts.sample(share, seed=11) if share < 1 else texts).select(F.lit(0).cast("long"), texts.columns[1])
@@ -254,12 +256,16 @@ def common_words(texts: DataFrame, ranks: dict[bytes, int], pattern: str, rows:
         F.collect_list("word").alias("words"))
     back = {_char(ranks[bytes([i])]): i for i in range(256)}
     table = str.maketrans({c: chr(i) for c, i in back.items()})
-    words, pieces = [], []
+    words, pieces, plain = [], [], []
+    split = regex.compile(pattern).findall
     for r in _folded(ranks, lists).select("words", "pieces").toLocalIterator():
-        words += r["words"]
-        pieces += r["pieces"]
+        for w, p in zip(r["words"], r["pieces"]):
+            word = w.translate(table).encode("latin-1").decode()
+            if split(word) == [word]:  # the pattern leaves it whole where nothing follows, too
+                words.append(w)
+                pieces.append(p)
+                plain.append(word)
     flat, n = _ids(ranks)(pieces, words)
-    plain = [w.translate(table).encode("latin-1").decode() for w in words]
     sc = texts.sparkSession.sparkContext
     return sc.broadcast(dict(zip(plain, range(len(plain))))), sc.broadcast((flat, n))
 
@@ -304,18 +310,23 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids", to: str = "
     ranks = read_ranks(path or default_path())
     pieces = [""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
-        pieces[rank] = piece.decode("latin-1")  # a character a byte
-    end = "\u0100"
-    known = F.split(F.lit(end.join(pieces)), end)
+        pieces[rank] = base64.b64encode(piece).decode()
+    # bytes as they are under a string's type, which is what strings are joined by
+    known = F.from_json(F.lit(json.dumps(pieces)), "array<binary>").cast("array<string>")
     least, most = F.coalesce(F.array_min(ids), F.lit(0)), F.coalesce(F.array_max(ids), F.lit(0))
-    fits = (F.size(F.array_compact(ids)) == F.size(ids)) & (least >= 0) & (most < len(pieces))
+    fits = (F.size(_present(df, ids)) == F.size(ids)) & (least >= 0) & (most < len(pieces))
     joined = _let(known, lambda p: F.array_join(F.transform(ids, lambda i: F.get(p, i)), ""))
-    return df.withColumn(to, F.when(fits, F.encode(joined, "ISO-8859-1")))
+    return df.withColumn(to, F.when(fits, joined.cast("binary")))
+
+
+def _present(df: DataFrame, ids: str) -> Column:
+    """The ids that are not null; a pass over them only where the type allows nulls."""
+    return F.array_compact(ids) if df.schema[ids].dataType.containsNull else F.col(ids)
 
 
 def digests(coded: DataFrame, key: str = "doc_id", path: str | None = None) -> DataFrame:
     """Key, number of ids, and digests of the ids and of the decoded bytes."""
     return decode(coded, path).select(
         key, F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.btrim(F.to_json(_present(coded, "ids")), F.lit("[]")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -82,3 +82,51 @@ def test_decode(spark, library):
 def test_empty_table(spark, nothing):
     out = bytebpe.digests(bytebpe.encode(nothing))
     assert out.count() == 0 and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_common_words_are_not_cut_again(spark, monkeypatch):
+    """Stretches that are common words skip the pattern, and give the same numbers."""
+    import pyarrow as pa
+    import regex
+    ranks, calls = {bytes([i]): i for i in range(256)}, []
+
+    class Counted:
+        def __init__(self, pattern, _compile=regex.compile):
+            self.of = _compile(pattern).findall
+
+        def findall(self, text):
+            calls.append(text)
+            return self.of(text)
+
+    monkeypatch.setattr(regex, "compile", Counted)
+    numbers = type("Broadcast", (), {"value": {"word": 0, " word": 1}})
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array(["word word new word, word"])], names=["k", "t"])
+    (row,) = bytebpe._cut(ranks, bytebpe.default_pattern(), pa.int64(), numbers)(iter([batch]))
+    assert calls == [" new", " word,"]
+    assert list(memoryview(row.column(2)[0].as_py()).cast("i")) == [0, 1, 2, 1, 3, 1]
+    assert row.column(3).flatten().to_pylist() == ["".join(bytebpe._char(b) for b in w) for w in (b" new", b",")]
+
+
+def test_words_that_the_pattern_cuts_when_they_stand_alone(spark, library):
+    """``ab`` is a word only before ``c``, however common it is."""
+    import public_tokenizers as P
+    pattern = r"ab(?=c)|[a-z]|\s+"
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        own = tiktoken.Encoding("cut", pat_str=pattern, special_tokens={},
+                                mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
+    texts = ["abc abc", "ab", "abc\nab ab", "ab abc"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.ids for r in bytebpe.encode(df, pattern=pattern).collect()} == {
+        i: own.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_digests_of_any_ids(spark, library):
+    """Bytes that are no text, no ids, and ids that are null or unknown."""
+    one = library.encode_ordinary("日本 é")
+    rows = [(1, one[:1]), (2, [255, 128, 0]), (3, []), (4, None), (5, [5, None, 6]), (6, [60000])]
+    coded = spark.createDataFrame(rows, "doc_id long, ids array<int>")
+    got = {r.doc_id: tuple(r)[1:] for r in bytebpe.digests(coded).collect()}
+    for k, ids in rows[:3]:
+        want = b"".join(library.decode_single_token_bytes(i) for i in ids)
+        assert got[k] == (len(ids), sha(",".join(map(str, ids)).encode()), sha(want))
+    assert got[4][1:] == (None, None) and got[5] == (3, sha(b"5,6"), None) and got[6] == (1, sha(b"60000"), None)
