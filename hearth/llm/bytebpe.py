@@ -22,11 +22,13 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,6 +150,42 @@ class _Numbers(dict):
         return n
 
 
+def _stretches(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct stretches of texts, the texts one after the other as numbers of stretches,
+    and where each text ends among these.
+
+    Arrow cuts at the blanks. A text with a blank after white space, where no stretch may
+    begin, is cut by a regular expression; a stretch found in both ways stands twice.
+    """
+    parts = pc.split_pattern(pc.fill_null(texts, ""), " ")
+    bounds = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+    coded = parts.flatten().dictionary_encode()
+    plain, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    blanks = {"", *re.findall(f"[{BLANK}]", "".join(map(chr, range(0x3001))))}
+    wrong = np.fromiter((p[-1:] in blanks for p in plain), bool, len(plain))[place]
+    wrong[bounds[1:] - 1] = False  # nothing follows a text's last part
+    at = np.concatenate([[0], np.cumsum(wrong, dtype=np.int32)])
+    odd = np.flatnonzero(at[bounds[1:]] > at[bounds[:-1]])
+    place = 2 * place + np.int32(1)
+    place[bounds[:-1]] -= 1  # a text's first part has no blank before it
+    del parts, coded, wrong, at
+    pa.default_memory_pool().release_unused()
+    lengths, pieces = np.diff(bounds), []
+    stretch = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+").findall
+    more, low = _Numbers(), 0
+    for t in odd.tolist():
+        found = stretch(texts[t].as_py())
+        pieces += [place[low:bounds[t]], np.int32(2 * len(plain)) + np.fromiter(map(more.__getitem__, found), np.int32, len(found))]
+        low, lengths[t] = bounds[t + 1], len(found)
+    place = np.concatenate([*pieces, place[low:]])
+    used = np.flatnonzero(np.bincount(place, minlength=1))
+    number = np.zeros(used[-1] + 1 if len(used) else 0, np.int32)
+    number[used] = np.arange(len(used))
+    late = list(more)
+    seen = [late[u - 2 * len(plain)] if u >= 2 * len(plain) else " " * (u & 1) + plain[u >> 1] for u in used.tolist()]
+    return seen, number[place], np.cumsum(lengths)
+
+
 WORDS = "keys array<{key}>, ends binary, codes binary, words array<string>"
 
 
@@ -155,38 +193,31 @@ def _cut(ranks: dict[bytes, int], pattern: str, kind: pa.DataType, numbers):
     """Rows ``WORDS`` of texts: the distinct words of a few megabytes that are not common, as
     byte arrays, and each text as numbers of words, the common ones first.
 
-    A word never runs from a visible character into white space, so texts are first cut
-    there, and the pattern cuts each distinct stretch once.
+    A word never runs from a visible character into white space, so texts are first cut into
+    stretches there, and the pattern cuts each distinct stretch once.
     """
     single = {i: _char(ranks[bytes([i])]) for i in range(256)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
         import regex
-        split, stretch = regex.compile(pattern).findall, re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+").findall
+        split = regex.compile(pattern).findall
         base = numbers.value if numbers else {}
         for batch in batches:
             for b in slices(batch, 1, BATCH_BYTES):
-                seen, known = _Numbers(), _Numbers(base)
-                codes, ends = [], []
-                for text in b.column(1).to_pylist():
-                    found = stretch(text or "")
-                    codes.append(np.fromiter(map(seen.__getitem__, found), np.int32, len(found)))
-                    ends.append(len(found))
+                known = _Numbers(base)
+                seen, codes, ends = _stretches(b.column(1))
                 n, flat = np.zeros(len(seen), np.int64), []
                 for i, s in enumerate(seen):
-                    words = (s,) if s in base else split(s)  # a common word stands alone
+                    words = (s,) if s in base else split(s) if s else ()  # a common word stands alone
                     n[i] = len(words)
                     flat += words
                 flat = np.fromiter(map(known.__getitem__, flat), np.int32, len(flat))
-                code = np.concatenate(codes)
-                at = np.concatenate([[0], np.cumsum(n[code])])
-                out = flat[_gather((np.cumsum(n) - n)[code], n[code])]
+                at = np.concatenate([[0], np.cumsum(n[codes])])
+                out = flat[_gather((np.cumsum(n) - n)[codes], n[codes])]
                 chars = [w.encode().decode("latin-1").translate(single) for w in islice(known, len(base), None)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([b.column(0).to_pylist()], pa.list_(kind)),
-                    pa.array([at[np.cumsum(ends)].astype("<i8").tobytes()], pa.binary()),
+                    pa.array([at[ends].astype("<i8").tobytes()], pa.binary()),
                     pa.array([out.astype("<i4").tobytes()], pa.binary()), pa.array([chars], pa.list_(pa.string()))],
                     names=["keys", "ends", "codes", "words"])
 
