@@ -3,24 +3,29 @@
 Every byte covered by a ``LENGTH``-byte string that also starts in a document with a
 smaller key goes. The work runs in four written steps:
 
-1. *Anchors.* Of each ``LENGTH``-byte window the ``GRAM``-byte substring of least hash is
-   an anchor; equal windows have equal anchors. Hashes of anchors are dealt into buckets,
-   and each bucket tells the chunks of documents which of theirs occur in two documents.
-2. *Pieces.* Windows with such an anchor join into runs, cut at sparse anchors into
+1. *Anchors.* Of each ``LENGTH``-byte window the leftmost ``GRAM``-byte substring of least
+   hash is its anchor, and the anchor with half of the window's other bytes, those on its
+   longer side, is its core; equal windows have equal cores. Hashes of cores are dealt into
+   buckets, and each bucket tells the chunks of documents which of theirs occur in two
+   documents.
+2. *Pieces.* Windows with such a core join into runs, cut at sparse cores into
    pieces. Equal pieces collapse into one with the smallest key before any sorting, so a
    passage of a third of all documents is sorted once.
 3. *Suffix sorting.* Distinct pieces are packed into chunks, and the windows of a chunk are
    dealt by their anchor, as bodies of contexts, which puts equal windows into one bucket.
-   A bucket is sorted by the difference-cover algorithm: sampled triples (three 8-byte words
-   at positions that are not multiples of three) are sorted and named, triples of names are
-   sorted in the recursion, the remaining suffixes are sorted by first byte and rank of the
-   next suffix, and both are merged. The recursion ends after one level as its names cover
-   72 bytes and strings are judged at 50. Adjacent prefixes are compared, each class of
-   equal windows gets its smallest key, and each body is answered with one bit a window.
-   An anchor whose contexts are half a bucket or more (a short header amid each document's
+   The anchors of a bucket are sorted, some at a time, by the difference-cover algorithm:
+   sampled triples (three 8-byte words at positions that are not multiples of three) are
+   sorted and named, triples of names are sorted in the recursion, the remaining suffixes are
+   sorted by first byte and rank of the next suffix, and both are merged. The recursion ends
+   after one level as its names cover 72 bytes and strings are judged at 50. Adjacent
+   prefixes are compared, each class of equal windows gets its smallest key, and each body
+   is answered with one bit a window.
+   An anchor whose contexts are half a sort or more (a short header amid each document's
    own text) would fill one task; chunks count contexts by anchor, learn by packed bits which
    are so crowded, and deal those anchors' windows by their own 50 bytes into buckets that
    are sorted in the same way. No table has a row for each occurrence of a window.
+   Every chunk has a body for every bucket. Beyond ``MANY`` buckets these grow up to
+   ``MOST`` times before there are more of them, so bodies stay large.
 4. *Cutting.* Chunks turn the bits into intervals of their pieces, which return to the
    chunks of documents.
 
@@ -46,11 +51,14 @@ from hearth.llm.tokens import _gather, slices
 LENGTH = 50
 GRAM = 24
 WINDOW = LENGTH - GRAM + 1
+HALF = (LENGTH - GRAM) // 2
 CHUNK_BYTES = 4 << 20
 BLOCK = 1 << 18  # bytes hashed at a time
 BUCKET_ANCHORS = 400_000
 BUCKET_BYTES = 2 << 20
-SPARSE = 8  # one anchor in so many cuts a run into pieces
+MANY = 200  # buckets, beyond which they grow before more are made
+MOST = 16  # times
+SPARSE = 12  # one core in so many cuts a run into pieces
 MIN_PIECE = 32
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -129,47 +137,92 @@ def slide(x: np.ndarray, width: int, f) -> np.ndarray:
     return f(x[:size], x[width - n:width - n + size])
 
 
-def anchors(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of all anchors: grams of least hash in some window that lies
-    inside one document."""
-    at, found = [], []
-    n = len(buf)
-    for s in range(0, n, BLOCK):
-        a, e = max(0, s - LENGTH), min(n, s + BLOCK + 2 * LENGTH)
-        if e - a < LENGTH:
+def codes(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and 32 more bits of each hash (the last bit of a gram's is always set)."""
+    return (((h >> np.uint64(1)) % np.uint64(buckets)) << np.uint64(32)) | (h >> np.uint64(32))
+
+
+def windows(buf: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Blocks: where one starts, the hashes of its grams, and the anchor of each of its windows
+    (the leftmost least gram of the window alone), -1 for windows across a document's end."""
+    low = np.uint64((1 << 20) - 1)
+    for s in range(0, len(buf), BLOCK):
+        e = min(len(buf), s + BLOCK + LENGTH - 1)
+        if e - s < LENGTH:
             continue
-        h = gram_hashes(buf[a:e])
-        least = slide(h, WINDOW, np.minimum)
-        for c in bounds[np.searchsorted(bounds, a):np.searchsorted(bounds, e, side="right")].tolist():
-            least[max(0, c - a - LENGTH + 1):max(0, c - a)] = 0  # windows across a document's end
-        pad = np.zeros(WINDOW - 1, np.uint64)
-        most = slide(np.concatenate([pad, least, pad]), WINDOW, np.maximum)
-        p = np.flatnonzero(most == h)
-        p = p[(p + a >= s) & (p + a < s + BLOCK)]
-        at.append(p + a)
-        found.append(h[p])
-    if not at:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(at), np.concatenate(found)
+        h = gram_hashes(buf[s:e])
+        packed = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+        a = (slide(packed, WINDOW, np.minimum) & low).astype(np.int32)
+        for c in bounds[np.searchsorted(bounds, s):np.searchsorted(bounds, e)].tolist():
+            a[max(0, c - s - LENGTH + 1):max(0, c - s)] = -1
+        yield s, h, a
 
 
-def codes(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket and 32 more bits of each hash."""
-    return ((h % np.uint64(buckets)) << np.uint64(32)) | (h >> np.uint64(32))
+def stretches(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-the-last place of each run of equal ``kind`` that isn't negative."""
+    edge = np.concatenate([[0], np.flatnonzero(kind[1:] != kind[:-1]) + 1, [len(kind)]])
+    ok = kind[edge[:-1]] >= 0
+    return edge[:-1][ok], edge[1:][ok]
 
 
-def entries(code: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Sorted codes, each as often as it has documents in the chunk, twice at most."""
-    order = np.lexsort((doc, code))
-    code, doc = code[order], doc[order]
-    new_code = np.ones(len(code), bool)
-    new_code[1:] = code[1:] != code[:-1]
-    new = new_code.copy()
-    new[1:] |= doc[1:] != doc[:-1]
-    code, new_code = code[new], new_code[new]
-    second = np.zeros(len(code), bool)
-    second[1:] = new_code[:-1] & ~new_code[1:]
-    return code[new_code | second]
+def anchors(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cores, and the runs [first, past) of windows that have them: the hash of the anchor
+    with ``HALF`` bytes or one more of its longer side in the window. Equal windows have
+    equal cores."""
+    parts = []
+    for s, h, a in windows(buf, bounds):
+        left = a - np.arange(len(a), dtype=np.int32) > HALF
+        first, past = stretches(np.where(a < 0, np.int32(-1), 2 * a + left))
+        at, left = a[first], left[first]
+        with np.errstate(over="ignore"):
+            core = h[np.where(left, at - HALF - 1, at)] * _MUL + h[np.where(left, at, at + HALF)]
+            core = (core ^ (core >> np.uint64(29)) ^ left.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+            core ^= core >> np.uint64(32)
+        parts.append((core, first + s, past + s))
+    if not parts:
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2
+    core, first, past = (np.concatenate(x) for x in zip(*parts))
+    new = np.ones(len(core), bool)  # a block's end or a short period parts no run
+    new[1:] = (core[1:] != core[:-1]) | (first[1:] != past[:-1])
+    return core[new], first[new], past[np.append(new, True)[1:]]
+
+
+class Entries:
+    """The sorted codes of a chunk, each as often as it has documents in the chunk, twice at most."""
+
+    def __init__(self, code: np.ndarray, doc: np.ndarray, buckets: int):
+        self.order = np.argsort(code)
+        code, doc = code[self.order], doc[self.order]
+        new = np.ones(len(code), bool)
+        new[1:] = code[1:] != code[:-1]
+        first = np.flatnonzero(new)
+        self.times = 1 + (np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)) if len(first) else np.zeros(0, np.int64)
+        self.size = np.diff(np.append(first, len(code)))
+        self.codes = np.repeat(code[first], self.times)
+        self.cut = np.searchsorted(self.codes, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
+
+    def sent(self) -> tuple[np.ndarray, list[bytes]]:
+        """Buckets and the codes that go there."""
+        some = np.flatnonzero(np.diff(self.cut))
+        data, cut = self.codes.astype("<u4").tobytes(), (4 * self.cut).tolist()
+        return some.astype(np.int32), [data[cut[k]:cut[k + 1]] for k in some.tolist()]
+
+    def told(self, answers: list) -> np.ndarray:
+        """Which of the codes that were given occur in two documents."""
+        bits = np.zeros(len(self.codes), bool)
+        for t in answers:
+            a, b = self.cut[t["bucket"]], self.cut[t["bucket"] + 1]
+            bits[a:b] = np.unpackbits(np.frombuffer(t["bits"], np.uint8), count=int(b - a))
+        hit = np.zeros(len(self.order), bool)
+        hit[self.order] = np.repeat(bits[np.cumsum(self.times) - self.times], self.size)
+        return hit
+
+
+def spread(total: int, each: int) -> int:
+    """Buckets for ``total``, of which one holds ``each``, and up to ``MOST`` times that beyond
+    ``MANY`` buckets: every chunk has a row for every bucket."""
+    n = total // each + 1
+    return max(min(n, MANY), -(-n // MOST))
 
 
 def _send_anchors(text: str, key: str, buckets: int):
@@ -177,13 +230,10 @@ def _send_anchors(text: str, key: str, buckets: int):
         for b in batches:
             for chunk, body in zip(b.column("chunk").to_pylist(), b.column("body").to_pylist()):
                 c = Chunk(body, text, key)
-                p, h = anchors(c.buf, c.bounds)
-                code = entries(codes(h, buckets), np.searchsorted(c.bounds, p, side="right"))
-                cut = np.searchsorted(code, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
-                some = np.flatnonzero(np.diff(cut))
-                blobs = [code[cut[k]:cut[k + 1]].astype("<u4").tobytes() for k in some]
+                h, first, _ = anchors(c.buf, c.bounds)
+                some, blobs = Entries(codes(h, buckets), np.searchsorted(c.bounds, first, side="right"), buckets).sent()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(some.astype(np.int32)), pa.array([chunk] * len(some), pa.int64()), pa.array(blobs, pa.binary())],
+                    [pa.array(some), pa.array([chunk] * len(some), pa.int64()), pa.array(blobs, pa.binary())],
                     names=["bucket", "chunk", "codes"])
 
     return run
@@ -192,32 +242,23 @@ def _send_anchors(text: str, key: str, buckets: int):
 def _repeated(t: pa.Table) -> pa.Table:
     """Of each chunk's codes in a bucket, the bits that tell which occur twice."""
     lists = [np.frombuffer(x, "<u4") for x in t.column("codes").to_pylist()]
-    value, count = np.unique(np.concatenate(lists), return_counts=True)
-    value = value[count > 1]
-    bits = []
-    for x in lists:
-        at = np.searchsorted(value, x)
-        hit = np.zeros(len(x), bool) if not len(value) else value[np.minimum(at, len(value) - 1)] == x
-        bits.append(np.packbits(hit).tobytes())
+    whole = np.concatenate(lists)
+    order = np.argsort(whole)
+    same = np.diff(whole[order]) == 0
+    hit = np.zeros(len(whole), bool)
+    hit[order[1:][same]] = hit[order[:-1][same]] = True
+    ends = np.cumsum([len(x) for x in lists]).tolist()
+    bits = [np.packbits(hit[a:b]).tobytes() for a, b in zip([0, *ends], ends)]
     return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "bits": pa.array(bits, pa.binary())})
 
 
 # ---- pieces ---------------------------------------------------------------------------
 
-def window_runs(hit: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs [start, end) of windows that hold one of the anchors ``hit`` and lie in a document."""
-    doc = np.searchsorted(bounds, hit, side="right") - 1
-    lo = np.maximum(hit - (LENGTH - GRAM), bounds[doc])
-    hi = np.minimum(hit, bounds[doc + 1] - LENGTH) + 1
-    ok = hi > lo
-    lo, hi, doc = lo[ok], hi[ok], doc[ok]
-    if not len(lo):
-        return lo, hi
-    reach = np.maximum.accumulate(hi)
-    new = np.ones(len(lo), bool)
-    new[1:] = (lo[1:] > reach[:-1]) | (doc[1:] != doc[:-1])
-    first = np.flatnonzero(new)
-    return lo[first], reach[np.append(first[1:] - 1, len(lo) - 1)]
+def together(first: np.ndarray, past: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs [first, past) in their order, those that touch as one."""
+    new = np.ones(len(first), bool)
+    new[1:] = first[1:] != past[:-1]
+    return first[new], past[np.append(new, True)[1:]]
 
 
 PIECES = "name binary, piece binary, key long, chunk long, doc int, start long"
@@ -228,21 +269,12 @@ def _make_pieces(text: str, key: str, buckets: int):
         for b in batches:
             for chunk, body, told in zip(*(b.column(c).to_pylist() for c in ("chunk", "body", "told"))):
                 c = Chunk(body, text, key)
-                p, h = anchors(c.buf, c.bounds)
-                code = codes(h, buckets)
-                sent = entries(code, np.searchsorted(c.bounds, p, side="right"))
-                cut = np.searchsorted(sent, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
-                bits = np.zeros(len(sent), bool)
-                for t in told:
-                    k = t["bucket"]
-                    bits[cut[k]:cut[k + 1]] = np.unpackbits(np.frombuffer(t["bits"], np.uint8), count=int(cut[k + 1] - cut[k]))
-                repeated = sent[bits]
-                if not len(repeated):
+                h, first, past = anchors(c.buf, c.bounds)
+                hit = Entries(codes(h, buckets), np.searchsorted(c.bounds, first, side="right"), buckets).told(told)
+                if not hit.any():
                     continue
-                at = np.minimum(np.searchsorted(repeated, code), len(repeated) - 1)
-                hit = p[repeated[at] == code]
-                start, end = window_runs(hit, c.bounds, len(c.buf))
-                sparse = p[(h >> np.uint64(8)) % np.uint64(SPARSE) == 0]
+                start, end = together(first[hit], past[hit])
+                sparse = first[(h >> np.uint64(8)) % np.uint64(SPARSE) == 0]
                 if len(sparse):
                     sparse = sparse[np.append(True, np.diff(sparse) >= MIN_PIECE)]
                 inside = np.searchsorted(start, sparse, side="right") - 1
@@ -270,25 +302,10 @@ CONTEXT = pa.schema([("h", pa.uint64()), ("low", pa.int64()), ("text", pa.binary
 def contexts(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of consecutive windows with the same anchor (the leftmost least gram of the
     window alone): hash of the anchor, piece, first and past-the-last window."""
-    low = np.uint64((1 << 20) - 1)
     parts = []
-    for s in range(0, len(buf), BLOCK):
-        e = min(len(buf), s + BLOCK + LENGTH - 1)
-        if e - s < LENGTH:
-            continue
-        h = gram_hashes(buf[s:e])
-        packed = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-        a = (slide(packed, WINDOW, np.minimum) & low).astype(np.int64)
-        i = np.arange(len(a)) + s
-        piece = np.searchsorted(bounds, i, side="right") - 1
-        ok = i + LENGTH <= bounds[piece + 1]
-        i, a, piece = i[ok], a[ok], piece[ok]
-        new = np.ones(len(i), bool)
-        new[1:] = (a[1:] != a[:-1]) | (piece[1:] != piece[:-1])
-        first = np.flatnonzero(new)
-        past = np.append(first[1:], len(i)) - 1
-        parts.append((h[a[first]], piece[first], i[first], i[past] + 1) if len(i) else
-                     (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3))
+    for s, h, a in windows(buf, bounds):
+        first, past = stretches(a)
+        parts.append((h[a[first]], np.searchsorted(bounds, first + s, side="right") - 1, first + s, past + s))
     if not parts:
         return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
     return tuple(np.concatenate(x) for x in zip(*parts))
@@ -300,14 +317,22 @@ def _joined(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
 
 
 def _pack_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of distinct pieces ``(name, low, piece)``."""
-    chunk = TaskContext.get().partitionId() << 33
+    """Chunks of distinct pieces ``(name, low, piece)``: few and full, whatever the batches hold."""
+    chunk, held, size = TaskContext.get().partitionId() << 33, [], 0
+
+    def packed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([to_body(pa.Table.from_batches(held).combine_chunks())], pa.binary()),
+                                           pa.array([size], pa.int64())], names=["chunk", "body", "size"])
+
     for whole in batches:
         for b in slices(whole, 2, CHUNK_BYTES):
-            size = sum(len(x) for x in b.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([to_body(b)], pa.binary()),
-                                              pa.array([size], pa.int64())], names=["chunk", "body", "size"])
-            chunk += 1
+            more = pc.sum(pc.binary_length(b.column(2))).as_py() or 0
+            if held and size + more > CHUNK_BYTES:
+                yield packed()
+                chunk, held, size = chunk + 1, [], 0
+            held, size = [*held, b], size + more
+    if held:
+        yield packed()
 
 
 class Pieces:
@@ -336,7 +361,7 @@ class Pieces:
     def by_anchor(self, crowded: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
         """Buckets and their contexts."""
         mine = np.flatnonzero(~crowded)
-        bucket = (self.h[mine] % np.uint64(parts)).astype(np.int64)
+        bucket = ((self.h[mine] >> np.uint64(1)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(parts + 1))
         for k in np.flatnonzero(np.diff(cut)).tolist():
@@ -445,16 +470,19 @@ def words8(b: np.ndarray) -> np.ndarray:
     return w
 
 
-def _named(*keys: np.ndarray) -> np.ndarray:
-    """Dense names, from 1, of rows of keys in their order."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    for k in keys:
-        k = k[order]
-        new[1:] |= k[1:] != k[:-1]
-    name = np.empty(len(order), np.int64)
-    name[order] = np.cumsum(new) + 1
-    return name
+def _ranks(*keys: np.ndarray) -> np.ndarray:
+    """Dense ranks, from 1, of rows of keys in their order."""
+    order = _order(*keys)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(_changes(*(k[order] for k in keys))) + 1
+    return rank
+
+
+def _order(*keys: np.ndarray) -> np.ndarray:
+    """Places of rows of keys in their order. Three ranks of up to 21 bits sort as one number."""
+    if len(keys) == 3 and len(keys[0]) and all(k.dtype == np.int64 and k.max() < 1 << 21 for k in keys):
+        keys = ((keys[0] << 42) | (keys[1] << 21) | keys[2],)
+    return np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
 
 
 def _changes(*keys: np.ndarray) -> np.ndarray:
@@ -465,38 +493,47 @@ def _changes(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def suffix_order(b: np.ndarray) -> np.ndarray:
-    """Positions of ``b`` sorted by the 72 bytes that start there (zeros follow the end).
+def suffix_order(b: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Positions of ``b`` (those ``wanted``, or all) sorted by the 72 bytes that start there
+    (zeros follow the end).
 
     Every comparison looks at 72 bytes, neither more nor less: the names of triples of
     names cover them, and one or two bytes before a sampled suffix go with its rank by
-    71 or 70 bytes. So all the orders that are merged agree.
+    71 or 70 bytes. So all the orders that are merged agree. Of the sampled suffixes, those
+    are sorted that a wanted one is or meets in the merge, and those triples are named
+    that they are made of.
     """
     n = len(b)
+    wanted = np.arange(n) if wanted is None else wanted
     w = words8(np.concatenate([b, np.zeros(136, np.uint8)]))
-    pos = np.arange(n)
-    sampled = pos[pos % 3 != 0]
+    met, made = np.zeros(n + 2, bool), np.zeros(n + 50, bool)
+    for k in (0, 1, 2):
+        met[wanted + k] = True
+    met[::3] = False
+    s = np.flatnonzero(met)
+    for k in (0, 24, 48):
+        made[s + k] = True
     # sort sampled triples
-    name = np.zeros(n + 128, np.int64)
-    name[sampled] = _named(w[sampled], w[sampled + 8], w[sampled + 16])
-    if len(sampled):  # what lies past the end is a triple of zeros
-        name[n:] = name[sampled].min() - any(w[sampled[name[sampled].argmin()] + k] for k in (0, 8, 16))
+    sampled = np.flatnonzero(made)
+    word = _ranks(w[:n + 66])
+    name = np.zeros(n + 50, np.int64)
+    name[sampled] = _ranks(word[sampled], word[sampled + 8], word[sampled + 16])
     # recurse on names
-    s = sampled[np.lexsort((name[sampled + 48], name[sampled + 24], name[sampled]))]
-    first = _changes(name[s], name[s + 24], w[s + 48], w[s + 56])
+    s = s[_order(name[s], name[s + 24], name[s + 48])]
+    first = _changes(name[s], name[s + 24], word[s + 48], word[s + 56])
     by71, by70 = np.zeros(n + 2, np.int64), np.zeros(n + 2, np.int64)
     for rank, last in ((by71, 63), (by70, 62)):
-        rank[s] = np.cumsum(first | _changes(w[s + last])) + 1
-        if len(s):  # past the end: zeros
-            rank[n:] = 1 - any(w[s[0] + k] for k in (0, 8, 16, 24, 32, 40, 48, 56, last))
+        rank[s] = np.cumsum(first | _changes(word[s + last])) + 1
     # merge the remaining suffixes
     b = np.concatenate([b, np.zeros(2, np.uint8)]).astype(np.int64)
     one = lambda i: (b[i] << 40) | by71[i + 1]
     two = lambda i: (b[i] << 48) | (b[i + 1] << 40) | by70[i + 2]
-    rest = pos[::3]
-    rest = rest[np.argsort(one(rest), kind="stable")]
+    met[:] = False
+    met[wanted] = True
+    s, rest = s[met[s]], wanted[wanted % 3 == 0]
+    rest = rest[np.argsort(one(rest))]
     s1, s2 = s[s % 3 == 1], s[s % 3 == 2]
-    out = np.empty(n, np.int64)
+    out = np.empty(len(wanted), np.int64)
     out[np.arange(len(rest)) + np.searchsorted(one(s1), one(rest)) + np.searchsorted(two(s2), two(rest))] = rest
     before = np.empty(len(s), np.int64)
     before[s % 3 == 1] = np.searchsorted(one(rest), one(s1), side="right")
@@ -519,53 +556,65 @@ ANSWERS = "chunk long, bucket int, part int, bits binary"
 
 
 def _sort_bucket(t: pa.Table) -> pa.Table:
-    """For each body a bit a window: it also starts in a document with a smaller key."""
+    """For each body a bit a window: it also starts in a document with a smaller key. The
+    anchors of a bucket are sorted some at a time."""
     parts = [from_body(x) for x in t.column("body").to_pylist()]
-    whole = pa.concat_tables(parts)
-    h = whole.column("h").to_numpy()
-    windows = pc.binary_length(whole.column("text")).to_numpy().astype(np.int64) - LENGTH + 1
-    place = np.cumsum(windows) - windows
-    flags = np.zeros(int(windows.sum()), bool)
-    _, group, count = np.unique(h, return_inverse=True, return_counts=True)
-    rows = np.flatnonzero(count[group] > 1)
-    lows, group = whole.column("low").to_numpy()[rows], group[rows]
-    texts = whole.column("text").take(pa.array(rows)).to_pylist()
-    # equal contexts are sorted once, with their smallest key
-    number: dict[tuple[int, bytes], int] = {}
-    which = np.array([number.setdefault(x, len(number)) for x in zip(group.tolist(), texts)], np.int64)
-    low = np.full(len(number), np.iinfo(np.int64).max)
-    np.minimum.at(low, which, lows)
-    size = np.array([len(x) for _, x in number], np.int64)
-    of = np.array([g for g, _ in number], np.int64)
-    alone = np.bincount(of, minlength=len(count))[of] == 1 if len(of) else np.zeros(0, bool)
-    base = np.full(len(number), -1, np.int64)
-    if (~alone).any():
-        kept = np.flatnonzero(~alone)
-        strings = [x for (_, x), a in zip(number, alone) if not a]
-        base[kept] = np.concatenate([[0], np.cumsum(size[kept])[:-1]])
-        b = np.frombuffer(b"".join(strings), np.uint8)
-        owner = np.repeat(np.arange(len(kept)), size[kept])
-        start_of = np.arange(len(b)) - base[kept][owner] <= size[kept][owner] - LENGTH
-        order = suffix_order(b)
-        order = order[start_of[order]]
-        cls = equal_prefixes(b, order)
-        first = np.full(int(cls[-1]) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(first, cls, low[kept][owner[order]])
-        least = np.full(len(b), np.iinfo(np.int64).max)
-        least[order] = first[cls]
-        some = np.flatnonzero((base[which] >= 0) & (lows == low[which]))
-        n = windows[rows[some]]
-        flags[_gather(place[rows[some]], n)] = least[_gather(base[which[some]], n)] < np.repeat(lows[some], n)
-    later = rows[lows > low[which]]
-    flags[_gather(place[later], windows[later])] = True
     ends = np.cumsum([len(x) for x in parts])
-    cuts = [0, *(place[ends[:-1]]).tolist(), len(flags)]
-    bits = [flags[a:b] for a, b in zip(cuts, cuts[1:])]
+    whole = pa.concat_tables(parts).combine_chunks()
+    h, low = whole.column("h").to_numpy(), whole.column("low").to_numpy()
+    text = whole.column("text")
+    windows = pc.binary_length(text).to_numpy().astype(np.int64) - LENGTH + 1
+    place = np.append(0, np.cumsum(windows))
+    flags = np.zeros(int(place[-1]), bool)
+    rows = np.argsort(h)
+    new = np.diff(h[rows], prepend=~h[rows[:1]]) != 0
+    alone = new & np.append(new[1:], True)
+    rows, new = rows[~alone], new[~alone]
+    size = np.cumsum(windows[rows] + LENGTH - 1)
+    first = np.flatnonzero(new)
+    cut = first[np.diff(size[first] // BUCKET_BYTES, prepend=-1) > 0].tolist()
+    for a, b in zip(cut, [*cut[1:], len(rows)]):
+        some = rows[a:b]
+        flags[_gather(place[some], windows[some])] = _sort_contexts(np.cumsum(new[a:b]) - 1, low[some], text.take(pa.array(some)), windows[some])
+    bits = [flags[a:b] for a, b in zip(place[np.append(0, ends[:-1])].tolist(), place[ends].tolist())]
     some = [k for k, x in enumerate(bits) if x.any()]
     return pa.table({c: t.column(c).take(pa.array(some, pa.int64())) for c in ("chunk", "bucket", "part")} |
                     {"bits": pa.array([np.packbits(bits[k]).tobytes() for k in some], pa.binary())})
 
 
+def _sort_contexts(group: np.ndarray, lows: np.ndarray, texts: pa.ChunkedArray, windows: np.ndarray) -> np.ndarray:
+    """Of the windows of contexts, whose anchors ``group`` numbers, those that some context
+    with a smaller key has too."""
+    # equal contexts are sorted once, with their smallest key
+    coded = texts.combine_chunks().dictionary_encode()
+    which, strings = coded.indices.to_numpy(), coded.dictionary
+    low, of = np.full(len(strings), np.iinfo(np.int64).max), np.empty(len(strings), np.int64)
+    np.minimum.at(low, which, lows)
+    of[which] = group
+    kept = np.flatnonzero(np.bincount(of)[of] > 1)
+    flags = np.repeat(lows > low[which], windows)
+    if not len(kept):
+        return flags
+    strings = strings.take(pa.array(kept))
+    size = pc.binary_length(strings).to_numpy().astype(np.int64)
+    base = np.full(len(low), -1, np.int64)
+    base[kept] = np.cumsum(size) - size
+    b = np.frombuffer(b"".join(strings.to_pylist()), np.uint8)
+    start = _gather(base[kept], size - LENGTH + 1)
+    owner_low = np.repeat(low[kept], size - LENGTH + 1)
+    order = suffix_order(b, start)
+    cls = equal_prefixes(b, order)
+    least = np.empty(len(b), np.int64)
+    least[start] = owner_low
+    first = np.minimum.reduceat(least[order], np.flatnonzero(np.diff(cls, prepend=-1)))
+    least[order] = first[cls]
+    some = np.flatnonzero((base[which] >= 0) & (lows == low[which]))
+    n = windows[some]
+    at = np.cumsum(windows) - windows
+    flags[_gather(at[some], n)] = least[_gather(base[which[some]], n)] < np.repeat(lows[some], n)
+    return flags
+
+
 LOWS = "m binary, low long, n int, part array<struct<lo:int,hi:int>>"
 
 
@@ -667,7 +716,7 @@ def remove_repeats(df: DataFrame, scratch: Scratch, text: str = "text", key: str
     chunks = scratch.save(df.mapInArrow(_make_chunks(df.columns.index(text)), "chunk long, body binary, size long"),
                           "chunks", codec="uncompressed")
     total = chunks.agg(F.sum("size")).head()[0] or 0
-    buckets = max(1, -(-total * 2 // (WINDOW + 1)) // BUCKET_ANCHORS + 1)
+    buckets = spread(total // (WINDOW // 3), BUCKET_ANCHORS)
 
     sent = chunks.select("chunk", "body").mapInArrow(_send_anchors(text, key, buckets), "bucket int, chunk long, codes binary")
     bits = sent.groupBy("bucket").applyInArrow(_repeated, "chunk long, bucket int, bits binary")
@@ -680,8 +729,8 @@ def remove_repeats(df: DataFrame, scratch: Scratch, text: str = "text", key: str
     distinct = pieces.groupBy("name").agg(F.min("key").alias("low"), F.first("piece").alias("piece"))
     packed = scratch.save(distinct.mapInArrow(_pack_pieces, "chunk long, body binary, size long"), "packed", codec="uncompressed")
     size = packed.agg(F.sum("size")).head()[0] or 0
-    counted = max(1, size // (WINDOW // 2) // BUCKET_ANCHORS + 1)
-    parts = max(1, size * LENGTH // (WINDOW // 2) // BUCKET_BYTES)
+    counted = spread(size // (WINDOW // 2), BUCKET_ANCHORS)
+    parts = spread(size * (LENGTH + WINDOW // 2) // (WINDOW // 2), BUCKET_BYTES)
     counts = packed.select("chunk", "body").mapInArrow(_send_counts(counted), "bucket int, chunk long, codes binary, counts binary")
     crowded = counts.groupBy("bucket").applyInArrow(_crowded(max(2, BUCKET_BYTES // 2 // LENGTH)), "chunk long, bucket int, bits binary")
     crowded = crowded.groupBy(F.col("chunk").alias("c")).agg(F.collect_list(F.struct("bucket", "bits")).alias("told"))

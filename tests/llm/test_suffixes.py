@@ -130,3 +130,73 @@ def test_crowded_anchors_do_not_share_a_bucket(spark, scratch, monkeypatch):
     got = [tuple(r) for r in suffixes.remove_repeats(df, scratch).select(
         "doc_id", "_n_bytes", "_n_removed", "_n_spans", "_kept_sha256").collect()]
     assert sorted(got) == sorted(brute(rows))
+
+
+def test_equal_windows_have_equal_cores():
+    rng = random.Random(5)
+    own = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passages = [own(n) for n in (50, 51, 63, 90, 400)] + ["ab" * 40, "z" * 70]
+    texts = [f"{own(rng.randint(0, 60))}{p}{own(rng.randint(0, 60))}".encode() for p in passages * 4] + [b"", own(49).encode()]
+    data, bounds = suffixes._joined(texts)
+    core, first, past = suffixes.anchors(np.frombuffer(data, np.uint8), bounds)
+    of = {i: h for h, a, e in zip(core.tolist(), first.tolist(), past.tolist()) for i in range(a, e)}
+    inside = [i for a, e in zip(bounds, bounds[1:]) for i in range(a, e - 49)]
+    assert sorted(of) == inside  # each window has one core
+    by_text = {}
+    assert all(by_text.setdefault(data[i:i + 50], of[i]) == of[i] for i in inside)
+
+
+def test_a_short_phrase_makes_no_candidates():
+    rng = random.Random(6)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    texts = [f"{own(80)}{phrase}{own(80)}".encode() for phrase in [own(34) for _ in range(40)] for _ in "12"]
+    data, bounds = suffixes._joined(texts)
+    core, first, _ = suffixes.anchors(np.frombuffer(data, np.uint8), bounds)
+    codes = suffixes.codes(core, 3)
+    told = suffixes.Entries(codes, np.searchsorted(bounds, first, side="right"), 3)
+    assert (told.times == 1).all()  # 34 bytes hold many a whole gram, and no core of 37
+
+
+def test_buckets_grow_before_there_are_more():
+    assert [suffixes.spread(n, 10) for n in (0, 9, 10, 1500)] == [1, 1, 2, 151]
+    assert suffixes.spread(100 * suffixes.MANY, 10) == suffixes.MANY
+    big = suffixes.spread(10**9, 10)
+    assert 10**9 / (10 * suffixes.MOST) <= big <= 10**9 / (10 * suffixes.MOST) + 2
+
+
+def test_chunks_are_filled_from_many_batches(spark):
+    pieces = spark.createDataFrame([(str(k).encode(), k, b"x" * 100) for k in range(1000)], "name binary, low long, piece binary")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        packed = pieces.coalesce(1).mapInArrow(suffixes._pack_pieces, "chunk long, body binary, size long").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [r.size for r in packed] == [100_000]
+    assert sorted(suffixes.from_body(bytes(packed[0].body)).column("low").to_pylist()) == list(range(1000))
+
+
+def test_buckets_of_many_sorts(spark, scratch, monkeypatch):
+    rng = random.Random(13)
+    pool = ["".join(rng.choice("abcd efgh") for _ in range(rng.randint(40, 200))) for _ in range(60)]
+    rows = [(k, "".join(rng.choice(pool) for _ in range(rng.randint(0, 6)))) for k in range(400)]
+    monkeypatch.setattr(suffixes, "CHUNK_BYTES", 9000)
+    monkeypatch.setattr(suffixes, "BUCKET_ANCHORS", 300)
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", 3000)
+    monkeypatch.setattr(suffixes, "MANY", 2)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [tuple(r) for r in suffixes.remove_repeats(df, scratch).select(
+        "doc_id", "_n_bytes", "_n_removed", "_n_spans", "_kept_sha256").collect()]
+    assert sorted(got) == sorted(brute(rows))
+
+
+def test_suffix_order_of_some_positions():
+    rng = np.random.default_rng(3)
+    for trial in range(40):
+        block = rng.integers(0 if trial % 2 else 97, 99, int(rng.integers(1, 120))).astype(np.uint8)
+        b = np.concatenate([np.tile(block, 4), rng.integers(97, 99, 60).astype(np.uint8), block])
+        wanted = np.flatnonzero(rng.random(len(b)) < 0.4)
+        got, s = suffixes.suffix_order(b, wanted), b.tobytes() + bytes(80)
+        assert sorted(got.tolist()) == wanted.tolist()
+        keys = [s[i:i + 72] for i in got]
+        assert keys == sorted(keys)
